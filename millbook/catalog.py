@@ -26,10 +26,10 @@ WASTE_START, WASTE_END = "1996-01-01", "1999-01-01"
 _REGISTRY: dict[str, QueryFn] = {}
 
 
-def register(name: str):
+def register(name: str, nullable_ints: tuple[str, ...] = ()):
     def deco(fn: Callable) -> Callable:
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return portable(fn(derive_tables(spark, sf_dir)))
+            return portable(fn(derive_tables(spark, sf_dir)), nullable_ints)
         run.__name__ = name
         run.__doc__ = fn.__doc__
         _REGISTRY[name] = run

@@ -26,10 +26,18 @@ def _portable_type(dtype: T.DataType) -> T.DataType:
     return dtype
 
 
-def portable(df: DataFrame) -> DataFrame:
+def portable(df: DataFrame, nullable_ints: tuple[str, ...] = ()) -> DataFrame:
+    """Decimals -> double, dates -> timestamp_ntz; ``nullable_ints`` -> double.
+
+    An integer column holding NULLs reaches pandas as float64 from Spark but
+    as a nullable integer from DuckDB, so such columns are presented as
+    double on both sides.
+    """
     cols: list[Column] = []
     for field in df.schema.fields:
         target = _portable_type(field.dataType)
+        if field.name in nullable_ints:
+            target = T.DoubleType()
         c = F.col(f"`{field.name}`")
         cols.append(c.cast(target).alias(field.name) if target != field.dataType else c)
     return df.select(*cols)
