@@ -1,3 +1,34 @@
-"""Registered queries (see millbook.catalog)."""
+"""Registered ledger, change-application and intake queries."""
 
-from millbook.catalog import register  # noqa: F401
+from __future__ import annotations
+
+from millbook.catalog import register
+from millbook.operators import ledger as K
+
+
+@register("kardex")
+def _k1(t):
+    """K1: every ledger movement with opening and closing balance (from 0)."""
+    return K.kardex(t)
+
+
+@register("ledger_balance")
+def _k1b(t):
+    return K.ledger_balance(t)
+
+
+@register("apply_movements")
+def _w9(t):
+    """Decisions of the arrival-order fold over all movement requests."""
+    return K.apply_movements(t, t.movement_requests).decisions
+
+
+@register("apply_movements_stock", nullable_ints=("supplier_id",))
+def _w9s(t):
+    """Product stock after applying every accepted movement."""
+    return K.apply_movements(t, t.movement_requests).stock
+
+
+@register("apply_movements_rejects")
+def _w9r(t):
+    return K.apply_movements(t, t.movement_requests).rejects

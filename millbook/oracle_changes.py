@@ -1,3 +1,63 @@
-"""Oracle SQL bodies (see millbook.oracle)."""
+"""Oracle SQL for the ledger and change-application queries."""
 
-from millbook.oracle import BODIES  # noqa: F401
+from __future__ import annotations
+
+from millbook.oracle import BODIES
+
+# Arrival-order fold as a recursive CTE: step k of a product applies its k-th request.
+MOVEMENT_FOLD = """
+WITH RECURSIVE
+ r AS (SELECT m.*, CAST(coalesce(p.current_stock, 0) AS DECIMAL(18,2)) AS stock0,
+              row_number() OVER (PARTITION BY m.product_id
+                                 ORDER BY m.requested_at, m.request_id, m.movement_type, m.quantity,
+                                          m.user_id, m.reference_document) AS rn
+       FROM movement_requests m JOIN products p ON m.product_id = p.id
+       WHERE m.quantity > 0 AND m.movement_type IN ('ENTRY', 'EXIT')),
+ f AS (SELECT product_id, rn, stock0 AS before,
+              CAST(CASE WHEN movement_type = 'ENTRY' THEN stock0 + quantity
+                        WHEN stock0 >= quantity THEN stock0 - quantity ELSE stock0 END AS DECIMAL(18,2)) AS after
+       FROM r WHERE rn = 1
+       UNION ALL
+       SELECT r.product_id, r.rn, f.after,
+              CAST(CASE WHEN r.movement_type = 'ENTRY' THEN f.after + r.quantity
+                        WHEN f.after >= r.quantity THEN f.after - r.quantity ELSE f.after END AS DECIMAL(18,2))
+       FROM f JOIN r ON r.product_id = f.product_id AND r.rn = f.rn + 1),
+ d AS (SELECT r.*, f.before, f.after, (r.movement_type = 'ENTRY' OR f.before >= r.quantity) AS accepted
+       FROM r JOIN f ON r.product_id = f.product_id AND r.rn = f.rn)
+"""
+
+BODIES.update({
+    "apply_movements": MOVEMENT_FOLD + """
+SELECT request_id, requested_at, product_id, movement_type, CAST(quantity AS DOUBLE) AS quantity, user_id,
+       reference_document, accepted, CAST(before AS DOUBLE) AS stock_before, CAST(after AS DOUBLE) AS stock_after
+FROM d""",
+    "apply_movements_stock": MOVEMENT_FOLD + """,
+ delta AS (SELECT product_id, sum(CASE WHEN movement_type = 'EXIT' THEN -quantity ELSE quantity END) AS dq
+           FROM d WHERE accepted GROUP BY product_id)
+SELECT p.id, p.sku, p.description, p.type, p.unit, CAST(p.cost_price AS DOUBLE) AS cost_price,
+       CAST(p.min_stock AS DOUBLE) AS min_stock,
+       CAST(CASE WHEN delta.dq IS NULL THEN p.current_stock
+                 ELSE CAST(coalesce(p.current_stock, 0) + delta.dq AS DECIMAL(12,2)) END AS DOUBLE) AS current_stock,
+       CAST(p.supplier_id AS DOUBLE) AS supplier_id, p.is_active
+FROM products p LEFT JOIN delta ON delta.product_id = p.id""",
+    "apply_movements_rejects": MOVEMENT_FOLD + """
+SELECT request_id, product_id, 'INSUFFICIENT_STOCK' AS reason FROM d WHERE NOT accepted
+UNION ALL
+SELECT m.request_id, m.product_id,
+       CASE WHEN p.id IS NULL THEN 'PRODUCT_NOT_FOUND'
+            WHEN m.movement_type IS NULL OR m.movement_type NOT IN ('ENTRY', 'EXIT') THEN 'INVALID_MOVEMENT_TYPE'
+            ELSE 'NON_POSITIVE_QUANTITY' END AS reason
+FROM movement_requests m LEFT JOIN products p ON m.product_id = p.id
+WHERE p.id IS NULL OR m.movement_type IS NULL OR m.movement_type NOT IN ('ENTRY', 'EXIT')
+   OR m.quantity IS NULL OR m.quantity <= 0""",
+    "kardex": """
+SELECT product_id, movement_type, CAST(quantity AS DOUBLE) AS quantity, moved_at, reference_id, line_no,
+       CAST(CAST(closing - quantity AS DECIMAL(18,2)) AS DOUBLE) AS opening_balance,
+       CAST(CAST(closing AS DECIMAL(18,2)) AS DOUBLE) AS closing_balance
+FROM (SELECT *, sum(quantity) OVER (PARTITION BY product_id ORDER BY moved_at, reference_id, line_no, quantity
+                                    ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS closing
+      FROM inventory_movements) x""",
+    "ledger_balance": """
+SELECT product_id, CAST(CAST(sum(quantity) AS DECIMAL(18,2)) AS DOUBLE) AS ledger_stock
+FROM inventory_movements GROUP BY product_id""",
+})

@@ -143,6 +143,18 @@ FROM {events} WHERE event_type = 'view'""",
 SELECT event_id AS id, user_id, upper(event_type) AS action, props AS details, ts AS timestamp FROM {events}""",
 }
 
+# Change sets: requests in the shape the W jobs read, one per driver row.
+CHANGESET_SQL: dict[str, str] = {
+    # stock movement requests: returns arrive as ENTRY, shipments leave as EXIT
+    "movement_requests": """
+SELECT l_orderkey * 10 + l_linenumber AS request_id, l_shipdate AS requested_at, l_partkey AS product_id,
+       CASE WHEN l_returnflag = 'R' THEN 'ENTRY' ELSE 'EXIT' END AS movement_type,
+       CAST(l_quantity AS DECIMAL(12,2)) AS quantity, l_suppkey AS user_id,
+       concat('LI-', CAST(l_orderkey AS STRING), '-', CAST(l_linenumber AS STRING)) AS reference_document
+FROM {lineitem}""",
+}
+FIXTURE_SQL.update(CHANGESET_SQL)
+
 _PLACEHOLDER = re.compile(r"\{(\w+)\}")
 
 
