@@ -18,6 +18,8 @@ from millbook.sources.fixtures import AS_OF, PAYROLL_END, PAYROLL_START, derive_
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 
+AS_OF_DEFAULT = AS_OF
+
 # Fixed parameters of the registered variants.
 RANGE_START, RANGE_END = "1997-01-01", "1998-12-31"
 FULL_START, FULL_END = "1990-01-01", "2030-12-31"

@@ -32,3 +32,112 @@ def _w9s(t):
 @register("apply_movements_rejects")
 def _w9r(t):
     return K.apply_movements(t, t.movement_requests).rejects
+
+
+# ---- W1 / W8 ---------------------------------------------------------------------
+from millbook.catalog import AS_OF_DEFAULT  # noqa: E402
+from millbook.operators import changes as W  # noqa: E402
+
+
+def _unique_sku(t):
+    return lambda df: W.reject_duplicate_key(df, "sku", t.products, "DUPLICATE_SKU")
+
+
+@register("append_products", nullable_ints=("supplier_id",))
+def _w1p(t):
+    """W1 + W8: product creations with defaults, SKU uniqueness, new ids."""
+    return W.append_with_defaults(t, "products", t.product_requests, AS_OF_DEFAULT,
+                                  checks=[lambda df: W.reject_missing(df, "sku"), _unique_sku(t)]).rows
+
+
+@register("append_products_rejects")
+def _w1pr(t):
+    return W.append_with_defaults(t, "products", t.product_requests, AS_OF_DEFAULT,
+                                  checks=[lambda df: W.reject_missing(df, "sku"), _unique_sku(t)]).rejects
+
+
+@register("append_production_orders")
+def _w1o(t):
+    """Production orders as PENDING with default priority and OP numbers."""
+    return W.append_with_defaults(
+        t, "production_orders", t.production_order_requests, AS_OF_DEFAULT,
+        checks=[lambda df: W.reject_not_positive(df, "quantity"),
+                lambda df: W.reject_missing_reference(df, "product_id", t.products, "PRODUCT_NOT_FOUND")]).rows
+
+
+@register("append_wastes")
+def _w1w(t):
+    """Waste rows stamped now; the production order must exist."""
+    return W.append_with_defaults(t, "wastes", t.waste_requests, AS_OF_DEFAULT,
+                                  checks=[lambda df: W.reject_not_positive(df, "quantity")]).rows
+
+
+# ---- W2 / W3 ---------------------------------------------------------------------
+@register("apply_client_updates")
+def _w2c(t):
+    """New clients snapshot after partial updates (latest supplied value per column)."""
+    return W.apply_partial_updates(t, "clients", t.client_updates, AS_OF_DEFAULT).rows
+
+
+@register("apply_client_updates_rejects")
+def _w2cr(t):
+    return W.apply_partial_updates(t, "clients", t.client_updates, AS_OF_DEFAULT).rejects
+
+
+@register("update_users", nullable_ints=("employee_id",))
+def _w3(t):
+    """Users snapshot after whole-row updates (latest request per user)."""
+    return W.update_users(t, t.user_updates, AS_OF_DEFAULT).rows
+
+
+# ---- W4 / W5 ---------------------------------------------------------------------
+@register("soft_delete_products", nullable_ints=("supplier_id",))
+def _w4p(t):
+    return W.soft_delete(t, "products", t.product_deletes, AS_OF_DEFAULT).rows
+
+
+@register("soft_delete_products_rejects")
+def _w4pr(t):
+    return W.soft_delete(t, "products", t.product_deletes, AS_OF_DEFAULT).rejects
+
+
+@register("soft_delete_clients")
+def _w4c(t):
+    return W.soft_delete(t, "clients", t.client_deletes, AS_OF_DEFAULT).rows
+
+
+@register("hard_delete_shifts")
+def _w5(t):
+    return W.hard_delete_shifts(t, t.shift_deletes).rows
+
+
+@register("hard_delete_shifts_rejects")
+def _w5r(t):
+    return W.hard_delete_shifts(t, t.shift_deletes).rejects
+
+
+# ---- W6 / W7 / W15 ---------------------------------------------------------------
+@register("upsert_attendance")
+def _w6(t):
+    """Attendances after the upsert of every change (coalesce per column)."""
+    return W.upsert_attendance(t, t.attendance_changes).rows
+
+
+@register("sales_status_changes")
+def _w7(t):
+    return W.apply_status_changes(t, "sales_orders", t.sales_status_changes, AS_OF_DEFAULT).rows
+
+
+@register("sales_status_changes_rejects")
+def _w7r(t):
+    return W.apply_status_changes(t, "sales_orders", t.sales_status_changes, AS_OF_DEFAULT).rejects
+
+
+@register("intake_costings")
+def _w15(t):
+    return W.intake_costings(t, t.costing_requests, AS_OF_DEFAULT).rows
+
+
+@register("intake_costings_rejects")
+def _w15r(t):
+    return W.intake_costings(t, t.costing_requests, AS_OF_DEFAULT).rejects

@@ -61,3 +61,155 @@ FROM (SELECT *, sum(quantity) OVER (PARTITION BY product_id ORDER BY moved_at, r
 SELECT product_id, CAST(CAST(sum(quantity) AS DECIMAL(18,2)) AS DOUBLE) AS ledger_stock
 FROM inventory_movements GROUP BY product_id""",
 })
+
+NOW = "TIMESTAMP '2001-07-20 00:00:00'"
+PRODUCT_OUT = ("CAST(cost_price AS DOUBLE) AS cost_price, CAST(min_stock AS DOUBLE) AS min_stock, "
+               "CAST(current_stock AS DOUBLE) AS current_stock, CAST(supplier_id AS DOUBLE) AS supplier_id")
+
+
+def _latest_set(col: str) -> str:
+    """Latest supplied value of a column per client (partial updates)."""
+    return (f"arg_max_null({col}, {{'a': requested_at, 'b': request_id}}) FILTER (WHERE list_contains(s, '{col}')) AS n_{col}, "
+            f"bool_or(list_contains(s, '{col}')) AS h_{col}")
+
+
+def _pick(col: str) -> str:
+    return f"CASE WHEN coalesce(a.h_{col}, FALSE) THEN a.n_{col} ELSE c.{col} END"
+
+
+PRODUCT_OK = """
+WITH ok1 AS (SELECT * FROM product_requests WHERE sku IS NOT NULL),
+     firsts AS (SELECT sku, min({'a': requested_at, 'b': request_id}) AS f FROM ok1 GROUP BY sku),
+     ok AS (SELECT ok1.* FROM ok1 JOIN firsts ON ok1.sku = firsts.sku
+            WHERE {'a': ok1.requested_at, 'b': ok1.request_id} = firsts.f
+              AND ok1.sku NOT IN (SELECT sku FROM products WHERE sku IS NOT NULL))"""
+
+BODIES.update({
+    "append_products": PRODUCT_OK + f"""
+SELECT (SELECT coalesce(max(id), 0) FROM products)
+         + row_number() OVER (ORDER BY requested_at, request_id, user_id, sku, description, type, unit,
+                                       cost_price, min_stock, supplier_id) AS id,
+       sku, description, coalesce(nullif(type, ''), 'FINISHED_PRODUCT') AS type, unit,
+       CAST(cost_price AS DOUBLE) AS cost_price, CAST(coalesce(nullif(min_stock, 0), 0) AS DOUBLE) AS min_stock,
+       CAST(0 AS DOUBLE) AS current_stock, CAST(supplier_id AS DOUBLE) AS supplier_id, TRUE AS is_active,
+       requested_at, request_id
+FROM ok""",
+    "append_products_rejects": """
+SELECT request_id, 'REQUIRED_FIELD_MISSING:sku' AS reason FROM product_requests WHERE sku IS NULL
+UNION ALL
+SELECT r.request_id, 'DUPLICATE_SKU' AS reason FROM product_requests r
+WHERE r.sku IS NOT NULL AND (r.sku IN (SELECT sku FROM products WHERE sku IS NOT NULL)
+   OR {'a': r.requested_at, 'b': r.request_id} <>
+      (SELECT min({'a': q.requested_at, 'b': q.request_id}) FROM product_requests q WHERE q.sku = r.sku))""",
+    "append_production_orders": """
+WITH ok AS (SELECT * FROM production_order_requests
+            WHERE quantity > 0 AND product_id IN (SELECT id FROM products)),
+     num AS (SELECT ok.*, (SELECT coalesce(max(id), 0) FROM production_orders)
+                + row_number() OVER (ORDER BY requested_at, request_id, product_id, quantity,
+                                              planned_start_date, planned_end_date, priority) AS id FROM ok)
+SELECT id, concat('OP-20010720-', CAST(id AS VARCHAR)) AS order_number, product_id, CAST(quantity AS DOUBLE) AS quantity,
+       'PENDING' AS status, coalesce(nullif(priority, ''), 'MEDIUM') AS priority,
+       CAST(planned_start_date AS TIMESTAMP) AS planned_start_date,
+       CAST(planned_end_date AS TIMESTAMP) AS planned_end_date, requested_at, request_id
+FROM num""",
+    "append_wastes": f"""
+WITH ok AS (SELECT * FROM waste_requests WHERE order_id IN (SELECT id FROM production_orders) AND quantity > 0)
+SELECT (SELECT coalesce(max(id), 0) FROM wastes)
+         + row_number() OVER (ORDER BY requested_at, request_id, order_id, process, quantity, reason) AS id,
+       order_id, process, CAST(quantity AS DOUBLE) AS quantity, reason, {NOW} AS date, requested_at, request_id
+FROM ok""",
+    "apply_client_updates": f"""
+WITH ch AS (SELECT u.*, string_split(coalesce(u.set_columns, ''), ',') AS s FROM client_updates u
+            WHERE u.id IN (SELECT id FROM clients WHERE is_active = TRUE)),
+     a AS (SELECT id, {_latest_set('name')}, {_latest_set('address')}, {_latest_set('credit_limit')},
+                  {_latest_set('payment_terms')} FROM ch GROUP BY id)
+SELECT c.id, c.code, {_pick('name')} AS name, {_pick('address')} AS address,
+       CAST({_pick('credit_limit')} AS DOUBLE) AS credit_limit, {_pick('payment_terms')} AS payment_terms,
+       c.is_active,
+       CASE WHEN coalesce(a.h_name OR a.h_address OR a.h_credit_limit OR a.h_payment_terms, FALSE)
+            THEN {NOW} END AS updated_at
+FROM clients c LEFT JOIN a ON a.id = c.id""",
+    "apply_client_updates_rejects": """
+SELECT request_id, 'NOT_FOUND' AS reason FROM client_updates
+WHERE id NOT IN (SELECT id FROM clients WHERE is_active = TRUE)""",
+    "update_users": f"""
+WITH l AS (SELECT id, arg_max({{'username': username, 'email': email, 'role': role, 'employee_id': employee_id,
+                               'is_active': is_active}}, {{'a': requested_at, 'b': request_id}}) AS n
+           FROM user_updates WHERE id IN (SELECT id FROM users) GROUP BY id)
+SELECT u.id,
+       CAST(CASE WHEN l.id IS NULL THEN u.employee_id ELSE l.n.employee_id END AS DOUBLE) AS employee_id,
+       CASE WHEN l.id IS NULL THEN u.username ELSE l.n.username END AS username,
+       CASE WHEN l.id IS NULL THEN u.email ELSE l.n.email END AS email,
+       CASE WHEN l.id IS NULL THEN u.role ELSE l.n.role END AS role,
+       CASE WHEN l.id IS NULL THEN u.is_active ELSE l.n.is_active END AS is_active,
+       CASE WHEN l.id IS NOT NULL THEN {NOW} END AS updated_at
+FROM users u LEFT JOIN l ON l.id = u.id""",
+    "soft_delete_products": f"""
+WITH hit AS (SELECT DISTINCT d.id FROM product_deletes d JOIN products p ON p.id = d.id AND p.is_active = TRUE)
+SELECT p.id, p.sku, p.description, p.type, p.unit, {PRODUCT_OUT},
+       CASE WHEN hit.id IS NOT NULL THEN FALSE ELSE p.is_active END AS is_active,
+       CASE WHEN hit.id IS NOT NULL THEN {NOW} END AS updated_at
+FROM products p LEFT JOIN hit ON hit.id = p.id""",
+    "soft_delete_products_rejects": """
+SELECT request_id, 'NOT_FOUND' AS reason FROM product_deletes
+WHERE id NOT IN (SELECT id FROM products WHERE is_active = TRUE)""",
+    "soft_delete_clients": f"""
+WITH hit AS (SELECT DISTINCT d.id FROM client_deletes d JOIN clients c ON c.id = d.id)
+SELECT c.id, c.code, c.name, c.address, CAST(c.credit_limit AS DOUBLE) AS credit_limit, c.payment_terms,
+       CASE WHEN hit.id IS NOT NULL THEN FALSE ELSE c.is_active END AS is_active,
+       CASE WHEN hit.id IS NOT NULL THEN {NOW} END AS updated_at
+FROM clients c LEFT JOIN hit ON hit.id = c.id""",
+    "hard_delete_shifts": """
+SELECT id, employee_id, CAST(date AS TIMESTAMP) AS date, machine, CAST(duration AS DOUBLE) AS duration
+FROM shifts WHERE id NOT IN (SELECT id FROM shift_deletes)""",
+    "hard_delete_shifts_rejects": """
+SELECT request_id, 'NOT_FOUND' AS reason FROM shift_deletes WHERE id NOT IN (SELECT id FROM shifts)""",
+    "upsert_attendance": """
+WITH ch AS (SELECT request_id, requested_at, employee_id, date, entry_time, exit_time,
+                   nullif(absence_reason, '') AS absence_reason, nullif(overtime_hours, 0) AS overtime_hours
+            FROM attendance_changes WHERE employee_id IS NOT NULL AND date IS NOT NULL),
+     c AS (SELECT employee_id, date, min({'a': requested_at, 'b': request_id}) AS first,
+                  arg_max(entry_time, {'a': requested_at, 'b': request_id}) FILTER (WHERE entry_time IS NOT NULL) AS n_entry,
+                  arg_max(exit_time, {'a': requested_at, 'b': request_id}) FILTER (WHERE exit_time IS NOT NULL) AS n_exit,
+                  arg_max(absence_reason, {'a': requested_at, 'b': request_id}) FILTER (WHERE absence_reason IS NOT NULL) AS n_abs,
+                  arg_max(overtime_hours, {'a': requested_at, 'b': request_id}) FILTER (WHERE overtime_hours IS NOT NULL) AS n_ot
+           FROM ch GROUP BY employee_id, date),
+     m AS (SELECT coalesce(a.employee_id, c.employee_id) AS employee_id, coalesce(a.date, c.date) AS date, a.id,
+                  coalesce(c.n_entry, a.entry_time) AS entry_time, coalesce(c.n_exit, a.exit_time) AS exit_time,
+                  coalesce(c.n_abs, a.absence_reason) AS absence_reason,
+                  coalesce(c.n_ot, a.overtime_hours) AS overtime_hours, c.first
+           FROM attendances a FULL OUTER JOIN c ON a.employee_id = c.employee_id AND a.date = c.date)
+SELECT coalesce(id, (SELECT coalesce(max(id), 0) FROM attendances)
+                    + row_number() OVER (PARTITION BY id IS NULL ORDER BY first)) AS id,
+       employee_id, CAST(date AS TIMESTAMP) AS date, entry_time, exit_time, absence_reason,
+       CAST(overtime_hours AS DOUBLE) AS overtime_hours
+FROM m""",
+    "sales_status_changes": f"""
+WITH ok AS (SELECT * FROM sales_status_changes
+            WHERE status IN ('CONFIRMED', 'IN_PROGRESS', 'COMPLETED', 'CANCELLED')
+              AND id IN (SELECT id FROM sales_orders)),
+     l AS (SELECT id, arg_max(status, {{'a': requested_at, 'b': request_id, 'c': status}}) AS st FROM ok GROUP BY id)
+SELECT so.id, so.order_number, so.client_id, CAST(so.order_date AS TIMESTAMP) AS order_date, so.created_at,
+       CAST(so.delivery_date AS TIMESTAMP) AS delivery_date, CAST(so.subtotal AS DOUBLE) AS subtotal,
+       CAST(so.tax_amount AS DOUBLE) AS tax_amount, CAST(so.total AS DOUBLE) AS total, so.notes,
+       coalesce(l.st, so.status) AS status, CASE WHEN l.st IS NOT NULL THEN {NOW} END AS updated_at
+FROM sales_orders so LEFT JOIN l ON l.id = so.id""",
+    "sales_status_changes_rejects": """
+SELECT request_id, 'NOT_ALLOWED:status' AS reason FROM sales_status_changes
+WHERE status IS NULL OR status NOT IN ('CONFIRMED', 'IN_PROGRESS', 'COMPLETED', 'CANCELLED')
+UNION ALL
+SELECT request_id, 'NOT_FOUND' AS reason FROM sales_status_changes
+WHERE status IN ('CONFIRMED', 'IN_PROGRESS', 'COMPLETED', 'CANCELLED') AND id NOT IN (SELECT id FROM sales_orders)""",
+    "intake_costings": """
+SELECT request_id, product_id,
+       CAST(coalesce(nullif(material_cost, 0), 0) AS DOUBLE) AS material_cost,
+       CAST(coalesce(nullif(labor_cost, 0), 0) AS DOUBLE) AS labor_cost,
+       CAST(coalesce(nullif(waste_cost, 0), 0) AS DOUBLE) AS waste_cost,
+       CAST(CAST(coalesce(nullif(material_cost, 0), 0) + coalesce(nullif(labor_cost, 0), 0)
+                 + coalesce(nullif(waste_cost, 0), 0) AS DECIMAL(12,2)) AS DOUBLE) AS total,
+       CAST(coalesce(calculation_date, DATE '2001-07-20') AS TIMESTAMP) AS calculation_date
+FROM costing_requests WHERE product_id IN (SELECT id FROM products)""",
+    "intake_costings_rejects": """
+SELECT request_id, 'PRODUCT_NOT_FOUND' AS reason FROM costing_requests
+WHERE product_id NOT IN (SELECT id FROM products)""",
+})

@@ -151,6 +151,90 @@ SELECT l_orderkey * 10 + l_linenumber AS request_id, l_shipdate AS requested_at,
        CASE WHEN l_returnflag = 'R' THEN 'ENTRY' ELSE 'EXIT' END AS movement_type,
        CAST(l_quantity AS DECIMAL(12,2)) AS quantity, l_suppkey AS user_id,
        concat('LI-', CAST(l_orderkey AS STRING), '-', CAST(l_linenumber AS STRING)) AS reference_document
+FROM {lineitem}""",
+    # product creations: some SKUs repeat inside the batch, some collide with stored ones,
+    # type NULL / '' / given, min_stock 0 or given
+    "product_requests": """
+SELECT p_partkey AS request_id,
+       CAST('2001-07-20 08:00:00' AS TIMESTAMP_NTZ) + INTERVAL '1' SECOND * CAST(p_partkey % 86400 AS INT) AS requested_at,
+       CAST(p_partkey % 50 AS BIGINT) AS user_id,
+       CASE WHEN p_size < 5 THEN concat('SKU-', CAST(p_partkey AS STRING))
+            ELSE concat('NEW-', CAST(p_partkey % 997 AS STRING)) END AS sku,
+       p_name AS description,
+       CASE p_size % 3 WHEN 0 THEN NULL WHEN 1 THEN '' ELSE 'RAW_MATERIAL' END AS type,
+       'KG' AS unit, CAST(p_retailprice AS DECIMAL(12,2)) AS cost_price,
+       CAST(CASE WHEN p_size % 4 = 0 THEN 0 ELSE p_size END AS DECIMAL(12,2)) AS min_stock,
+       CAST(nullif(p_partkey % 10, 0) AS BIGINT) AS supplier_id
+FROM {part}""",
+    # new production orders, priority missing for low-priority orders
+    "production_order_requests": """
+SELECT o_orderkey AS request_id, o_orderdate AS requested_at, o_custkey % 2000 AS product_id,
+       CAST(o_orderkey % 50 + 1 AS DECIMAL(12,2)) AS quantity,
+       CAST(o_orderdate AS DATE) AS planned_start_date, CAST(o_orderdate + INTERVAL '10' DAY AS DATE) AS planned_end_date,
+       CASE WHEN o_orderpriority = '5-LOW' THEN NULL WHEN o_orderpriority = '4-NOT SPECIFIED' THEN ''
+            WHEN o_orderpriority = '1-URGENT' THEN 'HIGH' ELSE 'MEDIUM' END AS priority
+FROM {orders}""",
+    # waste registrations; orders that are not production orders are rejected
+    "waste_requests": """
+SELECT l_orderkey * 10 + l_linenumber AS request_id, l_shipdate AS requested_at,
+       CASE WHEN l_linestatus = 'O' THEN l_orderkey ELSE l_orderkey + 1000000000 END AS order_id,
+       CASE WHEN l_returnflag = 'R' THEN 'EXTRUSION' ELSE 'BLOWING' END AS process,
+       CAST(l_quantity AS DECIMAL(12,2)) AS quantity, concat('Reason ', l_returnflag) AS reason
+FROM {lineitem}""",
+    # partial client updates, one per order: supplied columns vary, NULL is supplied explicitly
+    # for some addresses, 'id' is never settable, inactive clients are rejected
+    "client_updates": """
+SELECT o_orderkey AS request_id, o_orderdate + INTERVAL '1' MINUTE * CAST(o_orderkey % 1440 AS INT) AS requested_at,
+       o_custkey AS id,
+       CASE o_orderpriority WHEN '1-URGENT' THEN 'credit_limit' WHEN '2-HIGH' THEN 'name,address'
+            WHEN '3-MEDIUM' THEN 'address' WHEN '4-NOT SPECIFIED' THEN '' ELSE 'payment_terms,id' END AS set_columns,
+       concat('Client ', CAST(o_orderkey AS STRING)) AS name,
+       CASE WHEN o_orderkey % 2 = 0 THEN NULL ELSE concat('Street ', CAST(o_orderkey AS STRING)) END AS address,
+       CAST(o_totalprice AS DECIMAL(12,2)) AS credit_limit, CAST(o_orderkey % 90 AS INT) AS payment_terms
+FROM {orders}""",
+    # whole-row user updates from signup events; employee link dropped for odd users
+    "user_updates": """
+SELECT event_id AS request_id, ts AS requested_at, user_id AS id,
+       concat('u', CAST(user_id AS STRING), '_', CAST(event_id AS STRING)) AS username,
+       concat('u', CAST(event_id AS STRING), '@example.org') AS email,
+       CASE WHEN value > 50 THEN 'ADMIN' ELSE NULL END AS role,
+       CASE WHEN user_id % 2 = 0 THEN user_id END AS employee_id,
+       value > 10 AS is_active
+FROM {events} WHERE event_type = 'signup'""",
+    # deletions: product ids named by returned line items (repeats, inactive and unknown ids occur)
+    "product_deletes": """
+SELECT l_orderkey * 10 + l_linenumber AS request_id, l_shipdate AS requested_at,
+       CASE WHEN l_linenumber = 7 THEN l_partkey + 1000000 ELSE l_partkey END AS id
+FROM {lineitem} WHERE l_returnflag = 'R'""",
+    "client_deletes": """
+SELECT o_orderkey AS request_id, o_orderdate AS requested_at, o_custkey AS id
+FROM {orders} WHERE o_orderpriority = '5-LOW'""",
+    # shift deletions by event id: low-value view events are shifts, click events are not
+    "shift_deletes": """
+SELECT event_id AS request_id, ts AS requested_at, event_id AS id
+FROM {events} WHERE (event_type = 'view' AND value < 25) OR event_type = 'click'""",
+    # attendance registrations, one per event; '' and 0 inputs must not overwrite
+    "attendance_changes": """
+SELECT event_id AS request_id, ts AS requested_at, user_id AS employee_id, CAST(ts AS DATE) AS date,
+       CASE WHEN event_type = 'view' THEN ts END AS entry_time,
+       CASE WHEN event_type = 'click' THEN ts END AS exit_time,
+       CASE event_type WHEN 'error' THEN 'SICK' WHEN 'signup' THEN '' END AS absence_reason,
+       CAST(CASE event_type WHEN 'purchase' THEN value WHEN 'signup' THEN 0 END AS DECIMAL(12,2)) AS overtime_hours
+FROM {events}""",
+    # status changes, one per line item (QUOTE is not an allowed target)
+    "sales_status_changes": """
+SELECT l_orderkey * 10 + l_linenumber AS request_id, l_shipdate AS requested_at, l_orderkey AS id,
+       CASE l_returnflag WHEN 'R' THEN 'CANCELLED' WHEN 'A' THEN 'COMPLETED'
+            ELSE CASE WHEN l_linestatus = 'O' THEN 'QUOTE' ELSE 'CONFIRMED' END END AS status
+FROM {lineitem}""",
+    # costing registrations: parts missing or 0, date missing for open lines
+    "costing_requests": """
+SELECT l_orderkey * 10 + l_linenumber AS request_id, l_shipdate AS requested_at,
+       CASE WHEN l_linenumber = 6 THEN l_partkey + 1000000 ELSE l_partkey END AS product_id,
+       CAST(l_quantity AS DECIMAL(12,2)) AS material_cost,
+       CAST(CASE WHEN l_linenumber % 3 = 0 THEN NULL ELSE l_linenumber END AS DECIMAL(12,2)) AS labor_cost,
+       CAST(l_discount * 100 AS DECIMAL(12,2)) AS waste_cost,
+       CASE WHEN l_linestatus = 'O' THEN NULL ELSE CAST(l_shipdate AS DATE) END AS calculation_date
 FROM {lineitem}""",
 }
 FIXTURE_SQL.update(CHANGESET_SQL)
