@@ -141,3 +141,74 @@ def _w15(t):
 @register("intake_costings_rejects")
 def _w15r(t):
     return W.intake_costings(t, t.costing_requests, AS_OF_DEFAULT).rejects
+
+
+# ---- W10-W14, W16 -----------------------------------------------------------------
+from millbook.operators import intake as I  # noqa: E402
+
+
+@register("price_sales_orders")
+def _w10(t):
+    """Subtotal, 16 % tax and total of every sales-order request."""
+    return I.price_sales_orders(t.sales_order_lines).select("request_id", "subtotal", "tax_amount", "total")
+
+
+@register("check_sales_orders")
+def _w11(t):
+    """First failing check (client, credit, product, stock) per request."""
+    return I.check_sales_orders(t, t.sales_order_requests, t.sales_order_lines)
+
+
+@register("intake_sales_orders")
+def _w12(t):
+    """W12 snapshot mode: the new QUOTE order headers."""
+    return I.intake_sales_orders(t, t.sales_order_requests, t.sales_order_lines, AS_OF_DEFAULT).sales_orders
+
+
+@register("intake_sales_orders_lines")
+def _w12l(t):
+    return I.intake_sales_orders(t, t.sales_order_requests, t.sales_order_lines, AS_OF_DEFAULT).order_products
+
+
+@register("intake_sales_orders_stock", nullable_ints=("supplier_id",))
+def _w12s(t):
+    return I.intake_sales_orders(t, t.sales_order_requests, t.sales_order_lines, AS_OF_DEFAULT).stock
+
+
+@register("intake_sales_orders_allocate")
+def _w12a(t):
+    """W12 allocate mode: decisions after claiming stock per product in arrival order."""
+    return I.intake_sales_orders(t, t.sales_order_requests, t.sales_order_lines, AS_OF_DEFAULT,
+                                 mode="allocate").sales_orders
+
+
+@register("intake_consumptions")
+def _w13(t):
+    """Accepted consumptions (EXIT through the W9 fold)."""
+    return I.intake_consumptions(t, t.consumption_requests, AS_OF_DEFAULT).rows
+
+
+@register("intake_consumptions_rejects")
+def _w13r(t):
+    return I.intake_consumptions(t, t.consumption_requests, AS_OF_DEFAULT).rejects
+
+
+@register("intake_batches")
+def _w14(t):
+    """Accepted finished batches."""
+    return I.intake_batches(t, t.batch_requests, AS_OF_DEFAULT).rows
+
+
+@register("intake_batches_movements")
+def _w14m(t):
+    return I.intake_batches(t, t.batch_requests, AS_OF_DEFAULT).movements
+
+
+@register("append_audit")
+def _w16(t):
+    """Audit rows for accepted product creations and stock movements."""
+    created = W.append_with_defaults(t, "products", t.product_requests, AS_OF_DEFAULT,
+                                     checks=[lambda df: W.reject_missing(df, "sku"), _unique_sku(t)]).rows
+    created = created.join(t.product_requests.select("request_id", "user_id"), "request_id")
+    moved = K.apply_movements(t, t.movement_requests).movements
+    return W.append_audit(t, created=created, movements=moved)

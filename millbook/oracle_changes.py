@@ -5,13 +5,13 @@ from __future__ import annotations
 from millbook.oracle import BODIES
 
 # Arrival-order fold as a recursive CTE: step k of a product applies its k-th request.
-MOVEMENT_FOLD = """
+def movement_fold(source: str, order: str) -> str:
+    return f"""
 WITH RECURSIVE
+ src AS ({source}),
  r AS (SELECT m.*, CAST(coalesce(p.current_stock, 0) AS DECIMAL(18,2)) AS stock0,
-              row_number() OVER (PARTITION BY m.product_id
-                                 ORDER BY m.requested_at, m.request_id, m.movement_type, m.quantity,
-                                          m.user_id, m.reference_document) AS rn
-       FROM movement_requests m JOIN products p ON m.product_id = p.id
+              row_number() OVER (PARTITION BY m.product_id ORDER BY {order}) AS rn
+       FROM src m JOIN products p ON m.product_id = p.id
        WHERE m.quantity > 0 AND m.movement_type IN ('ENTRY', 'EXIT')),
  f AS (SELECT product_id, rn, stock0 AS before,
               CAST(CASE WHEN movement_type = 'ENTRY' THEN stock0 + quantity
@@ -26,6 +26,11 @@ WITH RECURSIVE
        FROM r JOIN f ON r.product_id = f.product_id AND r.rn = f.rn)
 """
 
+
+MOVEMENT_FOLD = movement_fold(
+    "SELECT * FROM movement_requests",
+    "m.requested_at, m.request_id, m.movement_type, m.quantity, m.user_id, m.reference_document")
+
 BODIES.update({
     "apply_movements": MOVEMENT_FOLD + """
 SELECT request_id, requested_at, product_id, movement_type, CAST(quantity AS DOUBLE) AS quantity, user_id,
@@ -213,3 +218,107 @@ FROM costing_requests WHERE product_id IN (SELECT id FROM products)""",
 SELECT request_id, 'PRODUCT_NOT_FOUND' AS reason FROM costing_requests
 WHERE product_id NOT IN (SELECT id FROM products)""",
 })
+
+
+def _sales_check() -> str:
+    sub = "pr.sub"
+    tax = "CAST(pr.sub AS DECIMAL(18,4)) * 0.16"
+    return f"""
+WITH priced AS (SELECT request_id, sum(quantity * price) AS sub FROM sales_order_lines GROUP BY request_id),
+     bal AS (SELECT c.id AS client_id, c.credit_limit, coalesce(b.s, 0) AS open
+             FROM clients c LEFT JOIN (SELECT so.client_id, sum(so.total) AS s FROM sales_orders so
+                                       JOIN invoices i ON so.id = i.order_id
+                                       WHERE i.status IN ('PENDING', 'OVERDUE') GROUP BY so.client_id) b
+             ON b.client_id = c.id),
+     lr AS (SELECT l.request_id,
+                   arg_min(CASE WHEN p.id IS NULL THEN 'PRODUCT_NOT_FOUND' ELSE 'INSUFFICIENT_STOCK' END,
+                           {{'a': l.line_no, 'b': l.product_id, 'c': l.quantity, 'd': l.price}})
+                     FILTER (WHERE p.id IS NULL OR p.current_stock < l.quantity) AS r
+            FROM sales_order_lines l LEFT JOIN products p ON p.id = l.product_id GROUP BY l.request_id),
+     chk AS (
+       SELECT h.request_id, h.requested_at, h.client_id, h.user_id, h.notes, h.delivery_date,
+              CAST({sub} AS DECIMAL(18,2)) AS subtotal, CAST({tax} AS DECIMAL(18,2)) AS tax_amount,
+              CAST({sub} + {tax} AS DECIMAL(18,2)) AS total, {sub} + {tax} AS total_exact,
+              CASE WHEN pr.sub IS NULL THEN 'EMPTY_ORDER' WHEN b.client_id IS NULL THEN 'CLIENT_NOT_FOUND'
+                   WHEN b.open + ({sub} + {tax}) > b.credit_limit THEN 'CREDIT_LIMIT_EXCEEDED'
+                   ELSE lr.r END AS reason
+       FROM sales_order_requests h LEFT JOIN priced pr ON pr.request_id = h.request_id
+       LEFT JOIN bal b ON b.client_id = h.client_id LEFT JOIN lr ON lr.request_id = h.request_id),
+     acc AS (SELECT chk.*, (SELECT coalesce(max(id), 0) FROM sales_orders)
+                             + row_number() OVER (ORDER BY requested_at, request_id) AS id
+             FROM chk WHERE reason IS NULL)
+"""
+
+
+CONSUMPTION_FOLD = movement_fold(
+    """SELECT c.request_id, c.requested_at, c.material_id AS product_id, 'EXIT' AS movement_type,
+              c.consumed_quantity AS quantity, c.user_id, concat('Consumo OP: ', po.order_number) AS reference_document,
+              c.order_id
+       FROM consumption_requests c JOIN production_orders po ON po.id = c.order_id""",
+    "m.requested_at, m.request_id, m.movement_type, m.quantity, m.user_id, m.reference_document, m.order_id")
+
+BATCH_OK = """
+WITH found AS (SELECT b.*, po.order_number, po.product_id FROM batch_requests b
+               JOIN production_orders po ON po.id = b.order_id),
+     firsts AS (SELECT batch_number, min({'a': requested_at, 'b': request_id}) AS f FROM found
+                WHERE batch_number IS NOT NULL GROUP BY batch_number),
+     uniq AS (SELECT found.* FROM found LEFT JOIN firsts ON firsts.batch_number = found.batch_number
+              WHERE found.batch_number IS NULL
+                 OR ({'a': found.requested_at, 'b': found.request_id} = firsts.f
+                     AND found.batch_number NOT IN (SELECT batch_number FROM production_batches
+                                                    WHERE batch_number IS NOT NULL))),
+     ok AS (SELECT * FROM uniq WHERE product_id IN (SELECT id FROM products) AND quantity_produced > 0)
+"""
+
+BODIES.update({
+    "price_sales_orders": """
+SELECT request_id, CAST(CAST(s AS DECIMAL(18,2)) AS DOUBLE) AS subtotal,
+       CAST(CAST(CAST(s AS DECIMAL(18,4)) * 0.16 AS DECIMAL(18,2)) AS DOUBLE) AS tax_amount,
+       CAST(CAST(s + CAST(s AS DECIMAL(18,4)) * 0.16 AS DECIMAL(18,2)) AS DOUBLE) AS total
+FROM (SELECT request_id, sum(quantity * price) AS s FROM sales_order_lines GROUP BY request_id) x""",
+    "check_sales_orders": _sales_check() + """
+SELECT request_id, requested_at, client_id, user_id, notes, CAST(delivery_date AS TIMESTAMP) AS delivery_date,
+       CAST(subtotal AS DOUBLE) AS subtotal, CAST(tax_amount AS DOUBLE) AS tax_amount, CAST(total AS DOUBLE) AS total,
+       CAST(total_exact AS DOUBLE) AS total_exact, reason
+FROM chk""",
+    "intake_sales_orders": _sales_check() + """
+SELECT id, concat('SO-20010720-', CAST(id AS VARCHAR)) AS order_number, client_id,
+       TIMESTAMP '2001-07-20 00:00:00' AS order_date, CAST(subtotal AS DOUBLE) AS subtotal,
+       CAST(tax_amount AS DOUBLE) AS tax_amount, CAST(total AS DOUBLE) AS total, notes, user_id AS created_by,
+       'QUOTE' AS status, CAST(delivery_date AS TIMESTAMP) AS delivery_date, requested_at, request_id
+FROM acc""",
+    "intake_sales_orders_lines": _sales_check() + """
+SELECT acc.id AS order_id, l.product_id, CAST(l.quantity AS DOUBLE) AS quantity, CAST(l.price AS DOUBLE) AS price
+FROM sales_order_lines l JOIN acc ON acc.request_id = l.request_id""",
+    "intake_sales_orders_stock": _sales_check() + """,
+     taken AS (SELECT l.product_id, sum(l.quantity) AS q FROM sales_order_lines l
+               JOIN acc ON acc.request_id = l.request_id GROUP BY l.product_id)
+SELECT p.id, p.sku, p.description, p.type, p.unit, CAST(p.cost_price AS DOUBLE) AS cost_price,
+       CAST(p.min_stock AS DOUBLE) AS min_stock,
+       CAST(CASE WHEN taken.q IS NULL THEN p.current_stock ELSE p.current_stock - taken.q END AS DOUBLE) AS current_stock,
+       CAST(p.supplier_id AS DOUBLE) AS supplier_id, p.is_active
+FROM products p LEFT JOIN taken ON taken.product_id = p.id""",
+    "intake_consumptions": CONSUMPTION_FOLD + """
+SELECT order_id, product_id AS material_id, CAST(quantity AS DOUBLE) AS consumed_quantity,
+       TIMESTAMP '2001-07-20 00:00:00' AS date, request_id
+FROM d WHERE accepted""",
+    "intake_consumptions_rejects": CONSUMPTION_FOLD + """
+SELECT request_id, 'INSUFFICIENT_STOCK' AS reason FROM d WHERE NOT accepted
+UNION ALL
+SELECT request_id, 'ORDER_NOT_FOUND' AS reason FROM consumption_requests
+WHERE order_id NOT IN (SELECT id FROM production_orders)
+UNION ALL
+SELECT c.request_id, CASE WHEN p.id IS NULL THEN 'PRODUCT_NOT_FOUND' ELSE 'NON_POSITIVE_QUANTITY' END AS reason
+FROM consumption_requests c JOIN production_orders po ON po.id = c.order_id
+LEFT JOIN products p ON p.id = c.material_id
+WHERE p.id IS NULL OR c.consumed_quantity IS NULL OR c.consumed_quantity <= 0""",
+    "intake_batches": BATCH_OK + """
+SELECT batch_number, order_id, coalesce(production_date, TIMESTAMP '2001-07-20 00:00:00') AS production_date,
+       coalesce(nullif(quality, ''), 'RELEASED') AS quality, request_id
+FROM ok""",
+    "intake_batches_movements": BATCH_OK + """
+SELECT product_id, 'ENTRY' AS movement_type, CAST(quantity_produced AS DOUBLE) AS quantity, user_id,
+       concat('Producción OP: ', order_number, ' / Lote: ', batch_number) AS reference_document,
+       batch_number AS batch, request_id
+FROM ok""",
+})

@@ -236,6 +236,36 @@ SELECT l_orderkey * 10 + l_linenumber AS request_id, l_shipdate AS requested_at,
        CAST(l_discount * 100 AS DECIMAL(12,2)) AS waste_cost,
        CASE WHEN l_linestatus = 'O' THEN NULL ELSE CAST(l_shipdate AS DATE) END AS calculation_date
 FROM {lineitem}""",
+    # sales-order requests: one per order, 1 in 50 names an unknown client
+    "sales_order_requests": """
+SELECT o_orderkey AS request_id,
+       o_orderdate + INTERVAL '1' MINUTE * CAST(o_orderkey % 1440 AS INT) AS requested_at,
+       CASE WHEN o_orderkey % 50 = 0 THEN o_custkey + 1000000 ELSE o_custkey END AS client_id,
+       o_orderkey % 100 AS user_id, o_orderpriority AS notes,
+       CAST(o_orderdate + INTERVAL '30' DAY AS DATE) AS delivery_date
+FROM {orders}""",
+    # their lines (some requests have none; request prices differ from the catalogue)
+    "sales_order_lines": """
+SELECT l_orderkey AS request_id, l_linenumber AS line_no, l_partkey AS product_id,
+       CAST(l_quantity AS DECIMAL(12,2)) AS quantity,
+       CAST(l_discount * 1000 + l_linenumber AS DECIMAL(12,2)) AS price
+FROM {lineitem}""",
+    # material consumptions; line 7 names an order that does not exist
+    "consumption_requests": """
+SELECT l_orderkey * 10 + l_linenumber AS request_id, l_shipdate AS requested_at,
+       CASE WHEN l_linenumber = 7 THEN l_orderkey + 1000000000 ELSE l_orderkey END AS order_id,
+       l_partkey AS material_id, CAST(l_quantity AS DECIMAL(12,2)) AS consumed_quantity, l_suppkey AS user_id
+FROM {lineitem}""",
+    # finished batches: numbers repeat inside the batch and some are already stored
+    "batch_requests": """
+SELECT l_orderkey * 10 + l_linenumber AS request_id, l_shipdate AS requested_at, l_orderkey AS order_id,
+       CASE WHEN l_linenumber = 1 THEN concat('B-', CAST(l_orderkey AS STRING), '-1')
+            ELSE concat('NB-', CAST(l_orderkey % 3000 AS STRING)) END AS batch_number,
+       CAST(l_quantity AS DECIMAL(12,2)) AS quantity_produced,
+       CASE WHEN l_linestatus = 'O' THEN NULL ELSE l_shipdate END AS production_date,
+       CASE WHEN l_discount > 0.05 THEN 'QUARANTINE' WHEN l_discount > 0.02 THEN '' END AS quality,
+       l_suppkey AS user_id
+FROM {lineitem} WHERE l_returnflag <> 'R'""",
 }
 FIXTURE_SQL.update(CHANGESET_SQL)
 
