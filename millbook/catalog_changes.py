@@ -212,3 +212,23 @@ def _w16(t):
     created = created.join(t.product_requests.select("request_id", "user_id"), "request_id")
     moved = K.apply_movements(t, t.movement_requests).movements
     return W.append_audit(t, created=created, movements=moved)
+
+
+# ---- T1 / T2 ---------------------------------------------------------------------
+from millbook.catalog import _REGISTRY  # noqa: E402
+from millbook.plans.portable import portable  # noqa: E402
+from millbook.streaming import jobs as S  # noqa: E402
+
+
+def _stream_stock(spark, sf_dir):
+    """Running stock per product from the streamed ledger (availableNow)."""
+    return portable(S.stream_stock_balance(spark, sf_dir))
+
+
+def _stream_audit(spark, sf_dir):
+    """Audit log from the event stream, re-delivered error events dropped."""
+    return portable(S.stream_audit_log(spark, sf_dir))
+
+
+_REGISTRY["stream_stock_balance"] = _stream_stock
+_REGISTRY["stream_audit_log"] = _stream_audit

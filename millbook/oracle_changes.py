@@ -322,3 +322,8 @@ SELECT product_id, 'ENTRY' AS movement_type, CAST(quantity_produced AS DOUBLE) A
        batch_number AS batch, request_id
 FROM ok""",
 })
+
+BODIES.update({
+    "stream_stock_balance": BODIES["ledger_balance"],
+    "stream_audit_log": "SELECT id, user_id, action, details, timestamp FROM audits",
+})
