@@ -36,12 +36,10 @@ def page_with_totals(df: DataFrame, keys: list[Column], page=1, limit=None,
     page, limit, offset = page_bounds(page, limit, default_limit)
     total = df.select(F.count(F.lit(1)).alias("n")).scalar()
     rows = df.orderBy(*keys).offset(offset).limit(limit)
-    return rows.select(
-        "*",
-        total.alias("total_items"),
-        F.ceil(total.cast(T.DoubleType()) / F.lit(float(limit))).cast(T.LongType()).alias("total_pages"),
-        F.lit(page).cast(T.IntegerType()).alias("current_page"),
-    )
+    return (rows.select("*", total.alias("total_items"))
+            .withColumn("total_pages",
+                        F.ceil(F.col("total_items").cast(T.DoubleType()) / F.lit(float(limit))).cast(T.LongType()))
+            .withColumn("current_page", F.lit(page).cast(T.IntegerType())))
 
 
 def total_pages(total_items: int, limit: int) -> int:
