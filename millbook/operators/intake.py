@@ -20,6 +20,7 @@ from millbook.functions.money import cents
 from millbook.operators import reports as R
 from millbook.operators.changes import ARRIVAL, _next_ids, _now, reject_duplicate_key
 from millbook.operators.ledger import EXIT, apply_movements, fold_stock, validate_movements
+from millbook.plans.lineage import materialize
 from millbook.sources.schemas import MONEY, WIDE_MONEY
 from millbook.sources.tables import Tables
 
@@ -119,20 +120,24 @@ def _allocate(t: Tables, checked: DataFrame, lines: DataFrame) -> DataFrame:
 
 
 def intake_sales_orders(t: Tables, headers: DataFrame, lines: DataFrame, as_of,
-                        mode: str = "snapshot") -> IntakeResult:
+                        mode: str = "snapshot", checkpoint: bool = False) -> IntakeResult:
     """Accepted requests become QUOTE orders, their lines, EXIT movements and less stock.
 
     ``mode='snapshot'`` (parity) checks every order against the opening stock,
     so a batch may oversell a product that several orders want; ``'allocate'``
     folds lines per product in arrival order first (see :func:`_allocate`).
     Ids continue after the stored maximum in arrival order; numbers are
-    ``SO-yyyymmdd-id`` of ``as_of``, which is also the order date.
+    ``SO-yyyymmdd-id`` of ``as_of``, which is also the order date. With
+    ``checkpoint`` the numbered decisions are checkpointed once, so the four
+    outputs do not each recompute the checks.
     """
     checked = check_sales_orders(t, headers, lines)
     if mode == "allocate":
         checked = _allocate(t, checked, lines)
     elif mode != "snapshot":
         raise ValueError(f"unknown mode {mode!r}")
+    if checkpoint:
+        checked = materialize(checked)
     rejects = checked.filter(F.col("reason").isNotNull()).select("request_id", "reason")
     accepted = checked.filter(F.col("reason").isNull())
     numbered = _next_ids(t.sales_orders, accepted)

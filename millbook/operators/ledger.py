@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millbook.functions.money import cents, from_cents
+from millbook.plans.lineage import materialize
 from millbook.sources.schemas import MONEY
 from millbook.sources.tables import Tables
 
@@ -145,13 +146,15 @@ def validate_movements(t: Tables, requests: DataFrame) -> tuple[DataFrame, DataF
 
 
 def apply_movements(t: Tables, requests: DataFrame,
-                    order: tuple[str, ...] = ("requested_at", "request_id")) -> MovementResult:
+                    order: tuple[str, ...] = ("requested_at", "request_id"),
+                    checkpoint: bool = False) -> MovementResult:
     """Apply ENTRY/EXIT requests in arrival order per product.
 
     ENTRY adds its quantity; EXIT subtracts it, or is rejected with
     INSUFFICIENT_STOCK when the running stock is below it. Requests for
     unknown products, other types or quantities <= 0 are rejected first (W8).
     Movements carry the signed quantity (EXIT negative), as in the ledger.
+    With ``checkpoint`` the fold output is checkpointed once for the four results.
     """
     valid, pre_rejects = validate_movements(t, requests)
     prepared = valid.select(
@@ -161,6 +164,8 @@ def apply_movements(t: Tables, requests: DataFrame,
         cents(F.coalesce(F.col("_stock"), F.lit(0))).alias("_stock_c"))
     tie_break = [c for c in requests.columns if c not in order and c != "product_id"]
     decided = fold_stock(prepared, "_stock_c", [*order, *tie_break])
+    if checkpoint:
+        decided = materialize(decided)
     base_cols = [c for c in requests.columns]
     decisions = decided.select(
         *base_cols, F.col("_accepted").alias("accepted"),

@@ -127,3 +127,16 @@ def test_snapshot_sink_versions(spark, tmp_path):
     second = write_snapshot(spark.range(5), root)
     assert current_snapshot(spark, root) == second and second.endswith("v=2")
     assert read_snapshot(spark, root).count() == 5
+
+
+def test_sales_intake_job_writes_reconciled_outputs(spark, tables_small, tmp_path):
+    from millbook.operators.jobs import run_sales_intake
+    from millbook.sinks.writers import read_snapshot
+    t = tables_small
+    paths = run_sales_intake(t, t.sales_order_requests, t.sales_order_lines, AS_OF, str(tmp_path))
+    orders = spark.read.parquet(paths["sales_orders"])
+    rejects = spark.read.parquet(paths["rejects"])
+    assert orders.count() + rejects.count() == t.sales_order_requests.count()
+    moved = spark.read.parquet(paths["inventory_movements"]).agg(F.sum("quantity")).collect()[0][0] or 0
+    new_stock = read_snapshot(spark, str(tmp_path / "products")).agg(F.sum("current_stock")).collect()[0][0]
+    assert new_stock - t.products.agg(F.sum("current_stock")).collect()[0][0] == moved
