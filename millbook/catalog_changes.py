@@ -232,3 +232,67 @@ def _stream_audit(spark, sf_dir):
 
 _REGISTRY["stream_stock_balance"] = _stream_stock
 _REGISTRY["stream_audit_log"] = _stream_audit
+
+
+# ---- more tables through W1 / W2 / W4 / W7 / Q18 -------------------------------------
+@register("append_clients")
+def _w1c(t):
+    """W1 + W8: client creations with credit/terms defaults and unique codes."""
+    return W.append_with_defaults(
+        t, "clients", t.client_requests, AS_OF_DEFAULT,
+        checks=[lambda df: W.reject_duplicate_key(df, "code", t.clients, "DUPLICATE_CODE")]).rows
+
+
+@register("append_employees")
+def _w1e(t):
+    """Employee creations (shift default MORNING, salary 0 stored as NULL)."""
+    return W.append_with_defaults(t, "employees", t.employee_requests, AS_OF_DEFAULT).rows
+
+
+@register("append_incomes", nullable_ints=("invoice_id",))
+def _w1i(t):
+    return W.append_with_defaults(t, "incomes", t.income_requests, AS_OF_DEFAULT).rows
+
+
+@register("append_expenses", nullable_ints=("supplier_id",))
+def _w1x(t):
+    return W.append_with_defaults(t, "expenses", t.expense_requests, AS_OF_DEFAULT).rows
+
+
+@register("append_shifts")
+def _w1s(t):
+    return W.append_with_defaults(t, "shifts", t.shift_requests, AS_OF_DEFAULT).rows
+
+
+@register("apply_product_updates", nullable_ints=("supplier_id",))
+def _w2p(t):
+    """Products after partial updates (current_stock may be set directly)."""
+    return W.apply_partial_updates(t, "products", t.product_updates, AS_OF_DEFAULT).rows
+
+
+@register("apply_shift_updates")
+def _w2s(t):
+    """Shifts after partial updates (any row, no updated_at)."""
+    return W.apply_partial_updates(t, "shifts", t.shift_updates, AS_OF_DEFAULT).rows
+
+
+@register("soft_delete_employees")
+def _w4e(t):
+    return W.soft_delete(t, "employees", t.employee_deletes, AS_OF_DEFAULT).rows
+
+
+@register("soft_delete_users", nullable_ints=("employee_id",))
+def _w4u(t):
+    return W.soft_delete(t, "users", t.user_deletes, AS_OF_DEFAULT).rows
+
+
+@register("production_status_changes")
+def _w7p(t):
+    return W.apply_status_changes(t, "production_orders", t.production_status_changes, AS_OF_DEFAULT).rows
+
+
+@register("lookup_shifts")
+def _q18s(t):
+    """Q18: shifts named by deletion requests, in any state."""
+    from millbook.operators import listings as L
+    return L.lookup_active(t, "shifts", t.shift_deletes.select("id"))

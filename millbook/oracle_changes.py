@@ -327,3 +327,97 @@ BODIES.update({
     "stream_stock_balance": BODIES["ledger_balance"],
     "stream_audit_log": "SELECT id, user_id, action, details, timestamp FROM audits",
 })
+
+
+def _numbered(source: str, table: str, order: str) -> str:
+    return (f"(SELECT coalesce(max(id), 0) FROM {table}) + row_number() OVER (ORDER BY {order}) AS id")
+
+
+def _latest_col(col: str) -> str:
+    return _latest_set(col)
+
+
+def _pick_col(alias: str, col: str) -> str:
+    return f"CASE WHEN coalesce(a.h_{col}, FALSE) THEN a.n_{col} ELSE {alias}.{col} END"
+
+
+BODIES.update({
+    "append_clients": f"""
+WITH firsts AS (SELECT code, min({{'a': requested_at, 'b': request_id}}) AS f FROM client_requests
+                WHERE code IS NOT NULL GROUP BY code),
+     ok AS (SELECT r.* FROM client_requests r LEFT JOIN firsts ON firsts.code = r.code
+            WHERE r.code IS NULL OR ({{'a': r.requested_at, 'b': r.request_id}} = firsts.f
+                                     AND r.code NOT IN (SELECT code FROM clients WHERE code IS NOT NULL)))
+SELECT {_numbered('ok', 'clients', 'requested_at, request_id, code NULLS FIRST, name NULLS FIRST, address NULLS FIRST, credit_limit NULLS FIRST, payment_terms NULLS FIRST')},
+       code, name, address, CAST(coalesce(nullif(credit_limit, 0), 0) AS DOUBLE) AS credit_limit,
+       CAST(coalesce(nullif(payment_terms, 0), 30) AS INTEGER) AS payment_terms, TRUE AS is_active,
+       requested_at, request_id
+FROM ok""",
+    "append_employees": f"""
+SELECT {_numbered('employee_requests', 'employees', 'requested_at, request_id')},
+       name, position, coalesce(nullif(shift, ''), 'MORNING') AS shift, CAST(hire_date AS TIMESTAMP) AS hire_date,
+       CAST(nullif(salary, 0) AS DOUBLE) AS salary, TRUE AS is_active, requested_at, request_id
+FROM employee_requests""",
+    "append_incomes": f"""
+SELECT {_numbered('income_requests', 'incomes', 'requested_at, request_id')},
+       CAST(amount AS DOUBLE) AS amount, CAST(date AS TIMESTAMP) AS date, source,
+       CAST(nullif(invoice_id, 0) AS DOUBLE) AS invoice_id, requested_at, request_id
+FROM income_requests""",
+    "append_expenses": f"""
+SELECT {_numbered('expense_requests', 'expenses', 'requested_at, request_id, amount NULLS FIRST, date NULLS FIRST, category NULLS FIRST, nullif(supplier_id, 0) NULLS FIRST')},
+       CAST(amount AS DOUBLE) AS amount, CAST(date AS TIMESTAMP) AS date, category,
+       CAST(nullif(supplier_id, 0) AS DOUBLE) AS supplier_id, requested_at, request_id
+FROM expense_requests""",
+    "append_shifts": f"""
+SELECT {_numbered('shift_requests', 'shifts', 'requested_at, request_id')},
+       employee_id, CAST(date AS TIMESTAMP) AS date, machine, CAST(duration AS DOUBLE) AS duration,
+       requested_at, request_id
+FROM shift_requests""",
+    "apply_product_updates": f"""
+WITH ch AS (SELECT u.*, string_split(coalesce(u.set_columns, ''), ',') AS s FROM product_updates u
+            WHERE u.id IN (SELECT id FROM products WHERE is_active = TRUE)),
+     a AS (SELECT id, {_latest_col('description')}, {_latest_col('cost_price')}, {_latest_col('min_stock')},
+                  {_latest_col('current_stock')}, {_latest_col('supplier_id')} FROM ch GROUP BY id)
+SELECT p.id, p.sku, {_pick_col('p', 'description')} AS description, p.type, p.unit,
+       CAST({_pick_col('p', 'cost_price')} AS DOUBLE) AS cost_price,
+       CAST({_pick_col('p', 'min_stock')} AS DOUBLE) AS min_stock,
+       CAST({_pick_col('p', 'current_stock')} AS DOUBLE) AS current_stock,
+       CAST({_pick_col('p', 'supplier_id')} AS DOUBLE) AS supplier_id, p.is_active,
+       CASE WHEN coalesce(a.h_description OR a.h_cost_price OR a.h_min_stock OR a.h_current_stock
+                          OR a.h_supplier_id, FALSE) THEN {NOW} END AS updated_at
+FROM products p LEFT JOIN a ON a.id = p.id""",
+    "apply_shift_updates": f"""
+WITH ch AS (SELECT u.*, string_split(coalesce(u.set_columns, ''), ',') AS s FROM shift_updates u
+            WHERE u.id IN (SELECT id FROM shifts)),
+     a AS (SELECT id, {_latest_col('machine')}, {_latest_col('duration')} FROM ch GROUP BY id)
+SELECT s.id, s.employee_id, CAST(s.date AS TIMESTAMP) AS date, {_pick_col('s', 'machine')} AS machine,
+       CAST({_pick_col('s', 'duration')} AS DOUBLE) AS duration
+FROM shifts s LEFT JOIN a ON a.id = s.id""",
+    "soft_delete_employees": f"""
+WITH hit AS (SELECT DISTINCT d.id FROM employee_deletes d JOIN employees e ON e.id = d.id)
+SELECT e.id, e.name, e.position, e.shift, CAST(e.hire_date AS TIMESTAMP) AS hire_date,
+       CAST(e.salary AS DOUBLE) AS salary,
+       CASE WHEN hit.id IS NOT NULL THEN FALSE ELSE e.is_active END AS is_active,
+       CASE WHEN hit.id IS NOT NULL THEN {NOW} END AS updated_at
+FROM employees e LEFT JOIN hit ON hit.id = e.id""",
+    "soft_delete_users": f"""
+WITH hit AS (SELECT DISTINCT d.id FROM user_deletes d JOIN users u ON u.id = d.id)
+SELECT u.id, CAST(u.employee_id AS DOUBLE) AS employee_id, u.username, u.email, u.role,
+       CASE WHEN hit.id IS NOT NULL THEN FALSE ELSE u.is_active END AS is_active,
+       CASE WHEN hit.id IS NOT NULL THEN {NOW} END AS updated_at
+FROM users u LEFT JOIN hit ON hit.id = u.id""",
+    "production_status_changes": f"""
+WITH ok AS (SELECT * FROM production_status_changes
+            WHERE status IN ('PENDING', 'IN_PROGRESS', 'COMPLETED', 'CANCELLED')
+              AND id IN (SELECT id FROM production_orders)),
+     l AS (SELECT id, arg_max(status, {{'a': requested_at, 'b': request_id, 'c': status}}) AS st FROM ok GROUP BY id)
+SELECT po.id, po.order_number, po.product_id, CAST(po.quantity AS DOUBLE) AS quantity,
+       coalesce(l.st, po.status) AS status, po.priority,
+       CAST(po.planned_start_date AS TIMESTAMP) AS planned_start_date,
+       CAST(po.planned_end_date AS TIMESTAMP) AS planned_end_date,
+       CASE WHEN l.st IS NOT NULL THEN {NOW} END AS updated_at
+FROM production_orders po LEFT JOIN l ON l.id = po.id""",
+    "lookup_shifts": """
+SELECT id, employee_id, CAST(date AS TIMESTAMP) AS date, machine, CAST(duration AS DOUBLE) AS duration
+FROM shifts WHERE id IN (SELECT id FROM shift_deletes)""",
+})

@@ -266,6 +266,68 @@ SELECT l_orderkey * 10 + l_linenumber AS request_id, l_shipdate AS requested_at,
        CASE WHEN l_discount > 0.05 THEN 'QUARANTINE' WHEN l_discount > 0.02 THEN '' END AS quality,
        l_suppkey AS user_id
 FROM {lineitem} WHERE l_returnflag <> 'R'""",
+    # client creations: codes repeat inside the batch or collide with stored ones;
+    # credit limit 0 / NULL and payment terms 0 / NULL take the defaults
+    "client_requests": """
+SELECT c_custkey AS request_id,
+       CAST('2001-07-20 09:00:00' AS TIMESTAMP_NTZ) + INTERVAL '1' SECOND * CAST(c_custkey % 86400 AS INT) AS requested_at,
+       CASE WHEN c_nationkey < 3 THEN concat('CL-', CAST(c_custkey AS STRING))
+            ELSE concat('NC-', CAST(c_custkey % 700 AS STRING)) END AS code,
+       c_name AS name, concat('Addr ', CAST(c_nationkey AS STRING)) AS address,
+       CAST(CASE WHEN c_acctbal < 0 THEN 0 WHEN c_mktsegment = 'BUILDING' THEN NULL ELSE c_acctbal END AS DECIMAL(12,2)) AS credit_limit,
+       CAST(CASE c_mktsegment WHEN 'AUTOMOBILE' THEN 0 WHEN 'MACHINERY' THEN NULL ELSE 60 END AS INT) AS payment_terms
+FROM {customer}""",
+    # employee creations: shift '' / NULL default to MORNING, salary 0 becomes NULL
+    "employee_requests": """
+SELECT event_id AS request_id, ts AS requested_at, concat('New ', CAST(event_id AS STRING)) AS name,
+       concat('Position ', CAST(user_id % 5 AS STRING)) AS position,
+       CASE WHEN value > 70 THEN 'NIGHT' WHEN value > 30 THEN '' END AS shift,
+       CAST(ts AS DATE) AS hire_date,
+       CAST(CASE WHEN value > 50 THEN value * 100 ELSE 0 END AS DECIMAL(12,2)) AS salary
+FROM {events} WHERE event_type = 'signup'""",
+    # income registrations: invoice 0 means none
+    "income_requests": """
+SELECT o_orderkey AS request_id, o_orderdate AS requested_at, CAST(o_totalprice AS DECIMAL(12,2)) AS amount,
+       CAST(o_orderdate AS DATE) AS date, concat('Order ', o_orderpriority) AS source,
+       CASE WHEN o_orderkey % 3 = 0 THEN 0 ELSE o_orderkey END AS invoice_id
+FROM {orders} WHERE o_orderstatus = 'O'""",
+    # expense registrations: supplier 0 means none
+    "expense_requests": """
+SELECT l_orderkey * 10 + l_linenumber AS request_id, l_shipdate AS requested_at,
+       CAST(l_extendedprice AS DECIMAL(12,2)) AS amount, CAST(l_shipdate AS DATE) AS date,
+       CASE l_linestatus WHEN 'O' THEN 'Energy' ELSE 'Freight' END AS category,
+       CASE WHEN l_linenumber = 1 THEN 0 ELSE l_suppkey END AS supplier_id
+FROM {lineitem} WHERE l_returnflag = 'N'""",
+    # shift creations from click events
+    "shift_requests": """
+SELECT event_id AS request_id, ts AS requested_at, user_id AS employee_id, CAST(ts AS DATE) AS date,
+       concat('M', CAST(user_id % 6 AS STRING)) AS machine, CAST(4 + user_id % 5 AS DECIMAL(12,2)) AS duration
+FROM {events} WHERE event_type = 'click'""",
+    # partial product updates: stock set directly, several columns, explicit NULL supplier
+    "product_updates": """
+SELECT l_orderkey * 10 + l_linenumber AS request_id, l_shipdate AS requested_at, l_partkey AS id,
+       CASE l_linenumber WHEN 1 THEN 'current_stock' WHEN 2 THEN 'description,cost_price'
+            WHEN 3 THEN 'min_stock,updated_at' ELSE 'supplier_id' END AS set_columns,
+       CAST(l_quantity AS DECIMAL(12,2)) AS current_stock, concat('Desc ', CAST(l_orderkey AS STRING)) AS description,
+       CAST(l_extendedprice AS DECIMAL(12,2)) AS cost_price, CAST(l_quantity AS DECIMAL(12,2)) AS min_stock,
+       CASE WHEN l_linenumber = 5 THEN NULL ELSE l_suppkey END AS supplier_id
+FROM {lineitem} WHERE l_returnflag = 'A'""",
+    # partial shift updates aimed at the event before each purchase (a shift only if it was a view)
+    "shift_updates": """
+SELECT event_id AS request_id, ts AS requested_at, event_id - 1 AS id,
+       CASE WHEN value > 50 THEN 'machine' ELSE 'duration,machine' END AS set_columns,
+       concat('R', CAST(event_id % 3 AS STRING)) AS machine, CAST(value AS DECIMAL(12,2)) AS duration
+FROM {events} WHERE event_type = 'purchase'""",
+    "employee_deletes": """
+SELECT event_id AS request_id, ts AS requested_at, user_id AS id FROM {events} WHERE event_type = 'error'""",
+    "user_deletes": """
+SELECT event_id AS request_id, ts AS requested_at, user_id AS id FROM {events} WHERE event_type = 'signup'""",
+    # production status changes; DONE is not an allowed status
+    "production_status_changes": """
+SELECT l_orderkey * 10 + l_linenumber AS request_id, l_shipdate AS requested_at, l_orderkey AS id,
+       CASE WHEN l_linestatus = 'O' THEN 'IN_PROGRESS'
+            ELSE CASE l_returnflag WHEN 'R' THEN 'CANCELLED' WHEN 'A' THEN 'COMPLETED' ELSE 'DONE' END END AS status
+FROM {lineitem}""",
 }
 FIXTURE_SQL.update(CHANGESET_SQL)
 
