@@ -296,3 +296,11 @@ def _q18s(t):
     """Q18: shifts named by deletion requests, in any state."""
     from millbook.operators import listings as L
     return L.lookup_active(t, "shifts", t.shift_deletes.select("id"))
+
+
+def _stream_movements(spark, sf_dir):
+    """W9 decisions from a stream of movement requests (stateful fold per product)."""
+    return portable(S.stream_apply_movements(spark, sf_dir))
+
+
+_REGISTRY["stream_apply_movements"] = _stream_movements

@@ -421,3 +421,5 @@ FROM production_orders po LEFT JOIN l ON l.id = po.id""",
 SELECT id, employee_id, CAST(date AS TIMESTAMP) AS date, machine, CAST(duration AS DOUBLE) AS duration
 FROM shifts WHERE id IN (SELECT id FROM shift_deletes)""",
 })
+
+BODIES["stream_apply_movements"] = BODIES["apply_movements"]

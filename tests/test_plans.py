@@ -6,7 +6,7 @@ import __spark_entry__ as E
 from tests.conftest import SF_SMALL
 
 QUERIES = E.queries()
-STREAMS = {"stream_stock_balance", "stream_audit_log"}
+STREAMS = {"stream_stock_balance", "stream_audit_log", "stream_apply_movements"}
 
 
 def plan_of(df, mode: str = "formatted") -> str:
