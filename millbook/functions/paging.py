@@ -50,22 +50,26 @@ def dense_number(df: DataFrame, keys: list[str], name: str = "seq", start: Colum
                  partitions: int | None = None) -> DataFrame:
     """Number rows 1..n (plus ``start - 1``) in the total order of ``keys``, without one task.
 
-    Range-partition on ``keys`` (sorted runs per partition), number rows inside
-    each partition, then add the row count of all earlier partitions. The
-    offsets frame has one row per partition, a fixed bound, so it is broadcast.
-    ``keys`` must be unique for the numbering to be deterministic.
+    Range-partition on ``keys`` and sort inside each partition; then
+    ``monotonically_increasing_id()`` is (partition << 33) + position in the
+    sorted partition, so the local number costs one projection and no second
+    shuffle. The row count of every earlier partition is added from a frame
+    with one row per partition (a fixed bound, so it is broadcast). ``keys``
+    must be unique for the numbering to be deterministic.
     """
     spark = df.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = df.repartitionByRange(n, *keys).withColumn("_part", F.spark_partition_id())
-    local = ordered.withColumn(
-        "_local", F.row_number().over(Window.partitionBy("_part").orderBy(*[F.col(k) for k in keys])))
+    mid = F.monotonically_increasing_id()
+    ordered = (df.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
+               .withColumn("_mid", mid)
+               .withColumn("_part", F.shiftright(F.col("_mid"), 33))
+               .withColumn("_local", F.col("_mid").bitwiseAND(F.lit((1 << 33) - 1)) + 1))
     counts = ordered.groupBy("_part").agg(F.count(F.lit(1)).alias("_cnt"))
     offsets = counts.select(
         "_part",
         (F.sum("_cnt").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))).alias("_before"))
     start_col = start if isinstance(start, Column) else F.lit(start)
-    return (local.join(F.broadcast(offsets), "_part")
+    return (ordered.join(F.broadcast(offsets), "_part")
             .withColumn(name, (F.coalesce(F.col("_before"), F.lit(0)) + F.col("_local") + start_col - 1)
                         .cast(T.LongType()))
-            .drop("_part", "_local", "_before"))
+            .drop("_mid", "_part", "_local", "_before"))
