@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millbook.functions import dates as D
+from millbook.functions.keys import keys_present
 from millbook.functions.money import num_or, text_or
 from millbook.functions.paging import dense_number
 from millbook.sources.schemas import MONEY
@@ -68,11 +69,16 @@ def reject_not_allowed(df: DataFrame, column: str, allowed: tuple[str, ...]):
 
 def reject_missing_reference(df: DataFrame, column: str, target: DataFrame, reason: str):
     """Requests whose ``column`` has no row in ``target`` (by its ``id``)."""
-    ref = target.select(F.col("id").alias("_ref_id")).distinct()
+    ref = keys_present(target, "id", df, column, alias="_ref_id")
     joined = df.join(ref, df[column] == ref["_ref_id"], "left")
     return _reject(joined, F.col("_ref_id").isNull(), reason)
 
 
+def _known_ids(target: DataFrame, requests: DataFrame) -> DataFrame:
+    """Ids of ``target`` named by the requests, as ``_tid``."""
+    return keys_present(target, "id", requests, "id", alias="_tid")
+
+
 def _drop_ref(df: DataFrame) -> DataFrame:
     return df.drop("_ref_id") if "_ref_id" in df.columns else df
 
@@ -84,8 +90,7 @@ def reject_duplicate_key(df: DataFrame, key: str, existing: DataFrame, reason: s
     The earliest request per key is found with a ``min`` aggregate (combined
     map-side), not a window, so a hot key does not gather in one task.
     """
-    stored = existing.select(F.col(key).alias("_k")).filter(F.col("_k").isNotNull()).distinct() \
-        .withColumn("_stored", F.lit(True))
+    stored = keys_present(existing, key, df, key).withColumn("_stored", F.lit(True))
     first = df.filter(F.col(key).isNotNull()).groupBy(F.col(key).alias("_k")).agg(F.min(_arrival()).alias("_first"))
     j = (df.join(stored, df[key] == stored["_k"], "left").drop("_k")
          .join(first, df[key] == first["_k"], "left").drop("_k"))
@@ -198,7 +203,7 @@ def apply_partial_updates(t: Tables, table: str, changes: DataFrame, as_of) -> C
     settable = [c for c in base.columns if c not in NOT_SETTABLE[table] and c in changes.columns]
     ch = changes.withColumn("_set", _set_list(changes))
     target = base.filter(F.col("is_active")) if ACTIVE_ONLY[table] else base
-    ids = target.select(F.col("id").alias("_tid"))
+    ids = _known_ids(target, ch)
     j = ch.join(ids, ch["id"] == ids["_tid"], "left")
     valid, rejects = _reject(j, F.col("_tid").isNull(), "NOT_FOUND")
     aggs = []
@@ -233,7 +238,7 @@ USER_FIELDS = ("username", "email", "role", "employee_id", "is_active")
 def update_users(t: Tables, changes: DataFrame, as_of) -> ChangeResult:
     """Replace username, email, role, employee_id, is_active as a whole
     (absent = NULL), for users in any state; the latest request per id wins."""
-    ids = t.users.select(F.col("id").alias("_tid"))
+    ids = _known_ids(t.users, changes)
     j = changes.join(ids, changes["id"] == ids["_tid"], "left")
     valid, rejects = _reject(j, F.col("_tid").isNull(), "NOT_FOUND")
     latest = valid.groupBy("id").agg(
@@ -258,7 +263,7 @@ def soft_delete(t: Tables, table: str, requests: DataFrame, as_of) -> ChangeResu
     """
     base = t[table]
     target = base.filter(F.col("is_active")) if DELETE_NEEDS_ACTIVE[table] else base
-    ids = target.select(F.col("id").alias("_tid"))
+    ids = _known_ids(target, requests)
     j = requests.join(ids, requests["id"] == ids["_tid"], "left")
     valid, rejects = _reject(j, F.col("_tid").isNull(), "NOT_FOUND")
     hit = valid.select(F.col("id").alias("_hid")).distinct()
@@ -274,7 +279,7 @@ def soft_delete(t: Tables, table: str, requests: DataFrame, as_of) -> ChangeResu
 
 def hard_delete_shifts(t: Tables, requests: DataFrame) -> ChangeResult:
     """Remove shifts by id (anti-join); unknown ids are rejected."""
-    ids = t.shifts.select(F.col("id").alias("_tid"))
+    ids = _known_ids(t.shifts, requests)
     j = requests.join(ids, requests["id"] == ids["_tid"], "left")
     valid, rejects = _reject(j, F.col("_tid").isNull(), "NOT_FOUND")
     snapshot = t.shifts.join(valid.select("id"), "id", "left_anti")
@@ -330,7 +335,7 @@ def apply_status_changes(t: Tables, table: str, changes: DataFrame, as_of) -> Ch
     """
     base = t[table]
     ok, rejects = reject_not_allowed(changes, "status", STATUS_ALLOWED[table])
-    ids = base.select(F.col("id").alias("_tid"))
+    ids = _known_ids(base, ok)
     j = ok.join(ids, ok["id"] == ids["_tid"], "left")
     valid, r2 = _reject(j, F.col("_tid").isNull(), "NOT_FOUND")
     order = F.struct(*[F.col(c) for c in ARRIVAL], F.col("status"))  # status breaks exact ties

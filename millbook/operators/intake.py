@@ -54,7 +54,7 @@ def check_sales_orders(t: Tables, headers: DataFrame, lines: DataFrame) -> DataF
     (current stock < line quantity; each line checks the opening stock).
     """
     priced = price_sales_orders(lines)
-    balance = R.client_outstanding_balance(t).select(
+    balance = R.client_outstanding_balance(t, clients=headers.select("client_id")).select(
         "client_id", "credit_limit", F.col("outstanding_balance").alias("_open"), F.lit(True).alias("_client"))
     prods = t.products.select(F.col("id").alias("product_id"), F.col("current_stock").alias("_stock"),
                               F.lit(True).alias("_known"))

@@ -207,18 +207,27 @@ def payroll_report(t: Tables, start, end, employee_id=None) -> DataFrame:
 
 
 # --- A10 ----------------------------------------------------------------------------
-def client_outstanding_balance(t: Tables, count_order_once: bool = False) -> DataFrame:
+def client_outstanding_balance(t: Tables, count_order_once: bool = False,
+                               clients: DataFrame | None = None) -> DataFrame:
     """A10: per client, order totals over open (PENDING/OVERDUE) invoices; none -> 0.
 
     Parity: an order with two open invoices counts twice. Invoices are
     counted per order before the join, so the join reads one row per order.
+    ``clients`` (a frame with ``client_id``) restricts the work to those
+    clients: their orders are picked by a semi-join before the invoice join.
     """
     open_inv = (t.invoices.filter(F.col("status").isin(*OPEN_INVOICE))
                 .groupBy("order_id").agg(F.count(F.lit(1)).alias("_n")))
     weight = F.lit(1) if count_order_once else F.col("_n")
-    per_client = (t.sales_orders.join(open_inv, t.sales_orders["id"] == open_inv["order_id"])
+    orders = t.sales_orders.select("id", "client_id", "total")
+    base = t.clients.select(F.col("id").alias("client_id"), "credit_limit")
+    if clients is not None:
+        wanted = clients.select("client_id").filter(F.col("client_id").isNotNull()).distinct()
+        orders = orders.join(wanted, "client_id", "left_semi")
+        base = base.join(wanted, "client_id", "left_semi")
+    per_client = (orders.join(open_inv, orders["id"] == open_inv["order_id"])
                   .groupBy("client_id").agg(F.sum(F.col("total") * weight).alias("_bal")))
-    return (t.clients.select(F.col("id").alias("client_id"), "credit_limit")
+    return (base
             .join(per_client, "client_id", "left")
             .select("client_id", "credit_limit",
                     wide(F.coalesce(F.col("_bal"), F.lit(0))).alias("outstanding_balance")))
