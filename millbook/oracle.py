@@ -52,8 +52,9 @@ GROUP BY c.name ORDER BY sum(so.total) DESC, c.name LIMIT 5"""
 
 
 LATEST_COSTS = """
-SELECT product_id, total AS product_cost, calculation_date FROM costings c1
-WHERE c1.calculation_date = (SELECT max(c2.calculation_date) FROM costings c2 WHERE c2.product_id = c1.product_id)"""
+SELECT c.product_id, c.total AS product_cost, c.calculation_date
+FROM costings c JOIN (SELECT product_id, max(calculation_date) AS last_date FROM costings GROUP BY product_id) m
+  ON m.product_id = c.product_id AND m.last_date = c.calculation_date"""
 
 
 def _profit(extra: str = "") -> str:
