@@ -309,11 +309,16 @@ def upsert_attendance(t: Tables, changes: DataFrame) -> ChangeResult:
         F.min(_arrival()).alias("_first"),
         *[F.max_by(F.col(c), F.when(F.col(c).isNotNull(), _arrival())).alias(f"_n_{c}") for c in ATTENDANCE_FIELDS])
     att = t.attendances
-    merged = att.join(collapsed, ["employee_id", "date"], "full_outer")
-    fields = [F.coalesce(F.col(f"_n_{c}"), F.col(c)).cast(att.schema[c].dataType).alias(c) for c in ATTENDANCE_FIELDS]
-    existing = merged.filter(F.col("id").isNotNull()).select("id", "employee_id", "date", *fields)
-    fresh = merged.filter(F.col("id").isNull()).select(
-        "employee_id", "date", *fields,
+    keys = ["employee_id", "date"]
+    # stored rows take the batch's values through a left join (the collapsed
+    # batch is the side that can be broadcast); new keys are the batch keys
+    # without a stored row, found against stored keys reduced to the batch's
+    existing = att.join(collapsed, keys, "left").select(
+        "id", *keys, *[F.coalesce(F.col(f"_n_{c}"), F.col(c)).cast(att.schema[c].dataType).alias(c)
+                       for c in ATTENDANCE_FIELDS])
+    stored_keys = att.select(*keys).join(collapsed.select(*keys), keys, "left_semi")
+    fresh = collapsed.join(stored_keys, keys, "left_anti").select(
+        *keys, *[F.col(f"_n_{c}").cast(att.schema[c].dataType).alias(c) for c in ATTENDANCE_FIELDS],
         F.col("_first.requested_at").alias("requested_at"), F.col("_first.request_id").alias("request_id"))
     fresh = _next_ids(att, fresh).drop(*ARRIVAL)
     snapshot = existing.unionByName(fresh.select(*existing.columns))
