@@ -39,6 +39,18 @@ def register(name: str, nullable_ints: tuple[str, ...] = ()):
     return deco
 
 
+def register_session(name: str):
+    """Register a query that needs the session itself (streams), output made portable."""
+    def deco(fn: Callable[[SparkSession, str], DataFrame]) -> Callable:
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            return portable(fn(spark, sf_dir))
+        run.__name__ = name
+        run.__doc__ = fn.__doc__
+        _REGISTRY[name] = run
+        return fn
+    return deco
+
+
 def queries() -> dict[str, QueryFn]:
     # import for registration side effects
     from millbook import catalog_listings, catalog_changes  # noqa: F401

@@ -214,24 +214,27 @@ def _w16(t):
     return W.append_audit(t, created=created, movements=moved)
 
 
-# ---- T1 / T2 ---------------------------------------------------------------------
-from millbook.catalog import _REGISTRY  # noqa: E402
-from millbook.plans.portable import portable  # noqa: E402
+# ---- T1 / T2 / T3 -----------------------------------------------------------------
+from millbook.catalog import register_session  # noqa: E402
 from millbook.streaming import jobs as S  # noqa: E402
 
 
-def _stream_stock(spark, sf_dir):
+@register_session("stream_stock_balance")
+def _t1(spark, sf_dir):
     """Running stock per product from the streamed ledger (availableNow)."""
-    return portable(S.stream_stock_balance(spark, sf_dir))
+    return S.stream_stock_balance(spark, sf_dir)
 
 
-def _stream_audit(spark, sf_dir):
+@register_session("stream_audit_log")
+def _t2(spark, sf_dir):
     """Audit log from the event stream, re-delivered error events dropped."""
-    return portable(S.stream_audit_log(spark, sf_dir))
+    return S.stream_audit_log(spark, sf_dir)
 
 
-_REGISTRY["stream_stock_balance"] = _stream_stock
-_REGISTRY["stream_audit_log"] = _stream_audit
+@register_session("stream_apply_movements")
+def _t3(spark, sf_dir):
+    """W9 decisions from a stream of movement requests (stateful fold per product)."""
+    return S.stream_apply_movements(spark, sf_dir)
 
 
 # ---- more tables through W1 / W2 / W4 / W7 / Q18 -------------------------------------
@@ -297,10 +300,3 @@ def _q18s(t):
     from millbook.operators import listings as L
     return L.lookup_active(t, "shifts", t.shift_deletes.select("id"))
 
-
-def _stream_movements(spark, sf_dir):
-    """W9 decisions from a stream of movement requests (stateful fold per product)."""
-    return portable(S.stream_apply_movements(spark, sf_dir))
-
-
-_REGISTRY["stream_apply_movements"] = _stream_movements

@@ -40,3 +40,17 @@ def test_top_k_is_not_a_full_sort(spark, name):
 def test_latest_cost_cuts_history_before_the_shuffle(spark):
     p = plan_of(QUERIES["latest_costs"](spark, SF_SMALL))
     assert "WindowGroupLimit" in p
+
+
+@pytest.mark.parametrize("name", ["sales_by_client", "profit_by_client", "client_outstanding_balance",
+                                  "top_clients", "waste_by_process", "apply_client_updates", "upsert_attendance"])
+def test_aggregations_combine_map_side(spark, name):
+    """A hot key (a third of the rows) is reduced before its shuffle: every
+    grouping shows a partial aggregate below its exchange."""
+    p = plan_of(QUERIES[name](spark, SF_SMALL), "simple")
+    assert "partial_" in p, name
+
+
+def test_kardex_spreads_a_product_over_time_buckets(spark):
+    p = plan_of(QUERIES["kardex"](spark, SF_SMALL), "simple")
+    assert "hashpartitioning(product_id" in p and "_bucket" in p
