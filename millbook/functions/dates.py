@@ -27,9 +27,24 @@ def year_start(as_of: str | dt.date) -> dt.date:
 
 
 def bucket(unit: str, column: str | Column) -> Column:
-    """``DATE_TRUNC(unit, col)`` as timestamp_ntz (Spark returns a zoned timestamp)."""
+    """``DATE_TRUNC(unit, col)`` for a date or timestamp_ntz column, as timestamp_ntz.
+
+    Built from wall-clock date parts, so the result does not depend on the
+    session time zone (``date_trunc`` goes through a zoned timestamp, which
+    moves wall times that a daylight-saving change skips). Weeks start on Monday.
+    """
     col = F.col(column) if isinstance(column, str) else column
-    return F.date_trunc(unit, col).cast(T.TimestampNTZType())
+    zero = F.lit(0)
+    if unit == "week":
+        return F.trunc(F.to_date(col), "week").cast(T.TimestampNTZType())
+    y, m, d = F.year(col), F.month(col), F.dayofmonth(col)
+    parts = {
+        "hour": (y, m, d, F.hour(col)),
+        "day": (y, m, d, zero),
+        "month": (y, m, F.lit(1), zero),
+        "year": (y, F.lit(1), F.lit(1), zero),
+    }[unit]
+    return F.make_timestamp_ntz(*parts, zero, zero)
 
 
 def period_plan(period: str | None, as_of: str | dt.date, start=None, end=None):

@@ -11,7 +11,6 @@ large share of the batch never sits in one task.
 
 from __future__ import annotations
 
-import datetime as dt
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -39,8 +38,8 @@ def _arrival() -> Column:
 
 
 def _now(as_of) -> Column:
-    """CURRENT_TIMESTAMP stand-in: midnight of ``as_of``."""
-    return F.lit(dt.datetime.combine(D.as_date(as_of), dt.time())).cast(T.TimestampNTZType())
+    """CURRENT_TIMESTAMP stand-in: midnight of ``as_of`` (a wall-clock literal, no time zone)."""
+    return F.lit(f"{D.as_date(as_of).isoformat()} 00:00:00").cast(T.TimestampNTZType())
 
 
 def _reject(df: DataFrame, cond: Column, reason: str) -> tuple[DataFrame, DataFrame]:

@@ -208,3 +208,18 @@ def test_sales_over_time_buckets(spark):
     assert (kpis.total_revenue, kpis.total_orders, kpis.average_order_value) == (D(6), 3, 2.0)
     empty = R.sales_kpis(t, "2030-01-01", "today").collect()[0]
     assert (empty.total_revenue, empty.total_orders, empty.average_order_value) == (None, 0, None)
+
+
+def test_time_buckets_ignore_the_session_time_zone(spark):
+    from millbook.functions.dates import bucket
+    df = spark.sql("SELECT timestamp_ntz'2001-04-01 02:30:00' AS t, date'2001-07-18' AS d")
+    old = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+        row = df.select(bucket("hour", "t").alias("h"), bucket("day", "t").alias("dt"),
+                        bucket("week", "d").alias("w"), bucket("month", "d").alias("m"),
+                        bucket("year", "t").alias("y")).collect()[0]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
+    assert [str(v) for v in row] == ["2001-04-01 02:00:00", "2001-04-01 00:00:00", "2001-07-16 00:00:00",
+                                     "2001-07-01 00:00:00", "2001-01-01 00:00:00"]
