@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from millbook.operators import reports as R
 from millbook.plans.portable import portable
+from millbook.session import ship_package
 from millbook.sources.fixtures import AS_OF, PAYROLL_END, PAYROLL_START, derive_tables
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -31,6 +32,7 @@ _REGISTRY: dict[str, QueryFn] = {}
 def register(name: str, nullable_ints: tuple[str, ...] = ()):
     def deco(fn: Callable) -> Callable:
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            ship_package(spark)
             return portable(fn(derive_tables(spark, sf_dir)), nullable_ints)
         run.__name__ = name
         run.__doc__ = fn.__doc__
@@ -43,6 +45,7 @@ def register_session(name: str):
     """Register a query that needs the session itself (streams), output made portable."""
     def deco(fn: Callable[[SparkSession, str], DataFrame]) -> Callable:
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            ship_package(spark)
             return portable(fn(spark, sf_dir))
         run.__name__ = name
         run.__doc__ = fn.__doc__

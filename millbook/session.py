@@ -6,6 +6,8 @@ Cluster runs bring their own session; the library only reads settings from it.
 from __future__ import annotations
 
 import os
+import tempfile
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -41,9 +43,43 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
         builder = builder.config(k, v)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
+    ship_package(spark)
     return spark
 
 
+_PACKAGE_ZIP: str | None = None
+_SHIPPED: set[int] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``millbook`` importable in the Python workers of this SparkContext.
+
+    The stock folds run library functions inside tasks (``mapInPandas``,
+    ``applyInPandasWithState``); executors import them from the zip that
+    ``addPyFile`` distributes. Done once per process and context; a cluster
+    that installs the package on its executors does not need it.
+    """
+    global _PACKAGE_ZIP
+    sc = spark.sparkContext
+    key = id(sc._jsc)
+    if key in _SHIPPED:
+        return
+    if _PACKAGE_ZIP is None:
+        pkg_dir = os.path.dirname(os.path.abspath(__file__))
+        root = os.path.dirname(pkg_dir)
+        fd, path = tempfile.mkstemp(prefix="millbook-", suffix=".zip")
+        os.close(fd)
+        with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as zf:
+            for folder, _dirs, files in os.walk(pkg_dir):
+                for name in files:
+                    if name.endswith(".py"):
+                        full = os.path.join(folder, name)
+                        zf.write(full, os.path.relpath(full, root))
+        _PACKAGE_ZIP = path
+    sc.addPyFile(_PACKAGE_ZIP)
+    _SHIPPED.add(key)
+
+
 def checkpoint_dir_of(spark: SparkSession) -> str | None:
     """The shared checkpoint folder the cluster names in ``spark.checkpoint.dir``."""
     value = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
