@@ -30,7 +30,7 @@ def _q2s(t):
 
 @register("sales_order_details")
 def _q3(t):
-    """Q3 for every order: header, client, nested sorted product lines."""
+    """Q3 for every order: header and client with one row per product line."""
     return L.sales_order_details(t)
 
 

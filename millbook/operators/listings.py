@@ -46,13 +46,19 @@ def list_sales_orders(t: Tables, search_text=None, page=None, limit=None) -> Dat
 LINE_FIELDS = ("quantity", "price", "sku", "description", "unit")
 
 
-def sales_order_details(t: Tables, order_ids: DataFrame | None = None) -> DataFrame:
-    """Order header + client name/code/address + its product lines as an array.
-
-    Lines are grouped per order (bounded by the lines of one order) and
-    sorted inside the array; an order without lines gets an empty array; an
-    id without an order gives no row. ``order_ids`` (first column) restricts
-    the orders through a semi-join.
+def sales_order_details(t: Tables, order_ids: DataFrame | None = None, nested: bool = False) -> DataFrame:
+    """Order header + client name/code/address + its product lines.
+
+    Default: one row per (order, line) with the line's quantity, price, sku,
+    description and unit; an order without lines appears once with NULL line
+    columns; an id without an order gives no row. No group is gathered, so an
+    order with a huge number of lines is no burden.
+
+    ``nested=True`` returns one row per order with the lines as a sorted
+    ``products`` array (empty when none), the reference's response shape;
+    it gathers each order's lines into one row, so use it for id sets whose
+    orders have a bounded number of lines. ``order_ids`` (first column)
+    restricts the orders through a semi-join.
     """
     so = t.sales_orders
     if order_ids is not None:
@@ -61,16 +67,19 @@ def sales_order_details(t: Tables, order_ids: DataFrame | None = None) -> DataFr
     ol = t.order_products
     if order_ids is not None:
         ol = ol.join(so.select(F.col("id").alias("order_id")), "order_id", "left_semi")
-    lines = (ol.join(prod, "product_id")
-             .groupBy("order_id")
-             .agg(F.array_sort(F.collect_list(F.struct(*LINE_FIELDS))).alias("products")))
+    lines = ol.join(prod, "product_id").select("order_id", *LINE_FIELDS)
     clients = t.clients.select(F.col("id").alias("client_id"), F.col("name").alias("client_name"),
                                F.col("code").alias("client_code"), F.col("address").alias("client_address"))
     head = so.join(clients, "client_id").select(
         "id", "order_number", "order_date", "delivery_date", "status", "subtotal", "tax_amount", "total",
         "notes", "client_name", "client_code", "client_address")
-    empty = F.array().cast(lines.schema["products"].dataType)
-    return (head.join(lines, head["id"] == lines["order_id"], "left")
+    if not nested:
+        return (head.join(lines, head["id"] == lines["order_id"], "left")
+                .select(*[head[c] for c in head.columns], *[lines[c] for c in LINE_FIELDS]))
+    grouped = lines.groupBy("order_id").agg(
+        F.array_sort(F.collect_list(F.struct(*LINE_FIELDS))).alias("products"))
+    empty = F.array().cast(grouped.schema["products"].dataType)
+    return (head.join(grouped, head["id"] == grouped["order_id"], "left")
             .select(*[head[c] for c in head.columns], F.coalesce(F.col("products"), empty).alias("products")))
 
 

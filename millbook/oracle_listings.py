@@ -47,17 +47,14 @@ AND (c.code ILIKE '%r#00000001%' OR c.name ILIKE '%r#00000001%')""",
     "list_sales_orders": ORDERS_BASE,
     "list_sales_orders_search": f"{ORDERS_BASE} WHERE so.order_number ILIKE '%so-1998%' OR c.name ILIKE '%so-1998%'",
     "sales_order_details": """
-WITH lines AS (
-  SELECT op.order_id,
-         list(struct_pack(quantity := CAST(op.quantity AS DOUBLE), price := CAST(op.price AS DOUBLE),
-                          sku := p.sku, description := p.description, unit := p.unit)
-              ORDER BY op.quantity, op.price, p.sku, p.description, p.unit) AS products
-  FROM order_products op JOIN products p ON op.product_id = p.id GROUP BY op.order_id)
+WITH lines AS (SELECT op.order_id, CAST(op.quantity AS DOUBLE) AS quantity, CAST(op.price AS DOUBLE) AS price,
+                      p.sku, p.description, p.unit
+               FROM order_products op JOIN products p ON op.product_id = p.id)
 SELECT so.id, so.order_number, CAST(so.order_date AS TIMESTAMP) AS order_date,
        CAST(so.delivery_date AS TIMESTAMP) AS delivery_date, so.status, CAST(so.subtotal AS DOUBLE) AS subtotal,
        CAST(so.tax_amount AS DOUBLE) AS tax_amount, CAST(so.total AS DOUBLE) AS total, so.notes,
        c.name AS client_name, c.code AS client_code, c.address AS client_address,
-       coalesce(lines.products, []) AS products
+       lines.quantity, lines.price, lines.sku, lines.description, lines.unit
 FROM sales_orders so JOIN clients c ON so.client_id = c.id LEFT JOIN lines ON lines.order_id = so.id""",
     "list_products": PRODUCTS_BASE,
     "list_products_search": f"{PRODUCTS_BASE} AND (p.sku ILIKE '%GEAR%' OR p.description ILIKE '%GEAR%')",

@@ -223,3 +223,18 @@ def test_time_buckets_ignore_the_session_time_zone(spark):
         spark.conf.set("spark.sql.session.timeZone", old)
     assert [str(v) for v in row] == ["2001-04-01 02:00:00", "2001-04-01 00:00:00", "2001-07-16 00:00:00",
                                      "2001-07-01 00:00:00", "2001-01-01 00:00:00"]
+
+
+def test_order_details_flat_and_nested(spark):
+    t = make_tables(spark, clients=[{"id": 1, "name": "X", "code": "C1", "address": "A"}],
+                    sales_orders=[{"id": 5, "client_id": 1, "status": "QUOTE"}, {"id": 6, "client_id": 1}],
+                    order_products=[{"order_id": 5, "product_id": 7, "quantity": D(2), "price": D(10)},
+                                    {"order_id": 5, "product_id": 8, "quantity": D(1), "price": D(3)},
+                                    {"order_id": 5, "product_id": 99, "quantity": D(1), "price": D(3)}],
+                    products=[{"id": 7, "sku": "A", "unit": "KG"}, {"id": 8, "sku": "B", "unit": "KG"}])
+    flat = sorted((r.id, r.sku) for r in L.sales_order_details(t).collect())
+    assert flat == [(5, "A"), (5, "B"), (6, None)]
+    nested = {r.id: [p.sku for p in r.products] for r in L.sales_order_details(t, nested=True).collect()}
+    assert nested == {5: ["B", "A"], 6: []}  # sorted by (quantity, price, ...)
+    ids = spark.createDataFrame([(6,), (77,)], "id long")
+    assert [r.id for r in L.sales_order_details(t, order_ids=ids).collect()] == [6]
