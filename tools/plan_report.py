@@ -64,8 +64,14 @@ def main() -> None:
         "the per-partition offsets of `dense_number`.\n\n"
         "| Query | hash | range | single | bcast | SMJ | top-k | WGL | Python | cartesian | pushed filters |\n"
         "|---|---|---|---|---|---|---|---|---|---|---|\n")
+    appendix = ["\n## Full plans of the heaviest queries\n"]
+    for name in ("profit_by_client", "kardex", "apply_movements", "intake_sales_orders"):
+        df = E.queries()[name](spark, sf_dir)
+        plan = spark._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "simple")
+        plan = re.sub(r"Location: InMemoryFileIndex\([^)]*\)\[[^\]]*\], ", "", plan)
+        appendix.append(f"### `{name}`\n\n```\n{plan.strip()}\n```\n")
     with open(out, "w") as fh:
-        fh.write(header + "\n".join(rows) + "\n")
+        fh.write(header + "\n".join(rows) + "\n" + "\n".join(appendix))
     print(f"wrote {out} ({len(rows)} queries)")
 
 
