@@ -300,3 +300,9 @@ def _q18s(t):
     from millbook.operators import listings as L
     return L.lookup_active(t, "shifts", t.shift_deletes.select("id"))
 
+
+
+@register("kardex_hot_products")
+def _k1h(t):
+    """K1 where every product above 0.04 % of the ledger counts as hot (hourly buckets)."""
+    return K.kardex(t, hot_share=4e-4)

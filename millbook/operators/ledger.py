@@ -3,7 +3,8 @@
 K1 is a prefix sum per product, computed in two levels so that a product
 holding a large share of all movements is still spread over many tasks:
 running sums inside (product, time bucket), plus the sum of all earlier
-buckets of that product (a small frame with one row per product-bucket).
+buckets of that product (one row per product-bucket); hot products get
+finer buckets.
 
 W9 is order dependent: an EXIT is accepted only while the running stock
 covers it, and a rejected EXIT leaves the stock unchanged, so the outcome of
@@ -35,15 +36,29 @@ LEDGER_ORDER = ("moved_at", "reference_id", "line_no", "quantity")
 
 # --- K1 ------------------------------------------------------------------------------
 def kardex(t: Tables, opening: DataFrame | None = None, granularity: str = "day",
-           order: tuple[str, ...] = LEDGER_ORDER) -> DataFrame:
+           order: tuple[str, ...] = LEDGER_ORDER, hot_granularity: str = "hour",
+           hot_share: float = 1e-4) -> DataFrame:
     """Each movement with the product's balance before and after it.
 
     ``opening`` (product_id, opening_stock) sets the balance before the first
-    movement (0 when absent). ``granularity`` is the time bucket of the first
-    level ('hour' for very hot products).
+    movement (0 when absent). The prefix sum runs in two levels: running sums
+    inside (product, time bucket), plus the totals of the product's earlier
+    buckets (one row per product-bucket). Buckets are ``granularity`` long,
+    and ``hot_granularity`` long for hot products, those holding more than
+    ``hot_share`` of all movements; there are at most ``1 / hot_share`` of
+    them, so that frame is broadcast with a proven bound.
     """
-    mv = t.inventory_movements.withColumn("_bucket", F.date_trunc(granularity, F.col(order[0])))
     keys = [F.col(c).asc_nulls_first() for c in order]
+    mv = t.inventory_movements
+    total = mv.select(F.count(F.lit(1))).scalar()
+    hot = (mv.groupBy("product_id").agg(F.count(F.lit(1)).alias("_n"))
+           .filter(F.col("_n") > total * F.lit(hot_share))
+           .select("product_id", F.lit(True).alias("_hot")))
+    ts_col = F.col(order[0])
+    mv = (mv.join(F.broadcast(hot), "product_id", "left")
+          .withColumn("_bucket", F.when(F.col("_hot"), F.date_trunc(hot_granularity, ts_col))
+                      .otherwise(F.date_trunc(granularity, ts_col)))
+          .drop("_hot"))
     local = mv.withColumn(
         "_local",
         F.sum("quantity").over(Window.partitionBy("product_id", "_bucket").orderBy(*keys)

@@ -423,3 +423,5 @@ FROM shifts WHERE id IN (SELECT id FROM shift_deletes)""",
 })
 
 BODIES["stream_apply_movements"] = BODIES["apply_movements"]
+
+BODIES["kardex_hot_products"] = BODIES["kardex"]

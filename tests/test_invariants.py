@@ -178,3 +178,6 @@ def test_kardex_on_a_hot_product_matches_a_running_sum(spark):
     for gran in ("hour", "day", "year"):
         got = {r.reference_id: r.closing_balance for r in K.kardex(t, granularity=gran).collect()}
         assert got == want, gran
+    # only product 1 (about a third of the rows) is hot here: hourly buckets for it, daily for the rest
+    mixed = {r.reference_id: r.closing_balance for r in K.kardex(t, hot_share=0.2).collect()}
+    assert mixed == want
