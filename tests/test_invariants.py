@@ -99,6 +99,17 @@ def test_allocate_never_oversells_and_snapshot_matches_reference_rule(tables_sma
     assert moved == delta
 
 
+def test_dense_number_with_wide_rows_from_many_partitions(spark):
+    """The counts and the rows must come from one range exchange (a payload column
+    that only the rows need once made them use two, with different bounds)."""
+    df = spark.range(0, 200000, numPartitions=40).select(
+        ((F.col("id") * 7919) % 200000).alias("k"), F.sha2(F.col("id").cast("string"), 256).alias("payload"))
+    out = dense_number(df, ["k"], start=F.lit(1), partitions=16)
+    row = out.agg(F.count(F.lit(1)), F.countDistinct("seq"), F.min("seq"), F.max("seq"),
+                  F.sum((F.col("seq") != F.col("k") + 1).cast("int")), F.sum(F.length("payload"))).collect()[0]
+    assert list(row) == [200000, 200000, 1, 200000, 0, 200000 * 64]
+
+
 def test_dense_number_is_gapless_and_ordered(spark):
     df = spark.range(0, 5000).select(((F.col("id") * 7919) % 5000).alias("k")).repartition(7)
     out = dense_number(df, ["k"], start=F.lit(101), partitions=6).collect()
