@@ -114,7 +114,10 @@ def stream_audit_log(spark: SparkSession, sf_dir: str, redeliver_errors: bool =
 _DECISION_SCHEMA = (
     "request_id long, requested_at timestamp_ntz, product_id long, movement_type string, "
     "quantity decimal(12,2), user_id long, reference_document string, accepted boolean, "
-    "stock_before decimal(18,2), stock_after decimal(18,2)")
+    "before_c long, after_c long")
+_REQUEST_COLUMNS = ["request_id", "requested_at", "product_id", "movement_type", "quantity", "user_id",
+                    "reference_document"]
+_ARRIVAL_ORDER = ["requested_at", "request_id", "movement_type", "quantity", "user_id", "reference_document"]
 
 
 def _fold_group(key, batches, state):
@@ -123,18 +126,18 @@ def _fold_group(key, batches, state):
     The state holds the product's balance in cents; the first time a product
     is seen it starts from the opening stock each request carries. The rows
     of one product in one micro-batch are sorted together (bounded by the
-    trigger size), never the product's whole history.
+    trigger size), never the product's whole history. Balances leave as
+    integer cents.
     """
-    from decimal import Decimal
-
     import pandas as pd
 
-    pdf = pd.concat([b for b in batches if len(b)], ignore_index=True)
-    order = ["requested_at", "request_id", "movement_type", "quantity", "user_id", "reference_document"]
-    pdf = pdf.sort_values(order, kind="mergesort", ignore_index=True)
-    balance = state.get[0] if state.exists else int(pdf["_open_c"].iloc[0])
+    parts = [b for b in batches if len(b)]
+    pdf = parts[0] if len(parts) == 1 else pd.concat(parts, ignore_index=True)
+    if len(pdf) > 1:
+        pdf = pdf.sort_values(_ARRIVAL_ORDER, kind="mergesort", ignore_index=True)
+    balance = state.get[0] if state.exists else int(pdf["_open_c"].iat[0])
     accepted, before, after = [], [], []
-    for is_exit, q in zip(pdf["movement_type"].eq("EXIT").tolist(), pdf["_q_c"].tolist()):
+    for is_exit, q in zip((pdf["movement_type"] == "EXIT").tolist(), pdf["_q_c"].tolist()):
         before.append(balance)
         ok = (not is_exit) or balance >= q
         if ok:
@@ -142,13 +145,9 @@ def _fold_group(key, batches, state):
         accepted.append(ok)
         after.append(balance)
     state.update((balance,))
-    yield pd.DataFrame({
-        "request_id": pdf["request_id"], "requested_at": pdf["requested_at"], "product_id": pdf["product_id"],
-        "movement_type": pdf["movement_type"], "quantity": pdf["quantity"], "user_id": pdf["user_id"],
-        "reference_document": pdf["reference_document"], "accepted": accepted,
-        "stock_before": [Decimal(b).scaleb(-2) for b in before],
-        "stock_after": [Decimal(a).scaleb(-2) for a in after],
-    })
+    out = pdf[_REQUEST_COLUMNS].copy()
+    out["accepted"], out["before_c"], out["after_c"] = accepted, before, after
+    yield out
 
 
 def movement_decisions_query(requests: DataFrame, products: DataFrame, root: str, trigger: dict | None = None):
@@ -158,7 +157,7 @@ def movement_decisions_query(requests: DataFrame, products: DataFrame, root: str
     out here (the batch job reports them as rejects); the rest are folded per
     product with ``applyInPandasWithState`` and appended to ``{root}/out``.
     """
-    from millbook.functions.money import cents
+    from millbook.functions.money import cents, from_cents
 
     opening = products.select(F.col("id").alias("product_id"), F.col("current_stock").alias("_stock"))
     valid = (requests.join(opening, "product_id")
@@ -168,6 +167,8 @@ def movement_decisions_query(requests: DataFrame, products: DataFrame, root: str
     decided = valid.groupBy("product_id").applyInPandasWithState(
         _fold_group, outputStructType=_DECISION_SCHEMA, stateStructType="balance_c long",
         outputMode="append", timeoutConf="NoTimeout")
+    decided = decided.select(*_REQUEST_COLUMNS, "accepted",
+                             from_cents("before_c").alias("stock_before"), from_cents("after_c").alias("stock_after"))
     return (decided.writeStream.outputMode("append").format("parquet")
             .option("path", os.path.join(root, "out"))
             .option("checkpointLocation", os.path.join(root, "state"))
