@@ -406,6 +406,7 @@ def append_audit(t: Tables, created: DataFrame | None = None, updated: DataFrame
     for p in parts[1:]:
         events = events.unionByName(p)
     events = events.withColumn("requested_at", F.col("timestamp"))
-    numbered = _next_ids(t.audits, events, keys=("requested_at", "request_id", "action")) \
+    # every column in the key: only identical events tie, so numbering is deterministic
+    numbered = _next_ids(t.audits, events, keys=("requested_at", "request_id", "action", "details", "user_id")) \
         .drop("requested_at", "request_id")
     return numbered.select("id", "user_id", "action", "details", "timestamp")

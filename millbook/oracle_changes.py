@@ -5,14 +5,15 @@ from __future__ import annotations
 from millbook.oracle import BODIES
 
 # Arrival-order fold as a recursive CTE: step k of a product applies its k-th request.
-def movement_fold(source: str, order: str) -> str:
+def fold_ctes(source: str, order: str,
+              where: str = "m.quantity > 0 AND m.movement_type IN ('ENTRY', 'EXIT')") -> str:
+    """CTEs src, r, f, d (to follow WITH RECURSIVE): d has each request with before/after/accepted."""
     return f"""
-WITH RECURSIVE
  src AS ({source}),
  r AS (SELECT m.*, CAST(coalesce(p.current_stock, 0) AS DECIMAL(18,2)) AS stock0,
               row_number() OVER (PARTITION BY m.product_id ORDER BY {order}) AS rn
        FROM src m JOIN products p ON m.product_id = p.id
-       WHERE m.quantity > 0 AND m.movement_type IN ('ENTRY', 'EXIT')),
+       WHERE {where}),
  f AS (SELECT product_id, rn, stock0 AS before,
               CAST(CASE WHEN movement_type = 'ENTRY' THEN stock0 + quantity
                         WHEN stock0 >= quantity THEN stock0 - quantity ELSE stock0 END AS DECIMAL(18,2)) AS after
@@ -23,8 +24,11 @@ WITH RECURSIVE
                         WHEN f.after >= r.quantity THEN f.after - r.quantity ELSE f.after END AS DECIMAL(18,2))
        FROM f JOIN r ON r.product_id = f.product_id AND r.rn = f.rn + 1),
  d AS (SELECT r.*, f.before, f.after, (r.movement_type = 'ENTRY' OR f.before >= r.quantity) AS accepted
-       FROM r JOIN f ON r.product_id = f.product_id AND r.rn = f.rn)
-"""
+       FROM r JOIN f ON r.product_id = f.product_id AND r.rn = f.rn)"""
+
+
+def movement_fold(source: str, order: str) -> str:
+    return "\nWITH RECURSIVE" + fold_ctes(source, order) + "\n"
 
 
 MOVEMENT_FOLD = movement_fold(
@@ -220,11 +224,12 @@ WHERE product_id NOT IN (SELECT id FROM products)""",
 })
 
 
-def _sales_check() -> str:
+def _sales_check_ctes() -> str:
+    """CTEs priced, bal, lr, chk: the W11 reason per sales-order request."""
     sub = "pr.sub"
     tax = "CAST(pr.sub AS DECIMAL(18,4)) * 0.16"
     return f"""
-WITH priced AS (SELECT request_id, sum(quantity * price) AS sub FROM sales_order_lines GROUP BY request_id),
+     priced AS (SELECT request_id, sum(quantity * price) AS sub FROM sales_order_lines GROUP BY request_id),
      bal AS (SELECT c.id AS client_id, c.credit_limit, coalesce(b.s, 0) AS open
              FROM clients c LEFT JOIN (SELECT so.client_id, sum(so.total) AS s FROM sales_orders so
                                        JOIN invoices i ON so.id = i.order_id
@@ -243,13 +248,52 @@ WITH priced AS (SELECT request_id, sum(quantity * price) AS sub FROM sales_order
                    WHEN b.open + ({sub} + {tax}) > b.credit_limit THEN 'CREDIT_LIMIT_EXCEEDED'
                    ELSE lr.r END AS reason
        FROM sales_order_requests h LEFT JOIN priced pr ON pr.request_id = h.request_id
-       LEFT JOIN bal b ON b.client_id = h.client_id LEFT JOIN lr ON lr.request_id = h.request_id),
+       LEFT JOIN bal b ON b.client_id = h.client_id LEFT JOIN lr ON lr.request_id = h.request_id)"""
+
+
+ACCEPTED = """
      acc AS (SELECT chk.*, (SELECT coalesce(max(id), 0) FROM sales_orders)
                              + row_number() OVER (ORDER BY requested_at, request_id) AS id
              FROM chk WHERE reason IS NULL)
 """
 
 
+def _sales_check() -> str:
+    return "\nWITH" + _sales_check_ctes() + "," + ACCEPTED
+
+
+# Allocate mode: header checks, then unknown products, then lines claim stock in arrival order.
+ALLOCATE = ("\nWITH RECURSIVE" + _sales_check_ctes() + """,
+     cand AS (SELECT request_id, requested_at FROM chk
+              WHERE reason IS NULL OR reason IN ('PRODUCT_NOT_FOUND', 'INSUFFICIENT_STOCK')),
+     cl AS (SELECT l.*, cand.requested_at FROM sales_order_lines l JOIN cand ON cand.request_id = l.request_id),
+     unknown AS (SELECT DISTINCT cl.request_id FROM cl LEFT JOIN products p ON p.id = cl.product_id
+                 WHERE p.id IS NULL),""" + fold_ctes(
+    """SELECT cl.request_id, cl.requested_at, cl.line_no, cl.product_id, 'EXIT' AS movement_type,
+              cl.quantity, cl.price
+       FROM cl WHERE cl.request_id NOT IN (SELECT request_id FROM unknown)""",
+    "m.requested_at, m.request_id, m.line_no, m.quantity, m.price", where="TRUE") + """,
+     sunk AS (SELECT request_id, bool_or(NOT accepted) AS s FROM d GROUP BY request_id),
+     fin AS (SELECT chk.request_id, chk.requested_at, chk.client_id, chk.user_id, chk.notes, chk.delivery_date,
+                    chk.subtotal, chk.tax_amount, chk.total,
+                    CASE WHEN chk.reason IS NOT NULL AND chk.reason NOT IN ('PRODUCT_NOT_FOUND', 'INSUFFICIENT_STOCK')
+                              THEN chk.reason
+                         WHEN chk.request_id IN (SELECT request_id FROM unknown) THEN 'PRODUCT_NOT_FOUND'
+                         WHEN sunk.s THEN 'INSUFFICIENT_STOCK' END AS reason
+             FROM chk LEFT JOIN sunk ON sunk.request_id = chk.request_id),
+     acc AS (SELECT fin.*, (SELECT coalesce(max(id), 0) FROM sales_orders)
+                             + row_number() OVER (ORDER BY requested_at, request_id) AS id
+             FROM fin WHERE reason IS NULL)
+""")
+
+ORDER_ROWS = """
+SELECT id, concat('SO-20010720-', CAST(id AS VARCHAR)) AS order_number, client_id,
+       TIMESTAMP '2001-07-20 00:00:00' AS order_date, CAST(subtotal AS DOUBLE) AS subtotal,
+       CAST(tax_amount AS DOUBLE) AS tax_amount, CAST(total AS DOUBLE) AS total, notes, user_id AS created_by,
+       'QUOTE' AS status, CAST(delivery_date AS TIMESTAMP) AS delivery_date, requested_at, request_id
+FROM acc"""
+
+
 CONSUMPTION_FOLD = movement_fold(
     """SELECT c.request_id, c.requested_at, c.material_id AS product_id, 'EXIT' AS movement_type,
               c.consumed_quantity AS quantity, c.user_id, concat('Consumo OP: ', po.order_number) AS reference_document,
@@ -281,12 +325,8 @@ SELECT request_id, requested_at, client_id, user_id, notes, CAST(delivery_date A
        CAST(subtotal AS DOUBLE) AS subtotal, CAST(tax_amount AS DOUBLE) AS tax_amount, CAST(total AS DOUBLE) AS total,
        CAST(total_exact AS DOUBLE) AS total_exact, reason
 FROM chk""",
-    "intake_sales_orders": _sales_check() + """
-SELECT id, concat('SO-20010720-', CAST(id AS VARCHAR)) AS order_number, client_id,
-       TIMESTAMP '2001-07-20 00:00:00' AS order_date, CAST(subtotal AS DOUBLE) AS subtotal,
-       CAST(tax_amount AS DOUBLE) AS tax_amount, CAST(total AS DOUBLE) AS total, notes, user_id AS created_by,
-       'QUOTE' AS status, CAST(delivery_date AS TIMESTAMP) AS delivery_date, requested_at, request_id
-FROM acc""",
+    "intake_sales_orders": _sales_check() + ORDER_ROWS,
+    "intake_sales_orders_allocate": ALLOCATE + ORDER_ROWS,
     "intake_sales_orders_lines": _sales_check() + """
 SELECT acc.id AS order_id, l.product_id, CAST(l.quantity AS DOUBLE) AS quantity, CAST(l.price AS DOUBLE) AS price
 FROM sales_order_lines l JOIN acc ON acc.request_id = l.request_id""",
@@ -425,3 +465,35 @@ FROM shifts WHERE id IN (SELECT id FROM shift_deletes)""",
 BODIES["stream_apply_movements"] = BODIES["apply_movements"]
 
 BODIES["kardex_hot_products"] = BODIES["kardex"]
+
+
+# Audit rows for accepted product creations and accepted movements, numbered after the stored maximum.
+_PRODUCT_CREATED = """
+     ok1 AS (SELECT * FROM product_requests WHERE sku IS NOT NULL),
+     firsts AS (SELECT sku, min({'a': requested_at, 'b': request_id}) AS f FROM ok1 GROUP BY sku),
+     okp AS (SELECT ok1.* FROM ok1 JOIN firsts ON ok1.sku = firsts.sku
+             WHERE {'a': ok1.requested_at, 'b': ok1.request_id} = firsts.f
+               AND ok1.sku NOT IN (SELECT sku FROM products WHERE sku IS NOT NULL)),
+     created AS (SELECT (SELECT coalesce(max(id), 0) FROM products)
+                          + row_number() OVER (ORDER BY requested_at, request_id, user_id, sku, description, type,
+                                                        unit, cost_price, min_stock, supplier_id) AS id,
+                        sku, user_id, requested_at, request_id FROM okp)"""
+
+BODIES["append_audit"] = ("\nWITH RECURSIVE" + fold_ctes(
+    "SELECT * FROM movement_requests",
+    "m.requested_at, m.request_id, m.movement_type, m.quantity, m.user_id, m.reference_document")
+    + "," + _PRODUCT_CREATED + """,
+     ev AS (SELECT user_id, 'CREATE_PRODUCT' AS action,
+                   concat('{"productId":', CAST(id AS VARCHAR), ',"sku":"', sku, '"}') AS details,
+                   requested_at, request_id FROM created
+            UNION ALL
+            SELECT user_id, CASE movement_type WHEN 'ENTRY' THEN 'INVENTORY_ENTRY' ELSE 'INVENTORY_EXIT' END,
+                   concat('{"movementId":', CAST(request_id AS VARCHAR), ',"productId":', CAST(product_id AS VARCHAR),
+                          ',"quantity":', CAST(CAST(CASE WHEN movement_type = 'EXIT' THEN -quantity ELSE quantity END
+                                                   AS DECIMAL(12,2)) AS VARCHAR), '}'),
+                   requested_at, request_id FROM d WHERE accepted)
+SELECT (SELECT coalesce(max(id), 0) FROM audits)
+         + row_number() OVER (ORDER BY requested_at NULLS FIRST, request_id NULLS FIRST, action NULLS FIRST,
+                                       details NULLS FIRST, user_id NULLS FIRST) AS id,
+       user_id, action, details, requested_at AS timestamp
+FROM ev""")
