@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import math
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -58,20 +57,21 @@ def dense_number(df: DataFrame, keys: list[str], name: str = "seq", start: Colum
     with one row per partition (a fixed bound, so it is broadcast). ``keys``
     must be unique for the numbering to be deterministic.
 
-    The partitioned frame is persisted: the counts and the rows must come
+    The partitioned frame is checkpointed into ``spark.checkpoint.dir``
+    (persisted when no folder is set): the counts and the rows must come
     from one range exchange, because two exchanges would sample their range
-    bounds separately and could place rows differently. A lost block is
-    recomputed through the same shuffle (its bounds are fixed once
-    computed), so the numbers stay the same.
+    bounds separately and could place rows differently.
     """
+    from millbook.plans.lineage import materialize
+
     spark = df.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     mid = F.monotonically_increasing_id()
     ordered = (df.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
                .withColumn("_mid", mid)
                .withColumn("_part", F.shiftright(F.col("_mid"), 33))
-               .withColumn("_local", F.col("_mid").bitwiseAND(F.lit((1 << 33) - 1)) + 1)
-               .persist(StorageLevel.MEMORY_AND_DISK))
+               .withColumn("_local", F.col("_mid").bitwiseAND(F.lit((1 << 33) - 1)) + 1))
+    ordered = materialize(ordered, consistent=True)
     counts = ordered.groupBy("_part").agg(F.count(F.lit(1)).alias("_cnt"))
     offsets = counts.select(
         "_part",

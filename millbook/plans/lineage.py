@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 
 from millbook.session import checkpoint_dir_of
 
 
-def materialize(df: DataFrame) -> DataFrame:
+def materialize(df: DataFrame, consistent: bool = False) -> DataFrame:
     """Write ``df`` once as a reliable checkpoint and read it back.
 
     The checkpoint goes to the shared folder in ``spark.checkpoint.dir``, so
