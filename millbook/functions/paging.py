@@ -62,16 +62,25 @@ def dense_number(df: DataFrame, keys: list[str], name: str = "seq", start: Colum
     from one range exchange, because two exchanges would sample their range
     bounds separately and could place rows differently.
     """
+    from pyspark import StorageLevel
+
     from millbook.plans.lineage import materialize
+    from millbook.session import checkpoint_dir_of
 
     spark = df.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     mid = F.monotonically_increasing_id()
-    ordered = (df.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
+    # the range partitioner samples its input in a job of its own; with the
+    # input cached while the frame is checkpointed it is computed only once
+    eager = checkpoint_dir_of(spark) is not None
+    src = df.persist(StorageLevel.MEMORY_AND_DISK) if eager else df
+    ordered = (src.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
                .withColumn("_mid", mid)
                .withColumn("_part", F.shiftright(F.col("_mid"), 33))
                .withColumn("_local", F.col("_mid").bitwiseAND(F.lit((1 << 33) - 1)) + 1))
     ordered = materialize(ordered, consistent=True)
+    if eager:
+        src.unpersist()
     counts = ordered.groupBy("_part").agg(F.count(F.lit(1)).alias("_cnt"))
     offsets = counts.select(
         "_part",

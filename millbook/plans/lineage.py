@@ -17,5 +17,11 @@ def materialize(df: DataFrame, consistent: bool = False) -> DataFrame:
     every job here is deterministic, so its lineage recomputes the same rows.
     """
     if checkpoint_dir_of(df.sparkSession):
-        return df.checkpoint(eager=True)
+        # persisted while the checkpoint is written, so the frame is computed
+        # once (a reliable checkpoint otherwise recomputes it to write files)
+        df.persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            return df.checkpoint(eager=True)
+        finally:
+            df.unpersist()
     return df
