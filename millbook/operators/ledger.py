@@ -50,10 +50,9 @@ def kardex(t: Tables, opening: DataFrame | None = None, granularity: str = "day"
     """
     keys = [F.col(c).asc_nulls_first() for c in order]
     mv = t.inventory_movements
-    total = mv.select(F.count(F.lit(1))).scalar()
-    hot = (mv.groupBy("product_id").agg(F.count(F.lit(1)).alias("_n"))
-           .filter(F.col("_n") > total * F.lit(hot_share))
-           .select("product_id", F.lit(True).alias("_hot")))
+    counts = mv.groupBy("product_id").agg(F.count(F.lit(1)).alias("_n"))
+    total = counts.select(F.sum("_n")).scalar()  # from the counts: no second pass over the ledger
+    hot = counts.filter(F.col("_n") > total * F.lit(hot_share)).select("product_id", F.lit(True).alias("_hot"))
     ts_col = F.col(order[0])
     mv = (mv.join(F.broadcast(hot), "product_id", "left")
           .withColumn("_bucket", F.when(F.col("_hot"), F.date_trunc(hot_granularity, ts_col))
