@@ -1,0 +1 @@
+"""Sinks: reports, appended rows, versioned snapshots."""

@@ -41,9 +41,11 @@ def current_snapshot(spark: SparkSession, root: str) -> str | None:
 def write_snapshot(df: DataFrame, root: str, fmt: str = "parquet") -> str:
     """Write ``df`` as the next version under ``root`` and point readers at it.
 
-    Versions are numbered after the current one; the pointer is replaced
-    only after the data folder is complete, so readers see either the old
-    or the new version.
+    Versions are numbered after the current one. The pointer is rewritten
+    only after the new folder is complete, so a pointer always names a
+    complete version; the rewrite itself is not atomic (a reader that hits
+    that moment finds no pointer and can retry). Old versions stay until
+    they are removed explicitly.
     """
     spark = df.sparkSession
     cur = current_snapshot(spark, root)
