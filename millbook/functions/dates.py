@@ -69,17 +69,3 @@ def period_plan(period: str | None, as_of: str | dt.date, start=None, end=None):
     if period == "yearly":
         return od >= F.lit(year_start(today)), bucket("month", od)
     return od >= F.lit(today - dt.timedelta(days=7)), bucket("day", od)
-
-
-def period_start(period: str | None, as_of: str | dt.date, start=None, end=None):
-    """Lower bound (and optional upper bound) the dashboard filter uses, as dates."""
-    if start and end:
-        return as_date(start), as_date(end)
-    today = as_date(as_of)
-    lower = {
-        "today": today,
-        "weekly": week_start(today),
-        "monthly": month_start(today),
-        "yearly": year_start(today),
-    }.get(period, today - dt.timedelta(days=7))
-    return lower, None

@@ -37,8 +37,7 @@ def _date_lit(value: DateLike) -> Column:
     return F.lit(value).cast(T.DateType())
 
 
-def bound(column: str | Column, start: DateLike = None, end: DateLike = None,
-          both_or_nothing: bool = False) -> Column | None:
+def bound(column: str | Column, start: DateLike = None, end: DateLike = None) -> Column | None:
     """Inclusive ``start <= col <= end``, each side optional.
 
     On a timestamp column a bare date bound means midnight, so the end day
@@ -46,8 +45,6 @@ def bound(column: str | Column, start: DateLike = None, end: DateLike = None,
     to the column's type by Catalyst, which keeps the predicate pushable.
     """
     col = F.col(column) if isinstance(column, str) else column
-    if both_or_nothing and not (_present(start) and _present(end)):
-        return None
     cond = None
     if _present(start):
         cond = col >= _date_lit(start)

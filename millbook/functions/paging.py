@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -42,10 +40,6 @@ def page_with_totals(df: DataFrame, keys: list[Column], page=1, limit=None,
             .withColumn("current_page", F.lit(page).cast(T.IntegerType())))
 
 
-def total_pages(total_items: int, limit: int) -> int:
-    return math.ceil(total_items / limit) if limit else 0
-
-
 def dense_number(df: DataFrame, keys: list[str], name: str = "seq", start: Column | int = 1,
                  partitions: int | None = None) -> DataFrame:
     """Number rows 1..n (plus ``start - 1``) in the total order of ``keys``, without one task.

@@ -73,8 +73,3 @@ def load_tables_jdbc(spark: SparkSession, url: str, properties: dict,
         return lambda: spark.read.jdbc(url=url, table=name, properties=properties)
 
     return Tables({n: reader(n) for n in names})
-
-
-def tables_from_frames(frames: Mapping[str, DataFrame]) -> Tables:
-    """Bundle from ready DataFrames (tests, change-set snapshots)."""
-    return Tables(dict(frames))

@@ -192,3 +192,16 @@ def test_kardex_on_a_hot_product_matches_a_running_sum(spark):
     # only product 1 (about a third of the rows) is hot here: hourly buckets for it, daily for the rest
     mixed = {r.reference_id: r.closing_balance for r in K.kardex(t, hot_share=0.2).collect()}
     assert mixed == want
+
+
+def test_movement_job_appends_and_snapshots(spark, tables_small, tmp_path):
+    from millbook.operators.jobs import run_movements
+    from millbook.sinks.writers import read_snapshot
+    t = tables_small
+    paths = run_movements(t, t.movement_requests, str(tmp_path))
+    moved = spark.read.parquet(paths["inventory_movements"])
+    rejects = spark.read.parquet(paths["rejects"])
+    assert moved.count() + rejects.count() == t.movement_requests.count()
+    delta = moved.agg(F.sum("quantity")).collect()[0][0]
+    new_stock = read_snapshot(spark, str(tmp_path / "products")).agg(F.sum("current_stock")).collect()[0][0]
+    assert new_stock - t.products.agg(F.sum("current_stock")).collect()[0][0] == delta
