@@ -117,7 +117,6 @@ _DECISION_SCHEMA = (
     "before_c long, after_c long")
 _REQUEST_COLUMNS = ["request_id", "requested_at", "product_id", "movement_type", "quantity", "user_id",
                     "reference_document"]
-_ARRIVAL_ORDER = ["requested_at", "request_id", "movement_type", "quantity", "user_id", "reference_document"]
 
 
 def _fold_group(key, batches, state):
@@ -125,29 +124,42 @@ def _fold_group(key, batches, state):
 
     The state holds the product's balance in cents; the first time a product
     is seen it starts from the opening stock each request carries. The rows
-    of one product in one micro-batch are sorted together (bounded by the
-    trigger size), never the product's whole history. Balances leave as
-    integer cents.
+    of one product in one micro-batch are ordered together (bounded by the
+    trigger size), never the product's whole history. Results are written at
+    each row's own position; balances leave as integer cents.
     """
+    import numpy as np
     import pandas as pd
 
     parts = [b for b in batches if len(b)]
     pdf = parts[0] if len(parts) == 1 else pd.concat(parts, ignore_index=True)
-    if len(pdf) > 1:
-        pdf = pdf.sort_values(_ARRIVAL_ORDER, kind="mergesort", ignore_index=True)
+    n = len(pdf)
+    is_exit = (pdf["movement_type"] == "EXIT").to_numpy()
+    qty = pdf["_q_c"].to_numpy()
+    if n > 1:  # arrival order: requested_at, request_id, movement_type, quantity, user_id, reference_document
+        order = np.lexsort((pdf["reference_document"].astype(str).to_numpy(),
+                            pdf["user_id"].fillna(-1).to_numpy(), qty, is_exit,
+                            pdf["request_id"].to_numpy(), pdf["requested_at"].to_numpy()))
+    else:
+        order = range(n)
     balance = state.get[0] if state.exists else int(pdf["_open_c"].iat[0])
-    accepted, before, after = [], [], []
-    for is_exit, q in zip((pdf["movement_type"] == "EXIT").tolist(), pdf["_q_c"].tolist()):
-        before.append(balance)
-        ok = (not is_exit) or balance >= q
-        if ok:
-            balance = balance - q if is_exit else balance + q
-        accepted.append(ok)
-        after.append(balance)
-    state.update((balance,))
-    out = pdf[_REQUEST_COLUMNS].copy()
-    out["accepted"], out["before_c"], out["after_c"] = accepted, before, after
-    yield out
+    accepted = np.zeros(n, dtype=bool)
+    before = np.zeros(n, dtype=np.int64)
+    after = np.zeros(n, dtype=np.int64)
+    exits, qs = is_exit.tolist(), qty.tolist()
+    for i in order:
+        before[i] = balance
+        if not exits[i]:
+            balance += qs[i]
+            accepted[i] = True
+        elif balance >= qs[i]:
+            balance -= qs[i]
+            accepted[i] = True
+        after[i] = balance
+    state.update((int(balance),))
+    out = {c: pdf[c] for c in _REQUEST_COLUMNS}
+    out.update(accepted=accepted, before_c=before, after_c=after)
+    yield pd.DataFrame(out)
 
 
 def movement_decisions_query(requests: DataFrame, products: DataFrame, root: str, trigger: dict | None = None):
