@@ -195,8 +195,10 @@ def apply_partial_updates(t: Tables, table: str, changes: DataFrame, as_of) -> C
     An explicitly supplied NULL is a value; an absent column keeps the stored
     one. Only active rows of clients, products, employees can change (shifts
     any row); a request for a missing row is rejected NOT_FOUND. A request
-    that supplies no settable column changes nothing. ``updated_at`` is
-    stamped when the table has it and some column changed.
+    that supplies no settable column changes nothing. Clients, products and
+    employees get ``updated_at = now`` on rows where some column changed
+    (the column is added when the stored table has none); shifts have no
+    ``updated_at``.
     """
     base = t[table]
     settable = [c for c in base.columns if c not in NOT_SETTABLE[table] and c in changes.columns]
