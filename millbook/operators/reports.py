@@ -17,9 +17,11 @@ from millbook.functions.money import ratio, sum_money, wide, zero
 from millbook.functions.ordering import asc, desc
 from millbook.sources.tables import Tables
 
+# Fixed values of the reports (they must equal the reference's for equal results):
+# statuses read, waste cost per kg (cost analysis), payroll hours per month,
+# overtime pay factor and hours deducted per absence.
 COMPLETED = "COMPLETED"
 OPEN_INVOICE = ("PENDING", "OVERDUE")
-# Fixed values of the production cost analysis.
 WASTE_COST_PER_KG = 25.0
 HOURS_PER_MONTH = 160.0
 OVERTIME_FACTOR = 2
