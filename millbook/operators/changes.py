@@ -327,6 +327,7 @@ def upsert_attendance(t: Tables, changes: DataFrame) -> ChangeResult:
 
 
 # --- W7: status changes ----------------------------------------------------------------------
+# Allowed target statuses per table (fixed values of the reference's status endpoints).
 STATUS_ALLOWED = {
     "sales_orders": ("CONFIRMED", "IN_PROGRESS", "COMPLETED", "CANCELLED"),
     "production_orders": ("PENDING", "IN_PROGRESS", "COMPLETED", "CANCELLED"),
