@@ -205,3 +205,76 @@ def test_movement_job_appends_and_snapshots(spark, tables_small, tmp_path):
     delta = moved.agg(F.sum("quantity")).collect()[0][0]
     new_stock = read_snapshot(spark, str(tmp_path / "products")).agg(F.sum("current_stock")).collect()[0][0]
     assert new_stock - t.products.agg(F.sum("current_stock")).collect()[0][0] == delta
+
+
+def test_partial_updates_equal_one_at_a_time(spark):
+    """W2 against applying each request in arrival order, on random change sets."""
+    from millbook.operators import changes as W
+    rng = random.Random(5)
+    clients = [{"id": i, "code": f"C{i}", "name": f"N{i}", "address": f"A{i}", "credit_limit": D(i),
+                "payment_terms": 30, "is_active": i % 4 != 0} for i in range(1, 13)]
+    reqs = []
+    for rid in range(1, 150):
+        cid = 1 if rng.random() < 0.34 else rng.randint(1, 14)  # a hot client, inactive and unknown ids
+        cols = rng.sample(["name", "address", "credit_limit", "payment_terms", "id"], rng.randint(0, 3))
+        reqs.append((rid, ts("2024-01-01 00:00:00") + __import__("datetime").timedelta(seconds=rng.randint(0, 50)),
+                     cid, ",".join(cols), f"name{rid}", None if rng.random() < 0.3 else f"addr{rid}",
+                     D(rng.randint(0, 999)), rng.randint(0, 90)))
+    t = make_tables(spark, clients=clients)
+    df = spark.createDataFrame(reqs, "request_id long, requested_at timestamp_ntz, id long, set_columns string, "
+                                     "name string, address string, credit_limit decimal(12,2), payment_terms int")
+    res = W.apply_partial_updates(t, "clients", df.repartition(4), "2024-02-01")
+    state = {c["id"]: dict(c) for c in clients}
+    touched, rejected = set(), set()
+    for rid, at, cid, cols, name, addr, cl, pt in sorted(reqs, key=lambda r: (r[1], r[0])):
+        if cid not in state or not state[cid]["is_active"]:
+            rejected.add(rid)
+            continue
+        vals = {"name": name, "address": addr, "credit_limit": cl, "payment_terms": pt}
+        for c in [c for c in cols.split(",") if c in vals]:
+            state[cid][c] = vals[c]
+            touched.add(cid)
+    got = {r.id: r for r in res.rows.collect()}
+    for cid, want in state.items():
+        row = got[cid]
+        assert (row.name, row.address, row.credit_limit, row.payment_terms) == \
+            (want["name"], want["address"], want["credit_limit"], want["payment_terms"]), cid
+        assert (row.updated_at is not None) == (cid in touched), cid
+    assert {r.request_id for r in res.rejects.collect()} == rejected
+
+
+def test_attendance_upsert_equals_one_at_a_time(spark):
+    """W6 against applying each registration in arrival order (coalesce(new, old); '' and 0 are NULL)."""
+    from millbook.operators import changes as W
+    import datetime as _dt
+    rng = random.Random(9)
+    day0 = _dt.date(2024, 1, 1)
+    stored = [{"id": k, "employee_id": e, "date": day0 + _dt.timedelta(days=d), "absence_reason": "OLD",
+               "overtime_hours": D(1)} for k, (e, d) in enumerate([(1, 0), (1, 1), (2, 0)], start=1)]
+    reqs = []
+    for rid in range(1, 120):
+        e, d = (1, 0) if rng.random() < 0.34 else (rng.randint(1, 3), rng.randint(0, 2))
+        reason = rng.choice([None, "", "SICK", "VACATION"])
+        hours = rng.choice([None, D(0), D(2), D(3.5)])
+        entry = rng.choice([None, ts("2024-01-01 08:00:00") + _dt.timedelta(minutes=rng.randint(0, 300))])
+        reqs.append((rid, ts("2024-02-01 00:00:00") + _dt.timedelta(seconds=rng.randint(0, 40)), e,
+                     day0 + _dt.timedelta(days=d), entry, None, reason, hours))
+    t = make_tables(spark, attendances=stored)
+    df = spark.createDataFrame(reqs, "request_id long, requested_at timestamp_ntz, employee_id long, date date, "
+                                     "entry_time timestamp_ntz, exit_time timestamp_ntz, absence_reason string, "
+                                     "overtime_hours decimal(12,2)")
+    got = {(r.employee_id, r.date): r for r in W.upsert_attendance(t, df.repartition(3)).rows.collect()}
+    want = {(s["employee_id"], s["date"]): {"entry_time": None, "absence_reason": s["absence_reason"],
+                                            "overtime_hours": s["overtime_hours"]} for s in stored}
+    for rid, at, e, d, entry, _exit, reason, hours in sorted(reqs, key=lambda r: (r[1], r[0])):
+        cur = want.setdefault((e, d), {"entry_time": None, "absence_reason": None, "overtime_hours": None})
+        new = {"entry_time": entry, "absence_reason": reason or None, "overtime_hours": hours or None}
+        for c, v in new.items():
+            if v is not None:
+                cur[c] = v
+    assert set(got) == set(want)
+    for k, w in want.items():
+        r = got[k]
+        assert (r.entry_time, r.absence_reason, r.overtime_hours) == \
+            (w["entry_time"], w["absence_reason"], w["overtime_hours"]), k
+    assert sorted(r.id for r in got.values()) == list(range(1, len(want) + 1))
