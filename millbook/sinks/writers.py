@@ -44,14 +44,15 @@ def write_snapshot(df: DataFrame, root: str, fmt: str = "parquet") -> str:
     Versions are numbered after the current one. The pointer is rewritten
     only after the new folder is complete, so a pointer always names a
     complete version; the rewrite itself is not atomic (a reader that hits
-    that moment finds no pointer and can retry). Old versions stay until
-    they are removed explicitly.
+    that moment finds no pointer and can retry). A rerun after a failed
+    attempt overwrites the unpointed folder that attempt left, which no
+    reader uses. Old versions stay until they are removed explicitly.
     """
     spark = df.sparkSession
     cur = current_snapshot(spark, root)
     version = int(cur.rsplit("v=", 1)[1]) + 1 if cur and "v=" in cur else 1
     target = os.path.join(root, f"v={version}")
-    df.write.mode("errorifexists").format(fmt).save(target)
+    df.write.mode("overwrite").format(fmt).save(target)
     spark.createDataFrame([(target,)], "path string").coalesce(1).write.mode("overwrite").text(_pointer(root))
     return target
 

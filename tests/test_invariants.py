@@ -138,6 +138,10 @@ def test_snapshot_sink_versions(spark, tmp_path):
     second = write_snapshot(spark.range(5), root)
     assert current_snapshot(spark, root) == second and second.endswith("v=2")
     assert read_snapshot(spark, root).count() == 5
+    # a failed attempt left an unpointed v=3 behind: the rerun replaces it
+    spark.range(1).write.parquet(root + "/v=3")
+    third = write_snapshot(spark.range(7), root)
+    assert third.endswith("v=3") and read_snapshot(spark, root).count() == 7
 
 
 def test_sales_intake_job_writes_reconciled_outputs(spark, tables_small, tmp_path):
