@@ -13,29 +13,33 @@ from millbook.sources.tables import Tables
 
 
 def run_sales_intake(t: Tables, headers: DataFrame, lines: DataFrame, as_of, out_root: str,
-                     mode: str = "snapshot") -> dict[str, str]:
+                     mode: str = "snapshot", batch_id: str | None = None) -> dict[str, str]:
     """W12 as a job: append orders, lines and movements; new products snapshot; rejects report.
 
     The decisions are checkpointed once and all five outputs derive from them.
     The products snapshot goes to a new version folder, never over the one read.
+    With ``batch_id`` the appends are per-batch folders, so a rerun is idempotent.
     """
     r = intake_sales_orders(t, headers, lines, as_of, mode=mode, checkpoint=True)
     paths = {name: os.path.join(out_root, name) for name in
              ("sales_orders", "order_products", "inventory_movements", "rejects")}
-    append_rows(r.sales_orders, paths["sales_orders"])
-    append_rows(r.order_products, paths["order_products"])
-    append_rows(r.movements, paths["inventory_movements"])
+    append_rows(r.sales_orders, paths["sales_orders"], batch_id=batch_id)
+    append_rows(r.order_products, paths["order_products"], batch_id=batch_id)
+    append_rows(r.movements, paths["inventory_movements"], batch_id=batch_id)
     write_report(r.rejects, paths["rejects"])
     paths["products"] = write_snapshot(r.stock, os.path.join(out_root, "products"))
     return paths
 
 
-def run_movements(t: Tables, requests: DataFrame, out_root: str) -> dict[str, str]:
-    """W9 as a job: append accepted movements, new products snapshot, rejects report."""
+def run_movements(t: Tables, requests: DataFrame, out_root: str, batch_id: str | None = None) -> dict[str, str]:
+    """W9 as a job: append accepted movements, new products snapshot, rejects report.
+
+    With ``batch_id`` the movements go to a per-batch folder, so a rerun is idempotent.
+    """
     r = apply_movements(t, requests, checkpoint=True)
     paths = {"inventory_movements": os.path.join(out_root, "inventory_movements"),
              "rejects": os.path.join(out_root, "movement_rejects")}
-    append_rows(r.movements, paths["inventory_movements"])
+    append_rows(r.movements, paths["inventory_movements"], batch_id=batch_id)
     write_report(r.rejects, paths["rejects"])
     paths["products"] = write_snapshot(r.stock, os.path.join(out_root, "products"))
     return paths

@@ -20,9 +20,17 @@ def write_report(df: DataFrame, path: str, fmt: str = "parquet", partition_by: l
     writer.save(path)
 
 
-def append_rows(df: DataFrame, path: str, fmt: str = "parquet") -> None:
-    """Rows added to a table folder (the INSERT of W1, W12-W14, W16)."""
-    df.write.mode("append").format(fmt).save(path)
+def append_rows(df: DataFrame, path: str, fmt: str = "parquet", batch_id: str | None = None) -> None:
+    """Rows added to a table folder (the INSERT of W1, W12-W14, W16).
+
+    With ``batch_id`` the rows go to ``{path}/batch=<id>``, replaced when the
+    same batch is written again, so rerunning a failed job adds nothing
+    twice (readers of ``path`` see a ``batch`` column). Without it, a plain append.
+    """
+    if batch_id is None:
+        df.write.mode("append").format(fmt).save(path)
+    else:
+        df.write.mode("overwrite").format(fmt).save(os.path.join(path, f"batch={batch_id}"))
 
 
 def _pointer(root: str) -> str:

@@ -282,3 +282,13 @@ def test_attendance_upsert_equals_one_at_a_time(spark):
         assert (r.entry_time, r.absence_reason, r.overtime_hours) == \
             (w["entry_time"], w["absence_reason"], w["overtime_hours"]), k
     assert sorted(r.id for r in got.values()) == list(range(1, len(want) + 1))
+
+
+def test_batch_appends_are_idempotent(spark, tables_small, tmp_path):
+    from millbook.operators.jobs import run_movements
+    t = tables_small
+    first = run_movements(t, t.movement_requests, str(tmp_path), batch_id="b1")
+    n = spark.read.parquet(first["inventory_movements"]).count()
+    run_movements(t, t.movement_requests, str(tmp_path), batch_id="b1")  # rerun of the same batch
+    again = spark.read.parquet(first["inventory_movements"])
+    assert again.count() == n and again.select("batch").distinct().count() == 1
