@@ -54,3 +54,11 @@ def test_aggregations_combine_map_side(spark, name):
 def test_kardex_spreads_a_product_over_time_buckets(spark):
     p = plan_of(QUERIES["kardex"](spark, SF_SMALL), "simple")
     assert "hashpartitioning(product_id" in p and "_bucket" in p
+
+
+def test_stock_fold_is_one_python_stage_over_a_product_partitioning(spark):
+    """Rows reach the fold hash-partitioned by product and sorted; one Python operator."""
+    p = plan_of(QUERIES["apply_movements"](spark, SF_SMALL), "simple")
+    assert p.count("MapInPandas") == 1
+    assert "hashpartitioning(product_id" in p
+    assert "rangepartitioning" not in p and "SinglePartition" not in p
