@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from millbook.plans.lineage import staged
+
 
 def page_bounds(page, limit, default_limit: int = 10) -> tuple[int, int, int]:
     """(page, limit, offset): page defaults to 1 and is clamped to >= 1."""
@@ -51,30 +53,17 @@ def dense_number(df: DataFrame, keys: list[str], name: str = "seq", start: Colum
     with one row per partition (a fixed bound, so it is broadcast). ``keys``
     must be unique for the numbering to be deterministic.
 
-    The partitioned frame is checkpointed into ``spark.checkpoint.dir``
-    (persisted when no folder is set): the counts and the rows must come
-    from one range exchange, because two exchanges would sample their range
-    bounds separately and could place rows differently.
+    The numbered partitions are staged in the shared folder whatever the
+    session's settings (:func:`millbook.plans.lineage.staged`): the counts and
+    the rows come from one range exchange, because two exchanges would sample
+    their bounds separately and place rows differently.
     """
-    from pyspark import StorageLevel
-
-    from millbook.plans.lineage import materialize
-    from millbook.session import checkpoint_dir_of
-
-    spark = df.sparkSession
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    mid = F.monotonically_increasing_id()
-    # the range partitioner samples its input in a job of its own; with the
-    # input cached while the frame is checkpointed it is computed only once
-    eager = checkpoint_dir_of(spark) is not None
-    src = df.persist(StorageLevel.MEMORY_AND_DISK) if eager else df
-    ordered = (src.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
-               .withColumn("_mid", mid)
-               .withColumn("_part", F.shiftright(F.col("_mid"), 33))
-               .withColumn("_local", F.col("_mid").bitwiseAND(F.lit((1 << 33) - 1)) + 1))
-    ordered = materialize(ordered, consistent=True)
-    if eager:
-        src.unpersist()
+    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ordered = staged(
+        df.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
+        .withColumn("_mid", F.monotonically_increasing_id())
+        .withColumn("_part", F.shiftright(F.col("_mid"), 33))
+        .withColumn("_local", F.col("_mid").bitwiseAND(F.lit((1 << 33) - 1)) + 1), "numbered")
     counts = ordered.groupBy("_part").agg(F.count(F.lit(1)).alias("_cnt"))
     offsets = counts.select(
         "_part",

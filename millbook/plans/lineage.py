@@ -1,27 +1,73 @@
-"""Lineage control for jobs whose result feeds several outputs."""
+"""Lineage control: reliable checkpoints and staged tables in the shared folder.
+
+Both write into the folder the cluster names in ``spark.checkpoint.dir``, which
+every executor can read, so losing an executor later never loses the data.
+"""
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+from millbook.session import checkpoint_dir_of, ensure_checkpoint_dir
+
+_STAGE_FOLDER = "millbook-stage"
 
-from millbook.session import checkpoint_dir_of
 
+def shared_dir(spark: SparkSession) -> str:
+    """The shared folder for checkpoints and staged tables.
 
-def materialize(df: DataFrame, consistent: bool = False) -> DataFrame:
+    ``spark.checkpoint.dir`` wins. A session on a local master without one
+    gets a scratch folder of its own (driver and tasks are one process there);
+    on a cluster a missing setting is an error, because a machine-local folder
+    would be invisible to the other executors.
+    """
+    target = checkpoint_dir_of(spark)
+    if not target:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
+        target = tempfile.mkdtemp(prefix="millbook-ckpt-")
+    ensure_checkpoint_dir(spark, fallback=target)
+    return target.rstrip("/")
+
+
+def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` once as a reliable checkpoint and read it back.
 
-    The checkpoint goes to the shared folder in ``spark.checkpoint.dir``, so
-    losing an executor later costs no recomputation of the upstream joins
-    and folds. Without a configured folder the frame is returned unchanged:
-    every job here is deterministic, so its lineage recomputes the same rows.
+    The frame is persisted while the checkpoint is written, so it is computed
+    once (a reliable checkpoint otherwise recomputes it to write its files).
+    """
+    shared_dir(df.sparkSession)
+    df.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return df.checkpoint(eager=True)
+    finally:
+        df.unpersist()
+
+
+def staged(df: DataFrame, label: str) -> DataFrame:
+    """Write ``df`` as a Parquet table in the shared folder and return a reader over it.
+
+    Like a checkpoint, but compact (columnar, compressed) and readable by
+    column; a reader keeps no partitioning of the writer, so a later join
+    shuffles both sides itself and AQE can split a hot key on either.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{_STAGE_FOLDER}/{label}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def drop_staged(spark: SparkSession) -> None:
+    """Delete every staged table below the session's shared folder.
+
+    For the end of a job, when all results that read them have been written.
     """
-    if checkpoint_dir_of(df.sparkSession):
-        # persisted while the checkpoint is written, so the frame is computed
-        # once (a reliable checkpoint otherwise recomputes it to write files)
-        df.persist(StorageLevel.MEMORY_AND_DISK)
-        try:
-            return df.checkpoint(eager=True)
-        finally:
-            df.unpersist()
-    return df
+    target = checkpoint_dir_of(spark)
+    if target:
+        jvm = spark.sparkContext._jvm
+        path = jvm.org.apache.hadoop.fs.Path(f"{target.rstrip('/')}/{_STAGE_FOLDER}")
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

@@ -6,12 +6,15 @@ import __spark_entry__ as E
 from tests.conftest import SF_SMALL
 from tools.oracle_check import frame_hash
 
-QUERIES = E.queries()
-ORACLE = E.oracle_sql()
+from millbook import catalog, oracle
+
+QUERIES = catalog.queries()
+ORACLE = oracle.oracle_sql()
 
 
 def test_every_query_has_an_oracle():
     assert set(ORACLE) == set(QUERIES)
+    assert set(QUERIES) <= set(E.queries())
 
 
 @pytest.mark.parametrize("name", sorted(ORACLE))
