@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millbook.llm import exact_dedup, mixing
+from millbook.llm import exact_dedup, mixing, secret_scan, sharding, simhash, toxicity, url_filters
 from millbook.session import ship_package
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -30,7 +30,67 @@ def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
                        "source", "copies")
 
 
-_QUERIES = [op1_exact_dedup, op2_mix_sources]
+def hex64(c: str) -> Column:
+    return F.lpad(F.lower(F.hex(c)), 16, "0")
+
+
+def op3_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its fingerprint and the smallest id reachable over near copies."""
+    found = simhash.near_duplicates(read(spark, sf_dir, "documents"))
+    return found.select("doc_id", hex64("fp").alias("fingerprint"), "component_id")
+
+
+def remainder(column: str, divisor: int) -> Column:
+    """crc32 of the id as text, by ``divisor``; -1 for a null id, which is in no fold."""
+    return F.coalesce(F.crc32(F.col(column).cast("string")) % divisor, F.lit(-1))
+
+
+def toxicity_model(docs: DataFrame, labels: DataFrame) -> toxicity.FactorizationMachine:
+    return toxicity.train(docs, labels.filter(remainder("doc_id", 5) != 0))
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's toxicity, learnt from the labels outside the held-out fold."""
+    docs = read(spark, sf_dir, "documents")
+    model = toxicity_model(docs, read(spark, sf_dir, "labels"))
+    return toxicity.score(docs, model, ["doc_id"]).select(
+        "doc_id", (remainder("doc_id", 5) == 0).alias("held_out"), "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+#: The contract's rules.
+URL_RULES = (url_filters.Rule("block", "net", "/"), url_filters.Rule("allow", "example.net", "/en/"),
+             url_filters.Rule("block", "example.com", "/de/"), url_filters.Rule("allow", "org", "/fr/"))
+
+
+def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's host, path, rule and verdict."""
+    return url_filters.filter_urls(read(spark, sf_dir, "pages"), URL_RULES, ["page_id"])
+
+
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's secrets by kind, and where they are."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    found, _ledger = secret_scan.scan(docs)
+    joined = secret_scan.joined_spans(F.col("spans"))
+
+    def count(kind: int) -> Column:
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
+
+    return found.select("doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"),
+                        F.sha2(joined, 256).alias("base_sha256"), joined.alias("spans"))
+
+
+def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's shard of 24, near equal in bytes, and its place there."""
+    placed = sharding.shard(read(spark, sf_dir, "documents"))
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard",
+                         F.col("place").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"),
+                         "virtual_slot")
+
+
+_QUERIES = [op1_exact_dedup, op2_mix_sources, op3_simhash_dedup, op4_toxicity, op5_url_filters, op6_secret_scan,
+            op7_sharding]
 
 
 def queries() -> dict[str, QueryFn]:
