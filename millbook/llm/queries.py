@@ -7,7 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millbook.llm import exact_dedup, mixing, secret_scan, sharding, simhash, toxicity, url_filters
+from millbook.llm import (
+    embedding_dedup,
+    exact_dedup,
+    language_id,
+    mixing,
+    oracle,
+    packing,
+    secret_scan,
+    sharding,
+    simhash,
+    toxicity,
+    url_filters,
+)
 from millbook.session import ship_package
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -20,7 +32,7 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with the document that stays for its text."""
     found = exact_dedup.exact_duplicates(read(spark, sf_dir, "documents"))
-    return found.select("doc_id", "keep_id", "group_size", "kept", "text_sha256", "name_level", "name")
+    return found.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,7 +58,7 @@ def remainder(column: str, divisor: int) -> Column:
 
 
 def toxicity_model(docs: DataFrame, labels: DataFrame) -> toxicity.FactorizationMachine:
-    return toxicity.train(docs, labels.filter(remainder("doc_id", 5) != 0))
+    return toxicity.train(docs, labels.filter(remainder("doc_id", 5) > 0))
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -89,8 +101,34 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
                          "virtual_slot")
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's language, learnt from the documents outside the held-out fold."""
+    docs = read(spark, sf_dir, "documents")
+    fold = remainder("doc_id", 4)
+    filters = language_id.train(docs.filter((fold != 2) & (fold >= 0)))
+    return language_id.identify(docs, filters, ["doc_id"]).select(
+        "doc_id", (fold == 2).alias("held_out"), "lang_pred", "score")
+
+
+def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector's links, component and whether it stays."""
+    return embedding_dedup.near_vectors(read(spark, sf_dir, "embeddings"))
+
+
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op10_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's pieces and where they lie."""
+    packed = packing.pack_documents(read(spark, sf_dir, "documents"), tokenizer_path())
+    return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
 _QUERIES = [op1_exact_dedup, op2_mix_sources, op3_simhash_dedup, op4_toxicity, op5_url_filters, op6_secret_scan,
-            op7_sharding]
+            op7_sharding, op8_language_id, op9_embedding_dedup, op10_pack_sequences]
 
 
 def queries() -> dict[str, QueryFn]:
@@ -104,4 +142,6 @@ def queries() -> dict[str, QueryFn]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """The others hold a model, a graph search or a draw; they are tested against brute force."""
+    return {"op1_exact_dedup": oracle.EXACT_DEDUP, "op5_url_filters": oracle.URL_FILTERS,
+            "op6_secret_scan": oracle.SECRET_SCAN}
