@@ -29,7 +29,7 @@ from millbook.llm.text import with_row_ids
 from millbook.plans.lineage import staged
 
 LEAST = 0.93
-MARGIN = 6.0          # degrees
+MARGIN = 4.0          # degrees
 SAMPLE = 20_000       # vectors the centroids are fitted on, about
 PER_CELL = 1_000      # wanted vectors of one label in a cell
 MAX_CELLS = 2_048     # centroids; more rows then make cells larger, still compared in whole
