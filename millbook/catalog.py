@@ -41,12 +41,12 @@ def register(name: str, nullable_ints: tuple[str, ...] = ()):
     return deco
 
 
-def register_session(name: str):
+def register_session(name: str, nullable_ints: tuple[str, ...] = ()):
     """Register a query that needs the session itself (streams), output made portable."""
     def deco(fn: Callable[[SparkSession, str], DataFrame]) -> Callable:
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             ship_package(spark)
-            return portable(fn(spark, sf_dir))
+            return portable(fn(spark, sf_dir), nullable_ints)
         run.__name__ = name
         run.__doc__ = fn.__doc__
         _REGISTRY[name] = run

@@ -2,8 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.sql import functions as F
+
 from millbook.catalog import register
 from millbook.operators import ledger as K
+from millbook.operators.jobs import run_movements
+from millbook.plans.lineage import shared_dir
+from millbook.sources.fixtures import derive_tables
+from millbook.sources.schemas import MONEY
+from millbook.sources.tables import load_tables
 
 
 @register("kardex")
@@ -39,21 +48,17 @@ from millbook.catalog import AS_OF_DEFAULT  # noqa: E402
 from millbook.operators import changes as W  # noqa: E402
 
 
-def _unique_sku(t):
-    return lambda df: W.reject_duplicate_key(df, "sku", t.products, "DUPLICATE_SKU")
-
-
 @register("append_products", nullable_ints=("supplier_id",))
 def _w1p(t):
     """W1 + W8: product creations with defaults, SKU uniqueness, new ids."""
     return W.append_with_defaults(t, "products", t.product_requests, AS_OF_DEFAULT,
-                                  checks=[lambda df: W.reject_missing(df, "sku"), _unique_sku(t)]).rows
+                                  checks=[lambda df: W.reject_missing(df, "sku")]).rows
 
 
 @register("append_products_rejects")
 def _w1pr(t):
     return W.append_with_defaults(t, "products", t.product_requests, AS_OF_DEFAULT,
-                                  checks=[lambda df: W.reject_missing(df, "sku"), _unique_sku(t)]).rejects
+                                  checks=[lambda df: W.reject_missing(df, "sku")]).rejects
 
 
 @register("append_production_orders")
@@ -67,9 +72,8 @@ def _w1o(t):
 
 @register("append_wastes")
 def _w1w(t):
-    """Waste rows stamped now; the production order must exist."""
-    return W.append_with_defaults(t, "wastes", t.waste_requests, AS_OF_DEFAULT,
-                                  checks=[lambda df: W.reject_not_positive(df, "quantity")]).rows
+    """W1 + W8: waste rows stamped now; process and quantity checked, the production order must exist."""
+    return W.append_with_defaults(t, "wastes", t.waste_requests, AS_OF_DEFAULT).rows
 
 
 # ---- W2 / W3 ---------------------------------------------------------------------
@@ -162,17 +166,18 @@ def _w11(t):
 @register("intake_sales_orders")
 def _w12(t):
     """W12 snapshot mode: the new QUOTE order headers."""
-    return I.intake_sales_orders(t, t.sales_order_requests, t.sales_order_lines, AS_OF_DEFAULT).sales_orders
+    return I.intake_sales_orders(t, t.sales_order_requests, t.sales_order_lines, AS_OF_DEFAULT, mode="snapshot").sales_orders
 
 
 @register("intake_sales_orders_lines")
 def _w12l(t):
-    return I.intake_sales_orders(t, t.sales_order_requests, t.sales_order_lines, AS_OF_DEFAULT).order_products
+    return I.intake_sales_orders(t, t.sales_order_requests, t.sales_order_lines, AS_OF_DEFAULT,
+                                 mode="snapshot").order_products
 
 
 @register("intake_sales_orders_stock", nullable_ints=("supplier_id",))
 def _w12s(t):
-    return I.intake_sales_orders(t, t.sales_order_requests, t.sales_order_lines, AS_OF_DEFAULT).stock
+    return I.intake_sales_orders(t, t.sales_order_requests, t.sales_order_lines, AS_OF_DEFAULT, mode="snapshot").stock
 
 
 @register("intake_sales_orders_allocate")
@@ -199,7 +204,7 @@ def _w14(t):
     return I.intake_batches(t, t.batch_requests, AS_OF_DEFAULT).rows
 
 
-@register("intake_batches_movements")
+@register("intake_batches_movements", nullable_ints=("line_no",))
 def _w14m(t):
     return I.intake_batches(t, t.batch_requests, AS_OF_DEFAULT).movements
 
@@ -208,12 +213,24 @@ def _w14m(t):
 def _w16(t):
     """Audit rows for accepted product creations and stock movements."""
     created = W.append_with_defaults(t, "products", t.product_requests, AS_OF_DEFAULT,
-                                     checks=[lambda df: W.reject_missing(df, "sku"), _unique_sku(t)]).rows
+                                     checks=[lambda df: W.reject_missing(df, "sku")]).rows
     created = created.join(t.product_requests.select("request_id", "user_id"), "request_id")
-    moved = K.apply_movements(t, t.movement_requests).movements
+    moved = K.numbered_movements(t, K.apply_movements(t, t.movement_requests).movements)
     return W.append_audit(t, created=created, movements=moved)
 
 
+@register("append_audit_changes")
+def _w16c(t):
+    """Audit rows for accepted product updates and deletions (the user is derived from the request)."""
+    active = t.products.filter("is_active").select("id")
+
+    def accepted(requests):
+        return requests.join(active, "id", "left_semi").withColumn("user_id", F.col("request_id") % 50)
+
+    updated = accepted(t.product_updates).withColumn("changes", F.struct("set_columns"))
+    return W.append_audit(t, updated=updated, deleted=accepted(t.product_deletes))
+
+
 # ---- T1 / T2 / T3 -----------------------------------------------------------------
 from millbook.catalog import register_session  # noqa: E402
 from millbook.streaming import jobs as S  # noqa: E402
@@ -237,13 +254,17 @@ def _t3(spark, sf_dir):
     return S.stream_apply_movements(spark, sf_dir)
 
 
+@register_session("stream_apply_movements_rejects")
+def _t3r(spark, sf_dir):
+    """What the stream rejects, invalid requests and those without stock."""
+    return S.stream_movement_rejects(spark, sf_dir)
+
+
 # ---- more tables through W1 / W2 / W4 / W7 / Q18 -------------------------------------
 @register("append_clients")
 def _w1c(t):
     """W1 + W8: client creations with credit/terms defaults and unique codes."""
-    return W.append_with_defaults(
-        t, "clients", t.client_requests, AS_OF_DEFAULT,
-        checks=[lambda df: W.reject_duplicate_key(df, "code", t.clients, "DUPLICATE_CODE")]).rows
+    return W.append_with_defaults(t, "clients", t.client_requests, AS_OF_DEFAULT).rows
 
 
 @register("append_employees")
@@ -301,8 +322,58 @@ def _q18s(t):
     return L.lookup_active(t, "shifts", t.shift_deletes.select("id"))
 
 
-
 @register("kardex_hot_products")
 def _k1h(t):
-    """K1 where every product above 0.04 % of the ledger counts as hot (hourly buckets)."""
-    return K.kardex(t, hot_share=4e-4)
+    """K1 over a ledger in which one product holds a third of the rows, most of them at one moment."""
+    return K.kardex(t.replace(inventory_movements=t.hot_movements))
+
+
+# ---- rejects and user creation -----------------------------------------------------------
+@register("append_users")
+def _w1u(t):
+    """W1 + W8: user creations (no password part): required fields, unique username, email and employee."""
+    return W.append_with_defaults(t, "users", t.user_requests, AS_OF_DEFAULT).rows.drop("last_login", "updated_at")
+
+
+@register("update_users_rejects")
+def _w3r(t):
+    return W.update_users(t, t.user_updates, AS_OF_DEFAULT).rejects
+
+
+@register("intake_batches_rejects")
+def _w14r(t):
+    return I.intake_batches(t, t.batch_requests, AS_OF_DEFAULT).rejects
+
+
+for _table, _requests in (("users", "user_requests"), ("incomes", "income_requests"), ("expenses", "expense_requests"),
+                          ("shifts", "shift_requests"), ("wastes", "waste_requests")):
+    register(f"append_{_table}_rejects")(
+        lambda t, table=_table, requests=_requests:
+        W.append_with_defaults(t, table, t[requests], AS_OF_DEFAULT).rejects)
+
+
+# ---- jobs: write, load again, go on ------------------------------------------------------
+def _stored(spark, sf_dir):
+    """The movement job's folder, its batch run twice (the second run changes nothing)."""
+    t = derive_tables(spark, sf_dir)
+    root = f"{shared_dir(spark)}/movement-job-{uuid.uuid4().hex}"
+    run_movements(t, t.movement_requests, root, batch_id="first")
+    run_movements(t.replace(products=load_tables(spark, root, ["products"]).products), t.movement_requests, root,
+                  batch_id="first")
+    return t, load_tables(spark, root, ["products", "inventory_movements"])
+
+
+@register_session("stored_movements_kardex", nullable_ints=("line_no",))
+def _job_kardex(spark, sf_dir):
+    """W9 as a job, its written ledger loaded again and run through K1."""
+    return K.kardex(_stored(spark, sf_dir)[1])
+
+
+@register_session("stored_movements_stock")
+def _job_stock(spark, sf_dir):
+    """Stock before the job and in the snapshot it published."""
+    t, stored = _stored(spark, sf_dir)
+    after = stored.products.select(F.col("id").alias("product_id"), F.coalesce("current_stock", F.lit(0)).alias("stock_after"))
+    before = t.products.select(F.col("id").alias("product_id"), F.coalesce("current_stock", F.lit(0)).alias("stock_before"))
+    return before.join(after, "product_id").select(
+        "product_id", *[F.col(c).cast(MONEY).alias(c) for c in ("stock_before", "stock_after")])

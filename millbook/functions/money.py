@@ -42,14 +42,16 @@ def text_or(c: str | Column, default) -> Column:
     return F.coalesce(F.nullif(col, F.lit("")), default if isinstance(default, Column) else F.lit(default))
 
 
-def as_double(c: str | Column) -> Column:
-    return _col(c).cast(T.DoubleType())
+def quotient(num: str | Column, den: str | Column, places: int) -> Column:
+    """``num / den`` in decimal, half-up to ``places``; NULL when the denominator is 0 or NULL."""
+    n, d = _col(num).cast(T.DecimalType(24, 2)), F.nullif(_col(den).cast(T.DecimalType(13, 2)), F.lit(0))
+    return F.round(n / d, places).cast(T.DecimalType(20, places))
 
 
-def ratio(num: str | Column, den: str | Column) -> Column:
-    """``num / den`` in double; NULL when the denominator is 0 or NULL."""
-    d = as_double(den)
-    return F.when(d != F.lit(0.0), as_double(num) / d)
+def parse_number(c: str | Column, default=0) -> Column:
+    """JavaScript ``parseFloat(x) || default`` on text: the number the text begins with, NULL, 0 and no number give the default."""
+    text = F.regexp_extract(_col(c), r"^\s*([+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?)", 1)
+    return num_or(text.try_cast(T.DoubleType()).cast(T.DecimalType(18, 4)), F.lit(default).cast(T.DecimalType(18, 4)))
 
 
 def cents(c: str | Column) -> Column:

@@ -42,6 +42,14 @@ def _now(as_of) -> Column:
     return F.lit(f"{D.as_date(as_of).isoformat()} 00:00:00").cast(T.TimestampNTZType())
 
 
+def _stamp(base: DataFrame, touched: Column, as_of) -> Column:
+    """``updated_at`` of a snapshot: now on touched rows, what the table has on the others."""
+    stamp = F.when(touched, _now(as_of))
+    if "updated_at" in base.columns:
+        stamp = stamp.otherwise(F.col("updated_at"))
+    return stamp.cast(T.TimestampNTZType())
+
+
 def _reject(df: DataFrame, cond: Column, reason: str) -> tuple[DataFrame, DataFrame]:
     """Split ``df`` on ``cond``: (kept, rejects with ``reason``). NULL conditions keep the row."""
     flagged = df.withColumn("_bad", F.coalesce(cond, F.lit(False)))
@@ -55,7 +63,14 @@ def _empty_rejects(df: DataFrame) -> DataFrame:
 
 # --- W8: validation rules --------------------------------------------------------------
 def reject_missing(df: DataFrame, column: str, reason: str = "REQUIRED_FIELD_MISSING"):
-    return _reject(df, F.col(column).isNull(), f"{reason}:{column}")
+    """NULL, and what counts as missing in a request: an empty text or a 0."""
+    kind = df.schema[column].dataType
+    empty = F.lit(False)
+    if isinstance(kind, T.StringType):
+        empty = F.col(column) == ""
+    elif isinstance(kind, T.NumericType):
+        empty = F.col(column) == 0
+    return _reject(df, F.col(column).isNull() | empty, f"{reason}:{column}")
 
 
 def reject_not_positive(df: DataFrame, column: str):
@@ -98,6 +113,46 @@ def reject_duplicate_key(df: DataFrame, key: str, existing: DataFrame, reason: s
     return kept.drop("_stored", "_first"), rej
 
 
+def reject_taken_key(df: DataFrame, key: str, existing: DataFrame, reason: str):
+    """Unique-key check of updates: ``key`` is stored for another ``id``, or an earlier
+    request of the batch sets it for another ``id``. NULL keys never collide."""
+    wanted = df.select(F.col(key).alias("_k")).filter(F.col("_k").isNotNull()).distinct()
+    stored = (existing.select(F.col(key).alias("_k"), F.col("id").alias("_h")).join(wanted, "_k", "left_semi")
+              .groupBy("_k").agg(F.min("_h").alias("_holder"), F.max("_h").alias("_holder_2")))
+    first = df.filter(F.col(key).isNotNull()).groupBy(F.col(key).alias("_k")).agg(
+        F.min(F.struct(*[F.col(c) for c in ARRIVAL], F.col("id").alias("_id"))).alias("_first"))
+    j = (df.join(stored, df[key] == stored["_k"], "left").drop("_k")
+         .join(first, df[key] == first["_k"], "left").drop("_k"))
+    taken = (F.col("_holder") != F.col("id")) | (F.col("_holder_2") != F.col("id")) | (F.col("_first._id") != F.col("id"))
+    kept, rej = _reject(j, taken, reason)
+    return kept.drop("_holder", "_holder_2", "_first"), rej
+
+
+# What the reference's endpoints require of an insert, in their order of checking
+# (fixed values): positive amounts, required fields, allowed values.
+POSITIVE = {"incomes": ("amount",), "expenses": ("amount",), "shifts": ("duration",), "wastes": ("quantity",)}
+REQUIRED = {"incomes": ("date", "source"), "expenses": ("date", "category"), "shifts": ("employee_id", "date"),
+            "users": ("username", "role", "employee_id")}
+ALLOWED = {"wastes": {"process": ("EXTRUSION", "BLOWING")}}
+UNIQUE_KEYS = {"users": {"username": "DUPLICATE_USERNAME", "email": "DUPLICATE_EMAIL",
+                         "employee_id": "DUPLICATE_EMPLOYEE"},
+               "products": {"sku": "DUPLICATE_SKU"}, "clients": {"code": "DUPLICATE_CODE"}}
+
+
+def standard_checks(t: Tables, table: str) -> list:
+    """The W8 checks every insert into ``table`` passes: allowed values, amounts, required fields, unique keys."""
+    checks = []
+    for column, allowed in ALLOWED.get(table, {}).items():
+        checks.append(lambda df, c=column, a=allowed: reject_not_allowed(df, c, a))
+    for column in POSITIVE.get(table, ()):
+        checks.append(lambda df, c=column: reject_not_positive(df, c))
+    for column in REQUIRED.get(table, ()):
+        checks.append(lambda df, c=column: reject_missing(df, c))
+    for key, reason in UNIQUE_KEYS.get(table, {}).items():
+        checks.append(lambda df, k=key, r=reason: reject_duplicate_key(df, k, t[table], r))
+    return checks
+
+
 # --- W1: inserts with defaults -----------------------------------------------------------
 # Per-table defaults of inserted rows (fixed values of the reference's create functions).
 def _defaults(table: str, as_of) -> dict[str, Column]:
@@ -119,6 +174,8 @@ def _defaults(table: str, as_of) -> dict[str, Column]:
         return {"supplier_id": F.nullif(F.col("supplier_id"), F.lit(0))}
     if table == "wastes":
         return {"date": now}
+    if table == "users":
+        return {"is_active": F.lit(True)}
     if table == "production_orders":
         return {"status": F.lit("PENDING"), "priority": text_or("priority", "MEDIUM")}
     return {}
@@ -135,17 +192,17 @@ def append_with_defaults(t: Tables, table: str, requests: DataFrame, as_of,
                          checks: list | None = None) -> ChangeResult:
     """Insert requests into ``table`` with its defaults and new ids.
 
-    ``checks`` are W8 functions ``df -> (kept, rejects)`` applied first.
-    Production orders get ``OP-yyyymmdd-id`` numbers; wastes need an existing
-    production order. Returns the appended rows in the table's columns.
+    ``checks`` are W8 functions ``df -> (kept, rejects)`` applied first, then
+    the table's :func:`standard_checks`. Production orders get
+    ``OP-yyyymmdd-id`` numbers; wastes need an existing production order.
+    Returns the appended rows in the table's columns.
     """
     existing = t[table]
     kept, rejects = requests, [_empty_rejects(requests)]
+    every = [*(checks or []), *standard_checks(t, table)]
     if table == "wastes":
-        kept, r = reject_missing_reference(kept, "order_id", t.production_orders, "ORDER_NOT_FOUND")
-        kept = _drop_ref(kept)
-        rejects.append(r)
-    for check in checks or []:
+        every.append(lambda df: reject_missing_reference(df, "order_id", t.production_orders, "ORDER_NOT_FOUND"))
+    for check in every:
         kept, r = check(kept)
         kept = _drop_ref(kept)
         rejects.append(r)
@@ -195,7 +252,8 @@ def apply_partial_updates(t: Tables, table: str, changes: DataFrame, as_of) -> C
     An explicitly supplied NULL is a value; an absent column keeps the stored
     one. Only active rows of clients, products, employees can change (shifts
     any row); a request for a missing row is rejected NOT_FOUND. A request
-    that supplies no settable column changes nothing. Clients, products and
+    that supplies no settable column changes nothing; one that sets a unique
+    key another row holds is rejected. Clients, products and
     employees get ``updated_at = now`` on rows where some column changed
     (the column is added when the stored table has none); shifts have no
     ``updated_at``.
@@ -207,6 +265,13 @@ def apply_partial_updates(t: Tables, table: str, changes: DataFrame, as_of) -> C
     ids = _known_ids(target, ch)
     j = ch.join(ids, ch["id"] == ids["_tid"], "left")
     valid, rejects = _reject(j, F.col("_tid").isNull(), "NOT_FOUND")
+    valid = valid.drop("_tid")
+    for key, reason in UNIQUE_KEYS.get(table, {}).items():
+        if key in settable:
+            sets = F.array_contains(F.col("_set"), F.lit(key))
+            checked, r = reject_taken_key(valid.filter(sets), key, base, reason)
+            valid = valid.filter(~sets).unionByName(checked)
+            rejects = rejects.unionByName(r)
     aggs = []
     for c in settable:
         supplied = F.array_contains(F.col("_set"), F.lit(c))
@@ -225,10 +290,7 @@ def apply_partial_updates(t: Tables, table: str, changes: DataFrame, as_of) -> C
             out.append(F.col(c))
     snapshot = merged.select(*out, touched.alias("_touched"))
     if STAMPS_UPDATED_AT[table]:
-        stamp = F.when(F.col("_touched"), _now(as_of))
-        if "updated_at" in base.columns:
-            stamp = stamp.otherwise(F.col("updated_at"))
-        snapshot = snapshot.withColumn("updated_at", stamp.cast(T.TimestampNTZType()))
+        snapshot = snapshot.withColumn("updated_at", _stamp(base, F.col("_touched"), as_of))
     return ChangeResult(snapshot.drop("_touched"), rejects)
 
 
@@ -238,17 +300,25 @@ USER_FIELDS = ("username", "email", "role", "employee_id", "is_active")
 
 def update_users(t: Tables, changes: DataFrame, as_of) -> ChangeResult:
     """Replace username, email, role, employee_id, is_active as a whole
-    (absent = NULL), for users in any state; the latest request per id wins."""
+    (absent = NULL), for users in any state; the latest request per id wins.
+
+    A username, email or employee link that another user holds, or that an
+    earlier request of the batch claims for another user, rejects the request.
+    """
     ids = _known_ids(t.users, changes)
     j = changes.join(ids, changes["id"] == ids["_tid"], "left")
     valid, rejects = _reject(j, F.col("_tid").isNull(), "NOT_FOUND")
+    valid = valid.drop("_tid")
+    for key, reason in UNIQUE_KEYS["users"].items():
+        valid, r = reject_taken_key(valid, key, t.users, reason)
+        rejects = rejects.unionByName(r)
     latest = valid.groupBy("id").agg(
         F.max_by(F.struct(*[F.col(c) for c in USER_FIELDS]), _arrival()).alias("_n"))
     merged = t.users.join(latest, "id", "left")
     cols = [F.when(F.col("_n").isNotNull(), F.col(f"_n.{c}")).otherwise(F.col(c))
             .cast(t.users.schema[c].dataType).alias(c) if c in USER_FIELDS else F.col(c)
-            for c in t.users.columns]
-    snapshot = merged.select(*cols, F.when(F.col("_n").isNotNull(), _now(as_of)).alias("updated_at"))
+            for c in t.users.columns if c != "updated_at"]
+    snapshot = merged.select(*cols, _stamp(t.users, F.col("_n").isNotNull(), as_of).alias("updated_at"))
     return ChangeResult(snapshot, rejects)
 
 
@@ -270,11 +340,8 @@ def soft_delete(t: Tables, table: str, requests: DataFrame, as_of) -> ChangeResu
     hit = valid.select(F.col("id").alias("_hid")).distinct()
     merged = base.join(hit, base["id"] == hit["_hid"], "left")
     deleted = F.col("_hid").isNotNull()
-    stamp = F.when(deleted, _now(as_of))
-    if "updated_at" in base.columns:
-        stamp = stamp.otherwise(F.col("updated_at"))
     snapshot = (merged.withColumn("is_active", F.when(deleted, F.lit(False)).otherwise(F.col("is_active")))
-                .withColumn("updated_at", stamp.cast(T.TimestampNTZType())).drop("_hid"))
+                .withColumn("updated_at", _stamp(base, deleted, as_of)).drop("_hid"))
     return ChangeResult(snapshot, rejects)
 
 
@@ -349,23 +416,24 @@ def apply_status_changes(t: Tables, table: str, changes: DataFrame, as_of) -> Ch
     latest = valid.groupBy("id").agg(F.max_by(F.col("status"), order).alias("_status"))
     merged = base.join(latest, "id", "left")
     snapshot = (merged.withColumn("status", F.coalesce(F.col("_status"), F.col("status")))
-                .withColumn("updated_at", F.when(F.col("_status").isNotNull(), _now(as_of)))
-                .drop("_status"))
+                .withColumn("updated_at", _stamp(base, F.col("_status").isNotNull(), as_of)).drop("_status"))
     return ChangeResult(snapshot, rejects.unionByName(r2))
 
 
 # --- W15: costings ---------------------------------------------------------------------------
 def intake_costings(t: Tables, requests: DataFrame, as_of) -> ChangeResult:
     """Costing rows with ``total = material + labor + waste`` (missing or 0
-    parts count 0) and ``calculation_date`` defaulting to ``as_of``; the
-    product must exist."""
-    kept, rejects = reject_missing_reference(requests, "product_id", t.products, "PRODUCT_NOT_FOUND")
-    kept = _drop_ref(kept)
+    parts count 0). Product and ``calculation_date`` are required, and the
+    product must exist. ``as_of`` is not used."""
+    kept, missing = reject_missing(requests, "product_id")
+    kept, undated = reject_missing(kept, "calculation_date")
+    kept, unknown = reject_missing_reference(kept, "product_id", t.products, "PRODUCT_NOT_FOUND")
+    kept, rejects = _drop_ref(kept), missing.unionByName(undated).unionByName(unknown)
     parts = {c: num_or(c, F.lit(0)).cast(MONEY) for c in ("material_cost", "labor_cost", "waste_cost")}
     rows = kept.select(
         "request_id", "product_id", *[v.alias(k) for k, v in parts.items()],
         (parts["material_cost"] + parts["labor_cost"] + parts["waste_cost"]).cast(MONEY).alias("total"),
-        F.coalesce(F.col("calculation_date"), F.lit(D.as_date(as_of))).alias("calculation_date"))
+        "calculation_date")
     return ChangeResult(rows, rejects)
 
 
@@ -381,7 +449,7 @@ def append_audit(t: Tables, created: DataFrame | None = None, updated: DataFrame
     """Audit rows for product creates/updates/deletes and stock movements.
 
     Each input is the accepted output of W1/W2/W4/W9 with ``user_id`` and
-    ``requested_at``; details are the JSON the inventory module logs. Ids
+    ``requested_at`` (movements with the ``id`` that W9 gives them); details are the JSON the inventory module logs. Ids
     continue after the stored maximum in arrival order.
     """
     parts = []
@@ -402,7 +470,7 @@ def append_audit(t: Tables, created: DataFrame | None = None, updated: DataFrame
         for kind, action in (("ENTRY", "INVENTORY_ENTRY"), ("EXIT", "INVENTORY_EXIT")):
             parts.append(movements.filter(F.col("movement_type") == kind).select(
                 *audit_events(F.col("user_id"), action,
-                              F.struct(F.col("request_id").alias("movementId"),
+                              F.struct(F.col("id").alias("movementId"),
                                        F.col("product_id").alias("productId"), F.col("quantity")),
                               F.col("requested_at")), "request_id"))
     events = parts[0]

@@ -18,30 +18,36 @@ from pyspark.sql import types as T
 from millbook.functions import dates as D
 from millbook.functions.money import cents
 from millbook.operators import reports as R
-from millbook.operators.changes import ARRIVAL, _next_ids, _now, reject_duplicate_key
-from millbook.operators.ledger import EXIT, apply_movements, fold_stock, validate_movements
+from millbook.operators.changes import ARRIVAL, _next_ids, _now, reject_duplicate_key, reject_missing
+from millbook.operators.ledger import EXIT, apply_movements, fold_stock, ledger_rows, validate_movements
 from millbook.plans.lineage import materialize
 from millbook.sources.schemas import MONEY, WIDE_MONEY
 from millbook.sources.tables import Tables
 
 TAX_RATE = "0.16"  # fixed value: sales tax applied to every order subtotal
+# The reference texts of production movements.
+CONSUMPTION_TEXT, PRODUCTION_TEXT, BATCH_TEXT = "Consumo OP: ", "Producción OP: ", " / Lote: "
 
 
 # --- W10 -------------------------------------------------------------------------------
+def _priced(per_request: DataFrame, *also: str) -> DataFrame:
+    """Subtotal, tax and total from ``subtotal_exact``, exact and as stored."""
+    tax = F.col("subtotal_exact") * F.lit(TAX_RATE).cast(T.DecimalType(4, 2))
+    return per_request.select(
+        "request_id", "subtotal_exact", tax.alias("tax_exact"),
+        (F.col("subtotal_exact") + tax).alias("total_exact"),
+        F.col("subtotal_exact").cast(WIDE_MONEY).alias("subtotal"),
+        tax.cast(WIDE_MONEY).alias("tax_amount"),
+        (F.col("subtotal_exact") + tax).cast(WIDE_MONEY).alias("total"), *also)
+
+
 def price_sales_orders(lines: DataFrame) -> DataFrame:
     """Per request, subtotal = sum(quantity x request price), tax 16 %, total.
 
     ``*_exact`` columns keep every digit (the credit check uses them);
     ``subtotal``, ``tax_amount``, ``total`` are rounded half-up to cents as stored.
     """
-    per = lines.groupBy("request_id").agg(F.sum(F.col("quantity") * F.col("price")).alias("subtotal_exact"))
-    tax = F.col("subtotal_exact") * F.lit(TAX_RATE).cast(T.DecimalType(4, 2))
-    return per.select(
-        "request_id", "subtotal_exact", tax.alias("tax_exact"),
-        (F.col("subtotal_exact") + tax).alias("total_exact"),
-        F.col("subtotal_exact").cast(WIDE_MONEY).alias("subtotal"),
-        tax.cast(WIDE_MONEY).alias("tax_amount"),
-        (F.col("subtotal_exact") + tax).cast(WIDE_MONEY).alias("total"))
+    return _priced(lines.groupBy("request_id").agg(F.sum(F.col("quantity") * F.col("price")).alias("subtotal_exact")))
 
 
 # --- W11 -------------------------------------------------------------------------------
@@ -51,29 +57,34 @@ def check_sales_orders(t: Tables, headers: DataFrame, lines: DataFrame) -> DataF
     EMPTY_ORDER (no lines) -> CLIENT_NOT_FOUND -> CREDIT_LIMIT_EXCEEDED
     (open balance + new total > credit limit, strict; a NULL limit never
     fails) -> per line in line order: PRODUCT_NOT_FOUND or INSUFFICIENT_STOCK
-    (current stock < line quantity; each line checks the opening stock).
+    (current stock, 0 when NULL, < line quantity; each line checks the opening stock).
     """
-    priced = price_sales_orders(lines)
+    return _checked(t, headers, lines).drop("_unknown")
+
+
+def _checked(t: Tables, headers: DataFrame, lines: DataFrame) -> DataFrame:
+    """W11 with ``_unknown``: some line names an unknown product. One pass over the lines."""
     balance = R.client_outstanding_balance(t, clients=headers.select("client_id")).select(
         "client_id", "credit_limit", F.col("outstanding_balance").alias("_open"), F.lit(True).alias("_client"))
     prods = t.products.select(F.col("id").alias("product_id"), F.col("current_stock").alias("_stock"),
                               F.lit(True).alias("_known"))
-    line_reason = (lines.join(prods, "product_id", "left")
-                   .withColumn("_r", F.when(F.col("_known").isNull(), F.lit("PRODUCT_NOT_FOUND"))
-                               .when(F.col("_stock") < F.col("quantity"), F.lit("INSUFFICIENT_STOCK")))
+    failing = (F.when(F.col("_known").isNull(), F.lit("PRODUCT_NOT_FOUND"))
+               .when(F.coalesce(F.col("_stock"), F.lit(0)) < F.col("quantity"), F.lit("INSUFFICIENT_STOCK")))
+    per_request = (lines.join(prods, "product_id", "left").withColumn("_r", failing)
                    .groupBy("request_id")
-                   .agg(F.min_by(F.col("_r"), F.when(F.col("_r").isNotNull(),
+                   .agg(F.sum(F.col("quantity") * F.col("price")).alias("subtotal_exact"),
+                        F.min_by(F.col("_r"), F.when(F.col("_r").isNotNull(),
                                                      F.struct("line_no", "product_id", "quantity", "price")))
-                        .alias("_line_r")))
-    h = (headers.join(priced, "request_id", "left")
-         .join(balance, "client_id", "left")
-         .join(line_reason, "request_id", "left"))
+                        .alias("_line_r"),
+                        F.bool_or(F.col("_known").isNull()).alias("_unknown")))
+    h = (headers.join(_priced(per_request, "_line_r", "_unknown"), "request_id", "left")
+         .join(balance, "client_id", "left"))
     over = (F.col("_open") + F.col("total_exact")) > F.col("credit_limit")
     reason = (F.when(F.col("total_exact").isNull(), F.lit("EMPTY_ORDER"))
               .when(F.col("_client").isNull(), F.lit("CLIENT_NOT_FOUND"))
               .when(F.coalesce(over, F.lit(False)), F.lit("CREDIT_LIMIT_EXCEEDED"))
               .otherwise(F.col("_line_r")))
-    return h.select(*headers.columns, "subtotal", "tax_amount", "total", "total_exact", reason.alias("reason"))
+    return h.select(*headers.columns, "subtotal", "tax_amount", "total", "total_exact", reason.alias("reason"), "_unknown")
 
 
 # --- W12 -------------------------------------------------------------------------------
@@ -99,41 +110,38 @@ def _allocate(t: Tables, checked: DataFrame, lines: DataFrame) -> DataFrame:
     than the final outcome leaves: conservative, never oversells.
     """
     line_reasons = ("PRODUCT_NOT_FOUND", "INSUFFICIENT_STOCK")
-    candidates = checked.filter(F.col("reason").isNull() | F.col("reason").isin(*line_reasons)).select(*ARRIVAL)
-    prods = t.products.select(F.col("id").alias("product_id"), F.col("current_stock").alias("_stock"),
-                              F.lit(True).alias("_known"))
-    cand_lines = lines.join(candidates, "request_id").join(prods, "product_id", "left")
-    unknown = cand_lines.filter(F.col("_known").isNull()).select("request_id").distinct() \
-        .withColumn("_unknown", F.lit(True))
-    known = cand_lines.join(unknown, "request_id", "left_anti")
-    prepared = known.select("request_id", "requested_at", "line_no", "product_id", "quantity", "price",
-                            cents("quantity").alias("_q_c"), F.lit(True).alias("_is_exit"),
-                            cents(F.coalesce(F.col("_stock"), F.lit(0))).alias("_stock_c"))
-    folded = fold_stock(prepared, "_stock_c", ["requested_at", "request_id", "line_no", "quantity", "price"])
-    sunk = folded.groupBy("request_id").agg(F.bool_or(~F.col("_accepted")).alias("_sunk"))
     header_failed = F.col("reason").isNotNull() & ~F.col("reason").isin(*line_reasons)
+    unknown = F.coalesce(F.col("_unknown"), F.lit(False))
+    candidates = checked.filter(~header_failed & ~unknown).select(*ARRIVAL)
+    prods = t.products.select(F.col("id").alias("product_id"), F.col("current_stock").alias("_stock"))
+    claims = lines.join(candidates, "request_id").join(prods, "product_id").select(
+        "request_id", "requested_at", "line_no", "product_id", "quantity", "price",
+        cents("quantity").alias("_q_c"), F.lit(True).alias("_is_exit"),
+        cents(F.coalesce(F.col("_stock"), F.lit(0))).alias("_stock_c"))
+    folded = fold_stock(claims, "_stock_c", ["requested_at", "request_id", "line_no", "quantity", "price"])
+    sunk = folded.groupBy("request_id").agg(F.bool_or(~F.col("_accepted")).alias("_sunk"))
     reason = (F.when(header_failed, F.col("reason"))
-              .when(F.col("_unknown"), F.lit("PRODUCT_NOT_FOUND"))
+              .when(unknown, F.lit("PRODUCT_NOT_FOUND"))
               .when(F.col("_sunk"), F.lit("INSUFFICIENT_STOCK")))
-    return (checked.join(unknown, "request_id", "left").join(sunk, "request_id", "left")
-            .withColumn("reason", reason).drop("_unknown", "_sunk"))
+    return checked.join(sunk, "request_id", "left").withColumn("reason", reason).drop("_sunk")
 
 
 def intake_sales_orders(t: Tables, headers: DataFrame, lines: DataFrame, as_of,
-                        mode: str = "snapshot", checkpoint: bool = False) -> IntakeResult:
+                        mode: str = "allocate", checkpoint: bool = False) -> IntakeResult:
     """Accepted requests become QUOTE orders, their lines, EXIT movements and less stock.
 
-    ``mode='snapshot'`` (parity) checks every order against the opening stock,
-    so a batch may oversell a product that several orders want; ``'allocate'``
-    folds lines per product in arrival order first (see :func:`_allocate`).
+    ``mode='allocate'`` claims stock per product in arrival order (see
+    :func:`_allocate`) and never oversells, as the reference's order-by-order
+    decrements never do; ``'snapshot'`` checks every order against the opening
+    stock only, so a batch may oversell a product that several orders want.
     Ids continue after the stored maximum in arrival order; numbers are
     ``SO-yyyymmdd-id`` of ``as_of``, which is also the order date. With
     ``checkpoint`` the numbered decisions are checkpointed once, so the four
     outputs do not each recompute the checks.
     """
-    checked = check_sales_orders(t, headers, lines)
+    checked = _checked(t, headers, lines)
     if mode == "allocate":
-        checked = _allocate(t, checked, lines)
+        checked = _allocate(t, materialize(checked), lines)  # decided once for the claims and the result
     elif mode != "snapshot":
         raise ValueError(f"unknown mode {mode!r}")
     if checkpoint:
@@ -151,13 +159,14 @@ def intake_sales_orders(t: Tables, headers: DataFrame, lines: DataFrame, as_of,
     keyed = orders.select(F.col("request_id"), F.col("id").alias("order_id"), "order_number", "created_by")
     acc_lines = lines.join(keyed, "request_id")
     order_products = acc_lines.select("order_id", "product_id", "quantity", "price")
-    movements = acc_lines.select(
+    movements = ledger_rows(acc_lines.select(
         "product_id", F.lit(EXIT).alias("movement_type"), (-F.col("quantity")).cast(MONEY).alias("quantity"),
-        F.col("created_by").alias("user_id"), F.col("order_number").alias("reference_document"))
+        F.col("created_by").alias("user_id"), F.col("order_number").alias("reference_document"),
+        F.col("order_id").alias("reference_id"), "line_no"), _now(as_of))
     taken = acc_lines.groupBy("product_id").agg(F.sum("quantity").alias("_taken"))
     stock = (t.products.join(taken, t.products["id"] == taken["product_id"], "left")
              .withColumn("current_stock", F.when(F.col("_taken").isNull(), F.col("current_stock"))
-                         .otherwise((F.col("current_stock") - F.col("_taken")).cast(MONEY)))
+                         .otherwise((F.coalesce(F.col("current_stock"), F.lit(0)) - F.col("_taken")).cast(MONEY)))
              .select(*t.products.columns))
     return IntakeResult(orders, order_products, movements, stock, rejects)
 
@@ -179,7 +188,7 @@ def consumption_movements(t: Tables, requests: DataFrame) -> tuple[DataFrame, Da
     mv = j.filter(F.col("order_number").isNotNull()).select(
         "request_id", "requested_at", F.col("material_id").alias("product_id"),
         F.lit(EXIT).alias("movement_type"), F.col("consumed_quantity").alias("quantity"), "user_id",
-        F.concat(F.lit("Consumo OP: "), F.col("order_number")).alias("reference_document"), "order_id")
+        F.concat(F.lit(CONSUMPTION_TEXT), F.col("order_number")).alias("reference_document"), "order_id")
     return mv, rejects
 
 
@@ -200,29 +209,33 @@ def intake_consumptions(t: Tables, requests: DataFrame, as_of) -> ProductionInta
 
 # --- W14 -------------------------------------------------------------------------------
 def intake_batches(t: Tables, requests: DataFrame, as_of) -> ProductionIntake:
-    """Finished batches: the order must exist, the batch number must be new
-    (stored or earlier in the batch), the order's product must exist and the
-    produced quantity be positive. Accepted requests become production_batches
-    rows (quality RELEASED and date now unless given) and ENTRY movements of
+    """Finished batches: the order must exist, the batch number be given, the
+    order's product exist and the produced quantity be positive; of the requests
+    that pass, the batch number must be new (not stored, nor an earlier one's).
+    Accepted requests become production_batches rows (quality RELEASED and date now unless given) and ENTRY movements of
     the order's product carrying the batch number. The produced quantity
     exists only in the movement."""
     po = t.production_orders.select(F.col("id").alias("order_id"), "order_number", "product_id")
     j = requests.join(po, "order_id", "left")
     no_order = j.filter(F.col("order_number").isNull()).select("request_id", F.lit("ORDER_NOT_FOUND").alias("reason"))
     found = j.filter(F.col("order_number").isNotNull())
-    unique, dup = reject_duplicate_key(found, "batch_number", t.production_batches, "DUPLICATE_BATCH_NUMBER")
-    mv_req = unique.select(
+    named, unnamed = reject_missing(found, "batch_number")
+    mv_req = named.select(
         "request_id", "requested_at", "product_id", F.lit("ENTRY").alias("movement_type"),
         F.col("quantity_produced").alias("quantity"), "user_id",
-        F.concat(F.lit("Producción OP: "), F.col("order_number"), F.lit(" / Lote: "), F.col("batch_number"))
+        F.concat(F.lit(PRODUCTION_TEXT), F.col("order_number"), F.lit(BATCH_TEXT), F.col("batch_number"))
         .alias("reference_document"), F.col("batch_number").alias("batch"),
         "order_id", "production_date", "quality")
-    ok, bad = validate_movements(t, mv_req)
+    valid, bad = validate_movements(t, mv_req)
+    ok, dup = reject_duplicate_key(valid.withColumnRenamed("batch", "batch_number"), "batch_number",
+                                   t.production_batches, "DUPLICATE_BATCH_NUMBER")
+    ok = ok.withColumnRenamed("batch_number", "batch")
     rows = ok.select(
         F.col("batch").alias("batch_number"), "order_id",
         F.coalesce(F.col("production_date"), _now(as_of)).alias("production_date"),
         F.coalesce(F.nullif(F.col("quality"), F.lit("")), F.lit("RELEASED")).alias("quality"), "request_id")
-    movements = ok.select("product_id", "movement_type", F.col("quantity").cast(MONEY).alias("quantity"),
-                          "user_id", "reference_document", "batch", "request_id")
-    rejects = no_order.unionByName(dup).unionByName(bad.select("request_id", "reason"))
+    movements = ledger_rows(ok.withColumn("reference_id", F.col("request_id")),
+                            F.coalesce(F.col("production_date"), _now(as_of)), "request_id")
+    rejects = (no_order.unionByName(unnamed).unionByName(bad.select("request_id", "reason"))
+               .unionByName(dup.select("request_id", "reason")))
     return ProductionIntake(rows, movements, rejects)

@@ -1,4 +1,10 @@
-"""End-to-end batch jobs: one change batch in, every affected table out."""
+"""End-to-end batch jobs: one change batch in, every affected table out.
+
+The products snapshot is written last and its pointer carries the batch id, so
+it publishes the batch: a rerun of a published batch changes nothing, and a
+rerun of one that failed before replaces the batch's appends and starts from
+the same stock (load its tables with ``skip_batch``).
+"""
 
 from __future__ import annotations
 
@@ -7,39 +13,46 @@ import os
 from pyspark.sql import DataFrame
 
 from millbook.operators.intake import intake_sales_orders
-from millbook.operators.ledger import apply_movements
-from millbook.sinks.writers import append_rows, write_report, write_snapshot
+from millbook.operators.ledger import apply_movements, numbered_movements
+from millbook.sinks.writers import append_rows, published, write_report, write_snapshot
 from millbook.sources.tables import Tables
 
 
-def run_sales_intake(t: Tables, headers: DataFrame, lines: DataFrame, as_of, out_root: str,
-                     mode: str = "snapshot", batch_id: str | None = None) -> dict[str, str]:
-    """W12 as a job: append orders, lines and movements; new products snapshot; rejects report.
+def _ledger_columns(t: Tables, movements: DataFrame) -> DataFrame:
+    have = t.inventory_movements.columns
+    return numbered_movements(t, movements.select(*[c for c in movements.columns if c in have and c != "id"])).select(
+        *[c for c in have if c == "id" or c in movements.columns])
+
+
+def run_sales_intake(t: Tables, headers: DataFrame, lines: DataFrame, as_of, out_root: str, batch_id: str,
+                     mode: str = "allocate") -> dict[str, str]:
+    """W12 as a job: append orders, lines and movements; rejects report; new products snapshot.
 
-    The decisions are checkpointed once and all five outputs derive from them.
-    The products snapshot goes to a new version folder, never over the one read.
-    With ``batch_id`` the appends are per-batch folders, so a rerun is idempotent.
+    The decisions are checkpointed once and all outputs derive from them.
     """
-    r = intake_sales_orders(t, headers, lines, as_of, mode=mode, checkpoint=True)
     paths = {name: os.path.join(out_root, name) for name in
-             ("sales_orders", "order_products", "inventory_movements", "rejects")}
+             ("sales_orders", "order_products", "inventory_movements", "products")}
+    paths["rejects"] = os.path.join(out_root, "rejects", f"load_id={batch_id}")
+    if (done := published(t.products.sparkSession, paths["products"], batch_id)) is not None:
+        return paths | {"products": done}
+    r = intake_sales_orders(t, headers, lines, as_of, mode=mode, checkpoint=True)
     append_rows(r.sales_orders, paths["sales_orders"], batch_id=batch_id)
     append_rows(r.order_products, paths["order_products"], batch_id=batch_id)
-    append_rows(r.movements, paths["inventory_movements"], batch_id=batch_id)
+    append_rows(_ledger_columns(t, r.movements), paths["inventory_movements"], batch_id=batch_id)
     write_report(r.rejects, paths["rejects"])
-    paths["products"] = write_snapshot(r.stock, os.path.join(out_root, "products"))
+    paths["products"] = write_snapshot(r.stock, paths["products"], batch_id=batch_id)
     return paths
 
 
-def run_movements(t: Tables, requests: DataFrame, out_root: str, batch_id: str | None = None) -> dict[str, str]:
-    """W9 as a job: append accepted movements, new products snapshot, rejects report.
-
-    With ``batch_id`` the movements go to a per-batch folder, so a rerun is idempotent.
-    """
-    r = apply_movements(t, requests, checkpoint=True)
+def run_movements(t: Tables, requests: DataFrame, out_root: str, batch_id: str) -> dict[str, str]:
+    """W9 as a job: append accepted movements, rejects report, new products snapshot."""
     paths = {"inventory_movements": os.path.join(out_root, "inventory_movements"),
-             "rejects": os.path.join(out_root, "movement_rejects")}
-    append_rows(r.movements, paths["inventory_movements"], batch_id=batch_id)
+             "rejects": os.path.join(out_root, "movement_rejects", f"load_id={batch_id}"),
+             "products": os.path.join(out_root, "products")}
+    if (done := published(t.products.sparkSession, paths["products"], batch_id)) is not None:
+        return paths | {"products": done}
+    r = apply_movements(t, requests, checkpoint=True)
+    append_rows(_ledger_columns(t, r.movements), paths["inventory_movements"], batch_id=batch_id)
     write_report(r.rejects, paths["rejects"])
-    paths["products"] = write_snapshot(r.stock, os.path.join(out_root, "products"))
+    paths["products"] = write_snapshot(r.stock, paths["products"], batch_id=batch_id)
     return paths

@@ -1,10 +1,8 @@
 """Stock ledger: K1 kardex (running balances) and W9 movement application.
 
-K1 is a prefix sum per product, computed in two levels so that a product
-holding a large share of all movements is still spread over many tasks:
-running sums inside (product, time bucket), plus the sum of all earlier
-buckets of that product (one row per product-bucket); hot products get
-finer buckets.
+K1 is a prefix sum per product over range-partitioned rows: a product holding
+a large share of all movements spreads over many partitions, each summed
+locally plus what earlier partitions hold of that product.
 
 W9 is order dependent: an EXIT is accepted only while the running stock
 covers it, and a rejected EXIT leaves the stock unchanged, so the outcome of
@@ -21,13 +19,15 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millbook.functions.money import cents, from_cents
+from millbook.functions.paging import dense_number
+from millbook.functions.prefix import running_sum
 from millbook.plans.lineage import materialize
-from millbook.sources.schemas import MONEY
+from millbook.sources.schemas import ERP_SCHEMAS, MONEY
 from millbook.sources.tables import Tables
 
 ENTRY, EXIT = "ENTRY", "EXIT"
@@ -35,51 +35,47 @@ LEDGER_ORDER = ("moved_at", "reference_id", "line_no", "quantity")
 
 
 # --- K1 ------------------------------------------------------------------------------
-def kardex(t: Tables, opening: DataFrame | None = None, granularity: str = "day",
-           order: tuple[str, ...] = LEDGER_ORDER, hot_granularity: str = "hour",
-           hot_share: float = 1e-4) -> DataFrame:
+def kardex(t: Tables, opening: DataFrame | None = None, order: tuple[str, ...] = LEDGER_ORDER) -> DataFrame:
     """Each movement with the product's balance before and after it.
 
     ``opening`` (product_id, opening_stock) sets the balance before the first
-    movement (0 when absent). The prefix sum runs in two levels: running sums
-    inside (product, time bucket), plus the totals of the product's earlier
-    buckets (one row per product-bucket). Buckets are ``granularity`` long,
-    and ``hot_granularity`` long for hot products, those holding more than
-    ``hot_share`` of all movements; there are at most ``1 / hot_share`` of
-    them, so that frame is broadcast with a proven bound.
+    movement (0 when absent). Movements are taken in ``order``, NULLs first;
+    rows without a time or a product keep their place and balance. One
+    range partitioning on (product, order) carries the running sum, so a
+    product spreads over as many tasks as its movements need.
     """
-    keys = [F.col(c).asc_nulls_first() for c in order]
-    mv = t.inventory_movements
-    counts = mv.groupBy("product_id").agg(F.count(F.lit(1)).alias("_n"))
-    total = counts.select(F.sum("_n")).scalar()  # from the counts: no second pass over the ledger
-    hot = counts.filter(F.col("_n") > total * F.lit(hot_share)).select("product_id", F.lit(True).alias("_hot"))
-    ts_col = F.col(order[0])
-    mv = (mv.join(F.broadcast(hot), "product_id", "left")
-          .withColumn("_bucket", F.when(F.col("_hot"), F.date_trunc(hot_granularity, ts_col))
-                      .otherwise(F.date_trunc(granularity, ts_col)))
-          .drop("_hot"))
-    local = mv.withColumn(
-        "_local",
-        F.sum("quantity").over(Window.partitionBy("product_id", "_bucket").orderBy(*keys)
-                               .rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    totals = mv.groupBy("product_id", "_bucket").agg(F.sum("quantity").alias("_bucket_total"))
-    offsets = totals.select(
-        "product_id", "_bucket",
-        F.coalesce(F.sum("_bucket_total").over(
-            Window.partitionBy("product_id").orderBy(F.col("_bucket").asc_nulls_first())
-            .rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    out = local.join(offsets, ["product_id", "_bucket"])
+    keep = dict.fromkeys(("product_id", "movement_type", "quantity", *order))
+    out = running_sum(t.inventory_movements.select(*keep), list(order), "quantity", "_sum", group=["product_id"])
     start = F.lit(0)
     if opening is not None:
         out = out.join(opening.select("product_id", F.col("opening_stock").alias("_open")), "product_id", "left")
         start = F.coalesce(F.col("_open"), F.lit(0))
-    closing = (start + F.col("_before") + F.col("_local")).cast(T.DecimalType(18, 2))
+    closing = (start + F.col("_sum")).cast(T.DecimalType(18, 2))
     return out.select(
         "product_id", "movement_type", "quantity", *[c for c in order if c != "quantity"],
         (closing - F.col("quantity")).cast(T.DecimalType(18, 2)).alias("opening_balance"),
         closing.alias("closing_balance"))
 
 
+def ledger_rows(movements: DataFrame, moved_at: Column, *also: str) -> DataFrame:
+    """``movements`` in the stored ledger's columns (NULL where they have none), plus the columns ``also``.
+
+    The ledger's ``id`` comes with the append (:func:`numbered_movements`).
+    """
+    kinds = {f.name: f.dataType for f in ERP_SCHEMAS["inventory_movements"].fields}
+    have = movements.withColumn("moved_at", moved_at.cast(T.TimestampNTZType()))
+    return have.select(*[(F.col(c) if c in have.columns else F.lit(None)).cast(kind).alias(c)
+                         for c, kind in kinds.items() if c != "id"], *also)
+
+
+def numbered_movements(t: Tables, movements: DataFrame) -> DataFrame:
+    """``movements`` with ledger ids after the stored maximum, in order of all their columns."""
+    top = t.inventory_movements.select(F.coalesce(F.max("id"), F.lit(0)).alias("m")).scalar()
+    keys = [c for c in ("moved_at", "reference_id", "line_no") if c in movements.columns]
+    keys += [c for c in movements.columns if c not in keys]
+    return dense_number(movements, keys, name="id", start=top + F.lit(1))
+
+
 def ledger_balance(t: Tables) -> DataFrame:
     """Sum of the signed ledger per product (what the running balance ends at)."""
     return t.inventory_movements.groupBy("product_id").agg(
@@ -90,7 +86,7 @@ def ledger_balance(t: Tables) -> DataFrame:
 @dataclass
 class MovementResult:
     decisions: DataFrame   # every valid request with accepted flag and balances
-    movements: DataFrame   # accepted rows in ledger form (signed quantity)
+    movements: DataFrame   # accepted rows in the ledger's columns (signed quantity) + request_id, requested_at
     rejects: DataFrame     # request_id, product_id, reason
     stock: DataFrame       # products with the new current_stock
 
@@ -186,7 +182,10 @@ def apply_movements(t: Tables, requests: DataFrame,
         from_cents("_before_c").alias("stock_before"), from_cents("_after_c").alias("stock_after"))
     accepted = decisions.filter("accepted")
     signed = F.when(F.col("movement_type") == EXIT, -F.col("quantity")).otherwise(F.col("quantity"))
-    movements = accepted.select(*[c for c in base_cols if c != "quantity"], signed.cast(MONEY).alias("quantity"))
+    movements = ledger_rows(
+        accepted.select(*[c for c in base_cols if c != "quantity"], signed.cast(MONEY).alias("quantity"),
+                        F.col("request_id").alias("reference_id")),
+        F.col(order[0]), "request_id", *[c for c in ("requested_at",) if c in base_cols])
     stock_rejects = decisions.filter(~F.col("accepted")).select(
         "request_id", "product_id", F.lit("INSUFFICIENT_STOCK").alias("reason"))
     deltas = movements.groupBy("product_id").agg(F.sum("quantity").alias("_delta"))

@@ -166,9 +166,9 @@ def list_employees(t: Tables, search_text=None, page=None, limit=None) -> DataFr
 
 # Q13
 def list_users(t: Tables, page=None, limit=None) -> DataFrame:
-    """All users (inactive too) with the employee name; no password column."""
+    """All users (inactive too) with the employee name and last login; no password column."""
     df = t.users.join(_name(t.employees, "employee_id", "employee_name"), "employee_id", "left").select(
-        "id", "username", "email", "role", "is_active", "employee_name")
+        "id", "username", "email", "role", "is_active", "last_login", "employee_name")
     return _finish(df, [asc("username"), asc("id")], page, limit)
 
 

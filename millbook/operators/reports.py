@@ -7,23 +7,26 @@ already-small result to its dimension. Money stays decimal end to end.
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millbook.functions import dates as D
 from millbook.functions.filters import active, apply_filters, bound, equals
-from millbook.functions.money import ratio, sum_money, wide, zero
+from millbook.functions.money import quotient, sum_money, wide, zero
 from millbook.functions.ordering import asc, desc
+from millbook.sources.schemas import MONEY, WIDE_MONEY
 from millbook.sources.tables import Tables
 
 # Fixed values of the reports (they must equal the reference's for equal results):
-# statuses read, waste cost per kg (cost analysis), payroll hours per month,
-# overtime pay factor and hours deducted per absence.
+# statuses read, waste cost per kg (cost analysis), one hour's share of a monthly
+# salary (1 / 160), overtime pay factor and hours deducted per absence.
 COMPLETED = "COMPLETED"
 OPEN_INVOICE = ("PENDING", "OVERDUE")
 WASTE_COST_PER_KG = 25.0
-HOURS_PER_MONTH = 160.0
+PER_HOUR = Decimal("0.00625")
 OVERTIME_FACTOR = 2
 ABSENCE_HOURS = 8
 
@@ -65,13 +68,13 @@ def sales_over_time(t: Tables, as_of, period=None, client_id=None, start=None, e
 
 
 def sales_kpis(t: Tables, as_of, period=None, client_id=None, start=None, end=None) -> DataFrame:
-    """A3: revenue, order count and average ticket over the dashboard filter (one row)."""
+    """A3: revenue, order count and average ticket (decimal, 6 places) over the dashboard filter (one row)."""
     so, _ = _dashboard_orders(t, as_of, period, client_id, start, end)
     agg = so.agg(F.sum("total").alias("_sum"), F.count("id").alias("total_orders"))
     return agg.select(
         wide("_sum").alias("total_revenue"),
         "total_orders",
-        ratio("_sum", "total_orders").alias("average_order_value"))
+        quotient("_sum", "total_orders", 6).alias("average_order_value"))
 
 
 def _top_client_names(so: DataFrame, t: Tables, k: int = 5) -> DataFrame:
@@ -104,7 +107,7 @@ def production_cost_analysis(t: Tables, order_ids: DataFrame | None = None,
     Consumptions and wastes are aggregated by order separately before the
     join (joining raw rows would multiply them). Material is valued at the
     material's current ``cost_price``; the order must have its product.
-    ``cost_per_unit`` divides by the planned quantity and is NULL when it is 0.
+    ``cost_per_unit`` divides by the planned quantity, to 2 places, and is NULL when it is 0.
     """
     po = t.production_orders
     if order_ids is not None:
@@ -129,7 +132,7 @@ def production_cost_analysis(t: Tables, order_ids: DataFrame | None = None,
         zero().alias("labor_cost"),
         waste_cost.alias("waste_cost"),
         total.alias("total_cost"),
-        ratio(total, F.col("quantity")).alias("cost_per_unit"))
+        quotient(total, "quantity", 2).alias("cost_per_unit"))
 
 
 # --- A8 / A7 ------------------------------------------------------------------------
@@ -137,6 +140,7 @@ def latest_costs(t: Tables, ties: str = "all") -> DataFrame:
     """Each product's costing rows on its latest calculation_date.
 
     ``ties='all'`` keeps every row of that date (parity); ``'one'`` keeps one.
+    Rows without a date are never the latest.
     ``rank() == 1`` is planned with a map-side WindowGroupLimit, so a product
     with a long history is cut down before the shuffle.
     """
@@ -148,6 +152,7 @@ def latest_costs(t: Tables, ties: str = "all") -> DataFrame:
         fn = F.rank()
     w = Window.partitionBy("product_id").orderBy(*order)
     return (t.costings.select("product_id", "total", "material_cost", "calculation_date")
+            .filter(F.col("calculation_date").isNotNull())
             .withColumn("_rk", fn.over(w)).filter(F.col("_rk") == 1)
             .select("product_id", F.col("total").alias("product_cost"), "calculation_date"))
 
@@ -156,21 +161,23 @@ def profit_by_client(t: Tables, start=None, end=None, ties: str = "all") -> Data
     """Per client, COMPLETED orders with lines: order count, revenue, cost, profit.
 
     Lines are valued at the latest costing (0 when none; tied latest rows
-    repeat a line, as in the reference). Lines are summed per order first,
-    so the client aggregation reads one row per order instead of a
-    count-distinct over lines.
+    repeat a line, as in the reference). Lines meet the selected orders first
+    and are summed per (client, product), so the costs join one row per pair,
+    never the lines of a much-sold product; tied costs multiply the sums.
     """
     so = apply_filters(_completed(t), bound("order_date", start, end)).select(
         F.col("id").alias("order_id"), "client_id")
-    lc = latest_costs(t, ties).select("product_id", "product_cost")
-    lines = t.order_products.join(lc, "product_id", "left")
-    per_order = (lines.join(so, "order_id")
-                 .groupBy("order_id", "client_id")
-                 .agg(F.sum(F.col("quantity") * F.col("price")).alias("_rev"),
-                      F.sum(F.col("quantity") * F.coalesce(F.col("product_cost"), F.lit(0))).alias("_cost")))
-    per_client = per_order.groupBy("client_id").agg(
-        F.count(F.lit(1)).alias("total_orders"),
-        F.sum("_rev").alias("_rev"), F.sum("_cost").alias("_cost"))
+    costs = latest_costs(t, ties).groupBy("product_id").agg(
+        F.count(F.lit(1)).alias("_ties"), F.sum(F.coalesce(F.col("product_cost"), F.lit(0))).alias("_unit"))
+    sold = (t.order_products.select("order_id", "product_id", "quantity", "price").join(so, "order_id")
+            .groupBy("client_id", "product_id")
+            .agg(F.sum(F.col("quantity") * F.col("price")).alias("_rev"), F.sum("quantity").alias("_qty")))
+    valued = sold.join(costs, "product_id", "left").groupBy("client_id").agg(
+        F.sum(F.col("_rev") * F.coalesce(F.col("_ties"), F.lit(1))).alias("_rev"),
+        F.sum(F.col("_qty").cast(WIDE_MONEY) * F.coalesce(F.col("_unit").cast(WIDE_MONEY), F.lit(0))).alias("_cost"))
+    counts = (so.join(t.order_products.select("order_id"), "order_id", "left_semi")
+              .groupBy("client_id").agg(F.count(F.lit(1)).alias("total_orders")))
+    per_client = valued.join(counts, "client_id")
     clients = t.clients.select(F.col("id").alias("client_id"), F.col("name").alias("client_name"))
     return (per_client.join(clients, "client_id")
             .select("client_id", "client_name", "total_orders",
@@ -194,17 +201,17 @@ def payroll_report(t: Tables, start, end, employee_id=None) -> DataFrame:
               .agg(F.sum(F.coalesce(F.col("overtime_hours"), F.lit(0))).alias("_ot"),
                    F.count_if(F.col("absence_reason").isNotNull()).alias("_abs")))
     joined = emp.join(period, emp["id"] == period["employee_id"], "left")
-    rate = F.col("salary").cast(T.DoubleType()) / F.lit(HOURS_PER_MONTH)
-    ot = F.coalesce(F.col("_ot"), F.lit(0))
+    rate = (F.col("salary") * F.lit(PER_HOUR)).cast(T.DecimalType(17, 7))  # exact: 1 / 160 has five places
+    ot = F.coalesce(F.col("_ot"), F.lit(0)).cast(MONEY)
     absn = F.coalesce(F.col("_abs"), F.lit(0)).cast(T.LongType())
-    ot_pay = ot.cast(T.DoubleType()) * (rate * F.lit(float(OVERTIME_FACTOR)))
-    deduction = (absn * F.lit(ABSENCE_HOURS)).cast(T.DoubleType()) * rate
+    ot_pay = (ot * F.lit(OVERTIME_FACTOR)).cast(T.DecimalType(14, 2)) * rate
+    deduction = (absn * F.lit(ABSENCE_HOURS)).cast(T.DecimalType(12, 0)) * rate
     return (joined.select(
         F.col("id").alias("employee_id"), F.col("name").alias("employee_name"), "position",
         F.col("salary").alias("base_salary"), rate.alias("hourly_rate"),
         wide(ot).alias("total_overtime_hours"), ot_pay.alias("overtime_pay"),
         absn.alias("total_absence_days"), deduction.alias("absence_deduction"),
-        ((F.col("salary").cast(T.DoubleType()) + ot_pay) - deduction).alias("total_pay"))
+        (F.col("salary") + ot_pay - deduction).alias("total_pay"))
         .orderBy(asc("employee_name"), asc("employee_id")))
 
 
@@ -248,9 +255,8 @@ def dashboard_kpis(t: Tables, as_of) -> DataFrame:
     """
     today = D.as_date(as_of)
     ms = D.month_start(today)
-    sales = t.sales_orders.agg(
-        wide(F.coalesce(F.sum(F.when((F.col("status") == COMPLETED) & (F.col("order_date") >= F.lit(ms)),
-                                     F.col("total"))), F.lit(0))).alias("total_sales_month"),
+    sales = t.sales_orders.filter(F.col("order_date") >= F.lit(ms)).agg(
+        wide(F.coalesce(F.sum(F.when(F.col("status") == COMPLETED, F.col("total"))), F.lit(0))).alias("total_sales_month"),
         F.count_if(F.col("order_date") == F.lit(today)).alias("new_orders_today"))
     in_progress = t.production_orders.filter(F.col("status") == "IN_PROGRESS").select(F.count("id")).scalar()
     low = _low_stock(t).select(F.count("id")).scalar()

@@ -20,6 +20,12 @@ def _d(expr: str) -> str:
     return f"CAST(CAST({expr} AS DECIMAL(18,2)) AS DOUBLE)"
 
 
+def _rounded(num: str, den: str, places: int) -> str:
+    """``num / den`` half-up to ``places``, in whole hundredths (nothing negative)."""
+    n, d = f"CAST(({num}) * 100 AS HUGEINT) * {10 ** places}", f"CAST(({den}) * 100 AS HUGEINT)"
+    return f"CAST((2 * {n} + {d}) // nullif(2 * {d}, 0) AS DOUBLE) / {10 ** places}"
+
+
 def _sales_by_client(extra: str = "") -> str:
     return f"""
 SELECT c.id AS client_id, c.name AS client_name, count(so.id) AS total_orders,
@@ -39,7 +45,7 @@ GROUP BY 1"""
 def _kpis(cond: str) -> str:
     return f"""
 SELECT {_d('sum(total)')} AS total_revenue, count(id) AS total_orders,
-       CAST(sum(total) AS DOUBLE) / nullif(CAST(count(id) AS DOUBLE), 0) AS average_order_value
+       {_rounded('sum(total)', 'count(id)', 6)} AS average_order_value
 FROM sales_orders WHERE status = 'COMPLETED' AND {cond}"""
 
 
@@ -104,8 +110,7 @@ SELECT order_id, order_number, product_id, CAST(quantity_produced AS DOUBLE) AS
        CAST(material_cost AS DOUBLE) AS material_cost, CAST(0 AS DOUBLE) AS labor_cost,
        CAST(waste_cost AS DOUBLE) AS waste_cost,
        {_d('material_cost + waste_cost')} AS total_cost,
-       CAST(CAST(material_cost + waste_cost AS DECIMAL(18,2)) AS DOUBLE)
-         / nullif(CAST(quantity_produced AS DOUBLE), 0) AS cost_per_unit
+       {_rounded('material_cost + waste_cost', 'quantity_produced', 2)} AS cost_per_unit
 FROM base""",
     "profit_by_client": _profit(),
     "profit_by_client_range": _profit(f"AND so.order_date {RANGE}"),
@@ -113,19 +118,19 @@ FROM base""",
 SELECT product_id, CAST(product_cost AS DOUBLE) AS product_cost,
        CAST(calculation_date AS TIMESTAMP) AS calculation_date FROM ({LATEST_COSTS}) x""",
     "payroll_report": """
-WITH er AS (SELECT id, name, position, salary, CAST(salary AS DOUBLE) / 160.0 AS hourly_rate
+WITH er AS (SELECT id, name, position, salary, CAST(salary * 0.00625 AS DECIMAL(17,7)) AS hourly_rate
             FROM employees WHERE is_active = TRUE),
      pd AS (SELECT employee_id, sum(coalesce(overtime_hours, 0)) AS toh,
                    count(*) FILTER (WHERE absence_reason IS NOT NULL) AS tad
             FROM attendances WHERE date BETWEEN DATE '2024-01-05' AND DATE '2024-01-19' GROUP BY employee_id)
 SELECT e.id AS employee_id, e.name AS employee_name, e.position, CAST(e.salary AS DOUBLE) AS base_salary,
-       e.hourly_rate,
+       CAST(e.hourly_rate AS DOUBLE) AS hourly_rate,
        CAST(CAST(coalesce(p.toh, 0) AS DECIMAL(18,2)) AS DOUBLE) AS total_overtime_hours,
-       CAST(coalesce(p.toh, 0) AS DOUBLE) * (e.hourly_rate * 2.0) AS overtime_pay,
+       CAST(CAST(coalesce(p.toh, 0) * 2 AS DECIMAL(14,2)) * e.hourly_rate AS DOUBLE) AS overtime_pay,
        coalesce(p.tad, 0) AS total_absence_days,
-       CAST(coalesce(p.tad, 0) * 8 AS DOUBLE) * e.hourly_rate AS absence_deduction,
-       (CAST(e.salary AS DOUBLE) + CAST(coalesce(p.toh, 0) AS DOUBLE) * (e.hourly_rate * 2.0))
-         - CAST(coalesce(p.tad, 0) * 8 AS DOUBLE) * e.hourly_rate AS total_pay
+       CAST(CAST(coalesce(p.tad, 0) * 8 AS DECIMAL(12,0)) * e.hourly_rate AS DOUBLE) AS absence_deduction,
+       CAST(e.salary + CAST(coalesce(p.toh, 0) * 2 AS DECIMAL(14,2)) * e.hourly_rate
+            - CAST(coalesce(p.tad, 0) * 8 AS DECIMAL(12,0)) * e.hourly_rate AS DOUBLE) AS total_pay
 FROM er e LEFT JOIN pd p ON e.id = p.employee_id""",
     "client_outstanding_balance": f"""
 WITH bal AS (SELECT so.client_id, sum(so.total) AS s FROM sales_orders so

@@ -63,7 +63,8 @@ WHERE p.id IS NULL OR m.movement_type IS NULL OR m.movement_type NOT IN ('ENTRY'
 SELECT product_id, movement_type, CAST(quantity AS DOUBLE) AS quantity, moved_at, reference_id, line_no,
        CAST(CAST(closing - quantity AS DECIMAL(18,2)) AS DOUBLE) AS opening_balance,
        CAST(CAST(closing AS DECIMAL(18,2)) AS DOUBLE) AS closing_balance
-FROM (SELECT *, sum(quantity) OVER (PARTITION BY product_id ORDER BY moved_at, reference_id, line_no, quantity
+FROM (SELECT *, sum(quantity) OVER (PARTITION BY product_id ORDER BY moved_at NULLS FIRST, reference_id NULLS FIRST,
+                                             line_no NULLS FIRST, quantity
                                     ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS closing
       FROM inventory_movements) x""",
     "ledger_balance": """
@@ -71,6 +72,24 @@ SELECT product_id, CAST(CAST(sum(quantity) AS DECIMAL(18,2)) AS DOUBLE) AS ledge
 FROM inventory_movements GROUP BY product_id""",
 })
 
+# user updates that pass: known user, and no key that another user holds or an earlier request claims for another
+_KEYS = (("username", "DUPLICATE_USERNAME"), ("email", "DUPLICATE_EMAIL"), ("employee_id", "DUPLICATE_EMPLOYEE"))
+
+
+def _user_steps() -> tuple[str, str]:
+    """(accepted, rejects) as nested queries, one key after the other."""
+    ok = "SELECT * FROM user_updates WHERE id IN (SELECT id FROM users)"
+    rejects = ["SELECT request_id, 'NOT_FOUND' AS reason FROM user_updates WHERE id NOT IN (SELECT id FROM users)"]
+    for key, reason in _KEYS:
+        taken = (f"EXISTS (SELECT 1 FROM users u WHERE u.{key} = r.{key} AND u.id <> r.id) OR r.id <> "
+                 f"(SELECT arg_min(q.id, {{'a': q.requested_at, 'b': q.request_id}}) FROM ({ok}) q WHERE q.{key} = r.{key})")
+        rejects.append(f"SELECT r.request_id, '{reason}' AS reason FROM ({ok}) r WHERE r.{key} IS NOT NULL AND ({taken})")
+        ok = f"SELECT r.* FROM ({ok}) r WHERE r.{key} IS NULL OR NOT ({taken})"
+    return ok, " UNION ALL ".join(rejects)
+
+
+_USER_OK, _USER_REJECTS = _user_steps()
+
 NOW = "TIMESTAMP '2001-07-20 00:00:00'"
 PRODUCT_OUT = ("CAST(cost_price AS DOUBLE) AS cost_price, CAST(min_stock AS DOUBLE) AS min_stock, "
                "CAST(current_stock AS DOUBLE) AS current_stock, CAST(supplier_id AS DOUBLE) AS supplier_id")
@@ -122,7 +141,8 @@ SELECT id, concat('OP-20010720-', CAST(id AS VARCHAR)) AS order_number, product_
        CAST(planned_end_date AS TIMESTAMP) AS planned_end_date, requested_at, request_id
 FROM num""",
     "append_wastes": f"""
-WITH ok AS (SELECT * FROM waste_requests WHERE order_id IN (SELECT id FROM production_orders) AND quantity > 0)
+WITH ok AS (SELECT * FROM waste_requests WHERE order_id IN (SELECT id FROM production_orders) AND quantity > 0
+              AND process IN ('EXTRUSION', 'BLOWING'))
 SELECT (SELECT coalesce(max(id), 0) FROM wastes)
          + row_number() OVER (ORDER BY requested_at, request_id, order_id, process, quantity, reason) AS id,
        order_id, process, CAST(quantity AS DOUBLE) AS quantity, reason, {NOW} AS date, requested_at, request_id
@@ -144,13 +164,13 @@ WHERE id NOT IN (SELECT id FROM clients WHERE is_active = TRUE)""",
     "update_users": f"""
 WITH l AS (SELECT id, arg_max({{'username': username, 'email': email, 'role': role, 'employee_id': employee_id,
                                'is_active': is_active}}, {{'a': requested_at, 'b': request_id}}) AS n
-           FROM user_updates WHERE id IN (SELECT id FROM users) GROUP BY id)
+           FROM ({_USER_OK}) GROUP BY id)
 SELECT u.id,
        CAST(CASE WHEN l.id IS NULL THEN u.employee_id ELSE l.n.employee_id END AS DOUBLE) AS employee_id,
        CASE WHEN l.id IS NULL THEN u.username ELSE l.n.username END AS username,
        CASE WHEN l.id IS NULL THEN u.email ELSE l.n.email END AS email,
        CASE WHEN l.id IS NULL THEN u.role ELSE l.n.role END AS role,
-       CASE WHEN l.id IS NULL THEN u.is_active ELSE l.n.is_active END AS is_active,
+       CASE WHEN l.id IS NULL THEN u.is_active ELSE l.n.is_active END AS is_active, u.last_login,
        CASE WHEN l.id IS NOT NULL THEN {NOW} END AS updated_at
 FROM users u LEFT JOIN l ON l.id = u.id""",
     "soft_delete_products": f"""
@@ -176,7 +196,7 @@ SELECT request_id, 'NOT_FOUND' AS reason FROM shift_deletes WHERE id NOT IN (SEL
     "upsert_attendance": """
 WITH ch AS (SELECT request_id, requested_at, employee_id, date, entry_time, exit_time,
                    nullif(absence_reason, '') AS absence_reason, nullif(overtime_hours, 0) AS overtime_hours
-            FROM attendance_changes WHERE employee_id IS NOT NULL AND date IS NOT NULL),
+            FROM attendance_changes WHERE coalesce(employee_id, 0) <> 0 AND date IS NOT NULL),
      c AS (SELECT employee_id, date, min({'a': requested_at, 'b': request_id}) AS first,
                   arg_max(entry_time, {'a': requested_at, 'b': request_id}) FILTER (WHERE entry_time IS NOT NULL) AS n_entry,
                   arg_max(exit_time, {'a': requested_at, 'b': request_id}) FILTER (WHERE exit_time IS NOT NULL) AS n_exit,
@@ -216,11 +236,14 @@ SELECT request_id, product_id,
        CAST(coalesce(nullif(waste_cost, 0), 0) AS DOUBLE) AS waste_cost,
        CAST(CAST(coalesce(nullif(material_cost, 0), 0) + coalesce(nullif(labor_cost, 0), 0)
                  + coalesce(nullif(waste_cost, 0), 0) AS DECIMAL(12,2)) AS DOUBLE) AS total,
-       CAST(coalesce(calculation_date, DATE '2001-07-20') AS TIMESTAMP) AS calculation_date
-FROM costing_requests WHERE product_id IN (SELECT id FROM products)""",
+       CAST(calculation_date AS TIMESTAMP) AS calculation_date
+FROM costing_requests WHERE product_id <> 0 AND calculation_date IS NOT NULL AND product_id IN (SELECT id FROM products)""",
     "intake_costings_rejects": """
-SELECT request_id, 'PRODUCT_NOT_FOUND' AS reason FROM costing_requests
-WHERE product_id NOT IN (SELECT id FROM products)""",
+SELECT request_id, CASE WHEN coalesce(product_id, 0) = 0 THEN 'REQUIRED_FIELD_MISSING:product_id'
+                        WHEN calculation_date IS NULL THEN 'REQUIRED_FIELD_MISSING:calculation_date'
+                        ELSE 'PRODUCT_NOT_FOUND' END AS reason
+FROM costing_requests
+WHERE coalesce(product_id, 0) = 0 OR calculation_date IS NULL OR product_id NOT IN (SELECT id FROM products)""",
 })
 
 
@@ -238,7 +261,7 @@ def _sales_check_ctes() -> str:
      lr AS (SELECT l.request_id,
                    arg_min(CASE WHEN p.id IS NULL THEN 'PRODUCT_NOT_FOUND' ELSE 'INSUFFICIENT_STOCK' END,
                            {{'a': l.line_no, 'b': l.product_id, 'c': l.quantity, 'd': l.price}})
-                     FILTER (WHERE p.id IS NULL OR p.current_stock < l.quantity) AS r
+                     FILTER (WHERE p.id IS NULL OR coalesce(p.current_stock, 0) < l.quantity) AS r
             FROM sales_order_lines l LEFT JOIN products p ON p.id = l.product_id GROUP BY l.request_id),
      chk AS (
        SELECT h.request_id, h.requested_at, h.client_id, h.user_id, h.notes, h.delivery_date,
@@ -304,14 +327,12 @@ CONSUMPTION_FOLD = movement_fold(
 BATCH_OK = """
 WITH found AS (SELECT b.*, po.order_number, po.product_id FROM batch_requests b
                JOIN production_orders po ON po.id = b.order_id),
-     firsts AS (SELECT batch_number, min({'a': requested_at, 'b': request_id}) AS f FROM found
-                WHERE batch_number IS NOT NULL GROUP BY batch_number),
-     uniq AS (SELECT found.* FROM found LEFT JOIN firsts ON firsts.batch_number = found.batch_number
-              WHERE found.batch_number IS NULL
-                 OR ({'a': found.requested_at, 'b': found.request_id} = firsts.f
-                     AND found.batch_number NOT IN (SELECT batch_number FROM production_batches
-                                                    WHERE batch_number IS NOT NULL))),
-     ok AS (SELECT * FROM uniq WHERE product_id IN (SELECT id FROM products) AND quantity_produced > 0)
+     valid AS (SELECT * FROM found WHERE coalesce(batch_number, '') <> '' AND quantity_produced > 0
+                 AND product_id IN (SELECT id FROM products)),
+     firsts AS (SELECT batch_number, min({'a': requested_at, 'b': request_id}) AS f FROM valid GROUP BY batch_number),
+     ok AS (SELECT valid.* FROM valid JOIN firsts ON firsts.batch_number = valid.batch_number
+            WHERE {'a': valid.requested_at, 'b': valid.request_id} = firsts.f
+              AND valid.batch_number NOT IN (SELECT batch_number FROM production_batches WHERE batch_number IS NOT NULL))
 """
 
 BODIES.update({
@@ -357,10 +378,20 @@ SELECT batch_number, order_id, coalesce(production_date, TIMESTAMP '2001-07-20 0
        coalesce(nullif(quality, ''), 'RELEASED') AS quality, request_id
 FROM ok""",
     "intake_batches_movements": BATCH_OK + """
-SELECT product_id, 'ENTRY' AS movement_type, CAST(quantity_produced AS DOUBLE) AS quantity, user_id,
+SELECT product_id, 'ENTRY' AS movement_type, CAST(quantity_produced AS DOUBLE) AS quantity,
+       coalesce(production_date, TIMESTAMP '2001-07-20 00:00:00') AS moved_at, request_id AS reference_id,
+       CAST(NULL AS DOUBLE) AS line_no, user_id,
        concat('Producción OP: ', order_number, ' / Lote: ', batch_number) AS reference_document,
-       batch_number AS batch, request_id
+       CAST(NULL AS VARCHAR) AS notes, batch_number AS batch, request_id
 FROM ok""",
+    "intake_batches_rejects": BATCH_OK + """
+SELECT request_id, 'ORDER_NOT_FOUND' AS reason FROM batch_requests WHERE order_id NOT IN (SELECT id FROM production_orders)
+UNION ALL
+SELECT request_id, CASE WHEN coalesce(batch_number, '') = '' THEN 'REQUIRED_FIELD_MISSING:batch_number'
+                        WHEN product_id NOT IN (SELECT id FROM products) THEN 'PRODUCT_NOT_FOUND'
+                        WHEN quantity_produced IS NULL OR quantity_produced <= 0 THEN 'NON_POSITIVE_QUANTITY'
+                        ELSE 'DUPLICATE_BATCH_NUMBER' END AS reason
+FROM found WHERE (requested_at, request_id) NOT IN (SELECT requested_at, request_id FROM ok)""",
 })
 
 BODIES.update({
@@ -402,17 +433,17 @@ FROM employee_requests""",
 SELECT {_numbered('income_requests', 'incomes', 'requested_at, request_id')},
        CAST(amount AS DOUBLE) AS amount, CAST(date AS TIMESTAMP) AS date, source,
        CAST(nullif(invoice_id, 0) AS DOUBLE) AS invoice_id, requested_at, request_id
-FROM income_requests""",
+FROM income_requests WHERE amount > 0 AND date IS NOT NULL AND coalesce(source, '') <> ''""",
     "append_expenses": f"""
 SELECT {_numbered('expense_requests', 'expenses', 'requested_at, request_id, amount NULLS FIRST, date NULLS FIRST, category NULLS FIRST, nullif(supplier_id, 0) NULLS FIRST')},
        CAST(amount AS DOUBLE) AS amount, CAST(date AS TIMESTAMP) AS date, category,
        CAST(nullif(supplier_id, 0) AS DOUBLE) AS supplier_id, requested_at, request_id
-FROM expense_requests""",
+FROM expense_requests WHERE amount > 0 AND date IS NOT NULL AND coalesce(category, '') <> ''""",
     "append_shifts": f"""
 SELECT {_numbered('shift_requests', 'shifts', 'requested_at, request_id')},
        employee_id, CAST(date AS TIMESTAMP) AS date, machine, CAST(duration AS DOUBLE) AS duration,
        requested_at, request_id
-FROM shift_requests""",
+FROM shift_requests WHERE duration > 0 AND coalesce(employee_id, 0) <> 0 AND date IS NOT NULL""",
     "apply_product_updates": f"""
 WITH ch AS (SELECT u.*, string_split(coalesce(u.set_columns, ''), ',') AS s FROM product_updates u
             WHERE u.id IN (SELECT id FROM products WHERE is_active = TRUE)),
@@ -442,7 +473,7 @@ SELECT e.id, e.name, e.position, e.shift, CAST(e.hire_date AS TIMESTAMP) AS hire
 FROM employees e LEFT JOIN hit ON hit.id = e.id""",
     "soft_delete_users": f"""
 WITH hit AS (SELECT DISTINCT d.id FROM user_deletes d JOIN users u ON u.id = d.id)
-SELECT u.id, CAST(u.employee_id AS DOUBLE) AS employee_id, u.username, u.email, u.role,
+SELECT u.id, CAST(u.employee_id AS DOUBLE) AS employee_id, u.username, u.email, u.role, u.last_login,
        CASE WHEN hit.id IS NOT NULL THEN FALSE ELSE u.is_active END AS is_active,
        CASE WHEN hit.id IS NOT NULL THEN {NOW} END AS updated_at
 FROM users u LEFT JOIN hit ON hit.id = u.id""",
@@ -464,7 +495,23 @@ FROM shifts WHERE id IN (SELECT id FROM shift_deletes)""",
 
 BODIES["stream_apply_movements"] = BODIES["apply_movements"]
 
-BODIES["kardex_hot_products"] = BODIES["kardex"]
+BODIES["kardex_hot_products"] = BODIES["kardex"].replace("inventory_movements", "hot_movements")
+
+# the job's accepted movements, written, loaded again and run through the kardex
+BODIES["stored_movements_kardex"] = MOVEMENT_FOLD + """,
+ inv AS (SELECT product_id, movement_type, CASE WHEN movement_type = 'EXIT' THEN -quantity ELSE quantity END AS quantity,
+                requested_at AS moved_at, request_id AS reference_id, CAST(NULL AS DOUBLE) AS line_no
+         FROM d WHERE accepted)
+SELECT product_id, movement_type, CAST(quantity AS DOUBLE) AS quantity, moved_at, reference_id, line_no,
+       CAST(CAST(closing - quantity AS DECIMAL(18,2)) AS DOUBLE) AS opening_balance,
+       CAST(CAST(closing AS DECIMAL(18,2)) AS DOUBLE) AS closing_balance
+FROM (SELECT *, sum(quantity) OVER (PARTITION BY product_id ORDER BY moved_at NULLS FIRST, reference_id, quantity
+                                    ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS closing FROM inv) x"""
+BODIES["stored_movements_stock"] = MOVEMENT_FOLD + """
+SELECT p.id AS product_id, CAST(coalesce(p.current_stock, 0) AS DOUBLE) AS stock_before,
+       CAST(CAST(coalesce(p.current_stock, 0) + coalesce(sum(CASE WHEN d.movement_type = 'EXIT' THEN -d.quantity
+                 ELSE d.quantity END) FILTER (WHERE d.accepted), 0) AS DECIMAL(12,2)) AS DOUBLE) AS stock_after
+FROM products p LEFT JOIN d ON d.product_id = p.id GROUP BY p.id, p.current_stock"""
 
 
 # Audit rows for accepted product creations and accepted movements, numbered after the stored maximum.
@@ -488,12 +535,85 @@ BODIES["append_audit"] = ("\nWITH RECURSIVE" + fold_ctes(
                    requested_at, request_id FROM created
             UNION ALL
             SELECT user_id, CASE movement_type WHEN 'ENTRY' THEN 'INVENTORY_ENTRY' ELSE 'INVENTORY_EXIT' END,
-                   concat('{"movementId":', CAST(request_id AS VARCHAR), ',"productId":', CAST(product_id AS VARCHAR),
+                   concat('{"movementId":', CAST(movement_id AS VARCHAR), ',"productId":', CAST(product_id AS VARCHAR),
                           ',"quantity":', CAST(CAST(CASE WHEN movement_type = 'EXIT' THEN -quantity ELSE quantity END
                                                    AS DECIMAL(12,2)) AS VARCHAR), '}'),
-                   requested_at, request_id FROM d WHERE accepted)
+                   requested_at, request_id
+            FROM (SELECT *, (SELECT max(id) FROM inventory_movements)
+                            + row_number() OVER (ORDER BY requested_at, request_id) AS movement_id
+                  FROM d WHERE accepted) m)
 SELECT (SELECT coalesce(max(id), 0) FROM audits)
          + row_number() OVER (ORDER BY requested_at NULLS FIRST, request_id NULLS FIRST, action NULLS FIRST,
                                        details NULLS FIRST, user_id NULLS FIRST) AS id,
        user_id, action, details, requested_at AS timestamp
 FROM ev""")
+
+
+BODIES.update({
+    "append_wastes_rejects": """
+SELECT request_id, CASE WHEN process IS NULL OR process NOT IN ('EXTRUSION', 'BLOWING') THEN 'NOT_ALLOWED:process'
+                        WHEN quantity IS NULL OR quantity <= 0 THEN 'NOT_POSITIVE:quantity'
+                        ELSE 'ORDER_NOT_FOUND' END AS reason
+FROM waste_requests WHERE process IS NULL OR process NOT IN ('EXTRUSION', 'BLOWING') OR quantity IS NULL OR quantity <= 0
+   OR order_id NOT IN (SELECT id FROM production_orders)""",
+    "append_incomes_rejects": """
+SELECT request_id, CASE WHEN amount IS NULL OR amount <= 0 THEN 'NOT_POSITIVE:amount'
+                        WHEN date IS NULL THEN 'REQUIRED_FIELD_MISSING:date'
+                        ELSE 'REQUIRED_FIELD_MISSING:source' END AS reason
+FROM income_requests WHERE NOT (coalesce(amount, 0) > 0 AND date IS NOT NULL AND coalesce(source, '') <> '')""",
+    "append_expenses_rejects": """
+SELECT request_id, CASE WHEN amount IS NULL OR amount <= 0 THEN 'NOT_POSITIVE:amount'
+                        WHEN date IS NULL THEN 'REQUIRED_FIELD_MISSING:date'
+                        ELSE 'REQUIRED_FIELD_MISSING:category' END AS reason
+FROM expense_requests WHERE NOT (coalesce(amount, 0) > 0 AND date IS NOT NULL AND coalesce(category, '') <> '')""",
+    "append_shifts_rejects": """
+SELECT request_id, CASE WHEN duration IS NULL OR duration <= 0 THEN 'NOT_POSITIVE:duration'
+                        WHEN employee_id IS NULL OR employee_id = 0 THEN 'REQUIRED_FIELD_MISSING:employee_id'
+                        ELSE 'REQUIRED_FIELD_MISSING:date' END AS reason
+FROM shift_requests WHERE NOT (coalesce(duration, 0) > 0 AND coalesce(employee_id, 0) <> 0 AND date IS NOT NULL)""",
+    "update_users_rejects": _USER_REJECTS,
+})
+
+_NEW_USERS = """
+WITH given AS (SELECT * FROM user_requests WHERE coalesce(username, '') <> '' AND coalesce(role, '') <> ''
+                 AND coalesce(employee_id, 0) <> 0),
+     n1 AS (SELECT g.* FROM given g WHERE g.username NOT IN (SELECT username FROM users)
+              AND {'a': g.requested_at, 'b': g.request_id} =
+                  (SELECT min({'a': q.requested_at, 'b': q.request_id}) FROM given q WHERE q.username = g.username)),
+     n2 AS (SELECT g.* FROM n1 g WHERE g.email IS NULL OR g.email NOT IN (SELECT email FROM users)
+              AND {'a': g.requested_at, 'b': g.request_id} =
+                  (SELECT min({'a': q.requested_at, 'b': q.request_id}) FROM n1 q WHERE q.email = g.email)),
+     ok AS (SELECT g.* FROM n2 g WHERE g.employee_id NOT IN (SELECT employee_id FROM users WHERE employee_id IS NOT NULL)
+              AND {'a': g.requested_at, 'b': g.request_id} =
+                  (SELECT min({'a': q.requested_at, 'b': q.request_id}) FROM n2 q WHERE q.employee_id = g.employee_id))"""
+BODIES["append_users"] = _NEW_USERS + f"""
+SELECT {_numbered('ok', 'users', 'requested_at, request_id')}, employee_id, username, email, role, TRUE AS is_active,
+       requested_at, request_id
+FROM ok"""
+BODIES["append_users_rejects"] = _NEW_USERS + """
+SELECT request_id, CASE WHEN coalesce(username, '') = '' THEN 'REQUIRED_FIELD_MISSING:username'
+                        WHEN coalesce(role, '') = '' THEN 'REQUIRED_FIELD_MISSING:role'
+                        WHEN coalesce(employee_id, 0) = 0 THEN 'REQUIRED_FIELD_MISSING:employee_id'
+                        WHEN request_id NOT IN (SELECT request_id FROM n1) THEN 'DUPLICATE_USERNAME'
+                        WHEN request_id NOT IN (SELECT request_id FROM n2) THEN 'DUPLICATE_EMAIL'
+                        ELSE 'DUPLICATE_EMPLOYEE' END AS reason
+FROM user_requests WHERE request_id NOT IN (SELECT request_id FROM ok)"""
+
+BODIES["stream_apply_movements_rejects"] = BODIES["apply_movements_rejects"]
+
+_ACTIVE_HIT = """
+     upd AS (SELECT u.* FROM product_updates u WHERE u.id IN (SELECT id FROM products WHERE is_active = TRUE)),
+     del AS (SELECT x.* FROM product_deletes x WHERE x.id IN (SELECT id FROM products WHERE is_active = TRUE))"""
+BODIES["append_audit_changes"] = "\nWITH" + _ACTIVE_HIT.lstrip("\n") + """,
+     ev AS (SELECT user_id, 'UPDATE_PRODUCT' AS action,
+                   concat('{"productId":', CAST(id AS VARCHAR), ',"changes":{"set_columns":"', set_columns, '"}}') AS details,
+                   requested_at, request_id
+            FROM (SELECT *, request_id % 50 AS user_id FROM upd)
+            UNION ALL
+            SELECT request_id % 50, 'DELETE_PRODUCT', concat('{"productId":', CAST(id AS VARCHAR), '}'),
+                   requested_at, request_id FROM del)
+SELECT (SELECT coalesce(max(id), 0) FROM audits)
+         + row_number() OVER (ORDER BY requested_at NULLS FIRST, request_id NULLS FIRST, action NULLS FIRST,
+                                       details NULLS FIRST, user_id NULLS FIRST) AS id,
+       user_id, action, details, requested_at AS timestamp
+FROM ev"""

@@ -91,7 +91,7 @@ FROM costings""",
 SELECT {EMPLOYEE} FROM employees e WHERE e.is_active = TRUE
 AND (e.name ILIKE '%position 3%' OR e.position ILIKE '%position 3%')""",
     "list_users": """
-SELECT u.id, u.username, u.email, u.role, u.is_active, e.name AS employee_name
+SELECT u.id, u.username, u.email, u.role, u.is_active, u.last_login, e.name AS employee_name
 FROM users u LEFT JOIN employees e ON u.employee_id = e.id""",
     "attendance_roster": """
 SELECT e.id AS employee_id, e.name AS employee_name, e.position, CAST(a.id AS DOUBLE) AS id, CAST(a.date AS TIMESTAMP) AS date,
@@ -114,7 +114,7 @@ SELECT {PRODUCT} FROM products p WHERE p.is_active = TRUE AND p.id IN (SELECT pr
     "lookup_active_employees": f"""
 SELECT {EMPLOYEE} FROM employees e WHERE e.is_active = TRUE AND e.id IN (SELECT employee_id FROM attendances)""",
     "lookup_users": """
-SELECT id, CAST(employee_id AS DOUBLE) AS employee_id, username, email, role, is_active FROM users WHERE id IN (SELECT user_id FROM audits)""",
+SELECT id, CAST(employee_id AS DOUBLE) AS employee_id, username, email, role, is_active, last_login FROM users WHERE id IN (SELECT user_id FROM audits)""",
     "user_effective_role": """
 SELECT u.id, CAST(u.employee_id AS DOUBLE) AS employee_id, u.username, u.email, u.is_active, e.position AS role
 FROM users u LEFT JOIN employees e ON u.employee_id = e.id WHERE u.is_active = TRUE""",

@@ -1,16 +1,20 @@
 """Sinks: report output, appended rows, and versioned table snapshots.
 
 Plain parquet has no MERGE, so a changed table is written whole to a new
-version folder and a small pointer names the current one; the folder being
-read is never overwritten.
+version folder. A pointer per version, written once after the folder is
+complete, names it; the current version is the latest pointer. Nothing that
+a pointer names is ever written again, and no moment is without a pointer.
 """
 
 from __future__ import annotations
 
 import os
+import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+_POINTERS = "_pointers"
+
 
 def write_report(df: DataFrame, path: str, fmt: str = "parquet", partition_by: list[str] | None = None) -> None:
     """A report result, replacing what was at ``path``."""
@@ -23,45 +27,79 @@ def write_report(df: DataFrame, path: str, fmt: str = "parquet", partition_by: l
 def append_rows(df: DataFrame, path: str, fmt: str = "parquet", batch_id: str | None = None) -> None:
     """Rows added to a table folder (the INSERT of W1, W12-W14, W16).
 
-    With ``batch_id`` the rows go to ``{path}/batch=<id>``, replaced when the
+    With ``batch_id`` the rows go to ``{path}/load_id=<id>``, replaced when the
     same batch is written again, so rerunning a failed job adds nothing
-    twice (readers of ``path`` see a ``batch`` column). Without it, a plain append.
+    twice. Without it, a plain append. ``load_tables`` reads both.
     """
     if batch_id is None:
         df.write.mode("append").format(fmt).save(path)
     else:
-        df.write.mode("overwrite").format(fmt).save(os.path.join(path, f"batch={batch_id}"))
+        df.write.mode("overwrite").format(fmt).save(os.path.join(path, f"load_id={batch_id}"))
+
+
+def _children(spark: SparkSession, folder: str, pattern: str) -> list[str]:
+    """What ``pattern`` captures in the names below ``folder``; a folder that is confirmed absent has none.
+
+    Every other failure raises: an unreadable pointer is not an absent one.
+    """
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    system = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not system.exists(path):
+        return []
+    names = [s.getPath().getName() for s in system.listStatus(path)]
+    return [m[1] for n in names if (m := re.fullmatch(pattern, n))]
+
 
+def batch_paths(spark: SparkSession, path: str, skip: str | None) -> str | list[str]:
+    """What to read of an appended table: all of it, or all but the batch ``skip``."""
+    own = f"load_id={skip}"
+    names = _children(spark, path, r"([^_.].*)") if skip is not None else []
+    return [os.path.join(path, n) for n in names if n != own] if own in names else path
 
-def _pointer(root: str) -> str:
-    return os.path.join(root, "_current")
+
+def _done(spark: SparkSession, folder: str) -> bool:
+    return bool(_children(spark, folder, "(_SUCCESS)"))
+
+
+def _pointed(spark: SparkSession, root: str) -> list[int]:
+    """Versions with a complete pointer, oldest first."""
+    found = sorted(int(v) for v in _children(spark, os.path.join(root, _POINTERS), r"p=(\d+)"))
+    return [v for v in found if _done(spark, os.path.join(root, _POINTERS, f"p={v}"))]
 
 
 def current_snapshot(spark: SparkSession, root: str) -> str | None:
-    """Folder of the current version of a snapshot table, or None."""
-    try:
-        row = spark.read.text(_pointer(root)).head()
-    except Exception:  # noqa: BLE001  (no pointer yet)
+    """Folder of the current version of a snapshot table, or None where no version was ever published."""
+    versions = _pointed(spark, root)
+    return os.path.join(root, f"v={versions[-1]}") if versions else None
+
+
+def published(spark: SparkSession, root: str, batch_id: str) -> str | None:
+    """Folder of the version that ``batch_id`` published, or None."""
+    versions = _pointed(spark, root)
+    if not versions:
         return None
-    return row[0] if row else None
+    rows = (spark.read.schema("batch_id string, p int").option("basePath", os.path.join(root, _POINTERS))
+            .json([os.path.join(root, _POINTERS, f"p={v}") for v in versions]))
+    hit = rows.filter(rows["batch_id"] == batch_id).select("p").head()
+    return os.path.join(root, f"v={hit[0]}") if hit else None
 
 
-def write_snapshot(df: DataFrame, root: str, fmt: str = "parquet") -> str:
-    """Write ``df`` as the next version under ``root`` and point readers at it.
+def write_snapshot(df: DataFrame, root: str, fmt: str = "parquet", batch_id: str | None = None) -> str:
+    """Write ``df`` as the next version under ``root`` and publish it.
 
-    Versions are numbered after the current one. The pointer is rewritten
-    only after the new folder is complete, so a pointer always names a
-    complete version; the rewrite itself is not atomic (a reader that hits
-    that moment finds no pointer and can retry). A rerun after a failed
-    attempt overwrites the unpointed folder that attempt left, which no
-    reader uses. Old versions stay until they are removed explicitly.
+    The version is numbered after every version folder there is, so what a
+    failed attempt left is never reused and never read. ``batch_id`` is
+    recorded in the pointer (see :func:`published`). Old versions stay until
+    they are removed explicitly. One writer at a time: two that race for a
+    number fail instead of overwriting.
     """
     spark = df.sparkSession
-    cur = current_snapshot(spark, root)
-    version = int(cur.rsplit("v=", 1)[1]) + 1 if cur and "v=" in cur else 1
+    used = [int(v) for v in _children(spark, root, r"v=(\d+)")] + [0]
+    version = max(used) + 1
     target = os.path.join(root, f"v={version}")
-    df.write.mode("overwrite").format(fmt).save(target)
-    spark.createDataFrame([(target,)], "path string").coalesce(1).write.mode("overwrite").text(_pointer(root))
+    df.write.mode("errorifexists").format(fmt).save(target)
+    (spark.createDataFrame([(batch_id,)], "batch_id string").coalesce(1).write.mode("errorifexists")
+     .json(os.path.join(root, _POINTERS, f"p={version}")))
     return target
 
 

@@ -65,16 +65,25 @@ SELECT o_orderkey AS order_id,
 FROM {orders} WHERE o_orderkey % 4 <> 3
 UNION ALL
 SELECT o_orderkey AS order_id, 'PENDING' AS status FROM {orders} WHERE o_orderkey % 40 = 0""",
-    # the signed stock ledger: returns enter, shipments leave
+    # the signed stock ledger: returns enter, shipments leave; times of day differ, 1 in 50 has no time
     "inventory_movements": """
-SELECT l_partkey AS product_id, CASE WHEN l_returnflag = 'R' THEN 'ENTRY' ELSE 'EXIT' END AS movement_type,
+SELECT l_orderkey * 10 + l_linenumber AS id, l_partkey AS product_id, CASE WHEN l_returnflag = 'R' THEN 'ENTRY' ELSE 'EXIT' END AS movement_type,
        CAST(CASE WHEN l_returnflag = 'R' THEN l_quantity ELSE -l_quantity END AS DECIMAL(12,2)) AS quantity,
-       l_shipdate AS moved_at, l_orderkey AS reference_id, l_linenumber AS line_no
+       CAST(CASE WHEN (l_orderkey + l_linenumber) % 50 = 0 THEN NULL
+            ELSE l_shipdate + INTERVAL '1' MINUTE * CAST((l_orderkey * 7 + l_linenumber * 61) % 1440 AS INT)
+            END AS TIMESTAMP_NTZ) AS moved_at,
+       l_orderkey AS reference_id, l_linenumber AS line_no
 FROM {lineitem}""",
+    # the same ledger with one product holding a third of it, much of it at one moment
+    "hot_movements": """
+SELECT id, CASE WHEN line_no % 3 = 0 THEN 1 ELSE product_id END AS product_id, movement_type, quantity,
+       CASE WHEN line_no = 3 THEN CAST('1997-01-01 10:00:00' AS TIMESTAMP_NTZ) ELSE moved_at END AS moved_at,
+       reference_id, line_no
+FROM {inventory_movements}""",
     # every order is also a production order; quantity 0 for 1 in 97, product 0 does not exist
     "production_orders": """
 SELECT o_orderkey AS id, concat('OP-', CAST(o_orderkey AS STRING)) AS order_number,
-       o_orderkey % 200 AS product_id, CAST(o_orderkey % 97 AS DECIMAL(12,2)) AS quantity,
+       CASE WHEN o_orderkey % 200 = 0 THEN 0 ELSE o_custkey END AS product_id, CAST(o_orderkey % 97 AS DECIMAL(12,2)) AS quantity,
        CASE o_orderkey % 4 WHEN 0 THEN 'PENDING' WHEN 1 THEN 'IN_PROGRESS' WHEN 2 THEN 'COMPLETED' ELSE 'CANCELLED' END AS status,
        CASE WHEN o_orderpriority IN ('1-URGENT', '2-HIGH') THEN 'HIGH' WHEN o_orderpriority = '5-LOW' THEN 'LOW' ELSE 'MEDIUM' END AS priority,
        CAST(o_orderdate AS DATE) AS planned_start_date, CAST(o_orderdate + INTERVAL '7' DAY AS DATE) AS planned_end_date
@@ -94,12 +103,12 @@ SELECT l_orderkey * 10 + l_linenumber AS id, l_orderkey AS order_id,
        CAST(l_quantity AS DECIMAL(12,2)) AS quantity, 'REASON' AS reason,
        CAST(l_shipdate + INTERVAL '1' HOUR * CAST(l_linenumber AS INT) AS TIMESTAMP_NTZ) AS date
 FROM {lineitem} WHERE l_returnflag = 'R'""",
-    # history per product with ties on calculation_date; products % 13 = 0 have no costing
+    # history per product with ties on calculation_date; products % 13 = 0 have no costing, some rows no date
     "costings": """
 SELECT l_partkey AS product_id, CAST(l_quantity AS DECIMAL(12,2)) AS material_cost,
        CAST(l_linenumber AS DECIMAL(12,2)) AS labor_cost, CAST(l_discount AS DECIMAL(12,2)) AS waste_cost,
        CAST(CAST(l_quantity AS DECIMAL(12,2)) + CAST(l_linenumber AS DECIMAL(12,2)) + CAST(l_discount AS DECIMAL(12,2)) AS DECIMAL(12,2)) AS total,
-       CAST(l_shipdate AS DATE) AS calculation_date
+       CASE WHEN (l_orderkey + l_linenumber) % 29 = 0 THEN NULL ELSE CAST(l_shipdate AS DATE) END AS calculation_date
 FROM {lineitem} WHERE l_partkey % 13 <> 0""",
     "incomes": """
 SELECT o_orderkey AS id, CAST(o_totalprice AS DECIMAL(12,2)) AS amount, CAST(o_orderdate AS DATE) AS date,
@@ -121,7 +130,9 @@ SELECT user_id AS id, concat('Emp-', lpad(CAST(user_id AS STRING), 6, '0')) AS n
        user_id % 9 <> 0 AS is_active
 FROM (SELECT DISTINCT user_id FROM {events}) e""",
     "users": """
-SELECT id, CASE WHEN id % 11 = 0 THEN NULL ELSE id END AS employee_id,
+SELECT id, CASE WHEN id % 5 = 0 THEN NULL
+                ELSE CAST('2024-01-01 00:00:00' AS TIMESTAMP_NTZ) + INTERVAL '1' MINUTE * CAST(id AS INT) END AS last_login,
+       CASE WHEN id % 11 = 0 THEN NULL ELSE id END AS employee_id,
        concat('user_', CAST(id AS STRING)) AS username, concat('user_', CAST(id AS STRING), '@example.com') AS email,
        'STORED_ROLE' AS role, id % 7 <> 0 AS is_active
 FROM {employees}""",
@@ -145,11 +156,13 @@ SELECT event_id AS id, user_id, upper(event_type) AS action, props AS details, t
 
 # Change sets: requests in the shape the W jobs read, one per driver row.
 CHANGESET_SQL: dict[str, str] = {
-    # stock movement requests: returns arrive as ENTRY, shipments leave as EXIT
+    # stock movement requests: returns arrive as ENTRY, shipments leave as EXIT;
+    # some name an unknown product or type, or no quantity
     "movement_requests": """
-SELECT l_orderkey * 10 + l_linenumber AS request_id, l_shipdate AS requested_at, l_partkey AS product_id,
-       CASE WHEN l_returnflag = 'R' THEN 'ENTRY' ELSE 'EXIT' END AS movement_type,
-       CAST(l_quantity AS DECIMAL(12,2)) AS quantity, l_suppkey AS user_id,
+SELECT l_orderkey * 10 + l_linenumber AS request_id, l_shipdate AS requested_at,
+       CASE WHEN l_orderkey % 101 = 0 THEN l_partkey + 1000000000 ELSE l_partkey END AS product_id,
+       CASE WHEN l_orderkey % 103 = 0 THEN 'ADJUST' WHEN l_returnflag = 'R' THEN 'ENTRY' ELSE 'EXIT' END AS movement_type,
+       CAST(CASE WHEN l_orderkey % 107 = 0 THEN 0 ELSE l_quantity END AS DECIMAL(12,2)) AS quantity, l_suppkey AS user_id,
        concat('LI-', CAST(l_orderkey AS STRING), '-', CAST(l_linenumber AS STRING)) AS reference_document
 FROM {lineitem}""",
     # product creations: some SKUs repeat inside the batch, some collide with stored ones,
@@ -159,7 +172,7 @@ SELECT p_partkey AS request_id,
        CAST('2001-07-20 08:00:00' AS TIMESTAMP_NTZ) + INTERVAL '1' SECOND * CAST(p_partkey % 86400 AS INT) AS requested_at,
        CAST(p_partkey % 50 AS BIGINT) AS user_id,
        CASE WHEN p_size < 5 THEN concat('SKU-', CAST(p_partkey AS STRING))
-            ELSE concat('NEW-', CAST(p_partkey % 997 AS STRING)) END AS sku,
+            ELSE concat('NEW-', CAST(p_partkey - p_partkey % 3 AS STRING)) END AS sku,
        p_name AS description,
        CASE p_size % 3 WHEN 0 THEN NULL WHEN 1 THEN '' ELSE 'RAW_MATERIAL' END AS type,
        'KG' AS unit, CAST(p_retailprice AS DECIMAL(12,2)) AS cost_price,
@@ -168,18 +181,19 @@ SELECT p_partkey AS request_id,
 FROM {part}""",
     # new production orders, priority missing for low-priority orders
     "production_order_requests": """
-SELECT o_orderkey AS request_id, o_orderdate AS requested_at, o_custkey % 2000 AS product_id,
+SELECT o_orderkey AS request_id, o_orderdate AS requested_at, CASE WHEN o_orderkey % 50 = 0 THEN o_custkey + 1000000000 ELSE o_custkey END AS product_id,
        CAST(o_orderkey % 50 + 1 AS DECIMAL(12,2)) AS quantity,
        CAST(o_orderdate AS DATE) AS planned_start_date, CAST(o_orderdate + INTERVAL '10' DAY AS DATE) AS planned_end_date,
        CASE WHEN o_orderpriority = '5-LOW' THEN NULL WHEN o_orderpriority = '4-NOT SPECIFIED' THEN ''
             WHEN o_orderpriority = '1-URGENT' THEN 'HIGH' ELSE 'MEDIUM' END AS priority
 FROM {orders}""",
-    # waste registrations; orders that are not production orders are rejected
+    # waste registrations; unknown processes and orders that are not production orders are rejected
     "waste_requests": """
 SELECT l_orderkey * 10 + l_linenumber AS request_id, l_shipdate AS requested_at,
        CASE WHEN l_linestatus = 'O' THEN l_orderkey ELSE l_orderkey + 1000000000 END AS order_id,
-       CASE WHEN l_returnflag = 'R' THEN 'EXTRUSION' ELSE 'BLOWING' END AS process,
-       CAST(l_quantity AS DECIMAL(12,2)) AS quantity, concat('Reason ', l_returnflag) AS reason
+       CASE WHEN l_orderkey % 71 = 0 THEN 'CUTTING' WHEN l_returnflag = 'R' THEN 'EXTRUSION' ELSE 'BLOWING' END AS process,
+       CAST(CASE WHEN l_orderkey % 73 = 0 THEN 0 ELSE l_quantity END AS DECIMAL(12,2)) AS quantity,
+       concat('Reason ', l_returnflag) AS reason
 FROM {lineitem}""",
     # partial client updates, one per order: supplied columns vary, NULL is supplied explicitly
     # for some addresses, 'id' is never settable, inactive clients are rejected
@@ -192,10 +206,12 @@ SELECT o_orderkey AS request_id, o_orderdate + INTERVAL '1' MINUTE * CAST(o_orde
        CASE WHEN o_orderkey % 2 = 0 THEN NULL ELSE concat('Street ', CAST(o_orderkey AS STRING)) END AS address,
        CAST(o_totalprice AS DECIMAL(12,2)) AS credit_limit, CAST(o_orderkey % 90 AS INT) AS payment_terms
 FROM {orders}""",
-    # whole-row user updates from signup events; employee link dropped for odd users
+    # whole-row user updates from signup events; employee link dropped for odd users,
+    # some names belong to the next user
     "user_updates": """
 SELECT event_id AS request_id, ts AS requested_at, user_id AS id,
-       concat('u', CAST(user_id AS STRING), '_', CAST(event_id AS STRING)) AS username,
+       CASE WHEN event_id % 13 = 0 THEN concat('user_', CAST(user_id + 1 AS STRING))
+            ELSE concat('u', CAST(user_id AS STRING), '_', CAST(event_id AS STRING)) END AS username,
        concat('u', CAST(event_id AS STRING), '@example.org') AS email,
        CASE WHEN value > 50 THEN 'ADMIN' ELSE NULL END AS role,
        CASE WHEN user_id % 2 = 0 THEN user_id END AS employee_id,
@@ -256,12 +272,13 @@ SELECT l_orderkey * 10 + l_linenumber AS request_id, l_shipdate AS requested_at,
        CASE WHEN l_linenumber = 7 THEN l_orderkey + 1000000000 ELSE l_orderkey END AS order_id,
        l_partkey AS material_id, CAST(l_quantity AS DECIMAL(12,2)) AS consumed_quantity, l_suppkey AS user_id
 FROM {lineitem}""",
-    # finished batches: numbers repeat inside the batch and some are already stored
+    # finished batches: numbers repeat inside the batch, some are already stored or empty, some quantities are 0
     "batch_requests": """
 SELECT l_orderkey * 10 + l_linenumber AS request_id, l_shipdate AS requested_at, l_orderkey AS order_id,
        CASE WHEN l_linenumber = 1 THEN concat('B-', CAST(l_orderkey AS STRING), '-1')
-            ELSE concat('NB-', CAST(l_orderkey % 3000 AS STRING)) END AS batch_number,
-       CAST(l_quantity AS DECIMAL(12,2)) AS quantity_produced,
+            WHEN l_linenumber = 6 THEN ''
+            ELSE concat('NB-', CAST(l_orderkey - l_orderkey % 8 AS STRING)) END AS batch_number,
+       CAST(CASE WHEN l_linenumber = 2 AND l_orderkey % 2 = 0 THEN 0 ELSE l_quantity END AS DECIMAL(12,2)) AS quantity_produced,
        CASE WHEN l_linestatus = 'O' THEN NULL ELSE l_shipdate END AS production_date,
        CASE WHEN l_discount > 0.05 THEN 'QUARANTINE' WHEN l_discount > 0.02 THEN '' END AS quality,
        l_suppkey AS user_id
@@ -272,7 +289,7 @@ FROM {lineitem} WHERE l_returnflag <> 'R'""",
 SELECT c_custkey AS request_id,
        CAST('2001-07-20 09:00:00' AS TIMESTAMP_NTZ) + INTERVAL '1' SECOND * CAST(c_custkey % 86400 AS INT) AS requested_at,
        CASE WHEN c_nationkey < 3 THEN concat('CL-', CAST(c_custkey AS STRING))
-            ELSE concat('NC-', CAST(c_custkey % 700 AS STRING)) END AS code,
+            ELSE concat('NC-', CAST(c_custkey - c_custkey % 2 AS STRING)) END AS code,
        c_name AS name, concat('Addr ', CAST(c_nationkey AS STRING)) AS address,
        CAST(CASE WHEN c_acctbal < 0 THEN 0 WHEN c_mktsegment = 'BUILDING' THEN NULL ELSE c_acctbal END AS DECIMAL(12,2)) AS credit_limit,
        CAST(CASE c_mktsegment WHEN 'AUTOMOBILE' THEN 0 WHEN 'MACHINERY' THEN NULL ELSE 60 END AS INT) AS payment_terms
@@ -285,24 +302,38 @@ SELECT event_id AS request_id, ts AS requested_at, concat('New ', CAST(event_id
        CAST(ts AS DATE) AS hire_date,
        CAST(CASE WHEN value > 50 THEN value * 100 ELSE 0 END AS DECIMAL(12,2)) AS salary
 FROM {events} WHERE event_type = 'signup'""",
-    # income registrations: invoice 0 means none
+    # income registrations: invoice 0 means none; some lack an amount, a date or a source
     "income_requests": """
-SELECT o_orderkey AS request_id, o_orderdate AS requested_at, CAST(o_totalprice AS DECIMAL(12,2)) AS amount,
-       CAST(o_orderdate AS DATE) AS date, concat('Order ', o_orderpriority) AS source,
+SELECT o_orderkey AS request_id, o_orderdate AS requested_at,
+       CAST(CASE WHEN o_orderkey % 61 = 0 THEN -5 ELSE o_totalprice END AS DECIMAL(12,2)) AS amount,
+       CASE WHEN o_orderkey % 67 = 0 THEN NULL ELSE CAST(o_orderdate AS DATE) END AS date,
+       CASE o_orderkey % 59 WHEN 0 THEN '' WHEN 1 THEN NULL ELSE concat('Order ', o_orderpriority) END AS source,
        CASE WHEN o_orderkey % 3 = 0 THEN 0 ELSE o_orderkey END AS invoice_id
 FROM {orders} WHERE o_orderstatus = 'O'""",
-    # expense registrations: supplier 0 means none
+    # expense registrations: supplier 0 means none; some lack an amount, a date or a category
     "expense_requests": """
 SELECT l_orderkey * 10 + l_linenumber AS request_id, l_shipdate AS requested_at,
-       CAST(l_extendedprice AS DECIMAL(12,2)) AS amount, CAST(l_shipdate AS DATE) AS date,
-       CASE l_linestatus WHEN 'O' THEN 'Energy' ELSE 'Freight' END AS category,
+       CAST(CASE WHEN l_orderkey % 61 = 0 THEN 0 ELSE l_extendedprice END AS DECIMAL(12,2)) AS amount,
+       CASE WHEN l_orderkey % 67 = 0 THEN NULL ELSE CAST(l_shipdate AS DATE) END AS date,
+       CASE WHEN l_orderkey % 59 = 0 THEN '' WHEN l_linestatus = 'O' THEN 'Energy' ELSE 'Freight' END AS category,
        CASE WHEN l_linenumber = 1 THEN 0 ELSE l_suppkey END AS supplier_id
 FROM {lineitem} WHERE l_returnflag = 'N'""",
-    # shift creations from click events
+    # shift creations from click events; some have no employee or no duration
     "shift_requests": """
-SELECT event_id AS request_id, ts AS requested_at, user_id AS employee_id, CAST(ts AS DATE) AS date,
-       concat('M', CAST(user_id % 6 AS STRING)) AS machine, CAST(4 + user_id % 5 AS DECIMAL(12,2)) AS duration
+SELECT event_id AS request_id, ts AS requested_at,
+       CASE WHEN event_id % 31 = 0 THEN NULL ELSE user_id END AS employee_id, CAST(ts AS DATE) AS date,
+       concat('M', CAST(user_id % 6 AS STRING)) AS machine,
+       CAST(CASE WHEN event_id % 37 = 0 THEN 0 ELSE 4 + user_id % 5 END AS DECIMAL(12,2)) AS duration
 FROM {events} WHERE event_type = 'click'""",
+    # user creations from purchase events: names repeat, some are stored, some lack a role or an employee
+    "user_requests": """
+SELECT event_id AS request_id, ts AS requested_at,
+       CASE WHEN event_id % 9 = 0 THEN concat('user_', CAST(user_id AS STRING))
+            ELSE concat('new_', CAST(event_id - event_id % 4 AS STRING)) END AS username,
+       CASE WHEN event_id % 3 = 0 THEN NULL ELSE concat('n', CAST(event_id AS STRING), '@example.org') END AS email,
+       CASE WHEN value < 5 THEN '' WHEN value < 60 THEN 'OPERATOR' ELSE 'ADMIN' END AS role,
+       CASE WHEN event_id % 17 = 0 THEN NULL ELSE event_id + 1000000000 END AS employee_id
+FROM {events} WHERE event_type = 'purchase'""",
     # partial product updates: stock set directly, several columns, explicit NULL supplier
     "product_updates": """
 SELECT l_orderkey * 10 + l_linenumber AS request_id, l_shipdate AS requested_at, l_partkey AS id,

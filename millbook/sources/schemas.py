@@ -38,25 +38,30 @@ DRIVER_SCHEMAS: dict[str, T.StructType] = {
 # columns they name, so Catalyst prunes the rest at the scan.
 ERP_SCHEMAS: dict[str, T.StructType] = {
     "clients": _struct(("id", _L), ("code", _S), ("name", _S), ("address", _S),
-                       ("credit_limit", MONEY), ("payment_terms", _I), ("is_active", T.BooleanType())),
+                       ("credit_limit", MONEY), ("payment_terms", _I), ("is_active", T.BooleanType()),
+                       ("updated_at", _TS)),
     "suppliers": _struct(("id", _L), ("name", _S), ("is_active", T.BooleanType())),
     "products": _struct(("id", _L), ("sku", _S), ("description", _S), ("type", _S), ("unit", _S),
                         ("cost_price", MONEY), ("min_stock", MONEY), ("current_stock", MONEY),
-                        ("supplier_id", _L), ("is_active", T.BooleanType())),
+                        ("supplier_id", _L), ("is_active", T.BooleanType()), ("updated_at", _TS)),
     "sales_orders": _struct(("id", _L), ("order_number", _S), ("client_id", _L),
                             ("order_date", T.DateType()), ("created_at", _TS),
                             ("delivery_date", T.DateType()), ("subtotal", MONEY),
-                            ("tax_amount", MONEY), ("total", MONEY), ("notes", _S), ("status", _S)),
+                            ("tax_amount", MONEY), ("total", MONEY), ("notes", _S), ("status", _S),
+                            ("created_by", _L), ("updated_at", _TS)),
     "order_products": _struct(("order_id", _L), ("product_id", _L), ("quantity", MONEY), ("price", MONEY)),
     "invoices": _struct(("order_id", _L), ("status", _S)),
-    "inventory_movements": _struct(("product_id", _L), ("movement_type", _S), ("quantity", MONEY),
-                                   ("moved_at", _TS), ("reference_id", _L), ("line_no", _I)),
+    "inventory_movements": _struct(("id", _L), ("product_id", _L), ("movement_type", _S), ("quantity", MONEY),
+                                   ("moved_at", _TS), ("reference_id", _L), ("line_no", _I), ("user_id", _L),
+                                   ("reference_document", _S), ("notes", _S), ("batch", _S)),
     "production_orders": _struct(("id", _L), ("order_number", _S), ("product_id", _L),
                                  ("quantity", MONEY), ("status", _S), ("priority", _S),
-                                 ("planned_start_date", T.DateType()), ("planned_end_date", T.DateType())),
+                                 ("planned_start_date", T.DateType()), ("planned_end_date", T.DateType()),
+                                 ("updated_at", _TS)),
     "production_consumptions": _struct(("order_id", _L), ("material_id", _L),
                                        ("consumed_quantity", MONEY), ("date", _TS)),
-    "production_batches": _struct(("batch_number", _S), ("order_id", _L), ("quality", _S)),
+    "production_batches": _struct(("batch_number", _S), ("order_id", _L), ("quality", _S),
+                                  ("production_date", _TS)),
     "wastes": _struct(("id", _L), ("order_id", _L), ("process", _S), ("quantity", MONEY),
                       ("reason", _S), ("date", _TS)),
     "costings": _struct(("product_id", _L), ("material_cost", MONEY), ("labor_cost", MONEY),
@@ -66,9 +71,10 @@ ERP_SCHEMAS: dict[str, T.StructType] = {
     "expenses": _struct(("id", _L), ("amount", MONEY), ("date", T.DateType()), ("category", _S),
                         ("supplier_id", _L)),
     "employees": _struct(("id", _L), ("name", _S), ("position", _S), ("shift", _S),
-                         ("hire_date", T.DateType()), ("salary", MONEY), ("is_active", T.BooleanType())),
+                         ("hire_date", T.DateType()), ("salary", MONEY), ("is_active", T.BooleanType()),
+                         ("updated_at", _TS)),
     "users": _struct(("id", _L), ("employee_id", _L), ("username", _S), ("email", _S),
-                     ("role", _S), ("is_active", T.BooleanType())),
+                     ("role", _S), ("is_active", T.BooleanType()), ("last_login", _TS), ("updated_at", _TS)),
     "attendances": _struct(("id", _L), ("employee_id", _L), ("date", T.DateType()),
                            ("entry_time", _TS), ("exit_time", _TS), ("absence_reason", _S),
                            ("overtime_hours", MONEY)),

@@ -50,26 +50,41 @@ class Tables(Mapping):
 
 
 def load_tables(spark: SparkSession, directory: str, names: Iterable[str] | None = None,
-                fmt: str = "parquet") -> Tables:
+                fmt: str = "parquet", skip_batch: str | None = None) -> Tables:
     """ERP tables stored as ``{directory}/{name}`` (parquet by default).
 
-    Read with the explicit schema (no inference); column pruning and
-    filter pushdown are left to Catalyst.
+    A table that ``write_snapshot`` wrote is read at its current version, one
+    that ``append_rows`` wrote with all its batches but ``skip_batch`` (what a
+    failed attempt of the batch that is about to run may have left). Read with
+    the explicit schema (no inference); column pruning and filter pushdown are
+    left to Catalyst.
     """
+    from millbook.sinks.writers import batch_paths, current_snapshot
+
     names = tuple(names or ERP_SCHEMAS)
 
     def reader(name: str) -> Callable[[], DataFrame]:
-        return lambda: spark.read.schema(ERP_SCHEMAS[name]).format(fmt).load(f"{directory}/{name}")
+        def build() -> DataFrame:
+            path = f"{directory}/{name}"
+            return (spark.read.schema(ERP_SCHEMAS[name]).option("recursiveFileLookup", True).format(fmt)
+                    .load(current_snapshot(spark, path) or batch_paths(spark, path, skip_batch)))
+        return build
 
     return Tables({n: reader(n) for n in names})
 
 
 def load_tables_jdbc(spark: SparkSession, url: str, properties: dict,
-                     names: Iterable[str] | None = None) -> Tables:
-    """The same bundle read from a relational database through JDBC."""
+                     names: Iterable[str] | None = None, ranges: Mapping[str, Mapping] | None = None) -> Tables:
+    """The same bundle read from a relational database through JDBC.
+
+    ``ranges`` gives, per table, ``column``, ``lowerBound``, ``upperBound`` and
+    ``numPartitions``: the table is then read in that many slices of the
+    column. The bounds only place the slices; no row is left out. A table
+    without them is read in one task.
+    """
     names = tuple(names or ERP_SCHEMAS)
 
     def reader(name: str) -> Callable[[], DataFrame]:
-        return lambda: spark.read.jdbc(url=url, table=name, properties=properties)
+        return lambda: spark.read.jdbc(url=url, table=name, properties=properties, **dict((ranges or {}).get(name, {})))
 
     return Tables({n: reader(n) for n in names})

@@ -1,5 +1,5 @@
 """Structured Streaming jobs: T1 running stock, T2 deduplicated audit log,
-T3 stock movements with stock checks (stateful fold per product).
+T3 stock movements with stock checks (stateful fold per product) and their rejects.
 
 State and sink folders live under the shared checkpoint folder of the
 session (``spark.checkpoint.dir``); a local session without one gets a
@@ -10,25 +10,20 @@ run with ``availableNow`` here and with any trigger in production.
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millbook.session import checkpoint_dir_of
+from millbook.plans.lineage import shared_dir
 from millbook.sources.fixtures import FIXTURE_SQL, fixture_dependencies
 from millbook.sources.schemas import DRIVER_SCHEMAS
 
 
 def stream_root(spark: SparkSession, name: str) -> str:
     """A fresh folder for one streaming job's checkpoint and output."""
-    base = checkpoint_dir_of(spark) or spark.conf.get("spark.sql.streaming.checkpointLocation", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a shared folder for streaming state")
-        base = tempfile.mkdtemp(prefix="millbook-stream-")
+    base = spark.conf.get("spark.sql.streaming.checkpointLocation", None) or shared_dir(spark)
     return os.path.join(base, f"{name}-{uuid.uuid4().hex}")
 
 
@@ -40,9 +35,9 @@ def read_driver_stream(spark: SparkSession, sf_dir: str, table: str, files_per_t
     return reader.parquet(sf_dir)
 
 
-def derived_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+def derived_stream(spark: SparkSession, sf_dir: str, name: str, files_per_trigger: int | None = None) -> DataFrame:
     """An ERP fixture derived from streamed driver rows (same SQL as the batch tables)."""
-    deps = {d: read_driver_stream(spark, sf_dir, d) for d in fixture_dependencies(name)}
+    deps = {d: read_driver_stream(spark, sf_dir, d, files_per_trigger) for d in fixture_dependencies(name)}
     return spark.sql(FIXTURE_SQL[name], **deps)
 
 
@@ -81,23 +76,34 @@ def stream_stock_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # --- T2 -------------------------------------------------------------------------------
-def audit_log_query(events: DataFrame, root: str, delay: str = "1 hour", trigger: dict | None = None):
-    """Start T2: append audit events, each id once within the watermark delay.
+def audit_log_query(events: DataFrame, root: str, trigger: dict | None = None):
+    """Start T2: append audit events, each id once, however late a copy or an event arrives.
 
-    The watermark needs a zoned timestamp, so the event time is cast for the
-    dedupe and cast back for the output. ``delay`` is a choice of this
-    library (how late a re-delivered event may arrive and still be dropped).
+    No watermark drops anything. Each micro-batch keeps the ids the log does
+    not hold; a re-delivery repeats the event with its time, so only the log's
+    partitions of the batch's days are probed. A micro-batch is written to its
+    own ``epoch`` folder, which a replay overwrites (exactly once).
     """
-    deduped = (events.withColumn("_event_time", F.col("timestamp").cast(T.TimestampType()))
-               .withWatermark("_event_time", delay)
-               .dropDuplicatesWithinWatermark(["id"])
-               .drop("_event_time"))
-    return (deduped.writeStream.outputMode("append").format("parquet")
-            .option("path", os.path.join(root, "out"))
+    out = os.path.join(root, "out")
+
+    def write(batch: DataFrame, epoch: int) -> None:
+        spark = batch.sparkSession
+        fresh = batch.dropDuplicates(["id"]).withColumn("day", F.coalesce(F.to_date("timestamp"), F.lit("1970-01-01").cast("date")))
+        if epoch > 0:
+            log = spark.read.schema("id long, epoch long, day date").parquet(out).filter(F.col("epoch") < epoch)
+            fresh = fresh.join(log.select("id", "day"), ["id", "day"], "left_anti")
+        fresh.write.mode("overwrite").partitionBy("day").parquet(os.path.join(out, f"epoch={epoch}"))
+
+    return (events.writeStream.foreachBatch(write)
             .option("checkpointLocation", os.path.join(root, "state"))
             .trigger(**(trigger or {"availableNow": True})).start())
 
 
+def read_audit_log(spark: SparkSession, root: str) -> DataFrame:
+    return (spark.read.schema("id long, user_id long, action string, details string, timestamp timestamp_ntz, "
+                              "epoch long, day date").parquet(os.path.join(root, "out")).drop("epoch", "day"))
+
+
 def stream_audit_log(spark: SparkSession, sf_dir: str, redeliver_errors: bool = True) -> DataFrame:
     """T2 end to end: audit events from the event stream; with ``redeliver_errors``
     the error events arrive a second time and must be dropped by the dedupe."""
@@ -107,7 +113,7 @@ def stream_audit_log(spark: SparkSession, sf_dir: str, redeliver_errors: bool =
         audits = audits.unionByName(audits.filter(F.col("action") == F.lit("ERROR")))
     q = audit_log_query(audits, root)
     q.awaitTermination()
-    return spark.read.parquet(os.path.join(root, "out"))
+    return read_audit_log(spark, root)
 
 
 # --- T3: stock movements with stock checks, as a stream --------------------------------
@@ -163,11 +169,12 @@ def _fold_group(key, batches, state):
 
 
 def movement_decisions_query(requests: DataFrame, products: DataFrame, root: str, trigger: dict | None = None):
-    """Start T3: W9 on a stream of movement requests (valid ones; W8 checks are stateless filters).
+    """Start T3: W9 on a stream of movement requests.
 
-    Requests for unknown products, other types or quantities <= 0 are left
-    out here (the batch job reports them as rejects); the rest are folded per
-    product with ``applyInPandasWithState`` and appended to ``{root}/out``.
+    The valid requests are folded per product with ``applyInPandasWithState``
+    and appended to ``{root}/out``; the others (unknown products, other types,
+    quantities <= 0) go to the rejects of :func:`invalid_movements_query`, so
+    the two outputs hold every request.
     """
     from millbook.functions.money import cents, from_cents
 
@@ -187,12 +194,39 @@ def movement_decisions_query(requests: DataFrame, products: DataFrame, root: str
             .trigger(**(trigger or {"availableNow": True})).start())
 
 
-def stream_apply_movements(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """T3 end to end: movement requests streamed from line items against the product snapshot."""
+def invalid_movements_query(requests: DataFrame, products: DataFrame, root: str, trigger: dict | None = None):
+    """Start T3's rejects: ``request_id, product_id, reason`` of requests the W8 checks refuse, to ``{root}/rejects``."""
+    from millbook.operators.ledger import validate_movements
+    from millbook.sources.tables import Tables
+
+    _valid, rejects = validate_movements(Tables({"products": products}), requests)
+    return (rejects.writeStream.outputMode("append").format("parquet")
+            .option("path", os.path.join(root, "rejects"))
+            .option("checkpointLocation", os.path.join(root, "rejects-state"))
+            .trigger(**(trigger or {"availableNow": True})).start())
+
+
+def _run_movements(spark: SparkSession, sf_dir: str, files_per_trigger: int) -> str:
     from millbook.sources.fixtures import derive_tables
 
     root = stream_root(spark, "movements")
-    q = movement_decisions_query(derived_stream(spark, sf_dir, "movement_requests"),
-                                 derive_tables(spark, sf_dir).products, root)
-    q.awaitTermination()
-    return spark.read.parquet(os.path.join(root, "out"))
+    products = derive_tables(spark, sf_dir).products
+    for start in (movement_decisions_query, invalid_movements_query):
+        start(derived_stream(spark, sf_dir, "movement_requests", files_per_trigger), products, root).awaitTermination()
+    return root
+
+
+def stream_apply_movements(spark: SparkSession, sf_dir: str, files_per_trigger: int = 8) -> DataFrame:
+    """T3 end to end: movement requests streamed from line items against the product snapshot.
+
+    ``files_per_trigger`` bounds a micro-batch, and with it the rows of one product that are ordered together.
+    """
+    return spark.read.parquet(os.path.join(_run_movements(spark, sf_dir, files_per_trigger), "out"))
+
+
+def stream_movement_rejects(spark: SparkSession, sf_dir: str, files_per_trigger: int = 8) -> DataFrame:
+    """T3 end to end: every request the stream did not accept, with the reason."""
+    root = _run_movements(spark, sf_dir, files_per_trigger)
+    short = (spark.read.parquet(os.path.join(root, "out")).filter(~F.col("accepted"))
+             .select("request_id", "product_id", F.lit("INSUFFICIENT_STOCK").alias("reason")))
+    return short.unionByName(spark.read.parquet(os.path.join(root, "rejects")))

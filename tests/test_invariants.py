@@ -3,6 +3,7 @@
 import random
 from decimal import Decimal
 
+import pytest
 from pyspark.sql import functions as F
 
 from millbook.functions.paging import dense_number
@@ -24,13 +25,11 @@ def test_sales_reports_agree(tables_small):
     assert a1[1] == a3.total_orders
 
 
-def test_kardex_closes_at_ledger_sum_and_bucket_size_does_not_matter(tables_small):
+def test_kardex_closes_at_ledger_sum(tables_small):
     t = tables_small
-    by_day = K.kardex(t, granularity="day")
-    by_year = K.kardex(t, granularity="year")
-    keys = ["product_id", "moved_at", "reference_id", "line_no", "quantity", "closing_balance"]
-    assert by_day.select(*keys).exceptAll(by_year.select(*keys)).count() == 0
-    last = by_day.groupBy("product_id").agg(F.max("closing_balance").alias("mx"),
+    rows = K.kardex(t)
+    assert rows.count() == t.inventory_movements.count()
+    last = rows.groupBy("product_id").agg(F.max("closing_balance").alias("mx"),
                                             F.max_by("closing_balance", F.struct("moved_at", "reference_id",
                                                                                 "line_no", "quantity")).alias("c"))
     joined = last.join(K.ledger_balance(t), "product_id")
@@ -138,17 +137,48 @@ def test_snapshot_sink_versions(spark, tmp_path):
     second = write_snapshot(spark.range(5), root)
     assert current_snapshot(spark, root) == second and second.endswith("v=2")
     assert read_snapshot(spark, root).count() == 5
-    # a failed attempt left an unpointed v=3 behind: the rerun replaces it
+    # a failed attempt left an unpointed v=3 behind: it is never read and never reused
     spark.range(1).write.parquet(root + "/v=3")
+    assert current_snapshot(spark, root) == second
     third = write_snapshot(spark.range(7), root)
-    assert third.endswith("v=3") and read_snapshot(spark, root).count() == 7
+    assert third.endswith("v=4") and read_snapshot(spark, root).count() == 7
+    assert spark.read.parquet(root + "/v=1").count() == 3
+
+
+def test_unreadable_pointers_raise_and_keep_history(spark, tmp_path, monkeypatch):
+    from millbook.sinks import writers
+    root = str(tmp_path / "clients")
+    writers.write_snapshot(spark.range(3), root)
+    writers.write_snapshot(spark.range(5), root)
+
+    def broken(*_args):
+        raise OSError("storage is away")
+    with monkeypatch.context() as m:
+        m.setattr(writers, "_children", broken)
+        with pytest.raises(OSError):
+            writers.write_snapshot(spark.range(9), root)
+        with pytest.raises(OSError):
+            writers.current_snapshot(spark, root)
+    assert spark.read.parquet(root + "/v=1").count() == 3 and writers.read_snapshot(spark, root).count() == 5
+
+
+def test_load_tables_reads_the_current_version_and_every_batch(spark, tmp_path):
+    from millbook.sinks.writers import append_rows, write_snapshot
+    from millbook.sources.tables import load_tables
+    for n in (1, 2):
+        write_snapshot(spark.range(n).withColumn("name", F.lit("s")), str(tmp_path / "suppliers"))
+    shifts = spark.range(4).withColumn("machine", F.lit("M"))
+    append_rows(shifts, str(tmp_path / "shifts"))
+    append_rows(shifts, str(tmp_path / "shifts"), batch_id="x")
+    t = load_tables(spark, str(tmp_path), ["suppliers", "shifts"])
+    assert t.suppliers.count() == 2 and t.shifts.count() == 8
 
 
 def test_sales_intake_job_writes_reconciled_outputs(spark, tables_small, tmp_path):
     from millbook.operators.jobs import run_sales_intake
     from millbook.sinks.writers import read_snapshot
     t = tables_small
-    paths = run_sales_intake(t, t.sales_order_requests, t.sales_order_lines, AS_OF, str(tmp_path))
+    paths = run_sales_intake(t, t.sales_order_requests, t.sales_order_lines, AS_OF, str(tmp_path), batch_id="b")
     orders = spark.read.parquet(paths["sales_orders"])
     rejects = spark.read.parquet(paths["rejects"])
     assert orders.count() + rejects.count() == t.sales_order_requests.count()
@@ -190,19 +220,21 @@ def test_kardex_on_a_hot_product_matches_a_running_sum(spark):
                         key=lambda r: (r["moved_at"], r["reference_id"])):
             run += r["quantity"]
             want[r["reference_id"]] = run
-    for gran in ("hour", "day", "year"):
-        got = {r.reference_id: r.closing_balance for r in K.kardex(t, granularity=gran).collect()}
-        assert got == want, gran
-    # only product 1 (about a third of the rows) is hot here: hourly buckets for it, daily for the rest
-    mixed = {r.reference_id: r.closing_balance for r in K.kardex(t, hot_share=0.2).collect()}
-    assert mixed == want
+    assert {r.reference_id: r.closing_balance for r in K.kardex(t).collect()} == want
+
+
+def test_kardex_keeps_rows_without_time(spark):
+    rows = [{"product_id": p, "movement_type": "ENTRY", "quantity": D(q), "moved_at": at, "reference_id": i, "line_no": 1}
+            for i, (p, q, at) in enumerate([(1, 5, None), (1, 2, ts("2024-01-01 10:00:00")), (None, 3, None), (1, 1, None)])]
+    got = K.kardex(make_tables(spark, inventory_movements=rows)).collect()
+    assert {r.reference_id: r.closing_balance for r in got} == {0: D(5), 3: D(6), 1: D(8), 2: D(3)}
 
 
 def test_movement_job_appends_and_snapshots(spark, tables_small, tmp_path):
     from millbook.operators.jobs import run_movements
     from millbook.sinks.writers import read_snapshot
     t = tables_small
-    paths = run_movements(t, t.movement_requests, str(tmp_path))
+    paths = run_movements(t, t.movement_requests, str(tmp_path), batch_id="b")
     moved = spark.read.parquet(paths["inventory_movements"])
     rejects = spark.read.parquet(paths["rejects"])
     assert moved.count() + rejects.count() == t.movement_requests.count()
@@ -289,6 +321,28 @@ def test_batch_appends_are_idempotent(spark, tables_small, tmp_path):
     t = tables_small
     first = run_movements(t, t.movement_requests, str(tmp_path), batch_id="b1")
     n = spark.read.parquet(first["inventory_movements"]).count()
-    run_movements(t, t.movement_requests, str(tmp_path), batch_id="b1")  # rerun of the same batch
+    # a rerun reads the products the first run published, as a real one would
+    from millbook.sources.tables import load_tables
+    now = t.replace(products=load_tables(spark, str(tmp_path), ["products"]).products)
+    assert run_movements(now, t.movement_requests, str(tmp_path), batch_id="b1") == first
     again = spark.read.parquet(first["inventory_movements"])
-    assert again.count() == n and again.select("batch").distinct().count() == 1
+    assert again.count() == n and again.select("load_id").distinct().count() == 1
+    stored = load_tables(spark, str(tmp_path), ["products", "inventory_movements"])
+    moved = stored.inventory_movements.groupBy("product_id").agg(F.sum("quantity").alias("m"))
+    change = (t.products.select(F.col("id").alias("product_id"), F.coalesce("current_stock", F.lit(0)).alias("a"))
+              .join(stored.products.select(F.col("id").alias("product_id"), F.coalesce("current_stock", F.lit(0)).alias("b")),
+                    "product_id").join(moved, "product_id", "left"))
+    assert change.filter(F.col("b") - F.col("a") != F.coalesce("m", F.lit(0))).count() == 0
+    # an attempt that failed before it published: its appends are replaced, stock is taken once
+    stored.inventory_movements.limit(5).write.mode("overwrite").parquet(str(tmp_path / "inventory_movements" / "load_id=b2"))
+    ledger = load_tables(spark, str(tmp_path), ["inventory_movements"], skip_batch="b2").inventory_movements
+    assert ledger.count() == n
+    now = now.replace(inventory_movements=ledger)
+    run_movements(now, t.movement_requests, str(tmp_path), batch_id="b2")
+    after = load_tables(spark, str(tmp_path), ["products", "inventory_movements"])
+    total = after.inventory_movements.agg(F.sum("quantity")).first()[0]
+    assert (after.products.agg(F.sum("current_stock")).first()[0]
+            - t.products.agg(F.sum("current_stock")).first()[0]) == total
+    ids = after.inventory_movements.select("id")
+    assert ids.distinct().count() == after.inventory_movements.count() > n
+    assert K.kardex(after).count() == after.inventory_movements.count()

@@ -6,7 +6,8 @@ import __spark_entry__ as E
 from tests.conftest import SF_SMALL
 
 QUERIES = E.queries()
-STREAMS = {"stream_stock_balance", "stream_audit_log", "stream_apply_movements"}
+STREAMS = {"stream_stock_balance", "stream_audit_log", "stream_apply_movements", "stream_apply_movements_rejects",
+           "stored_movements_kardex", "stored_movements_stock"}
 
 
 def plan_of(df, mode: str = "formatted") -> str:
@@ -51,9 +52,22 @@ def test_aggregations_combine_map_side(spark, name):
     assert "partial_" in p, name
 
 
-def test_kardex_spreads_a_product_over_time_buckets(spark):
+def test_kardex_is_range_partitioned_once(spark):
+    """K1 reads the ledger once; the running sum works on (partition, product), never on a whole product."""
     p = plan_of(QUERIES["kardex"](spark, SF_SMALL), "simple")
-    assert "hashpartitioning(product_id" in p and "_bucket" in p
+    assert "lineitem" not in p and p.count("FileScan") == 2  # the staged rows, for the sums and for their totals
+    assert "hashpartitioning(_part" in p and "hashpartitioning(product_id" not in p.replace("hashpartitioning(_part", "")
+
+
+def test_dashboard_reads_one_month_of_orders(spark):
+    p = plan_of(QUERIES["dashboard_kpis"](spark, SF_SMALL))
+    assert "GreaterThanOrEqual(o_orderdate" in p
+
+
+def test_profit_values_products_after_summing(spark):
+    """Lines meet the orders first; costs join the sums per client and product."""
+    p = plan_of(QUERIES["profit_by_client"](spark, SF_SMALL), "simple")
+    assert p.index("_unit") < p.index("l_quantity")
 
 
 def test_stock_fold_is_one_python_stage_over_a_product_partitioning(spark):

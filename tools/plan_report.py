@@ -14,7 +14,8 @@ import sys
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 sys.path.insert(0, ROOT)
 
-STREAMS = {"stream_stock_balance", "stream_audit_log", "stream_apply_movements"}
+STREAMS = {"stream_stock_balance", "stream_audit_log", "stream_apply_movements", "stream_apply_movements_rejects",
+           "stored_movements_kardex", "stored_movements_stock"}
 
 
 def facts(plan: str) -> dict:
@@ -39,11 +40,11 @@ def main() -> None:
     sf_dir = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.1"
     out = sys.argv[2] if len(sys.argv) > 2 else os.path.join(ROOT, "PLANS.md")
     from millbook.session import build_session
-    import __spark_entry__ as E
+    from millbook import catalog
 
     spark = build_session("local[8]", shuffle_partitions=16)
     rows = []
-    for name, fn in sorted(E.queries().items()):
+    for name, fn in sorted(catalog.queries().items()):
         if name in STREAMS:
             continue
         df = fn(spark, sf_dir)
