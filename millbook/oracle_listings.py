@@ -116,7 +116,7 @@ SELECT {EMPLOYEE} FROM employees e WHERE e.is_active = TRUE AND e.id IN (SELECT
     "lookup_users": """
 SELECT id, CAST(employee_id AS DOUBLE) AS employee_id, username, email, role, is_active, last_login FROM users WHERE id IN (SELECT user_id FROM audits)""",
     "user_effective_role": """
-SELECT u.id, CAST(u.employee_id AS DOUBLE) AS employee_id, u.username, u.email, u.is_active, e.position AS role
+SELECT u.id, CAST(u.employee_id AS DOUBLE) AS employee_id, u.username, u.email, u.is_active, u.last_login, e.position AS role
 FROM users u LEFT JOIN employees e ON u.employee_id = e.id WHERE u.is_active = TRUE""",
     "list_sales_orders_page": _page(ORDERS_BASE, "order_date DESC, id DESC", 3, 10),
     "list_audits_page": _page(f"{AUDITS_BASE} WHERE a.action ILIKE '%view%'", "timestamp DESC, id DESC", 2, 15),
