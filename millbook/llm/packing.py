@@ -13,12 +13,14 @@ leaves at most those bins part-filled, so it is given many times as many pieces.
 
 from __future__ import annotations
 
+import os
+import re
 import zlib
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,45 +28,69 @@ from millbook.plans.lineage import staged
 
 SEQUENCE, END_ID, OPEN_BINS = 1024, 2, 2048
 PIECES_PER_PARTITION = 200_000
-#: The byte-level vocabulary's word pattern (fixed value).
-_WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 #: Characters whose class is the same in every Unicode version; texts with others go to the tokenizer whole.
-_PLAIN = regex.compile(r"[\t\n\x0b\x0c\r\x20-\x7e\xa1-\xac\xae-ȳ‐-‧‰-⁞]*")
-_CACHE_WORDS = 1 << 18
+_PLAIN = re.compile(r"[\t\n\x0b\x0c\r\x20-\x7e\xa1-\xac\xae-ȳ‐-‧‰-⁞]*")
+#: The byte-level vocabulary's word pattern (fixed value), its letter and number classes spelt out for those characters.
+_LETTERS, _NUMBERS = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-ȳ", "0-9\xb2\xb3\xb9\xbc-\xbe"
+_WORDS = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTERS}]+| ?[{_NUMBERS}]+| ?[^\s{_LETTERS}{_NUMBERS}]+|\s+(?!\S)|\s+")
+_CACHE_WORDS = 1 << 19
+_CHUNK_CHARS = 1 << 20
 
 
 class Tokens:
     """Ids of texts as little-endian unsigned 32-bit bytes.
 
-    Byte-level BPE merges within words only, so the words of a text are
-    looked up and each distinct word is encoded by the tokenizer once.
+    Byte-level BPE merges within words only, so texts are cut into words and
+    each distinct word is encoded by the tokenizer once, in batches. Words are
+    remembered in two generations: a full young one becomes the old one, so
+    frequent words stay and memory is bounded.
     """
 
     def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # one thread per task
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         # strings the tokenizer cuts out of a text before it looks at words
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.known: dict[str, bytes] = {}
-
-    def _encode(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def ids(self, text: str) -> bytes:
-        if not _PLAIN.fullmatch(text) or any(t in text for t in self.added):
-            return self._encode(text)
-        words = _WORDS.findall(text)
-        known = self.known
-        try:
-            return b"".join([known[w] for w in words])
-        except KeyError:
-            if len(known) > _CACHE_WORDS:
-                known.clear()
-            for w in set(words):
-                if w not in known:
-                    known[w] = self._encode(w)
-            return b"".join([known[w] for w in words])
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+
+    def _learn(self, words: set[str]) -> None:
+        new = words - self.young.keys()
+        if len(self.young) + len(new) > _CACHE_WORDS:
+            self.old, self.young, new = self.young, {}, words
+        unknown = [w for w in new if w not in self.old]
+        self.young.update((w, self.old[w]) for w in new if w in self.old)
+        self.young.update(zip(unknown, self._encode(unknown), strict=True))
+
+    def ids(self, texts: list[str]) -> Iterator[bytes]:
+        """The ids of each text, worked through in runs of bounded length."""
+        run, size = [], 0
+        for text in texts:
+            run.append(text)
+            size += len(text)
+            if size >= _CHUNK_CHARS:
+                yield from self._ids(run)
+                run, size = [], 0
+        yield from self._ids(run)
+
+    def _ids(self, texts: list[str]) -> list[bytes]:
+        plain = [bool(_PLAIN.fullmatch(t)) and not any(a in t for a in self.added) for t in texts]
+        words = [_WORDS.findall(t) if p else [] for t, p in zip(texts, plain, strict=True)]
+        self._learn(set().union(*words))
+        known = self.young
+        return [b"".join([known[w] for w in own]) if p else self._encode([t])[0]
+                for t, p, own in zip(texts, plain, words, strict=True)]
+
+
+@cache
+def _tokens(path: str) -> Tokens:
+    """One per Python worker, so that its words serve the worker's later tasks too."""
+    return Tokens(path)
 
 
 def pieces_of(ids: bytes, length: int = SEQUENCE) -> list[tuple[int, int]]:
@@ -86,11 +112,11 @@ def cut(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str =
     id_type = docs.schema[id_col].dataType
 
     def of_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = Tokens(tokenizer)
+        tokens = _tokens(tokenizer)
         for batch in batches:
             row, piece, start, size, crc, whole = [], [], [], [], [], []
-            for r, text in enumerate(batch.column(1)):
-                ids = tokens.ids(text.as_py() or "") + end
+            for r, ids in enumerate(tokens.ids([t or "" for t in batch.column(1).to_pylist()])):
+                ids += end
                 for k, (at, n) in enumerate(pieces_of(ids, length)):
                     own = ids[4 * at:4 * (at + n)]
                     row.append(r), piece.append(k), start.append(at), size.append(n), crc.append(zlib.crc32(own))

@@ -126,6 +126,16 @@ def test_drop_exact_duplicates_keeps_columns(spark, edge_dir):
     want = Counter(i for (i, _, _, kept, _), n in brute.exact_dedup([r.asDict() for r in docs.collect()]).items()
                    if kept for _ in range(n))
     assert got.columns == docs.columns and Counter(r["doc_id"] for r in got.collect()) == want
+    bare = docs.select("text")  # without ids: one row per text
+    assert exact_dedup.drop_exact_duplicates(bare).count() == sum(want.values())
+
+
+def test_drop_near_duplicates_keeps_one_row_a_group(spark, edge_dir):
+    docs = spark.read.parquet(f"{edge_dir}/documents.parquet")
+    got = simhash.drop_near_duplicates(docs)
+    want = {c for _, _, c in brute.near_dedup([r.asDict() for r in docs.collect()])}
+    assert got.columns == docs.columns and Counter(r["doc_id"] for r in got.collect()) == Counter(want)
+    assert simhash.drop_near_duplicates(docs.select("text")).count() == len(want)
 
 
 def test_mix(spark, edge_dir):
@@ -424,13 +434,34 @@ def test_best_fit_bins():
     assert bins.open <= packing.OPEN_BINS and bins.next <= 1.04 * sum(sizes) / 1024
 
 
-def test_word_cache_equals_the_tokenizer():
+def test_word_cache_equals_the_tokenizer(monkeypatch):
     tokens = packing.Tokens(Q.tokenizer_path())
     rng = random.Random(3)
     alphabet = "ab  \n\t'sStrevél12.,$ßñ\u00a0\u2019-_\u2028\u3000\x1c日"
-    for _ in range(400):
-        text = "".join(rng.choice(alphabet) for _ in range(rng.randrange(60)))
-        assert np.frombuffer(tokens.ids(text), "<u4").tolist() == tokens.tokenizer.encode(text, add_special_tokens=False).ids
+    texts = ["".join(rng.choice(alphabet) for _ in range(rng.randrange(60))) for _ in range(400)]
+    monkeypatch.setattr(packing, "_CACHE_WORDS", 50)  # generations change often
+    monkeypatch.setattr(packing, "_CHUNK_CHARS", 100)
+    for text, ids in zip(texts, tokens.ids(texts), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == tokens.tokenizer.encode(text, add_special_tokens=False).ids
+    assert len(tokens.young) + len(tokens.old) < 400
+
+
+def test_classes_of_the_word_pattern():
+    """For the characters taken apart here, letters and numbers are Unicode's, and the pattern cuts as the tokenizer does."""
+    import re
+    import unicodedata
+
+    tokens = packing.Tokens(Q.tokenizer_path())
+    for c in map(chr, range(0x2100)):
+        if packing._PLAIN.fullmatch(c):
+            kind = unicodedata.category(c)[0]
+            assert bool(re.fullmatch(f"[{packing._LETTERS}]", c)) == (kind == "L"), hex(ord(c))
+            assert bool(re.fullmatch(f"[{packing._NUMBERS}]", c)) == (kind == "N"), hex(ord(c))
+    cut = tokens.tokenizer.pre_tokenizer.pre_tokenize_str
+    for c in map(chr, range(0x2100)):
+        text = f"a{c}1 {c}{c} ."
+        if packing._PLAIN.fullmatch(text):
+            assert [text[s:e] for _, (s, e) in cut(text)] == packing._WORDS.findall(text), hex(ord(c))
 
 
 def test_pipeline_on_edges(spark, edge_dir):
