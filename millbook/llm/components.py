@@ -5,7 +5,7 @@ node at the smallest node among them, first the larger neighbours, then the
 smaller ones. The edge list never grows, every step is one grouped minimum
 (combined map-side) and one join, and the graph is a set of stars after a
 number of rounds logarithmic in the longest chain. Nothing is collected; the
-driver sees one count and one checksum per round.
+driver only learns whether a round left stars.
 """
 
 from __future__ import annotations
@@ -35,8 +35,10 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return told.unionByName(low.select("u", F.col("m").alias("v")))
 
 
-def _state(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+def _stars(edges: DataFrame) -> bool:
+    """Whether every node points at one other and none points at a node that points on."""
+    on = edges.select("u").distinct().join(edges.select(F.col("v").alias("u")).distinct(), "u", "left_semi")
+    return on.isEmpty() and edges.groupBy("u").count().filter("count > 1").isEmpty()
 
 
 def connected_components(links: DataFrame, a: str, b: str) -> DataFrame:
@@ -47,11 +49,7 @@ def connected_components(links: DataFrame, a: str, b: str) -> DataFrame:
     links are loops is not returned.
     """
     edges = staged(_directed(links.select(F.col(a).alias("u"), F.col(b).alias("v")).dropna()), "edges")
-    state = _state(edges)
-    while state[0]:
+    while not _stars(edges):
         edges = staged(_directed(_small_star(staged(_directed(_large_star(edges)), "edges"))), "edges")
-        last, state = state, _state(edges)
-        if state == last:
-            break
     return (edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
             .unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component"))).distinct())
