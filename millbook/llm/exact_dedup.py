@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millbook.llm.text import WHITESPACE, fresh, text_of, with_row_ids
+from millbook.llm.text import WHITESPACE, row_key, rows_of, text_of
 from millbook.plans.lineage import staged
 
 BLOCK_BYTES = 4096
@@ -116,15 +116,15 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 def drop_exact_duplicates(docs: DataFrame, text_col: str = "text", **options) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns.
 
-    The rows are staged with a row id of their own, which plays the id above,
-    so repeated ids cannot confuse rows; among equal texts of equal length the
-    smallest ``doc_id`` stays where ``docs`` has that column.
+    Of equal texts of equal length the smallest ``doc_id`` stays (where
+    ``docs`` has that column). Rows equal in id and text count as one row.
     """
-    rows, rid = with_row_ids(docs)
-    named = name_texts(rows, rid, text_col, **options)
-    first = [F.bitwise_not("id").alias("low_rid")]
-    if "doc_id" in docs.columns:
-        named = named.join(rows.select(F.col(rid).alias("id"), F.col("doc_id").alias("doc")), "id")
-        first = [F.col("doc").isNotNull().alias("has_doc"), F.bitwise_not("doc").alias("low_doc"), *first]
-    keep = named.groupBy("level", "name").agg(F.max(F.struct("n_chars", *first)).alias("best"))
-    return rows.join(keep.select(F.bitwise_not("best.low_rid").alias(rid)), rid, "left_semi").drop(rid)
+    doc = F.col("doc_id").cast("long") if "doc_id" in docs.columns else F.lit(None).cast("long")
+    source = docs.select(F.struct(doc.alias("doc"), row_key(docs, text_col).alias("key")).alias("id"),
+                         F.col(text_col).alias("text"))
+    named = name_texts(source, "id", "text", **options)
+    best = F.max(F.struct("n_chars", F.col("id.doc").isNotNull().alias("has_doc"),
+                          F.bitwise_not("id.doc").alias("low_doc"), F.col("id.key").alias("key")))
+    keep = named.groupBy("level", "name").agg(best.alias("best")).select("best.key")
+    repeated = not named.groupBy("id.key").count().filter("count > 1").isEmpty()
+    return rows_of(docs, keep, text_col, once=repeated)

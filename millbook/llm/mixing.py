@@ -13,12 +13,12 @@ whatever the partitioning: an interval starts where the one before it ended.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millbook.functions.paging import dense_number
 from millbook.functions.prefix import running_sum
-from millbook.llm.text import WORD, fresh, text_of, with_row_ids
+from millbook.llm.text import WORD, fresh, row_key, text_of
 from millbook.plans.lineage import staged
 
 UNIT = 1 << 24
@@ -85,10 +85,18 @@ def plan_mix(docs: DataFrame, keys: list[str], text_col: str = "text", source_co
 
 
 def mix(docs: DataFrame, text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
-    """The mixed corpus: rows of ``docs`` with all their columns, each repeated ``copies`` times."""
-    rows, rid = with_row_ids(docs)
-    plan = plan_mix(rows, [rid], text_col, source_col, **options).filter("copies > 0")
-    n = fresh("copies", rows.columns)
-    emitted = rows.join(plan.select(rid, F.col("copies").alias(n)), rid)
-    once = fresh("copy", [*rows.columns, n])
-    return emitted.withColumn(once, F.explode(F.sequence(F.lit(1).cast("long"), F.col(n)))).drop(rid, n, once)
+    """The mixed corpus: rows of ``docs`` with all their columns, each repeated ``copies`` times.
+
+    Rows equal in id and text share their copies out evenly.
+    """
+    key, n, twins, once = (fresh(c, docs.columns) for c in ("row_key", "copies", "twins", "copy"))
+    keyed = docs.withColumn(key, row_key(docs, text_col))
+    plan = staged(plan_mix(keyed, [key], text_col, source_col, **options).groupBy(key).agg(
+        F.sum("copies").alias(n), F.count(F.lit(1)).alias(twins)), "copies")
+    rows = keyed.join(plan.filter(F.col(n) > 0), key)
+    if not plan.filter(F.col(twins) > 1).isEmpty():
+        before = F.row_number().over(Window.partitionBy(key).orderBy(key)) - 1
+        rows = rows.withColumn(once, before).withColumn(
+            n, F.floor((F.col(once) + 1) * F.col(n) / F.col(twins)) - F.floor(F.col(once) * F.col(n) / F.col(twins))
+        ).drop(once).filter(F.col(n) > 0)
+    return rows.withColumn(once, F.explode(F.sequence(F.lit(1).cast("long"), F.col(n)))).drop(key, n, twins, once)

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millbook.llm.components import connected_components
-from millbook.llm.text import with_row_ids
+from millbook.llm.text import row_key, rows_of
 from millbook.plans.lineage import staged
 
 SHINGLE_WORDS, MAX_BITS, PARTS, SEED = 3, 2, 3, 42
@@ -59,15 +59,15 @@ def fingerprint(text: str | None, shingle: int = SHINGLE_WORDS) -> int:
     return int.from_bytes(np.packbits(2 * ones > len(starts)).tobytes(), "big", signed=True)
 
 
-def fingerprints(docs: DataFrame, id_col: str, text_col: str, shingle: int = SHINGLE_WORDS) -> DataFrame:
-    """``id, fp`` of every row (staged)."""
+def fingerprints(docs: DataFrame, id_cols: list[str], text_col: str, shingle: int = SHINGLE_WORDS) -> DataFrame:
+    """``id_cols, fp`` of every row (staged)."""
     def of_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [fingerprint(t.as_py(), shingle) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.int64())], ["id", "fp"])
+            found = [fingerprint(t.as_py(), shingle) for t in batch.column(len(id_cols))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found, pa.int64())], [*id_cols, "fp"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return staged(rows.mapInArrow(of_batches, "id long, fp long"), "fingerprints")
+    schema = docs.select(*id_cols).schema.add("fp", "long")
+    return staged(docs.select(*id_cols, F.col(text_col).cast("string")).mapInArrow(of_batches, schema), "fingerprints")
 
 
 def bit_statistics(fps: DataFrame) -> tuple[np.ndarray, int]:
@@ -230,27 +230,36 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     keeps its row, with the component its fingerprint has. Repeated rows share
     a fingerprint; empty input gives no rows; other columns are not read.
     """
-    marked = fingerprints(docs, id_col, text_col, shingle)
-    distinct = staged(marked.groupBy("fp").agg(F.min("id").alias("low")), "distinct-fingerprints")
-    links = staged(near_pairs(distinct.select("fp"), k, parts), "links")
-    linked = connected_components(links, "a", "b").select(F.col("node").alias("fp"), "component")
-    grouped = distinct.join(linked, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
-    lowest = staged(grouped.groupBy("component").agg(F.min("low").alias("component_id")), "lowest")
-    by_fp = staged(grouped.select("fp", "component").join(lowest, "component").select("fp", "component_id"), "by-fp")
+    source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    marked = fingerprints(source, ["id"], "text", shingle)
+    groups = fingerprint_groups(marked, k, parts)
+    lowest = (marked.groupBy("fp").agg(F.min("id").alias("low")).join(groups, "fp")
+              .groupBy("component").agg(F.min("low").alias("component_id")))
+    by_fp = staged(groups.join(staged(lowest, "lowest"), "component").select("fp", "component_id"), "by-fp")
     return marked.join(by_fp, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, text_col: str = "text", **options) -> DataFrame:
+def fingerprint_groups(marked: DataFrame, k: int = MAX_BITS, parts: int = PARTS) -> DataFrame:
+    """``fp, component`` of every distinct fingerprint of ``marked`` (staged)."""
+    distinct = staged(marked.select("fp").distinct(), "distinct-fingerprints")
+    links = staged(near_pairs(distinct, k, parts), "links")
+    linked = connected_components(links, "a", "b").select(F.col("node").alias("fp"), "component")
+    return staged(distinct.join(linked, "fp", "left").select("fp", F.coalesce("component", "fp").alias("component")),
+                  "fingerprint-groups")
+
+
+def drop_near_duplicates(docs: DataFrame, text_col: str = "text", shingle: int = SHINGLE_WORDS, k: int = MAX_BITS,
+                         parts: int = PARTS) -> DataFrame:
     """One row of each group of near copies, with all its columns: the one with the smallest ``doc_id``.
 
-    Among rows with that id (or without the column) the smallest staged row id decides.
+    A null id (or none in ``docs``) comes last; among rows with that id the
+    row key decides, and rows equal in id and text count as one row.
     """
-    rows, rid = with_row_ids(docs)
-    found = near_duplicates(rows, rid, text_col, **options)
-    groups = found.select(F.col(rid), F.col("component_id").alias("group"))
-    first = [F.col(rid)]
-    if "doc_id" in docs.columns:
-        groups = groups.join(rows.select(rid, F.col("doc_id").alias("doc")), rid)
-        first = [F.col("doc").isNull(), F.coalesce("doc", F.lit(0)), *first]
-    keep = groups.groupBy("group").agg(F.min_by(rid, F.struct(*first)).alias(rid))
-    return rows.join(keep.select(rid), rid, "left_semi").drop(rid)
+    doc = F.col("doc_id").cast("long") if "doc_id" in docs.columns else F.lit(None).cast("long")
+    source = docs.select(doc.alias("doc"), row_key(docs, text_col).alias("key"), F.col(text_col).alias("text"))
+    marked = fingerprints(source, ["doc", "key"], "text", shingle)
+    first = F.struct(F.col("doc").isNull().alias("last"), "doc", "key")
+    keep = (marked.join(fingerprint_groups(marked, k, parts), "fp").groupBy("component")
+            .agg(F.min(first).alias("first")).select("first.key"))
+    repeated = not marked.groupBy("key").count().filter("count > 1").isEmpty()
+    return rows_of(docs, keep, text_col, once=repeated)
