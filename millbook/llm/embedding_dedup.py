@@ -3,14 +3,18 @@
 Vectors of equal label are compared by cosine. Equal vectors meet first and
 count with their multiplicity. Spherical k-means (fitted on a bounded sample,
 on the driver) assigns every distinct vector to its nearest centroid's cell. A
-vector near a border also visits the other cells whose centroid is at most
-``margin`` degrees farther than its own; visitors meet residents only, and a
-pair that two cells could see is counted in one of them, so counts are exact
-for the pairs found and borders lose few.
-
-A cell's vectors are dealt over blocks of about ``block`` rows by hash, and
-every pair of blocks is one matrix product. A product returns per vector how
-many it links with, and a spanning forest of the links; pairs are never listed.
+vector also visits every other cell whose border is at most half the angle of
+``least`` away. Two linked vectors on both sides of a border cannot both be
+farther from it than that, so one of them visits the other's cell and no link
+is lost, whatever the centroids. Visitors meet residents only, and a pair that
+two cells see is counted in one of them, so counts are exact.
+
+A cell's residents and its visitors are dealt over blocks of about ``block``
+rows by hash; every pair of resident blocks and every resident block with every
+visitor block is one matrix product, so even vectors that all visit all cells
+cost no more than twice the comparison of all with all. A product returns per
+vector how many it links with, and a spanning forest of the links; pairs are
+never listed.
 """
 
 from __future__ import annotations
@@ -29,11 +33,11 @@ from millbook.llm.text import with_row_ids
 from millbook.plans.lineage import staged
 
 LEAST = 0.93
-MARGIN = 4.0          # degrees
 SAMPLE = 20_000       # vectors the centroids are fitted on, about
 PER_CELL = 1_000      # wanted vectors of one label in a cell
 MAX_CELLS = 2_048     # centroids; more rows then make cells larger, still compared in whole
 BLOCK = 1_024
+_ROUNDING = 1e-6      # far above the rounding of a product of unit vectors and of a centroids' distance
 
 
 def usable(vector: Column) -> Column:
@@ -82,11 +86,16 @@ def fit_centroids(vectors: DataFrame, per_cell: int, sample: int) -> dict[int, n
     return found
 
 
-def with_cells(vectors: DataFrame, centroids: dict[int, np.ndarray], margin: float) -> DataFrame:
-    """``vid, home, visits``: the nearest cell, and all others at most ``margin`` degrees farther."""
+def with_cells(vectors: DataFrame, centroids: dict[int, np.ndarray], least: float) -> DataFrame:
+    """``vid, home, visits``: the nearest cell, and all others whose border is within half the angle of ``least``.
+
+    The sine of the angle between ``x`` and the border of cells ``a`` and ``b`` is ``x.(a - b) / |a - b|``.
+    """
     shared = vectors.sparkSession.sparkContext.broadcast(centroids)  # at most MAX_CELLS vectors per dimension
+    reach = math.sin(math.acos(min(1.0, max(-1.0, least))) / 2)
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        apart = {dim: np.sqrt(np.maximum(2 - 2 * (c @ c.T), 0)) for dim, c in shared.value.items()}
         for batch in batches:
             dims = batch.column(1).to_numpy()
             home, visits = np.zeros(len(dims), np.int32), [[]] * len(dims)
@@ -95,11 +104,10 @@ def with_cells(vectors: DataFrame, centroids: dict[int, np.ndarray], margin: flo
                     continue
                 at = np.flatnonzero(dims == dim)
                 for part in np.array_split(at, -(-len(at) // 2048)):
-                    angle = np.degrees(np.arccos(np.clip(
-                        _unit([batch.column(2)[i].as_py() for i in part.tolist()]) @ shared.value[dim].T, -1, 1)))
-                    home[part] = angle.argmin(axis=1)
-                    near = angle <= angle.min(axis=1, keepdims=True) + margin
-                    near[np.arange(len(part)), home[part]] = False
+                    cosine = _unit([batch.column(2)[i].as_py() for i in part.tolist()]) @ shared.value[dim].T
+                    own = home[part] = cosine.argmax(axis=1)
+                    near = cosine.max(axis=1, keepdims=True) - cosine <= reach * apart[dim][own] + _ROUNDING
+                    near[np.arange(len(part)), own] = False
                     for i, row in zip(part.tolist(), near, strict=True):
                         visits[i] = np.flatnonzero(row).tolist()
             yield pa.RecordBatch.from_arrays(
@@ -119,36 +127,50 @@ def _forest(linked: np.ndarray) -> np.ndarray:
         low = best
 
 
+def _visitors_links(cell: int, x: np.ndarray, rows: pd.DataFrame, resident: np.ndarray, least: float) -> np.ndarray:
+    """Which residents link with which visitors, without the pairs that the visitor's own, lower cell counts."""
+    linked = x[resident] @ x[~resident].T >= least
+    homes, place = np.unique(rows["home"].to_numpy()[~resident], return_inverse=True)
+    visits = list(rows["visits"][resident])
+    row, to = np.repeat(np.arange(len(visits)), [len(v) for v in visits]), np.concatenate([np.zeros(0, np.int64), *visits])
+    at = np.searchsorted(homes, to).clip(max=len(homes) - 1)
+    lower = (homes[at] == to) & (to < cell)
+    there = np.zeros((len(visits), len(homes)), bool)
+    there[row[lower], at[lower]] = True
+    return linked & ~there[:, place]
+
+
 def compare_blocks(cell: int, rows: pd.DataFrame, least: float) -> pd.DataFrame:
     """One product of two blocks (or of one with itself): ``vid, other, n``.
 
-    ``n`` with a null ``other``: linked rows of ``vid`` in this product; ``other``: a row of the same component.
+    Residents meet residents, or a block of them meets one of visitors. ``n`` with a null ``other``: linked rows
+    of ``vid`` in this product; ``other``: a row of the same component.
     """
     x = _unit(list(rows["vector"]))
-    home, vid = rows["home"].to_numpy(), rows["vid"].to_numpy()
-    times, block = rows["times"].to_numpy(np.int64), rows["own"].to_numpy()
-    linked = x @ x.T >= least
-    np.fill_diagonal(linked, False)
-    if (block != block[0]).any():
-        linked &= block[:, None] != block[None, :]
-    resident = home == cell
-    linked &= resident[:, None] | resident[None, :]
-    for h in np.unique(home[~resident]).tolist():
-        if h < cell:  # that cell counts the pairs whose resident here visits it
-            there = np.fromiter((h in v for v in rows["visits"]), bool, len(rows)) & resident
-            linked &= ~(there[:, None] & (home == h)[None, :])
-            linked &= ~(there[None, :] & (home == h)[:, None])
-    n = linked @ times
-    root = _forest(linked)
-    some, tied = np.flatnonzero(n), np.flatnonzero(root != np.arange(len(root)))
+    vid, times, block = rows["vid"].to_numpy(), rows["times"].to_numpy(np.int64), rows["own"].to_numpy()
+    resident = rows["home"].to_numpy() == cell
+    if resident.all():
+        linked = x @ x.T >= least
+        np.fill_diagonal(linked, False)
+        if (block != block[0]).any():
+            linked &= block[:, None] != block[None, :]
+    else:
+        linked = np.zeros((len(x), len(x)), bool)
+        if resident.any():
+            linked[np.ix_(resident, ~resident)] = _visitors_links(cell, x, rows, resident, least)
+            linked |= linked.T
+    some = np.flatnonzero(linked.any(axis=1))
+    n = linked[some] @ times
+    root = some[_forest(linked[np.ix_(some, some)])]
+    tied = np.flatnonzero(root != some)
     return pd.DataFrame({
-        "vid": np.concatenate([vid[some], vid[tied]]),
+        "vid": np.concatenate([vid[some], vid[some[tied]]]),
         "other": pd.array([None] * len(some) + vid[root[tied]].tolist(), dtype="Int64"),
-        "n": np.concatenate([n[some], np.zeros(len(tied), np.int64)])})
+        "n": np.concatenate([n, np.zeros(len(tied), np.int64)])})
 
 
 def near_vectors(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label",
-                 least: float = LEAST, margin: float = MARGIN, per_cell: int = PER_CELL, block: int = BLOCK,
+                 least: float = LEAST, per_cell: int = PER_CELL, block: int = BLOCK,
                  sample: int = SAMPLE) -> DataFrame:
     """``id_col, n_links, component_id, kept`` for every row of ``rows``.
 
@@ -172,13 +194,21 @@ def near_vectors(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "emb
         seed += 1
     centroids = fit_centroids(distinct, per_cell, sample)
     placed = staged(distinct.select("vid", "label", "dim", "times", "vector").join(
-        with_cells(distinct, centroids, margin), "vid"), "cells")
+        with_cells(distinct, centroids, least), "vid"), "cells")
     members = placed.withColumn("cell", F.explode(F.concat(F.array("home"), "visits")))
+    resident = F.col("cell") == F.col("home")
+
+    def blocks_of(some: Column) -> Column:
+        return F.ceil(F.count_if(some) / block).cast("int")
+
     blocks = staged(members.groupBy("label", "dim", "cell").agg(
-        F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks")), "blocks")
-    dealt = (members.join(blocks, ["label", "dim", "cell"])
-             .withColumn("own", F.pmod(F.xxhash64("vid"), F.col("blocks")).cast("int"))
-             .withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        blocks_of(resident).alias("homes"), blocks_of(~resident).alias("guests")).filter("homes > 0"), "blocks")
+    hashed = F.xxhash64("vid")
+    dealt = (members.join(blocks, ["label", "dim", "cell"])  # blocks of residents are numbered before those of visitors
+             .withColumn("own", F.when(resident, F.pmod(hashed, F.col("homes")))
+                         .otherwise(F.col("homes") + F.pmod(hashed, F.col("guests"))).cast("int"))
+             .withColumn("with", F.explode(F.sequence(F.lit(0), F.col("homes") - 1 + F.when(resident, F.col("guests"))
+                                                      .otherwise(0))))
              .withColumn("first", F.least("own", "with")).withColumn("second", F.greatest("own", "with")))
 
     def product(key: tuple, group: pd.DataFrame) -> pd.DataFrame:

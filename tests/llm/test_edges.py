@@ -408,6 +408,28 @@ def test_embedding_cells_and_blocks(spark, per_cell, block):
     assert sum(got[i]["component_id"] == want[i][1] for i in want) >= 0.97 * len(want)
 
 
+def test_embedding_cells_lose_no_link(spark):
+    """A label of over ten thousand vectors with one dense group: the cells answer as all with all would."""
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(12_000, 3)) @ rng.normal(size=(3, 24)) + rng.normal(size=(12_000, 24)) * 0.3
+    x[:3000] = rng.normal(size=24) * 3 + rng.normal(size=(3000, 24)) * 0.55
+    frame = spark.createDataFrame([(i, r.tolist(), 0) for i, r in enumerate(x)],
+                                  "vec_id long, embedding array<double>, label int")
+    got = {r["vec_id"]: r for r in embedding_dedup.near_vectors(frame).collect()}
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    linked = [np.flatnonzero(unit @ v >= embedding_dedup.LEAST) for v in unit]
+    assert [got[i]["n_links"] for i in range(len(x))] == [len(n) - 1 for n in linked]
+    low = np.full(len(x), -1)
+    for i in range(len(x)):
+        reached = [i] if low[i] < 0 else []
+        while reached:
+            at = reached.pop()
+            if low[at] < 0:
+                low[at] = i
+                reached += linked[at][low[linked[at]] < 0].tolist()
+    assert [got[i]["component_id"] for i in range(len(x))] == low.tolist()
+
+
 def test_packing_edges(spark, edge_dir):
     check_packing(rows_of(spark, edge_dir, "documents"), Q.op10_pack_sequences(spark, edge_dir).collect())
 
