@@ -32,7 +32,7 @@ MAX_ROWS = 1_000        # labelled rows per language that the filters are fitted
 MAX_NGRAMS = 20_000     # n-grams per language and order
 HASHES = 3
 BITS_PER_NGRAM = 8
-LEAST = 3               # sampled texts of a language an n-gram must occur in
+LEAST = 3               # sampled texts of a language an n-gram must occur in; fewer for a language of under 40 rows
 UNDETERMINED = "und"
 _SLICE = 1 << 18        # characters whose n-grams are held at once
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
@@ -160,12 +160,13 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     if not languages:
         return LanguageFilters.of([], {n: [] for n in ORDERS})
     rates = known.sparkSession.createDataFrame(
-        [(name, min(1.0, max_rows / n)) for name, n in total.items()], "lang string, rate double")
+        [(name, min(1.0, max_rows / n), min(LEAST, n // 20 + 1)) for name, n in total.items()],
+        "lang string, rate double, least int")
     draw = F.pmod(F.xxhash64("id", F.lit(11)), F.lit(1 << 30)) / F.lit(float(1 << 30))
     sample = known.join(F.broadcast(rates), "lang").filter(draw < F.col("rate")).select("lang", "text")
     spread = sample.mapInArrow(_grams, "lang string, ord int, gram long").groupBy("lang", "ord", "gram").count()
     rank = F.row_number().over(Window.partitionBy("lang", "ord").orderBy(F.desc("count"), "gram"))
-    top = staged(spread.filter(F.col("count") >= min(LEAST, max(1, min(total.values()) // 20 + 1)))
+    top = staged(spread.join(F.broadcast(rates), "lang").filter(F.col("count") >= F.col("least"))
                  .withColumn("rank", rank).filter(F.col("rank") <= max_ngrams), "ngrams").toPandas()
     grams = {n: [top.loc[(top["ord"] == n) & (top["lang"] == lang), "gram"].to_numpy(np.int64) for lang in languages]
              for n in ORDERS}

@@ -368,6 +368,23 @@ def test_language_edges(spark, edge_dir):
         assert 0 <= r["score"] <= 1 and r["lang_pred"] in ("und", "en", "de")
 
 
+def test_a_rare_language_leaves_the_others_filters(spark):
+    """A few rows of one more language change neither what the others encode nor what is predicted of them."""
+    rng = random.Random(8)
+    heard = {lang: ["".join(rng.choice(abc) for _ in range(rng.randrange(3, 8))) for _ in range(120)]
+             for lang, abc in (("en", "abcdefgh"), ("de", "ghijklmn"), ("xx", "opqr"))}
+    rows = [(1000 * k + i, " ".join(rng.choices(heard[lang], k=12)), lang)
+            for k, (lang, n) in enumerate((("en", 200), ("de", 200), ("xx", 5))) for i in range(n)]
+    schema = "doc_id long, text string, lang string"
+    without = language_id.train(spark.createDataFrame([r for r in rows if r[2] != "xx"], schema))
+    rare = language_id.train(spark.createDataFrame(rows, schema))
+    assert without.languages == ["de", "en"] and rare.languages == ["de", "en", "xx"]
+    for order in language_id.ORDERS:
+        assert np.array_equal(without.cells[order] & 3, rare.cells[order] & 3)
+    assert all(without.predict(t) == rare.predict(t) for _, t, lang in rows if lang != "xx")
+    assert all(rare.predict(t)[0] == "xx" for _, t, lang in rows if lang == "xx")
+
+
 def test_bitmask_filters_have_no_false_negatives():
     rng = np.random.default_rng(0)
     grams = [rng.integers(0, 1 << 62, 500) for _ in range(70)]  # more languages than a word has bits
