@@ -13,12 +13,13 @@ it is planned on the driver from one total per slot, and broadcast.
 from __future__ import annotations
 
 import heapq
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from millbook.llm.text import text_of
-from millbook.plans.lineage import staged
+from millbook.plans.lineage import shared_dir, staged
 
 SLOTS = 4096
 
@@ -125,12 +126,17 @@ def assigned(rows: DataFrame, where: list[int], totals: dict[int, tuple[int, int
 
 
 def shard(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", text_col: str = "text",
-          slots: int = SLOTS) -> DataFrame:
+          slots: int = SLOTS, path: str | None = None) -> DataFrame:
     """``id_col, size, text_crc32, virtual_slot, shard, place`` for every row of ``docs``.
 
+    The map is stored as version 1 of the table at ``path`` (by default a new
+    one in the shared folder) and read back from there.
     The law is ``bytes``: shards near equal in bytes. Repeated rows share a
     slot; empty input gives no rows; other columns are not read.
     """
     rows = with_slots(docs, id_col, text_col, slots)
     totals = slot_totals(rows)
-    return assigned(rows, new_map({s: b for s, (b, _) in totals.items()}, shards, slots), totals)
+    spark = docs.sparkSession
+    path = path or f"{shared_dir(spark)}/slot-maps/{uuid.uuid4().hex}"
+    store_map(spark, new_map({s: b for s, (b, _) in totals.items()}, shards, slots), path, 1)
+    return assigned(rows, load_map(spark, path), totals)

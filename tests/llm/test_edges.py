@@ -357,6 +357,13 @@ def test_rebalancing_edits_the_map(spark, tmp_path):
         sharding.store_map(spark, where, path, 2)
 
 
+def test_sharding_reads_its_stored_map(spark, edge_dir, tmp_path):
+    path = f"file://{tmp_path}/map"
+    got = sharding.shard(spark.read.parquet(f"{edge_dir}/documents.parquet"), path=path).collect()
+    where = sharding.load_map(spark, path)
+    assert len(where) == sharding.SLOTS and got and all(r["shard"] == where[r["virtual_slot"]] for r in got)
+
+
 def test_language_edges(spark, edge_dir):
     docs = rows_of(spark, edge_dir, "documents")
     got = Q.op8_language_id(spark, edge_dir).collect()
