@@ -22,6 +22,7 @@ from millbook.llm.text import text_of
 from millbook.plans.lineage import shared_dir, staged
 
 SLOTS = 4096
+HOT = 4.0             # mean slots of bytes or rows; the rows of a key with more are dealt over all slots
 
 
 def record_size(text: Column) -> Column:
@@ -47,6 +48,31 @@ def slot_totals(rows: DataFrame) -> dict[int, tuple[int, int]]:
     return {r["virtual_slot"]: (r["bytes"], r["n"]) for r in found}
 
 
+def hot_spread(rows: DataFrame, totals: dict[int, tuple[int, int]], id_col: str = "doc_id",
+               slots: int = SLOTS) -> DataFrame:
+    """``rows``, each row of a key with over ``HOT`` mean slots of bytes or rows hashed by itself (staged then).
+
+    A key is an id, or the text's checksum of a null id. Only keys of slots as heavy are counted, and at most
+    ``2 * slots / HOT`` keys can be hot. Equal rows part by their place in the staged table.
+    """
+    most, many = (HOT * sum(t[i] for t in totals.values()) / slots for i in (0, 1))
+    heavy = [s for s, (b, n) in totals.items() if n > 1 and (b > most or n > many)]
+    if not heavy:
+        return rows
+    own = [F.col(id_col), F.when(F.col(id_col).isNull(), F.col("text_crc32"))]
+    hot = staged(rows.filter(F.col("virtual_slot").isin(heavy)).groupBy(own[0].alias("hot_id"), own[1].alias("hot_crc"))
+                 .agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("bytes"))
+                 .filter((F.col("n") > 1) & ((F.col("bytes") > most) | (F.col("n") > many)))
+                 .select("hot_id", "hot_crc", F.lit(True).alias("hot")), "hot-keys")
+    if hot.isEmpty():
+        return rows
+    found = rows.withColumn("nth", F.monotonically_increasing_id()).join(
+        F.broadcast(hot), own[0].eqNullSafe(F.col("hot_id")) & own[1].eqNullSafe(F.col("hot_crc")), "left")
+    slot = F.when(F.col("hot"), F.pmod(F.xxhash64(id_col, "text_crc32", "nth"), F.lit(slots))).otherwise(
+        F.col("virtual_slot"))
+    return staged(found.withColumn("virtual_slot", slot).select(*rows.columns), "sharded")
+
+
 def new_map(weights: dict[int, int], shards: int, slots: int = SLOTS) -> list[int]:
     """Slot -> shard: heaviest slot first onto the lightest shard; ties go to the lower number."""
     heap = [(0, s) for s in range(shards)]
@@ -131,11 +157,15 @@ def shard(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", text_col: s
 
     The map is stored as version 1 of the table at ``path`` (by default a new
     one in the shared folder) and read back from there.
-    The law is ``bytes``: shards near equal in bytes. Repeated rows share a
-    slot; empty input gives no rows; other columns are not read.
+    The law is ``bytes``: shards near equal in bytes. Rows of one id share a
+    slot, but for ids that repeat so often that they would outgrow it (see
+    ``hot_spread``); empty input gives no rows; other columns are not read.
     """
     rows = with_slots(docs, id_col, text_col, slots)
     totals = slot_totals(rows)
+    spread = hot_spread(rows, totals, id_col, slots)
+    if spread is not rows:
+        rows, totals = spread, slot_totals(spread)
     spark = docs.sparkSession
     path = path or f"{shared_dir(spark)}/slot-maps/{uuid.uuid4().hex}"
     store_map(spark, new_map({s: b for s, (b, _) in totals.items()}, shards, slots), path, 1)

@@ -364,6 +364,22 @@ def test_sharding_reads_its_stored_map(spark, edge_dir, tmp_path):
     assert len(where) == sharding.SLOTS and got and all(r["shard"] == where[r["virtual_slot"]] for r in got)
 
 
+@pytest.mark.parametrize("hot", [7, None])
+def test_sharding_deals_out_a_hot_key(spark, hot):
+    """A third of the rows with one id, or with none and one text: shards stay near equal, other ids stay whole."""
+    rows = [(hot if i % 3 == 0 else 100 + i // 2, "equal text" if i % 3 == 0 else f"text {i % 7}") for i in range(30_000)]
+    got = sharding.shard(spark.createDataFrame(rows, "doc_id long, text string").repartition(8)).collect()
+    assert Counter((r["doc_id"], r["size"]) for r in got) == Counter((i, len(t) + 8) for i, t in rows)
+    load, slots, places = Counter(), Counter(r["virtual_slot"] for r in got), {}
+    for r in got:
+        load[r["shard"]] += r["size"]
+        places.setdefault(r["shard"], []).append(r["place"])
+    assert len(load) == 24 and max(load.values()) < 1.02 * min(load.values()) and max(slots.values()) < 60
+    assert all(sorted(p) == list(range(len(p))) for p in places.values())
+    where = {(r["doc_id"], r["virtual_slot"]) for r in got if r["doc_id"] not in (None, 7)}
+    assert len(where) == len({i for i, _ in where})
+
+
 def test_language_edges(spark, edge_dir):
     docs = rows_of(spark, edge_dir, "documents")
     got = Q.op8_language_id(spark, edge_dir).collect()
