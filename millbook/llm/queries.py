@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -20,6 +21,7 @@ from millbook.llm import (
     toxicity,
     url_filters,
 )
+from millbook.plans.lineage import shared_dir
 from millbook.session import ship_package
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -83,7 +85,8 @@ def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's secrets by kind, and where they are."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    found, _ledger = secret_scan.scan(docs)
+    ledger = secret_scan.BlobLedger(spark, f"{shared_dir(spark)}/blob-ledgers/{uuid.uuid4().hex}")
+    found, _new = secret_scan.scan(docs, ledger)
     joined = secret_scan.joined_spans(F.col("spans"))
 
     def count(kind: int) -> Column:

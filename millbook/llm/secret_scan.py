@@ -127,7 +127,11 @@ def scan(docs: DataFrame, ledger: BlobLedger | None = None, batch: str = "0", te
         # nothing will be looked up again: the entries without findings need not be kept
         new = ledger.append(hits.withColumn("rule_version", F.lit(rule_version)), batch)
     else:
-        everyone = blobs.select("blob").join(hits, "blob", "left")
+        # addresses alone: the texts are shuffled for the scan only
+        everyone = docs.select(address(text).alias("blob")).distinct()
+        if known is not None:
+            everyone = everyone.join(known.select("blob"), "blob", "left_anti")
+        everyone = everyone.join(hits, "blob", "left")
         new = ledger.append(everyone.select("blob", F.lit(rule_version).alias("rule_version"),
                                             F.coalesce("spans", F.array().cast(_SPAN)).alias("spans")), batch)
     findings = new.select("blob", "spans").filter(F.size("spans") > 0)

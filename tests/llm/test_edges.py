@@ -305,6 +305,15 @@ def test_secret_scan(spark, edge_dir):
     assert Counter(map(tuple, Q.op6_secret_scan(spark, edge_dir).collect())) == want
 
 
+def test_secret_scan_query_keeps_a_ledger(spark, edge_dir, monkeypatch):
+    made, ledger_of = [], secret_scan.BlobLedger
+    monkeypatch.setattr(secret_scan, "BlobLedger", lambda *a: made.append(ledger_of(*a)) or made[-1])
+    Q.op6_secret_scan(spark, edge_dir)
+    blobs = [r["blob"] for r in made[0].entries().collect()]
+    texts = spark.read.parquet(f"{edge_dir}/documents.parquet").select(F.coalesce("text", F.lit(""))).distinct()
+    assert len(blobs) == len(set(blobs)) == texts.count()
+
+
 def test_ledger_scans_only_unseen_blobs(spark, edge_dir, tmp_path):
     docs = spark.read.parquet(f"{edge_dir}/documents.parquet")
     ledger = secret_scan.BlobLedger(spark, f"file://{tmp_path}/ledger")
