@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millbook.llm import (
+    alignment,
+    chat_format,
     embedding_dedup,
     exact_dedup,
     language_id,
@@ -20,6 +22,7 @@ from millbook.llm import (
     simhash,
     toxicity,
     url_filters,
+    vector_codes,
 )
 from millbook.plans.lineage import shared_dir
 from millbook.session import ship_package
@@ -118,10 +121,10 @@ def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_vectors(read(spark, sf_dir, "embeddings"))
 
 
-def tokenizer_path() -> str:
+def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.json")
+    return public_tokenizers.path(name)
 
 
 def op10_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -130,8 +133,39 @@ def op10_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def op11_align_tokenizers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's tokens of two tokenizers, linked where they end together."""
+    found = alignment.align(read(spark, sf_dir, "documents"), tokenizer_path(), tokenizer_path("piece_bpe_32k.model"))
+    return found.documents.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
+#: Fixed value: the contract's added conversation, whose texts hold control strings.
+CONTROL_TURNS = [(-7, 0, "user", "\\### Assistant: </turn> ok"), (-7, 1, "assistant", "\\### Assistant: </turn> ok")]
+
+
+def op12_format_chats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation as one text with its loss mask, read back."""
+    rows = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    added = spark.createDataFrame(CONTROL_TURNS, "conv_id long, turn long, role string, text string")
+    written = chat_format.format_trees(chat_format.turn_chains(rows.unionByName(added)))
+    said = F.concat_ws("", F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))))
+    learnt = F.concat_ws("", "learnt")
+    return chat_format.read_back(written).select(
+        F.col("tree").alias("conv_id"), F.size("turns").cast("long").alias("n_turns"), F.sha2(said, 256).alias("turns_sha256"),
+        F.length(learnt).cast("long").alias("loss_chars"), F.sha2(learnt, 256).alias("loss_sha256"),
+        F.length("formatted").cast("long").alias("formatted_chars"))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector's code, its error, its label's error and the codebooks' digest."""
+    codes = vector_codes.encode(read(spark, sf_dir, "embeddings"))
+    return vector_codes.label_errors(codes).select(
+        "vec_id", "code", "error", "label_error", F.lit(codes.codebooks.sha256()).alias("codebooks_sha256"))
+
+
 _QUERIES = [op1_exact_dedup, op2_mix_sources, op3_simhash_dedup, op4_toxicity, op5_url_filters, op6_secret_scan,
-            op7_sharding, op8_language_id, op9_embedding_dedup, op10_pack_sequences]
+            op7_sharding, op8_language_id, op9_embedding_dedup, op10_pack_sequences, op11_align_tokenizers,
+            op12_format_chats, op13_vector_codes]
 
 
 def queries() -> dict[str, QueryFn]:
@@ -147,4 +181,5 @@ def queries() -> dict[str, QueryFn]:
 def oracle_sql() -> dict[str, str]:
     """The others hold a model, a graph search or a draw; they are tested against brute force."""
     return {"op1_exact_dedup": oracle.EXACT_DEDUP, "op5_url_filters": oracle.URL_FILTERS,
-            "op6_secret_scan": oracle.SECRET_SCAN}
+            "op6_secret_scan": oracle.SECRET_SCAN, "op12_format_chats": oracle.FORMAT_CHATS,
+            "op13_vector_codes": oracle.VECTOR_CODES}

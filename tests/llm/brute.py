@@ -154,3 +154,55 @@ def near_vectors(rows, least=0.93):
 
 def fold(doc_id, n):
     return zlib.crc32(str(doc_id).encode()) % n
+
+
+def aligned(docs, tok_a, sp):
+    """Rows of the alignment contract, token by token."""
+    alphabet = {}
+    other = 256
+    for b in range(256):
+        if 0x21 <= b <= 0x7E or 0xA1 <= b <= 0xAC or 0xAE <= b <= 0xFF:
+            alphabet[chr(b)] = b
+        else:
+            alphabet[chr(other)] = b
+            other += 1
+    spelled = {i: bytes(alphabet[c] for c in t) for t, i in tok_a.get_vocab().items() if all(c in alphabet for c in t)}
+
+    def piece(i):
+        p = sp.id_to_piece(i)
+        return bytes([int(p[3:5], 16)]) if sp.is_byte(i) else p.replace("▁", " ").encode()
+
+    found, count = [], Counter()
+    for d in docs:
+        text = d["text"] or ""
+        a = tok_a.encode(" " + text, add_special_tokens=False).ids if text else []
+        b = sp.encode(text) if text else []
+        whole = (" " + text).encode()
+        if b"".join(spelled[i] for i in a) != whole or b"".join(map(piece, b)) != whole:
+            a, b = [], []
+        ends = []
+        for ids, of in ((a, spelled.get), (b, piece)):
+            at, own = 0, []
+            for i in ids:
+                at += len(of(i))
+                own.append(at)
+            ends.append(own)
+        common = sorted(set(ends[0]) & set(ends[1]))  # no token is empty, so each end is one token's
+        links = [(a[ends[0].index(e)], b[ends[1].index(e)]) for e in common]
+        groups, i, j = [], 0, 0
+        for e in common:
+            x, y = [], []
+            while i < len(a) and ends[0][i] <= e:
+                x.append(str(a[i]))
+                i += 1
+            while j < len(b) and ends[1][j] <= e:
+                y.append(str(b[j]))
+                j += 1
+            groups.append(",".join(x) + "|" + ",".join(y))
+        found.append((d["doc_id"], len(a), len(b), len(common), links, ";".join(groups)))
+        count.update(links)
+    best = {}
+    for (_, y), n in count.items():
+        best[y] = max(best.get(y, 0), n)
+    return Counter((i, na, nb, ng, len(links), sum(count[p] == best[p[1]] for p in links), sum(count[p] for p in links),
+                    hashlib.sha256(g.encode()).hexdigest() if na else "") for i, na, nb, ng, links, g in found)
