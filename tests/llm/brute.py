@@ -188,7 +188,8 @@ def aligned(docs, tok_a, sp):
                 own.append(at)
             ends.append(own)
         common = sorted(set(ends[0]) & set(ends[1]))  # no token is empty, so each end is one token's
-        links = [(a[ends[0].index(e)], b[ends[1].index(e)]) for e in common]
+        at_a, at_b = dict(zip(ends[0], a)), dict(zip(ends[1], b))
+        links = [(at_a[e], at_b[e]) for e in common]
         groups, i, j = [], 0, 0
         for e in common:
             x, y = [], []
