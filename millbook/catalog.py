@@ -131,6 +131,12 @@ def _a5r(t):
     return R.waste_by_process(t, WASTE_START, WASTE_END)
 
 
+@register("production_cost_texts")
+def _a6t(t):
+    """A6 in the endpoint's own spelling: doubles as toFixed(2) texts."""
+    return R.production_cost_texts(t)
+
+
 @register("production_cost_analysis")
 def _a6(t):
     return R.production_cost_analysis(t)

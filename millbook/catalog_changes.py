@@ -187,6 +187,28 @@ def _w12a(t):
                                  mode="allocate").sales_orders
 
 
+def _exact(t):
+    return I.intake_sales_orders(t, t.sales_order_requests, t.sales_order_lines, AS_OF_DEFAULT, mode="exact")
+
+
+@register("intake_sales_orders_exact")
+def _w12e(t):
+    """W12 exact mode: the orders that one decision after the other accepts."""
+    return _exact(t).sales_orders
+
+
+@register("intake_sales_orders_exact_rejects")
+def _w12er(t):
+    """W12 exact mode: the others, each with the first check it fails at its turn."""
+    return _exact(t).rejects
+
+
+@register("intake_sales_orders_exact_stock", nullable_ints=("supplier_id",))
+def _w12es(t):
+    """W12 exact mode: products after all accepted orders."""
+    return _exact(t).stock
+
+
 @register("intake_consumptions")
 def _w13(t):
     """Accepted consumptions (EXIT through the W9 fold)."""

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from millbook.catalog import register
 from millbook.operators import listings as L
+from millbook.operators.search import TrigramIndex
+from millbook.plans.lineage import shared_dir
 from millbook.sources.fixtures import PAYROLL_END, PAYROLL_START
 
 
@@ -194,3 +198,44 @@ def _q20d(t):
     """Q20: a page beyond the last one gives no rows."""
     return L.list_clients(t, page=10 ** 6, limit=10)
 
+
+
+# ---- searches through trigram postings -----------------------------------------------------
+def _index(t, table, *columns):
+    """Postings of a whole table, written now."""
+    rows = t[table]
+    index = TrigramIndex(rows.sparkSession, f"{shared_dir(rows.sparkSession)}/trigrams/{table}-{uuid.uuid4().hex}", columns)
+    index.add(rows)
+    return index
+
+
+@register("list_clients_indexed_search")
+def _q1i(t):
+    """Q1's search through postings of codes and names."""
+    return L.list_clients(t, search_text="r#00000001", index=_index(t, "clients", "code", "name"))
+
+
+@register("list_sales_orders_indexed_search")
+def _q2i(t):
+    """Q2's search through postings of order numbers and of client names."""
+    return L.list_sales_orders(t, search_text="000077", indexes=(_index(t, "sales_orders", "order_number"),
+                                                                 _index(t, "clients", "name")))
+
+
+@register("list_products_indexed_search", nullable_ints=("supplier_id",))
+def _q4i(t):
+    """Q4's search through postings, with live wildcards between two literal runs."""
+    return L.list_products(t, search_text="gear%_1", index=_index(t, "products", "sku", "description"))
+
+
+# ---- deep pages -------------------------------------------------------------------------
+@register("list_sales_orders_deep_page")
+def _q20d(t):
+    """Q20: page 120 of 10: only the range parts it lies in are sorted."""
+    return L.list_sales_orders(t, page=120, limit=10)
+
+
+@register("list_audits_deep_page")
+def _q20da(t):
+    """Q20: a deep page of the audits that runs over its range part's end."""
+    return L.list_audits(t, page=3, limit=900)

@@ -61,3 +61,42 @@ def cents(c: str | Column) -> Column:
 
 def from_cents(c: str | Column, dtype: T.DataType = WIDE_MONEY) -> Column:
     return (_col(c).cast(T.DecimalType(20, 0)) / F.lit(100)).cast(dtype)
+
+
+def _exact_product(a: Column, b: float) -> tuple[Column, Column]:
+    """``(p, e)``: the rounded double ``a * b`` and its exact error, ``p + e`` being the true product (Dekker)."""
+    half = float(2 ** 27 + 1)
+
+    def split(x: Column) -> tuple[Column, Column]:
+        high = F.lit(half) * x - (F.lit(half) * x - x)
+        return high, x - high
+
+    (ah, al), (bh, bl) = split(a), split(F.lit(b))
+    p = a * F.lit(b)
+    return p, ((ah * bh - p) + ah * bl + al * bh) + al * bl
+
+
+def to_fixed(c: str | Column, places: int = 2) -> Column:
+    """JavaScript ``x.toFixed(places)`` of a double: text, rounded half away from zero on the *binary* value.
+
+    1.005 is a little less than its decimal spelling and gives "1.00"; 0.125 is
+    exact and gives "0.13". The fraction times ``10^places`` is taken without
+    rounding error, so every double rounds as its exact expansion does. NaN,
+    infinities and values from 1e21 on are spelt as JavaScript spells them; NULL stays.
+    """
+    x = _col(c).cast(T.DoubleType())
+    size = F.abs(x)
+    whole = F.floor(F.when(size < 1e21, size).otherwise(0.0) / 1048576.0)  # exact: a power of two, below 2^53
+    low = F.when(size < 1e21, size).otherwise(0.0) - whole.cast(T.DoubleType()) * 1048576.0
+    units = F.floor(low)
+    scaled, error = _exact_product(low - units.cast(T.DoubleType()), float(10 ** places))
+    below = F.floor(scaled)
+    rest = scaled - below.cast(T.DoubleType())
+    steps = below + F.when((rest > 0.5) | ((rest == 0.5) & (error >= 0)), 1).otherwise(0)
+    carried = F.when(steps >= 10 ** places, 1).otherwise(0)
+    number = whole.cast(T.DecimalType(20, 0)) * F.lit(1048576) + units + carried
+    digits = F.lpad((steps - carried * 10 ** places).cast("string"), places, "0") if places else F.lit("")
+    text = F.concat(F.when(x < 0, F.lit("-")).otherwise(F.lit("")), number.cast(T.DecimalType(38, 0)).cast("string"),
+                    F.lit("." if places else ""), digits)
+    large = F.regexp_replace(F.regexp_replace(x.cast("string"), r"\.0E", "e+"), "E", "e+")
+    return F.when(x.isNull() | F.isnan(x) | (size == float("inf")), x.cast("string")).when(size >= 1e21, large).otherwise(text)

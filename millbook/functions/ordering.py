@@ -1,4 +1,10 @@
-"""Sort keys with PostgreSQL null placement (NULLS LAST on ASC, FIRST on DESC)."""
+"""Sort keys with PostgreSQL null placement (NULLS LAST on ASC, FIRST on DESC).
+
+Text sorts by code point unless a collation is named: a Spark collation such as
+``es`` or ``de_DE`` (ICU rules, as a database created with that locale sorts:
+accents and case decide only between otherwise equal words), or one with a
+suffix such as ``es_CI``.
+"""
 
 from __future__ import annotations
 
@@ -10,12 +16,17 @@ def _col(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def asc(c: str | Column) -> Column:
-    return _col(c).asc_nulls_last()
+def collated(c: str | Column, collation: str | None) -> Column:
+    """``c`` as a sort key under ``collation``; None: by code point."""
+    return F.collate(_col(c), collation) if collation else _col(c)
+
+
+def asc(c: str | Column, collation: str | None = None) -> Column:
+    return collated(c, collation).asc_nulls_last()
 
 
-def desc(c: str | Column) -> Column:
-    return _col(c).desc_nulls_first()
+def desc(c: str | Column, collation: str | None = None) -> Column:
+    return collated(c, collation).desc_nulls_first()
 
 
 def sort_keys(*spec: str) -> list[Column]:

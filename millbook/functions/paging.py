@@ -24,18 +24,51 @@ def page_bounds(page, limit, default_limit: int = 10) -> tuple[int, int, int]:
     return page, limit, (page - 1) * limit
 
 
+#: Rows up to a page's end that a top-k may keep per task; deeper pages go by order statistics.
+SHALLOW = 1_000
+
+
+def deep_rows(df: DataFrame, keys: list[Column], offset: int, limit: int) -> tuple[DataFrame, int]:
+    """(rows ``offset`` to ``offset + limit`` of ``df`` sorted by ``keys``, number of all rows).
+
+    The rows are staged in range parts of ``keys``. The parts' counts tell which
+    parts the page lies in; only those are read and sorted, so a page costs the
+    same at any depth, and no task keeps the rows before it.
+    """
+    part = "_page_part"
+    while part in df.columns:
+        part += "_"
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = staged(df.repartitionByRange(n, *keys).withColumn(part, F.spark_partition_id()), "pages", by=part)
+    counts = sorted((r[part], r["count"]) for r in rows.groupBy(part).count().collect())  # one row per range part
+    own, skipped, before = [], 0, 0
+    for number, count in counts:
+        if before + count <= offset:
+            skipped += count
+        elif before < offset + limit:
+            own.append(number)
+        before += count
+    page = rows.filter(F.col(part).isin(own)).drop(part).orderBy(*keys).offset(offset - skipped).limit(limit)
+    return page, before
+
+
 def page_with_totals(df: DataFrame, keys: list[Column], page=1, limit=None,
                      default_limit: int = 10) -> DataFrame:
     """One page of ``df`` sorted by ``keys`` plus ``total_items``, ``total_pages``, ``current_page``.
 
-    ``keys`` must make the order total (end them with a unique column). The
-    page is ``orderBy().offset().limit()``, a distributed top-(offset+limit)
-    (``TakeOrderedAndProject``); the total is a scalar subquery over the same
-    frame, so no cartesian product is formed.
+    ``keys`` must make the order total (end them with a unique column). A page
+    that ends within ``SHALLOW`` rows is ``orderBy().offset().limit()``, a
+    distributed top-(offset+limit) (``TakeOrderedAndProject``), and the total a
+    scalar subquery over the same frame, so no cartesian product is formed. A
+    deeper one comes from :func:`deep_rows`.
     """
     page, limit, offset = page_bounds(page, limit, default_limit)
-    total = df.select(F.count(F.lit(1)).alias("n")).scalar()
-    rows = df.orderBy(*keys).offset(offset).limit(limit)
+    if offset + limit > SHALLOW:
+        rows, counted = deep_rows(df, keys, offset, limit)
+        total = F.lit(counted).cast(T.LongType())
+    else:
+        total = df.select(F.count(F.lit(1)).alias("n")).scalar()
+        rows = df.orderBy(*keys).offset(offset).limit(limit)
     return (rows.select("*", total.alias("total_items"))
             .withColumn("total_pages",
                         F.ceil(F.col("total_items").cast(T.DoubleType()) / F.lit(float(limit))).cast(T.LongType()))

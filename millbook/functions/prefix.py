@@ -10,7 +10,7 @@ bounds.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millbook.plans.lineage import staged
@@ -42,3 +42,36 @@ def running_sum(df: DataFrame, order: list[str], value: str, name: str, group: l
     for i, c in enumerate(group):
         cond = cond & F.col(c).eqNullSafe(F.col(f"_g{i}"))
     return local.join(offsets, cond, "left").select(*df.columns, (F.col("_before") + F.col("_local")).alias(name))
+
+
+def range_parts(df: DataFrame, order: list[str], part: str, partitions: int | None = None) -> DataFrame:
+    """``df`` staged in range partitions of ``order`` (nulls first), their numbers in column ``part``.
+
+    What :func:`sums_over_parts` works on, any number of times.
+    """
+    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return staged(df.repartitionByRange(n, *[F.col(c) for c in order]).withColumn(part, F.spark_partition_id()), "range")
+
+
+def sums_over_parts(rows: DataFrame, part: str, group: list[str], order: list[str], values: dict[str, Column],
+                    inclusive: bool = True) -> DataFrame:
+    """``rows`` plus, per name in ``values``, the sum of that column over the group's rows up to this one.
+
+    ``rows`` come from :func:`range_parts` of ``group + order`` (some may be gone
+    and columns added since). Without ``inclusive`` the row itself is left out. Two
+    frames are grouped: the rows of a group in one part, and one row per (part, group).
+    """
+    names = list(values)
+    valued = rows.withColumns({f"_v_{n}": c for n, c in values.items()})
+    totals = valued.groupBy(part, *group).agg(*[F.sum(f"_v_{n}").alias(f"_t_{n}") for n in names])
+    keys = [F.col(c) for c in group] or [F.lit(1)]
+    before = Window.partitionBy(*keys).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select(F.col(part).alias("_at"), *[F.col(c).alias(f"_g{i}") for i, c in enumerate(group)],
+                            *[F.coalesce(F.sum(f"_t_{n}").over(before), F.lit(0)).alias(f"_b_{n}") for n in names])
+    inside = Window.partitionBy(part, *group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
+    local = valued.withColumns({f"_l_{n}": F.coalesce(F.sum(f"_v_{n}").over(inside), F.lit(0)) for n in names})
+    cond = F.col(part) == F.col("_at")
+    for i, c in enumerate(group):
+        cond = cond & F.col(c).eqNullSafe(F.col(f"_g{i}"))
+    return local.join(offsets, cond, "left").select(
+        *rows.columns, *[(F.col(f"_b_{n}") + F.col(f"_l_{n}")).alias(n) for n in names])

@@ -4,7 +4,7 @@ A change set is a DataFrame of requests, each with ``request_id`` and
 ``requested_at`` (arrival order). Every job returns the rows it writes (or
 the new snapshot of the table) and a rejects frame ``(request_id, reason)``;
 accepted + rejected = input. Checks read the snapshot at the start of the
-batch. Several requests for one key are collapsed with aggregates that
+batch, but for unique keys, which follow the batch as it unfolds. Several requests for one key are collapsed with aggregates that
 combine map-side (``max_by`` on the arrival order), so a key that holds a
 large share of the batch never sits in one task.
 """
@@ -21,6 +21,7 @@ from millbook.functions import dates as D
 from millbook.functions.keys import keys_present
 from millbook.functions.money import num_or, text_or
 from millbook.functions.paging import dense_number
+from millbook.operators.ownership import resolve_keys
 from millbook.sources.schemas import MONEY
 from millbook.sources.tables import Tables
 
@@ -113,19 +114,17 @@ def reject_duplicate_key(df: DataFrame, key: str, existing: DataFrame, reason: s
     return kept.drop("_stored", "_first"), rej
 
 
-def reject_taken_key(df: DataFrame, key: str, existing: DataFrame, reason: str):
-    """Unique-key check of updates: ``key`` is stored for another ``id``, or an earlier
-    request of the batch sets it for another ``id``. NULL keys never collide."""
-    wanted = df.select(F.col(key).alias("_k")).filter(F.col("_k").isNotNull()).distinct()
-    stored = (existing.select(F.col(key).alias("_k"), F.col("id").alias("_h")).join(wanted, "_k", "left_semi")
-              .groupBy("_k").agg(F.min("_h").alias("_holder"), F.max("_h").alias("_holder_2")))
-    first = df.filter(F.col(key).isNotNull()).groupBy(F.col(key).alias("_k")).agg(
-        F.min(F.struct(*[F.col(c) for c in ARRIVAL], F.col("id").alias("_id"))).alias("_first"))
-    j = (df.join(stored, df[key] == stored["_k"], "left").drop("_k")
-         .join(first, df[key] == first["_k"], "left").drop("_k"))
-    taken = (F.col("_holder") != F.col("id")) | (F.col("_holder_2") != F.col("id")) | (F.col("_first._id") != F.col("id"))
-    kept, rej = _reject(j, taken, reason)
-    return kept.drop("_holder", "_holder_2", "_first"), rej
+def reject_taken_keys(df: DataFrame, keys: dict[str, str], existing: DataFrame, holder: str | None = "id",
+                      sets: dict[str, Column] | None = None):
+    """Unique-key check of updates and of rows with several keys, as the batch unfolds.
+
+    A request is rejected if another row holds one of its keys at its turn: a key
+    that an earlier accepted request freed is free, and one that a rejected request
+    asked for was never taken (:func:`millbook.operators.ownership.resolve_keys`).
+    """
+    told, _rounds = resolve_keys(df, existing, keys, ARRIVAL, holder, sets)
+    return (told.filter(F.col("reason").isNull()).drop("reason"),
+            told.filter(F.col("reason").isNotNull()).select("request_id", "reason"))
 
 
 # What the reference's endpoints require of an insert, in their order of checking
@@ -148,7 +147,10 @@ def standard_checks(t: Tables, table: str) -> list:
         checks.append(lambda df, c=column: reject_not_positive(df, c))
     for column in REQUIRED.get(table, ()):
         checks.append(lambda df, c=column: reject_missing(df, c))
-    for key, reason in UNIQUE_KEYS.get(table, {}).items():
+    unique = UNIQUE_KEYS.get(table, {})
+    if len(unique) > 1:  # a request that one key sinks does not claim the others
+        checks.append(lambda df: reject_taken_keys(df, unique, t[table], holder=None))
+    for key, reason in unique.items() if len(unique) == 1 else ():
         checks.append(lambda df, k=key, r=reason: reject_duplicate_key(df, k, t[table], r))
     return checks
 
@@ -253,7 +255,7 @@ def apply_partial_updates(t: Tables, table: str, changes: DataFrame, as_of) -> C
     one. Only active rows of clients, products, employees can change (shifts
     any row); a request for a missing row is rejected NOT_FOUND. A request
     that supplies no settable column changes nothing; one that sets a unique
-    key another row holds is rejected. Clients, products and
+    key another row holds at its turn is rejected (:func:`reject_taken_keys`). Clients, products and
     employees get ``updated_at = now`` on rows where some column changed
     (the column is added when the stored table has none); shifts have no
     ``updated_at``.
@@ -266,12 +268,11 @@ def apply_partial_updates(t: Tables, table: str, changes: DataFrame, as_of) -> C
     j = ch.join(ids, ch["id"] == ids["_tid"], "left")
     valid, rejects = _reject(j, F.col("_tid").isNull(), "NOT_FOUND")
     valid = valid.drop("_tid")
-    for key, reason in UNIQUE_KEYS.get(table, {}).items():
-        if key in settable:
-            sets = F.array_contains(F.col("_set"), F.lit(key))
-            checked, r = reject_taken_key(valid.filter(sets), key, base, reason)
-            valid = valid.filter(~sets).unionByName(checked)
-            rejects = rejects.unionByName(r)
+    unique = {k: reason for k, reason in UNIQUE_KEYS.get(table, {}).items() if k in settable}
+    if unique:
+        sets = {k: F.coalesce(F.array_contains(F.col("_set"), F.lit(k)), F.lit(False)) for k in unique}
+        valid, r = reject_taken_keys(valid, unique, base, sets=sets)
+        rejects = rejects.unionByName(r)
     aggs = []
     for c in settable:
         supplied = F.array_contains(F.col("_set"), F.lit(c))
@@ -302,16 +303,16 @@ def update_users(t: Tables, changes: DataFrame, as_of) -> ChangeResult:
     """Replace username, email, role, employee_id, is_active as a whole
     (absent = NULL), for users in any state; the latest request per id wins.
 
-    A username, email or employee link that another user holds, or that an
-    earlier request of the batch claims for another user, rejects the request.
+    A username, email or employee link that another user holds at the request's
+    turn rejects it (:func:`reject_taken_keys`): names may be swapped or passed on
+    inside a batch.
     """
     ids = _known_ids(t.users, changes)
     j = changes.join(ids, changes["id"] == ids["_tid"], "left")
     valid, rejects = _reject(j, F.col("_tid").isNull(), "NOT_FOUND")
     valid = valid.drop("_tid")
-    for key, reason in UNIQUE_KEYS["users"].items():
-        valid, r = reject_taken_key(valid, key, t.users, reason)
-        rejects = rejects.unionByName(r)
+    valid, r = reject_taken_keys(valid, UNIQUE_KEYS["users"], t.users)
+    rejects = rejects.unionByName(r)
     latest = valid.groupBy("id").agg(
         F.max_by(F.struct(*[F.col(c) for c in USER_FIELDS]), _arrival()).alias("_n"))
     merged = t.users.join(latest, "id", "left")

@@ -11,16 +11,17 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millbook.functions import dates as D
 from millbook.functions.money import cents
+from millbook.functions.prefix import range_parts, sums_over_parts
 from millbook.operators import reports as R
 from millbook.operators.changes import ARRIVAL, _next_ids, _now, reject_duplicate_key, reject_missing
 from millbook.operators.ledger import EXIT, apply_movements, fold_stock, ledger_rows, validate_movements
-from millbook.plans.lineage import materialize
+from millbook.plans.lineage import materialize, staged
 from millbook.sources.schemas import MONEY, WIDE_MONEY
 from millbook.sources.tables import Tables
 
@@ -95,6 +96,93 @@ class IntakeResult:
     movements: DataFrame       # EXIT ledger rows, one per accepted line
     stock: DataFrame           # products with the new current_stock
     rejects: DataFrame         # request_id, reason
+    rounds: int | None = None  # rounds of reservations that ``exact`` took
+
+
+def _header_ok() -> Column:
+    """Nothing but a line can have failed."""
+    return F.col("reason").isNull() | F.col("reason").isin("PRODUCT_NOT_FOUND", "INSUFFICIENT_STOCK")
+
+
+def _reservations(t: Tables, checked: DataFrame, lines: DataFrame) -> DataFrame:
+    """One row per (order, product) of the orders whose header passes, in cents: what it needs in all and per line.
+
+    Range parts of (product, arrival). ``state``: None while undecided, False for
+    an order that names an unknown product, which can never take anything.
+    """
+    orders = checked.filter(_header_ok()).select(*ARRIVAL, F.coalesce("_unknown", F.lit(False)).alias("_unknown"))
+    prods = t.products.select(F.col("id").alias("product_id"), cents(F.coalesce("current_stock", F.lit(0))).alias("stock_c"))
+    needs = (lines.join(orders, "request_id").groupBy(*ARRIVAL, "product_id", "_unknown").agg(
+        F.coalesce(F.sum(cents("quantity")), F.lit(0)).alias("need_c"), F.max(cents("quantity")).alias("most_c"))
+        .join(prods, "product_id"))
+    return range_parts(needs.select(*ARRIVAL, "product_id", "need_c", "most_c", "stock_c",
+                                    F.when(F.col("_unknown"), False).alias("state")),
+                       ["product_id", *ARRIVAL], "_range")
+
+
+def _stock_before(rows: DataFrame, low: str, high: str) -> DataFrame:
+    """``rows`` with the least and the most stock that earlier orders can leave each (equal once those are decided)."""
+    undecided, taken = F.col("state").isNull(), F.coalesce(F.col("state"), F.lit(False))
+    none = F.lit(0).cast("long")
+    values = {low: F.when(taken, F.col("need_c")).when(undecided, F.greatest("need_c", none)).otherwise(none),
+              high: F.when(taken, F.col("need_c")).when(undecided, F.least("need_c", none)).otherwise(none)}
+    summed = sums_over_parts(rows, "_range", ["product_id"], list(ARRIVAL), values, inclusive=False)
+    return summed.withColumns({low: F.col("stock_c") - F.col(low), high: F.col("stock_c") - F.col(high)})
+
+
+def reserve_in_rounds(claims: DataFrame) -> tuple[DataFrame, int]:
+    """(``request_id, accepted`` per order, rounds): orders decided as if one at a time, in arrival order.
+
+    Every order reserves its products by arrival. What the undecided orders before
+    it may still take bounds the stock it will meet: an order is accepted if even
+    the least stock covers every line, rejected if even the most does not cover
+    one. In each round the first undecided order knows its stock exactly, so a
+    round decides at least that one, and as a rule all whose products are not
+    contested that closely; rejected orders release their reservations and only
+    products some undecided order still wants go into the next round.
+    """
+    decided, live, rounds = [], claims, 0
+    while True:
+        bounds = _stock_before(live, "_low", "_high").filter(F.col("state").isNull())
+        order = bounds.groupBy("request_id").agg(
+            F.bool_or(F.coalesce(F.col("most_c") > F.col("_high"), F.lit(False))).alias("_fails"),
+            F.bool_and(F.coalesce(F.col("most_c") <= F.col("_low"), F.lit(True))).alias("_holds"))
+        verdicts = staged(order.filter(F.col("_fails") | F.col("_holds")).select(
+            "request_id", (~F.col("_fails")).alias("accepted")), "verdicts")
+        if verdicts.isEmpty():
+            return decided[0] if decided else verdicts, rounds
+        rounds += 1
+        decided = [decided[0].unionByName(verdicts)] if decided else [verdicts]
+        known = verdicts.select(F.col("request_id").alias("_rid"), "accepted")
+        told = staged(live.join(known, F.col("request_id") == F.col("_rid"), "left")
+                      .withColumn("state", F.coalesce("state", "accepted")).drop("_rid", "accepted")
+                      .filter(F.col("state").isNull() | F.col("state")), "reservations")
+        wanted = staged(told.filter(F.col("state").isNull()).select(F.col("product_id").alias("_pid")).distinct(), "wanted")
+        live = told.join(wanted, F.col("product_id") == F.col("_pid"), "left_semi")
+
+
+def _exact(t: Tables, checked: DataFrame, lines: DataFrame) -> tuple[DataFrame, int]:
+    """Re-decide line checks as the reference does, one order after the other: (``checked`` with reasons, rounds).
+
+    A line is checked against what the accepted orders before left of its
+    product (its own order's other lines have not been taken yet), in line order;
+    the first that fails gives the reason.
+    """
+    claims = _reservations(t, checked, lines)
+    verdicts, rounds = reserve_in_rounds(claims)
+    known = verdicts.select(F.col("request_id").alias("_rid"), F.col("accepted").alias("_accepted"))
+    final = claims.join(known, F.col("request_id") == F.col("_rid"), "left").withColumn(
+        "state", F.coalesce("state", "_accepted")).drop("_rid", "_accepted")
+    met = _stock_before(final, "_met", "_same").select(F.col("request_id").alias("_rid"), F.col("product_id").alias("_pid"), "_met")
+    orders = checked.filter(_header_ok()).select(F.col("request_id").alias("_oid"))
+    own = lines.join(orders, F.col("request_id") == F.col("_oid"), "left_semi").join(
+        met, (F.col("request_id") == F.col("_rid")) & (F.col("product_id") == F.col("_pid")), "left")
+    failing = F.when(F.col("_rid").isNull(), F.lit("PRODUCT_NOT_FOUND")).when(
+        cents("quantity") > F.col("_met"), F.lit("INSUFFICIENT_STOCK"))
+    first = own.withColumn("_r", failing).groupBy(F.col("request_id").alias("_oid")).agg(
+        F.min_by("_r", F.when(F.col("_r").isNotNull(), F.struct("line_no", "product_id", "quantity", "price"))).alias("_line_r"))
+    reason = F.when(_header_ok(), F.col("_line_r")).otherwise(F.col("reason"))
+    return checked.join(first, F.col("request_id") == F.col("_oid"), "left").withColumn("reason", reason).drop("_line_r", "_oid"), rounds
 
 
 def _allocate(t: Tables, checked: DataFrame, lines: DataFrame) -> DataFrame:
@@ -131,24 +219,27 @@ def intake_sales_orders(t: Tables, headers: DataFrame, lines: DataFrame, as_of,
     """Accepted requests become QUOTE orders, their lines, EXIT movements and less stock.
 
     ``mode='allocate'`` claims stock per product in arrival order (see
-    :func:`_allocate`) and never oversells, as the reference's order-by-order
-    decrements never do; ``'snapshot'`` checks every order against the opening
-    stock only, so a batch may oversell a product that several orders want.
+    :func:`_allocate`) and never oversells; ``'exact'`` decides as one order after
+    the other would (see :func:`reserve_in_rounds`), so a rejected order's stock is
+    free for the next; ``'snapshot'`` checks every order against the opening stock
+    only, so a batch may oversell a product that several orders want.
     Ids continue after the stored maximum in arrival order; numbers are
     ``SO-yyyymmdd-id`` of ``as_of``, which is also the order date. With
     ``checkpoint`` the numbered decisions are checkpointed once, so the four
     outputs do not each recompute the checks.
     """
-    checked = _checked(t, headers, lines)
+    checked, rounds = _checked(t, headers, lines), None
     if mode == "allocate":
         checked = _allocate(t, materialize(checked), lines)  # decided once for the claims and the result
+    elif mode == "exact":
+        checked, rounds = _exact(t, materialize(checked), lines)
     elif mode != "snapshot":
         raise ValueError(f"unknown mode {mode!r}")
     if checkpoint:
         checked = materialize(checked)
     rejects = checked.filter(F.col("reason").isNotNull()).select("request_id", "reason")
     accepted = checked.filter(F.col("reason").isNull())
-    numbered = _next_ids(t.sales_orders, accepted)
+    numbered = _next_ids(t.sales_orders, accepted, keys=(*ARRIVAL, *[c for c in headers.columns if c not in ARRIVAL]))
     stamp = D.as_date(as_of).strftime("%Y%m%d")
     orders = numbered.select(
         "id", F.concat(F.lit(f"SO-{stamp}-"), F.col("id").cast(T.StringType())).alias("order_number"),
@@ -168,7 +259,7 @@ def intake_sales_orders(t: Tables, headers: DataFrame, lines: DataFrame, as_of,
              .withColumn("current_stock", F.when(F.col("_taken").isNull(), F.col("current_stock"))
                          .otherwise((F.coalesce(F.col("current_stock"), F.lit(0)) - F.col("_taken")).cast(MONEY)))
              .select(*t.products.columns))
-    return IntakeResult(orders, order_products, movements, stock, rejects)
+    return IntakeResult(orders, order_products, movements, stock, rejects, rounds)
 
 
 # --- W13 -------------------------------------------------------------------------------

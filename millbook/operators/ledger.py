@@ -6,11 +6,14 @@ locally plus what earlier partitions hold of that product.
 
 W9 is order dependent: an EXIT is accepted only while the running stock
 covers it, and a rejected EXIT leaves the stock unchanged, so the outcome of
-one request depends on all decisions before it. The fold runs per product in
-arrival order over rows hash-partitioned by product and sorted inside each
-partition; ``mapInPandas`` streams those rows batch by batch with one
-(product, balance) pair of state, so no product's requests are ever held in
-memory together. Amounts are folded as exact integer cents.
+one request depends on all decisions before it. Until a product's first
+shortfall, though, every request is accepted and a running sum gives the
+balances; products that never run short are decided so as a whole. Only what
+comes from a first shortfall on is folded: per product in arrival order over
+rows hash-partitioned by product and sorted inside each partition;
+``mapInPandas`` streams those rows batch by batch with one (product, balance)
+pair of state, so no product's requests are ever held in memory together.
+Amounts are exact integer cents.
 """
 
 from __future__ import annotations
@@ -25,8 +28,8 @@ from pyspark.sql import types as T
 
 from millbook.functions.money import cents, from_cents
 from millbook.functions.paging import dense_number
-from millbook.functions.prefix import running_sum
-from millbook.plans.lineage import materialize
+from millbook.functions.prefix import range_parts, running_sum, sums_over_parts
+from millbook.plans.lineage import materialize, staged
 from millbook.sources.schemas import ERP_SCHEMAS, MONEY
 from millbook.sources.tables import Tables
 
@@ -140,6 +143,29 @@ def fold_stock(requests: DataFrame, opening_cents: str, order: list[str],
     return prepared.mapInPandas(_fold_batches, schema)
 
 
+def decide_stock(requests: DataFrame, opening_cents: str, order: list[str]) -> DataFrame:
+    """Accept or reject every request against its product's running stock.
+
+    Same columns in and out as :func:`fold_stock`. The running balance with
+    everything accepted is a segmented prefix sum; where an EXIT takes it below
+    zero first, the product falls short, and its rows from there on go through
+    the fold, which starts with the balance before that row. Range partitions of
+    (product, order) carry the sums, so a product may hold any share of the rows.
+    """
+    parts = range_parts(requests, ["product_id", *order], "_range")
+    signed = F.when(F.col("_is_exit"), -F.col("_q_c")).otherwise(F.col("_q_c"))
+    summed = staged(sums_over_parts(parts, "_range", ["product_id"], order, {"_moved": signed, "_nth": F.lit(1)})
+                    .withColumn("_before_c", F.col(opening_cents) + F.col("_moved") - signed), "balances")
+    short = staged(summed.filter(F.col("_is_exit") & (F.col("_before_c") < F.col("_q_c"))).groupBy("product_id").agg(
+        F.min("_nth").alias("_first"), F.min_by("_before_c", "_nth").alias("_left_c")), "shortfalls")
+    marked = summed.join(short.withColumnRenamed("product_id", "_short_id"), F.col("product_id") == F.col("_short_id"), "left")
+    late = F.col("_first").isNotNull() & (F.col("_nth") >= F.col("_first"))
+    whole = marked.filter(~late).select(*requests.columns, F.lit(True).alias("_accepted"), "_before_c",
+                                        (F.col("_before_c") + signed).alias("_after_c"))
+    folded = fold_stock(marked.filter(late).select(*requests.columns, "_left_c"), "_left_c", order)
+    return whole.unionByName(folded.select(*requests.columns, "_accepted", "_before_c", "_after_c"))
+
+
 def validate_movements(t: Tables, requests: DataFrame) -> tuple[DataFrame, DataFrame]:
     """W8 checks of movement requests: (valid with opening stock, rejects)."""
     prods = t.products.select(F.col("id").alias("product_id"), F.col("current_stock").alias("_stock"),
@@ -164,7 +190,7 @@ def apply_movements(t: Tables, requests: DataFrame,
     INSUFFICIENT_STOCK when the running stock is below it. Requests for
     unknown products, other types or quantities <= 0 are rejected first (W8).
     Movements carry the signed quantity (EXIT negative), as in the ledger.
-    With ``checkpoint`` the fold output is checkpointed once for the four results.
+    With ``checkpoint`` the decisions are checkpointed once for the four results.
     """
     valid, pre_rejects = validate_movements(t, requests)
     prepared = valid.select(
@@ -173,7 +199,7 @@ def apply_movements(t: Tables, requests: DataFrame,
         (F.col("movement_type") == F.lit(EXIT)).alias("_is_exit"),
         cents(F.coalesce(F.col("_stock"), F.lit(0))).alias("_stock_c"))
     tie_break = [c for c in requests.columns if c not in order and c != "product_id"]
-    decided = fold_stock(prepared, "_stock_c", [*order, *tie_break])
+    decided = decide_stock(prepared, "_stock_c", [*order, *tie_break])
     if checkpoint:
         decided = materialize(decided)
     base_cols = [c for c in requests.columns]

@@ -3,6 +3,8 @@
 Every listing returns the whole filtered result sorted in a total order
 (PostgreSQL null placement, ``id`` as the last key); pass ``page`` to get one
 page plus totals instead (:func:`millbook.functions.paging.page_with_totals`).
+Listings by a text column take a ``collation`` (see
+:mod:`millbook.functions.ordering`); without one text sorts by code point.
 """
 
 from __future__ import annotations
@@ -13,6 +15,7 @@ from pyspark.sql import functions as F
 from millbook.functions.filters import active, apply_filters, bound, equals, search
 from millbook.functions.ordering import asc, desc
 from millbook.functions.paging import page_with_totals
+from millbook.operators.search import TrigramIndex, indexed_search
 from millbook.sources.tables import Tables
 
 
@@ -26,18 +29,32 @@ def _name(df: DataFrame, key: str, alias: str, id_col: str = "id", name_col: str
     return df.select(F.col(id_col).alias(key), F.col(name_col).alias(alias))
 
 
+def _searched(df: DataFrame, columns: list[str], text, indexes: list | None) -> DataFrame:
+    """``df`` filtered by the search, through trigram postings where there are any."""
+    cond = search(columns, text)
+    if cond is None:
+        return df
+    return indexed_search(df, columns, text, indexes) if indexes else df.filter(cond)
+
+
 # Q1
-def list_clients(t: Tables, search_text=None, page=None, limit=None) -> DataFrame:
-    """Active clients, optional search on code or name, by name."""
-    df = apply_filters(t.clients.filter(active()), search(["code", "name"], search_text))
-    return _finish(df, [asc("name"), asc("id")], page, limit)
+def list_clients(t: Tables, search_text=None, page=None, limit=None, index: TrigramIndex | None = None,
+                 collation: str | None = None) -> DataFrame:
+    """Active clients, optional search on code or name (``index``: postings of both), by name."""
+    df = _searched(t.clients.filter(active()), ["code", "name"], search_text, index and [("id", index)])
+    return _finish(df, [asc("name", collation), asc("id")], page, limit)
 
 
 # Q2
-def list_sales_orders(t: Tables, search_text=None, page=None, limit=None) -> DataFrame:
-    """Order headers with client name; search order_number or client name; newest first."""
+def list_sales_orders(t: Tables, search_text=None, page=None, limit=None,
+                      indexes: tuple[TrigramIndex, TrigramIndex] | None = None) -> DataFrame:
+    """Order headers with client name; search order_number or client name; newest first.
+
+    ``indexes``: postings of the orders' numbers and of the clients' names.
+    """
     df = t.sales_orders.join(_name(t.clients, "client_id", "client_name"), "client_id")
-    df = apply_filters(df, search(["order_number", "client_name"], search_text)).select(
+    keyed = indexes and list(zip(("id", "client_id"), indexes, strict=True))
+    df = _searched(df, ["order_number", "client_name"], search_text, keyed).select(
         "id", "order_number", "order_date", "delivery_date", "status", "total", "client_name")
     return _finish(df, [desc("order_date"), desc("id")], page, limit)
 
@@ -84,18 +101,19 @@ def sales_order_details(t: Tables, order_ids: DataFrame | None = None, nested: b
 
 
 # Q4
-def list_products(t: Tables, search_text=None, page=None, limit=None) -> DataFrame:
-    """Active products with supplier name (kept when none); search sku/description; by sku."""
-    df = apply_filters(t.products.filter(active()), search(["sku", "description"], search_text))
+def list_products(t: Tables, search_text=None, page=None, limit=None, index: TrigramIndex | None = None,
+                  collation: str | None = None) -> DataFrame:
+    """Active products with supplier name (kept when none); search sku/description (``index``: postings of both); by sku."""
+    df = _searched(t.products.filter(active()), ["sku", "description"], search_text, index and [("id", index)])
     df = df.join(_name(t.suppliers, "supplier_id", "supplier_name"), "supplier_id", "left")
-    return _finish(df, [asc("sku"), asc("id")], page, limit)
+    return _finish(df, [asc("sku", collation), asc("id")], page, limit)
 
 
 # Q5
-def low_stock_products(t: Tables) -> DataFrame:
+def low_stock_products(t: Tables, collation: str | None = None) -> DataFrame:
     """Active products at or below their minimum stock, by sku."""
     df = t.products.filter(active() & (F.col("current_stock") <= F.col("min_stock")))
-    return df.orderBy(asc("sku"), asc("id"))
+    return df.orderBy(asc("sku", collation), asc("id"))
 
 
 # Q6
@@ -158,22 +176,22 @@ def costing_history(t: Tables, product_id=None) -> DataFrame:
 
 
 # Q12
-def list_employees(t: Tables, search_text=None, page=None, limit=None) -> DataFrame:
+def list_employees(t: Tables, search_text=None, page=None, limit=None, collation: str | None = None) -> DataFrame:
     df = apply_filters(t.employees.filter(active()), search(["name", "position"], search_text)).select(
         "id", "name", "position", "shift", "hire_date", "salary", "is_active")
-    return _finish(df, [asc("name"), asc("id")], page, limit)
+    return _finish(df, [asc("name", collation), asc("id")], page, limit)
 
 
 # Q13
-def list_users(t: Tables, page=None, limit=None) -> DataFrame:
+def list_users(t: Tables, page=None, limit=None, collation: str | None = None) -> DataFrame:
     """All users (inactive too) with the employee name and last login; no password column."""
     df = t.users.join(_name(t.employees, "employee_id", "employee_name"), "employee_id", "left").select(
         "id", "username", "email", "role", "is_active", "last_login", "employee_name")
-    return _finish(df, [asc("username"), asc("id")], page, limit)
+    return _finish(df, [asc("username", collation), asc("id")], page, limit)
 
 
 # Q14
-def attendance_roster(t: Tables, employee_id=None, start=None, end=None) -> DataFrame:
+def attendance_roster(t: Tables, employee_id=None, start=None, end=None, collation: str | None = None) -> DataFrame:
     """Every active employee with their attendance rows in range.
 
     The filters belong to the join condition, so attendances are filtered
@@ -185,16 +203,16 @@ def attendance_roster(t: Tables, employee_id=None, start=None, end=None) -> Data
     e = t.employees.filter(active()).select(F.col("id").alias("employee_id"),
                                               F.col("name").alias("employee_name"), "position")
     df = e.join(a, e["employee_id"] == a["_eid"], "left").drop("_eid")
-    return df.orderBy(asc("employee_name"), asc("employee_id"), asc("date"), asc("id"))
+    return df.orderBy(asc("employee_name", collation), asc("employee_id"), asc("date"), asc("id"))
 
 
 # Q15
-def list_shifts(t: Tables, employee_id=None, start=None, end=None) -> DataFrame:
+def list_shifts(t: Tables, employee_id=None, start=None, end=None, collation: str | None = None) -> DataFrame:
     """Shifts with the employee name (inactive employees too); newest first, then name."""
     s = apply_filters(t.shifts, equals("employee_id", employee_id), bound("date", start, end))
     df = s.join(_name(t.employees, "employee_id", "employee_name"), "employee_id").select(
         *t.shifts.columns, "employee_name")
-    return df.orderBy(desc("date"), asc("employee_name"), asc("id"))
+    return df.orderBy(desc("date"), asc("employee_name", collation), asc("id"))
 
 
 # Q16
@@ -208,8 +226,8 @@ def list_audits(t: Tables, user_id=None, action=None, start=None, end=None, page
 
 
 # Q17
-def list_suppliers(t: Tables) -> DataFrame:
-    return t.suppliers.filter(active()).select("id", "name").orderBy(asc("name"), asc("id"))
+def list_suppliers(t: Tables, collation: str | None = None) -> DataFrame:
+    return t.suppliers.filter(active()).select("id", "name").orderBy(asc("name", collation), asc("id"))
 
 
 # Q18

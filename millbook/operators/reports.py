@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 
 from millbook.functions import dates as D
 from millbook.functions.filters import active, apply_filters, bound, equals
-from millbook.functions.money import quotient, sum_money, wide, zero
+from millbook.functions.money import quotient, sum_money, to_fixed, wide, zero
 from millbook.functions.ordering import asc, desc
 from millbook.sources.schemas import MONEY, WIDE_MONEY
 from millbook.sources.tables import Tables
@@ -100,15 +100,8 @@ def waste_by_process(t: Tables, start=None, end=None) -> DataFrame:
 
 
 # --- A6 -----------------------------------------------------------------------------
-def production_cost_analysis(t: Tables, order_ids: DataFrame | None = None,
-                             waste_cost_per_kg: float = WASTE_COST_PER_KG) -> DataFrame:
-    """Material, waste, labor (0) and total cost per production order, all orders in one pass.
-
-    Consumptions and wastes are aggregated by order separately before the
-    join (joining raw rows would multiply them). Material is valued at the
-    material's current ``cost_price``; the order must have its product.
-    ``cost_per_unit`` divides by the planned quantity, to 2 places, and is NULL when it is 0.
-    """
+def _order_costs(t: Tables, order_ids: DataFrame | None) -> DataFrame:
+    """Production orders (with their product) and, where there are any, ``_mat`` and ``_waste_kg``."""
     po = t.production_orders
     if order_ids is not None:
         po = po.join(order_ids.select(F.col(order_ids.columns[0]).alias("id")), "id", "left_semi")
@@ -118,9 +111,21 @@ def production_cost_analysis(t: Tables, order_ids: DataFrame | None = None,
     waste = t.wastes.groupBy("order_id").agg(F.sum("quantity").alias("_waste_kg"))
     head = po.join(t.products.select(F.col("id").alias("product_id"), F.col("cost_price").alias("product_cost")),
                    "product_id")
+    return (head.join(material, head["id"] == material["order_id"], "left").drop("order_id")
+            .join(waste, head["id"] == waste["order_id"], "left").drop("order_id"))
+
+
+def production_cost_analysis(t: Tables, order_ids: DataFrame | None = None,
+                             waste_cost_per_kg: float = WASTE_COST_PER_KG) -> DataFrame:
+    """Material, waste, labor (0) and total cost per production order, all orders in one pass.
+
+    Consumptions and wastes are aggregated by order separately before the
+    join (joining raw rows would multiply them). Material is valued at the
+    material's current ``cost_price``; the order must have its product.
+    ``cost_per_unit`` divides by the planned quantity, to 2 places, and is NULL when it is 0.
+    """
+    out = _order_costs(t, order_ids)
     rate = F.lit(str(waste_cost_per_kg)).cast(T.DecimalType(10, 2))
-    out = (head.join(material, head["id"] == material["order_id"], "left").drop("order_id")
-           .join(waste, head["id"] == waste["order_id"], "left").drop("order_id"))
     material_cost = wide(F.coalesce(F.col("_mat"), F.lit(0)))
     waste_cost = wide(F.coalesce(F.col("_waste_kg"), F.lit(0)) * rate)
     total = wide(material_cost + waste_cost)
@@ -135,6 +140,25 @@ def production_cost_analysis(t: Tables, order_ids: DataFrame | None = None,
         quotient(total, "quantity", 2).alias("cost_per_unit"))
 
 
+def production_cost_texts(t: Tables, order_ids: DataFrame | None = None,
+                          waste_cost_per_kg: float = WASTE_COST_PER_KG) -> DataFrame:
+    """A6 as the endpoint answers it: sums and quotient in doubles, each amount a ``toFixed(2)`` text.
+
+    A planned quantity of 0 (or none) gives "Infinity" per unit, or "NaN" where there is no cost either.
+    """
+    out = _order_costs(t, order_ids)
+    zero_double = F.lit(0.0)
+    material = F.coalesce(F.col("_mat").cast("double"), zero_double)
+    waste = F.coalesce(F.col("_waste_kg").cast("double"), zero_double) * F.lit(float(waste_cost_per_kg))
+    total, planned = material + waste, F.coalesce(F.col("quantity").cast("double"), zero_double)
+    unit = (F.when(planned != 0, F.try_divide(total, planned)).when(total > 0, F.lit(float("inf")))
+            .otherwise(F.lit(float("nan"))))
+    return out.select(
+        F.col("id").alias("order_id"), "order_number", "product_id", F.col("quantity").alias("quantity_produced"),
+        to_fixed(material).alias("material_cost"), to_fixed(zero_double).alias("labor_cost"), to_fixed(waste).alias("waste_cost"),
+        to_fixed(total).alias("total_cost"), to_fixed(unit).alias("cost_per_unit"))
+
+
 # --- A8 / A7 ------------------------------------------------------------------------
 def latest_costs(t: Tables, ties: str = "all") -> DataFrame:
     """Each product's costing rows on its latest calculation_date.

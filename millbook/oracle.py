@@ -57,6 +57,13 @@ WHERE so.status = 'COMPLETED' AND {cond}
 GROUP BY c.name ORDER BY sum(so.total) DESC, c.name LIMIT 5"""
 
 
+def _to_fixed(x: str) -> str:
+    """toFixed(2): printf rounds the exact value too, but halves (odd eighths) to even instead of up; nothing negative here."""
+    return (f"CASE WHEN isnan({x}) THEN 'NaN' WHEN isinf({x}) THEN 'Infinity' "
+            f"WHEN ({x}) * 8 = floor(({x}) * 8) AND ({x}) * 8 % 2 = 1 THEN printf('%.2f', ({x}) + 0.001) "
+            f"ELSE printf('%.2f', {x}) END")
+
+
 LATEST_COSTS = """
 SELECT c.product_id, c.total AS product_cost, c.calculation_date
 FROM costings c JOIN (SELECT product_id, max(calculation_date) AS last_date FROM costings GROUP BY product_id) m
@@ -112,6 +119,21 @@ SELECT order_id, order_number, product_id, CAST(quantity_produced AS DOUBLE) AS
        {_d('material_cost + waste_cost')} AS total_cost,
        {_rounded('material_cost + waste_cost', 'quantity_produced', 2)} AS cost_per_unit
 FROM base""",
+    "production_cost_texts": f"""
+WITH m AS (SELECT pc.order_id, sum(pc.consumed_quantity * p.cost_price) AS mat
+           FROM production_consumptions pc JOIN products p ON pc.material_id = p.id GROUP BY pc.order_id),
+     w AS (SELECT order_id, sum(quantity) AS kg FROM wastes GROUP BY order_id),
+     base AS (
+       SELECT po.id AS order_id, po.order_number, po.product_id, CAST(po.quantity AS DOUBLE) AS quantity_produced,
+              coalesce(CAST(m.mat AS DOUBLE), 0) AS mat, coalesce(CAST(w.kg AS DOUBLE), 0) * 25.0::DOUBLE AS waste
+       FROM production_orders po JOIN products p ON po.product_id = p.id
+       LEFT JOIN m ON m.order_id = po.id LEFT JOIN w ON w.order_id = po.id),
+     unit AS (SELECT *, mat + waste AS total,
+                     CASE WHEN coalesce(quantity_produced, 0) <> 0 THEN (mat + waste) / quantity_produced
+                          WHEN mat + waste > 0 THEN 'Infinity'::DOUBLE ELSE 'NaN'::DOUBLE END AS per FROM base)
+SELECT order_id, order_number, product_id, quantity_produced, {_to_fixed('mat')} AS material_cost, '0.00' AS labor_cost,
+       {_to_fixed('waste')} AS waste_cost, {_to_fixed('total')} AS total_cost, {_to_fixed('per')} AS cost_per_unit
+FROM unit""",
     "profit_by_client": _profit(),
     "profit_by_client_range": _profit(f"AND so.order_date {RANGE}"),
     "latest_costs": f"""

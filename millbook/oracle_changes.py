@@ -72,23 +72,38 @@ SELECT product_id, CAST(CAST(sum(quantity) AS DECIMAL(18,2)) AS DOUBLE) AS ledge
 FROM inventory_movements GROUP BY product_id""",
 })
 
-# user updates that pass: known user, and no key that another user holds or an earlier request claims for another
+# Unique keys of users, in the order of checking.
 _KEYS = (("username", "DUPLICATE_USERNAME"), ("email", "DUPLICATE_EMAIL"), ("employee_id", "DUPLICATE_EMPLOYEE"))
 
 
-def _user_steps() -> tuple[str, str]:
-    """(accepted, rejects) as nested queries, one key after the other."""
-    ok = "SELECT * FROM user_updates WHERE id IN (SELECT id FROM users)"
-    rejects = ["SELECT request_id, 'NOT_FOUND' AS reason FROM user_updates WHERE id NOT IN (SELECT id FROM users)"]
-    for key, reason in _KEYS:
-        taken = (f"EXISTS (SELECT 1 FROM users u WHERE u.{key} = r.{key} AND u.id <> r.id) OR r.id <> "
-                 f"(SELECT arg_min(q.id, {{'a': q.requested_at, 'b': q.request_id}}) FROM ({ok}) q WHERE q.{key} = r.{key})")
-        rejects.append(f"SELECT r.request_id, '{reason}' AS reason FROM ({ok}) r WHERE r.{key} IS NOT NULL AND ({taken})")
-        ok = f"SELECT r.* FROM ({ok}) r WHERE r.{key} IS NULL OR NOT ({taken})"
-    return ok, " UNION ALL ".join(rejects)
+def _user_steps(requests: str, holder: str) -> str:
+    """CTEs q, run, told (to follow WITH RECURSIVE): ``requests`` applied to the users one at a time.
 
-
-_USER_OK, _USER_REJECTS = _user_steps()
+    The keyed rows are every user's keys, the turn (key -1) and each request's
+    outcome (key -1 - turn): 0 accepted, else the first key another user holds.
+    """
+    hit = " ".join(f"WHEN u.{k} = t.{k} THEN {i}" for i, (k, _) in enumerate(_KEYS, 1))
+    any_hit = " OR ".join(f"u.{k} = t.{k}" for k, _ in _KEYS)
+    names = " ".join(f"WHEN {i} THEN '{reason}'" for i, (_, reason) in enumerate(_KEYS, 1))
+    return f"""
+ q AS MATERIALIZED (SELECT x.*, {holder} AS holder FROM (
+        SELECT r.*, row_number() OVER (ORDER BY requested_at, request_id) AS k FROM ({requests}) r) x),
+ run(key, username, email, employee_id, code, k) USING KEY (key) AS (
+   SELECT id, username, email, employee_id, 0, CAST(0 AS BIGINT) FROM users
+   UNION ALL SELECT -1, NULL, NULL, NULL, 0, 0
+   UNION
+   (WITH now AS (SELECT r.k + 1 AS k FROM run r WHERE r.key = -1),
+         t AS (SELECT q.* FROM q JOIN now ON q.k = now.k),
+         o AS (SELECT t.k, coalesce(min(CASE {hit} END), 0) AS code
+               FROM t LEFT JOIN recurring.run u ON (u.key >= 0 OR u.key < -1000000000) AND u.key <> t.holder AND ({any_hit})
+               GROUP BY t.k)
+    SELECT -1, NULL, NULL, NULL, 0, k FROM now WHERE k <= (SELECT max(k) FROM q)
+    UNION ALL SELECT -1 - k, NULL, NULL, NULL, code, k FROM o
+    UNION ALL SELECT t.holder, t.username, t.email, t.employee_id, 0, t.k FROM t JOIN o ON o.k = t.k WHERE o.code = 0)),
+ told AS (SELECT q.*, CASE run.code {names} END AS reason FROM q JOIN run ON run.key = -1 - q.k)"""
+
+
+_USER_STEPS = _user_steps("SELECT * FROM user_updates WHERE id IN (SELECT id FROM users)", "x.id")
 
 NOW = "TIMESTAMP '2001-07-20 00:00:00'"
 PRODUCT_OUT = ("CAST(cost_price AS DOUBLE) AS cost_price, CAST(min_stock AS DOUBLE) AS min_stock, "
@@ -162,9 +177,10 @@ FROM clients c LEFT JOIN a ON a.id = c.id""",
 SELECT request_id, 'NOT_FOUND' AS reason FROM client_updates
 WHERE id NOT IN (SELECT id FROM clients WHERE is_active = TRUE)""",
     "update_users": f"""
-WITH l AS (SELECT id, arg_max({{'username': username, 'email': email, 'role': role, 'employee_id': employee_id,
+WITH RECURSIVE {_USER_STEPS.lstrip()},
+     l AS (SELECT id, arg_max({{'username': username, 'email': email, 'role': role, 'employee_id': employee_id,
                                'is_active': is_active}}, {{'a': requested_at, 'b': request_id}}) AS n
-           FROM ({_USER_OK}) GROUP BY id)
+           FROM told WHERE reason IS NULL GROUP BY id)
 SELECT u.id,
        CAST(CASE WHEN l.id IS NULL THEN u.employee_id ELSE l.n.employee_id END AS DOUBLE) AS employee_id,
        CASE WHEN l.id IS NULL THEN u.username ELSE l.n.username END AS username,
@@ -274,9 +290,13 @@ def _sales_check_ctes() -> str:
        LEFT JOIN bal b ON b.client_id = h.client_id LEFT JOIN lr ON lr.request_id = h.request_id)"""
 
 
-ACCEPTED = """
+# the headers' total order: arrival, then every other column
+HEADER_ORDER = ("requested_at, request_id, client_id NULLS FIRST, user_id NULLS FIRST, notes NULLS FIRST, "
+                "delivery_date NULLS FIRST")
+
+ACCEPTED = f"""
      acc AS (SELECT chk.*, (SELECT coalesce(max(id), 0) FROM sales_orders)
-                             + row_number() OVER (ORDER BY requested_at, request_id) AS id
+                             + row_number() OVER (ORDER BY {HEADER_ORDER}) AS id
              FROM chk WHERE reason IS NULL)
 """
 
@@ -305,7 +325,38 @@ ALLOCATE = ("\nWITH RECURSIVE" + _sales_check_ctes() + """,
                          WHEN sunk.s THEN 'INSUFFICIENT_STOCK' END AS reason
              FROM chk LEFT JOIN sunk ON sunk.request_id = chk.request_id),
      acc AS (SELECT fin.*, (SELECT coalesce(max(id), 0) FROM sales_orders)
-                             + row_number() OVER (ORDER BY requested_at, request_id) AS id
+                             + row_number() OVER (ORDER BY """ + HEADER_ORDER + """) AS id
+             FROM fin WHERE reason IS NULL)
+""")
+
+# Exact mode: one step per order in arrival order. The keyed rows are the stock of every product, the turn (key -1)
+# and each order's outcome (key -1 - turn): 1 accepted, 2 a line of an unknown product, 3 a line without stock.
+EXACT = ("\nWITH RECURSIVE" + _sales_check_ctes() + """,
+     cand AS (SELECT request_id, row_number() OVER (ORDER BY requested_at, request_id) AS k FROM chk
+              WHERE reason IS NULL OR reason IN ('PRODUCT_NOT_FOUND', 'INSUFFICIENT_STOCK')),
+     turns AS MATERIALIZED (
+       SELECT c.k, list({'p': l.product_id, 'q': l.quantity} ORDER BY l.line_no, l.product_id, l.quantity, l.price) AS ls
+       FROM sales_order_lines l JOIN cand c ON c.request_id = l.request_id GROUP BY c.k),
+     run(key, val, k) USING KEY (key) AS (
+       SELECT id, CAST(coalesce(current_stock, 0) AS DECIMAL(18,2)), CAST(0 AS BIGINT) FROM products
+       UNION ALL SELECT -1, 0, 0
+       UNION
+       (WITH now AS (SELECT r.k + 1 AS k FROM run r WHERE r.key = -1),
+             t AS (SELECT turns.k, unnest(ls) AS l, unnest(range(len(ls))) AS i FROM turns JOIN now ON turns.k = now.k),
+             s AS (SELECT t.k, t.i, t.l.p AS p, t.l.q AS q, r.val FROM t LEFT JOIN recurring.run r ON r.key = t.l.p),
+             o AS (SELECT k, coalesce(arg_min(CASE WHEN val IS NULL THEN 2 ELSE 3 END, i)
+                                      FILTER (WHERE val IS NULL OR q > val), 1) AS code FROM s GROUP BY k)
+        SELECT -1, 0, k FROM now WHERE k <= (SELECT max(k) FROM cand)
+        UNION ALL SELECT -1 - k, code, k FROM o
+        UNION ALL SELECT s.p, any_value(s.val) - sum(s.q), s.k FROM s JOIN o ON o.k = s.k WHERE o.code = 1
+                  GROUP BY s.p, s.k)),
+     fin AS (SELECT chk.request_id, chk.requested_at, chk.client_id, chk.user_id, chk.notes, chk.delivery_date,
+                    chk.subtotal, chk.tax_amount, chk.total,
+                    CASE WHEN cand.k IS NULL THEN chk.reason WHEN run.val = 2 THEN 'PRODUCT_NOT_FOUND'
+                         WHEN run.val = 3 THEN 'INSUFFICIENT_STOCK' END AS reason
+             FROM chk LEFT JOIN cand ON cand.request_id = chk.request_id LEFT JOIN run ON run.key = -1 - cand.k),
+     acc AS (SELECT fin.*, (SELECT coalesce(max(id), 0) FROM sales_orders)
+                             + row_number() OVER (ORDER BY """ + HEADER_ORDER + """) AS id
              FROM fin WHERE reason IS NULL)
 """)
 
@@ -348,6 +399,15 @@ SELECT request_id, requested_at, client_id, user_id, notes, CAST(delivery_date A
 FROM chk""",
     "intake_sales_orders": _sales_check() + ORDER_ROWS,
     "intake_sales_orders_allocate": ALLOCATE + ORDER_ROWS,
+    "intake_sales_orders_exact": EXACT + ORDER_ROWS,
+    "intake_sales_orders_exact_rejects": EXACT + "SELECT request_id, reason FROM fin WHERE reason IS NOT NULL",
+    "intake_sales_orders_exact_stock": EXACT + """
+SELECT p.id, p.sku, p.description, p.type, p.unit, CAST(p.cost_price AS DOUBLE) AS cost_price,
+       CAST(p.min_stock AS DOUBLE) AS min_stock,
+       CAST(CASE WHEN EXISTS (SELECT 1 FROM sales_order_lines l JOIN acc ON acc.request_id = l.request_id
+                              WHERE l.product_id = p.id) THEN run.val ELSE p.current_stock END AS DOUBLE) AS current_stock,
+       CAST(p.supplier_id AS DOUBLE) AS supplier_id, p.is_active
+FROM products p JOIN run ON run.key = p.id""",
     "intake_sales_orders_lines": _sales_check() + """
 SELECT acc.id AS order_id, l.product_id, CAST(l.quantity AS DOUBLE) AS quantity, CAST(l.price AS DOUBLE) AS price
 FROM sales_order_lines l JOIN acc ON acc.request_id = l.request_id""",
@@ -540,7 +600,9 @@ BODIES["append_audit"] = ("\nWITH RECURSIVE" + fold_ctes(
                                                    AS DECIMAL(12,2)) AS VARCHAR), '}'),
                    requested_at, request_id
             FROM (SELECT *, (SELECT max(id) FROM inventory_movements)
-                            + row_number() OVER (ORDER BY requested_at, request_id) AS movement_id
+                            + row_number() OVER (ORDER BY requested_at, request_id, product_id, movement_type,
+                                CASE WHEN movement_type = 'EXIT' THEN -quantity ELSE quantity END, user_id,
+                                reference_document) AS movement_id
                   FROM d WHERE accepted) m)
 SELECT (SELECT coalesce(max(id), 0) FROM audits)
          + row_number() OVER (ORDER BY requested_at NULLS FIRST, request_id NULLS FIRST, action NULLS FIRST,
@@ -571,21 +633,15 @@ SELECT request_id, CASE WHEN duration IS NULL OR duration <= 0 THEN 'NOT_POSITIV
                         WHEN employee_id IS NULL OR employee_id = 0 THEN 'REQUIRED_FIELD_MISSING:employee_id'
                         ELSE 'REQUIRED_FIELD_MISSING:date' END AS reason
 FROM shift_requests WHERE NOT (coalesce(duration, 0) > 0 AND coalesce(employee_id, 0) <> 0 AND date IS NOT NULL)""",
-    "update_users_rejects": _USER_REJECTS,
+    "update_users_rejects": "\nWITH RECURSIVE" + _USER_STEPS + """
+SELECT request_id, reason FROM told WHERE reason IS NOT NULL
+UNION ALL SELECT request_id, 'NOT_FOUND' AS reason FROM user_updates WHERE id NOT IN (SELECT id FROM users)""",
 })
 
-_NEW_USERS = """
-WITH given AS (SELECT * FROM user_requests WHERE coalesce(username, '') <> '' AND coalesce(role, '') <> ''
-                 AND coalesce(employee_id, 0) <> 0),
-     n1 AS (SELECT g.* FROM given g WHERE g.username NOT IN (SELECT username FROM users)
-              AND {'a': g.requested_at, 'b': g.request_id} =
-                  (SELECT min({'a': q.requested_at, 'b': q.request_id}) FROM given q WHERE q.username = g.username)),
-     n2 AS (SELECT g.* FROM n1 g WHERE g.email IS NULL OR g.email NOT IN (SELECT email FROM users)
-              AND {'a': g.requested_at, 'b': g.request_id} =
-                  (SELECT min({'a': q.requested_at, 'b': q.request_id}) FROM n1 q WHERE q.email = g.email)),
-     ok AS (SELECT g.* FROM n2 g WHERE g.employee_id NOT IN (SELECT employee_id FROM users WHERE employee_id IS NOT NULL)
-              AND {'a': g.requested_at, 'b': g.request_id} =
-                  (SELECT min({'a': q.requested_at, 'b': q.request_id}) FROM n2 q WHERE q.employee_id = g.employee_id))"""
+_NEW_USERS = ("\nWITH RECURSIVE" + _user_steps(
+    """SELECT * FROM user_requests WHERE coalesce(username, '') <> '' AND coalesce(role, '') <> ''
+                 AND coalesce(employee_id, 0) <> 0""", "-1000000000 - x.k") + """,
+     ok AS (SELECT * FROM told WHERE reason IS NULL)""")
 BODIES["append_users"] = _NEW_USERS + f"""
 SELECT {_numbered('ok', 'users', 'requested_at, request_id')}, employee_id, username, email, role, TRUE AS is_active,
        requested_at, request_id
@@ -594,10 +650,8 @@ BODIES["append_users_rejects"] = _NEW_USERS + """
 SELECT request_id, CASE WHEN coalesce(username, '') = '' THEN 'REQUIRED_FIELD_MISSING:username'
                         WHEN coalesce(role, '') = '' THEN 'REQUIRED_FIELD_MISSING:role'
                         WHEN coalesce(employee_id, 0) = 0 THEN 'REQUIRED_FIELD_MISSING:employee_id'
-                        WHEN request_id NOT IN (SELECT request_id FROM n1) THEN 'DUPLICATE_USERNAME'
-                        WHEN request_id NOT IN (SELECT request_id FROM n2) THEN 'DUPLICATE_EMAIL'
-                        ELSE 'DUPLICATE_EMPLOYEE' END AS reason
-FROM user_requests WHERE request_id NOT IN (SELECT request_id FROM ok)"""
+                        ELSE (SELECT any_value(told.reason) FROM told WHERE told.request_id = u.request_id) END AS reason
+FROM user_requests u WHERE request_id NOT IN (SELECT request_id FROM ok)"""
 
 BODIES["stream_apply_movements_rejects"] = BODIES["apply_movements_rejects"]
 

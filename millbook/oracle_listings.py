@@ -122,6 +122,15 @@ FROM users u LEFT JOIN employees e ON u.employee_id = e.id WHERE u.is_active = T
     "list_audits_page": _page(f"{AUDITS_BASE} WHERE a.action ILIKE '%view%'", "timestamp DESC, id DESC", 2, 15),
     "list_products_page": _page(f"{PRODUCTS_BASE} AND (p.sku ILIKE '%bolt%' OR p.description ILIKE '%bolt%')",
                                 "sku, id", 4, 25),
+    "list_clients_indexed_search": f"""
+SELECT {CLIENT} FROM clients c WHERE c.is_active = TRUE
+AND (c.code ILIKE '%r#00000001%' OR c.name ILIKE '%r#00000001%')""",
+    "list_sales_orders_indexed_search":
+        f"{ORDERS_BASE} WHERE so.order_number ILIKE '%000077%' OR c.name ILIKE '%000077%'",
+    "list_products_indexed_search":
+        f"{PRODUCTS_BASE} AND (p.sku ILIKE '%gear%_1%' OR p.description ILIKE '%gear%_1%')",
+    "list_sales_orders_deep_page": _page(ORDERS_BASE, "order_date DESC, id DESC", 120, 10),
+    "list_audits_deep_page": _page(AUDITS_BASE, "timestamp DESC, id DESC", 3, 900),
     "list_clients_page": _page("SELECT " + CLIENT + " FROM clients c WHERE c.is_active = TRUE",
                                "name, id", 10 ** 6, 10),
 })

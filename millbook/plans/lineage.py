@@ -48,16 +48,17 @@ def materialize(df: DataFrame) -> DataFrame:
         df.unpersist()
 
 
-def staged(df: DataFrame, label: str) -> DataFrame:
+def staged(df: DataFrame, label: str, by: str | None = None) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and return a reader over it.
 
     Like a checkpoint, but compact (columnar, compressed) and readable by
     column; a reader keeps no partitioning of the writer, so a later join
-    shuffles both sides itself and AQE can split a hot key on either.
+    shuffles both sides itself and AQE can split a hot key on either. ``by``: a
+    column to make folders of, so that a filter on it reads only those.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{_STAGE_FOLDER}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -12,7 +12,7 @@ from __future__ import annotations
 import os
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -76,22 +76,35 @@ def stream_stock_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # --- T2 -------------------------------------------------------------------------------
+def _audit_day(column: str) -> Column:
+    return F.coalesce(F.to_date(column), F.lit("1970-01-01").cast("date"))
+
+
+def logged_ids(spark: SparkSession, out: str, days: list, epoch: int) -> DataFrame:
+    """``id, day`` that epochs before ``epoch`` hold on ``days``: only those partitions are read."""
+    log = spark.read.schema("id long, epoch long, day date").parquet(out)
+    return log.filter(F.col("day").isin(days) & (F.col("epoch") < epoch)).select("id", "day")
+
+
 def audit_log_query(events: DataFrame, root: str, trigger: dict | None = None):
     """Start T2: append audit events, each id once, however late a copy or an event arrives.
 
     No watermark drops anything. Each micro-batch keeps the ids the log does
     not hold; a re-delivery repeats the event with its time, so only the log's
-    partitions of the batch's days are probed. A micro-batch is written to its
-    own ``epoch`` folder, which a replay overwrites (exactly once).
+    partitions of the batch's days are read: the days are collected (at most one
+    per day the batch spans, and none of its rows) and pushed as a literal
+    partition filter, so the read grows with the days of a batch, not with the
+    log. A micro-batch is written to its own ``epoch`` folder, which a replay
+    overwrites (exactly once). No state is kept beside the log.
     """
     out = os.path.join(root, "out")
 
     def write(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
-        fresh = batch.dropDuplicates(["id"]).withColumn("day", F.coalesce(F.to_date("timestamp"), F.lit("1970-01-01").cast("date")))
+        fresh = batch.dropDuplicates(["id"]).withColumn("day", _audit_day("timestamp"))
         if epoch > 0:
-            log = spark.read.schema("id long, epoch long, day date").parquet(out).filter(F.col("epoch") < epoch)
-            fresh = fresh.join(log.select("id", "day"), ["id", "day"], "left_anti")
+            days = [r["day"] for r in batch.select(_audit_day("timestamp").alias("day")).distinct().collect()]
+            fresh = fresh.join(logged_ids(spark, out, days, epoch), ["id", "day"], "left_anti")
         fresh.write.mode("overwrite").partitionBy("day").parquet(os.path.join(out, f"epoch={epoch}"))
 
     return (events.writeStream.foreachBatch(write)
