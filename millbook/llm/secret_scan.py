@@ -48,11 +48,11 @@ def address(text: Column) -> Column:
 
 
 def scan_blobs(blobs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """``blob, spans`` of every row of ``blobs`` (``blob, text``) with a match; spans are ``(start, kind, end)``, sorted.
+    """``blob, spans`` of every row of ``blobs`` (``blob, text``); spans are ``(start, kind, end)``, sorted.
 
     ``kind`` is the rule's place in ``rules``; positions are code points, the
     end exclusive. One regular-expression pass finds the texts with a match;
-    only those are cut. The running sum is a window per blob and kind, over
+    only those are cut, of the others the address alone goes on. The running sum is a window per blob and kind, over
     lengths alone.
     """
     def cut(i: int, r: Rule) -> Column:
@@ -63,16 +63,16 @@ def scan_blobs(blobs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
             F.transform(F.regexp_extract_all("text", pattern, F.lit(0)), F.char_length).alias("lengths"),
             F.transform(F.regexp_extract_all("text", pattern, F.lit(r.group)), F.char_length).alias("values")))
 
-    found = blobs.select("blob", F.explode(F.array_compact(F.array(*[cut(i, r) for i, r in enumerate(rules)]))).alias("k"))
-    matches = found.select("blob", F.col("k.kind").alias("kind"), F.posexplode(
+    found = blobs.select("blob", F.explode_outer(F.array_compact(F.array(*[cut(i, r) for i, r in enumerate(rules)]))).alias("k"))
+    matches = found.select("blob", F.col("k.kind").alias("kind"), F.posexplode_outer(
         F.arrays_zip(F.slice(F.col("k.gaps"), F.lit(1), F.size("k.lengths")).alias("gap"),
                      F.col("k.lengths").alias("length"), F.col("k.values").alias("value"))).alias("i", "m"))
     matches = matches.select("blob", "kind", "i", "m.gap", "m.length", "m.value")
     so_far = F.sum(F.col("gap") + F.col("length")).over(
         Window.partitionBy("blob", "kind").orderBy("i").rowsBetween(Window.unboundedPreceding, 0))
     least = F.element_at(F.array(*[F.lit(r.least) for r in rules]), F.col("kind") + 1)
-    placed = (matches.withColumn("end", so_far).filter(F.col("value") >= least)
-              .select("blob", F.struct((F.col("end") - F.col("length")).alias("start"), "kind", "end").alias("span")))
+    placed = matches.withColumn("end", so_far).select("blob", F.when(F.col("value") >= least, F.struct(
+        (F.col("end") - F.col("length")).alias("start"), "kind", "end")).alias("span"))
     return placed.groupBy("blob").agg(F.sort_array(F.collect_list("span")).cast(_SPAN).alias("spans"))
 
 
@@ -110,38 +110,33 @@ def scan(docs: DataFrame, ledger: BlobLedger | None = None, batch: str = "0", te
          rules: tuple[Rule, ...] = RULES, rule_version: str = RULE_VERSION) -> tuple[DataFrame, DataFrame]:
     """``docs`` with columns ``blob`` and ``spans`` (empty if none) beside their own, and the new ledger entries.
 
-    Without a ledger every blob is new. A null text is an empty one. If ``docs`` has
-    columns of those names, underscores are appended to the new ones.
+    Without a ledger every blob is new. A null text is an empty one; repeated rows
+    each get their blob's spans; an empty table gives no rows and no entries. If
+    ``docs`` has columns of those names, underscores are appended to the new ones.
     """
     ledger = ledger or BlobLedger(docs.sparkSession)
     text = text_of(docs, text_col)
-    blobs = docs.select(address(text).alias("blob"), text.alias("text")).groupBy("blob").agg(
-        F.any_value("text").alias("text"))
-    known = ledger.entries()
+    rows, known = docs.select(address(text).alias("blob"), text.alias("text")), ledger.entries()
     if known is not None:
-        known = known.filter(F.col("rule_version") == rule_version)
-        blobs = blobs.join(known.select("blob"), "blob", "left_anti")
-    blobs = blobs.select("blob", "text")
-    hits = scan_blobs(blobs, rules)
-    if ledger.path is None:
-        # nothing will be looked up again: the entries without findings need not be kept
-        new = ledger.append(hits.withColumn("rule_version", F.lit(rule_version)), batch)
-    else:
-        # addresses alone: the texts are shuffled for the scan only
-        everyone = docs.select(address(text).alias("blob")).distinct()
-        if known is not None:
-            everyone = everyone.join(known.select("blob"), "blob", "left_anti")
-        everyone = everyone.join(hits, "blob", "left")
-        new = ledger.append(everyone.select("blob", F.lit(rule_version).alias("rule_version"),
-                                            F.coalesce("spans", F.array().cast(_SPAN)).alias("spans")), batch)
+        known = known.filter(F.col("rule_version") == rule_version).select("blob", "spans")
+        if known.isEmpty():
+            known = None
+        else:  # addresses alone meet the ledger; only texts it does not know move
+            unseen = staged(rows.select("blob").distinct().join(known.select("blob"), "blob", "left_anti"), "unseen")
+            rows = rows.limit(0) if unseen.isEmpty() else rows.join(unseen, "blob", "left_semi")
+    entries = scan_blobs(rows.groupBy("blob").agg(F.any_value("text").alias("text")), rules)
+    if ledger.path is None:  # nothing will be looked up again: the entries without findings need not be kept
+        entries = entries.filter(F.size("spans") > 0)
+    new = ledger.append(entries.withColumn("rule_version", F.lit(rule_version)).select("blob", "rule_version", "spans"), batch)
     findings = new.select("blob", "spans").filter(F.size("spans") > 0)
-    if known is not None:
-        findings = findings.unionByName(known.select("blob", "spans").filter(F.size("spans") > 0)).dropDuplicates(["blob"])
-    blob = fresh("blob", docs.columns)
-    spans = fresh("spans", docs.columns)
+    if known is not None:  # a blob that two scans met at once has an entry of each; the table is written so that
+        # shuffles alone feed the join with the paths, and a blob of very many paths can be split
+        both = findings.unionByName(known.filter(F.size("spans") > 0)).groupBy("blob").agg(F.max("spans").alias("spans"))
+        findings = staged(both, "findings")
+    blob, spans, own = (fresh(n, docs.columns) for n in ("blob", "spans", "address"))
     paths = docs.withColumn(blob, address(text))
-    found = findings.select(F.col("blob").alias("_address"), F.col("spans").alias(spans))
-    joined = paths.join(found, F.col(blob) == F.col("_address"), "left").drop("_address")
+    found = findings.select(F.col("blob").alias(own), F.col("spans").alias(spans))
+    joined = paths.join(found, F.col(blob) == F.col(own), "left").drop(own)
     return joined.withColumn(spans, F.coalesce(spans, F.array().cast(_SPAN))), new
 
 

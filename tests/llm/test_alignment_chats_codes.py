@@ -15,6 +15,16 @@ from millbook.llm import queries as Q
 from tests.conftest import SF_SMALL
 from tests.llm import brute
 
+
+@pytest.fixture(autouse=True, scope="module")
+def few_partitions(spark):
+    """Rounds of small jobs: two partitions are enough to split keys over."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "2")
+    yield
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 DOCS = "doc_id long, text string, a int, chunk long, number int, n_a int, groups string"
 
 

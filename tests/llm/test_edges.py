@@ -314,6 +314,16 @@ def test_secret_scan_query_keeps_a_ledger(spark, edge_dir, monkeypatch):
     assert len(blobs) == len(set(blobs)) == texts.count()
 
 
+def test_scan_beside_columns_of_any_name(spark):
+    docs = spark.createDataFrame([(1, "token=abcdefghijklmnop", 2, 3, "x"), (1, "token=abcdefghijklmnop", 2, 3, "x"), (2, None, 0, 0, "")],
+                                 "doc_id long, text string, address int, _address int, spans string")
+    found, _ = secret_scan.scan(docs)
+    assert found.columns == [*docs.columns, "blob", "spans_"]
+    assert sorted((r.doc_id, len(r.spans_)) for r in found.collect()) == [(1, 1), (1, 1), (2, 0)]
+    none, new = secret_scan.scan(docs.limit(0))
+    assert none.isEmpty() and new.isEmpty()
+
+
 def test_ledger_scans_only_unseen_blobs(spark, edge_dir, tmp_path):
     docs = spark.read.parquet(f"{edge_dir}/documents.parquet")
     ledger = secret_scan.BlobLedger(spark, f"file://{tmp_path}/ledger")
