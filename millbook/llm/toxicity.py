@@ -9,7 +9,7 @@ insult with a group mention), which additive weights cannot.
 
 It is fitted on a bounded sample of the labelled rows (``max_rows`` per class,
 chosen by a hash of the id). Spark counts the sample's slots; those that tell
-the classes apart reach the driver, where the machine is fitted. Scoring reads
+the classes apart or are frequent reach the driver, where the machine is fitted. Scoring reads
 every whole text, in tasks, in chunks of bounded size.
 """
 
@@ -32,8 +32,11 @@ FACTORS = 4
 MAX_ROWS = 4_000      # labelled rows per class at most that the machine is fitted on
 OPENINGS = (5, 7)     # letters of a word's opening that are terms of their own
 LEAST, BEYOND = 5, 4.0
+FREQUENT = 0.2        # of the sampled documents: slots that many have take part whatever they tell alone
 _DENSITIES = 32
 _WORD = re.compile(r"[^\W\d_]+")
+#: Scripts written without spaces between words: Thai to Lao, Burmese, Khmer, kana, Han.
+_UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff]")
 _CHUNK_CHARS = 1 << 21
 _CACHE_WORDS = 1 << 18
 
@@ -54,9 +57,22 @@ def _density(words: np.ndarray, times: np.ndarray) -> np.ndarray:
     return np.minimum(np.log2(np.maximum(words / times, 1)).astype(np.int64) + 1, _DENSITIES - 1)
 
 
+def words_of(text: str) -> list[str]:
+    """The words of a text; of a run in a script without spaces, its pairs and triples of letters."""
+    words = _WORD.findall(text.lower())
+    if _UNSPACED.search(text):
+        runs, words = words, []
+        for run in runs:
+            if len(run) > 1 and _UNSPACED.search(run):
+                words += [run[i:i + n] for n in (2, 3) for i in range(len(run) - n + 1)]
+            else:
+                words.append(run)
+    return words
+
+
 def slots_of(text: str) -> np.ndarray:
     """The distinct slots of a text."""
-    words = _WORD.findall(text.lower())
+    words = words_of(text)
     if not words:
         return np.zeros(0, np.int64)
     counts = Counter(words)
@@ -108,7 +124,7 @@ class FactorizationMachine:
 
     def logits(self, texts: list[str]) -> np.ndarray:
         out = np.full(len(texts), self.bias)
-        found = [_WORD.findall(t.lower()) for t in texts]
+        found = [words_of(t) for t in texts]
         self._known(set().union(*found))
         terms_of = self._cache.get
         for d, words in enumerate(found):
@@ -207,10 +223,14 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """The machine fitted on a sample of ``labels`` (see ``training_sample``).
 
     A slot takes part if at least ``LEAST`` sampled documents have it and its
-    toxic share lies ``BEYOND`` standard deviations off the sample's; the many
-    neutral slots of a long text then add no noise. The sample is small by
-    ``max_rows``, so it may be broadcast. Without labels the machine scores
-    every text one half.
+    toxic share lies ``BEYOND`` standard deviations off the sample's, or if at least
+    the share ``FREQUENT`` of the documents has it. Terms that matter only together
+    show alone unless each is so frequent that its cases balance (toxic with both or
+    neither of two terms is neutral in each only where each is in half the texts),
+    so the factors miss none by this, and the many rare neutral slots of a long
+    text add no noise. The sample is small by ``max_rows``, so it may be broadcast.
+    Labels of one class leave frequent slots alone; without labels the machine
+    scores every text one half. Repeated rows of ``docs`` teach once each.
     """
     sample = staged(training_sample(labels, id_col, label_col, max_rows), "sample")
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).join(
@@ -218,9 +238,11 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     pairs = staged(texts.mapInArrow(_pairs, "id long, label int, slot long"), "terms")
     rows = pairs.select("id", "label").distinct().toPandas().sort_values("id")
     share = float(rows["label"].mean()) if len(rows) else 0.0
+    spread = share * (1 - share)
+    tells = (F.col("n") >= LEAST) & F.lit(spread > 0) & (
+        F.abs(F.col("k") - F.col("n") * share) >= BEYOND * F.sqrt(F.col("n") * spread))
     tells = pairs.groupBy("slot").agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("k")).filter(
-        (F.col("n") >= LEAST) & (F.abs(F.col("k") - F.col("n") * share)
-                                 >= BEYOND * F.sqrt(F.col("n") * (share * (1 - share)))))
+        tells | (F.col("n") >= max(LEAST, FREQUENT * len(rows))))
     kept = pairs.join(tells, "slot").select("id", "slot").distinct().toPandas()
     doc = np.searchsorted(rows["id"].to_numpy(), kept["id"].to_numpy())
     return fit(doc, kept["slot"].to_numpy(np.int64), rows["label"].to_numpy(np.float64), seed)
@@ -233,7 +255,10 @@ def _logits(machine: FactorizationMachine, column: pa.Array) -> np.ndarray:
 
 def score(docs: DataFrame, model: FactorizationMachine, id_cols: list[str], text_col: str = "text",
           name: str = "score") -> DataFrame:
-    """``id_cols`` and ``name`` (0 to 1) of every row; a null text is an empty one and scores the bias alone."""
+    """``id_cols`` and ``name`` (0 to 1) of every row, repeated ones too; none of an empty table.
+
+    A null text is an empty one and scores the bias alone. Other columns are not read.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # as large as the sample's slots that tell, not the corpus
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -247,7 +272,10 @@ def score(docs: DataFrame, model: FactorizationMachine, id_cols: list[str], text
 
 
 def drop_toxic(docs: DataFrame, model: FactorizationMachine, text_col: str = "text", least: float = 0.5) -> DataFrame:
-    """The rows of ``docs`` that score below ``least``, with all their columns; one pass, no shuffle."""
+    """The rows of ``docs`` that score below ``least``, with all their columns; one pass, no shuffle.
+
+    Repeated rows all stay or all go; an empty table stays empty.
+    """
     place, limit = docs.columns.index(text_col), float(np.log(least / (1 - least)))
     shared = docs.sparkSession.sparkContext.broadcast(model)
 

@@ -314,6 +314,44 @@ def test_secret_scan_query_keeps_a_ledger(spark, edge_dir, monkeypatch):
     assert len(blobs) == len(set(blobs)) == texts.count()
 
 
+def test_training_finds_terms_that_matter_only_together(spark):
+    """Toxic with both or neither of two terms: each alone tells nothing."""
+    rng = random.Random(11)
+    rows = []
+    for i in range(1600):
+        a, b = rng.random() < 0.5, rng.random() < 0.5
+        text = " ".join([f"w{rng.randrange(400)}" for _ in range(12)] + ["grault"] * a + ["corge"] * b)
+        rows.append((i, text, int(a == b)))
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int")
+    model = toxicity.train(docs, labels)
+    got = {r.doc_id: r.score >= 0.5 for r in toxicity.score(docs, model, ["doc_id"]).collect()}
+    assert sum(got[r[0]] == bool(r[2]) for r in rows) >= 0.98 * len(rows)
+
+
+def test_labels_of_one_class_keep_few_slots(spark):
+    rng = random.Random(1)
+    docs = spark.createDataFrame([(i, "always " + words(30, i)) for i in range(60)], "doc_id long, text string")
+    for toxic in (0, 1):
+        labels = spark.createDataFrame([(i, toxic) for i in range(60)], "doc_id long, toxic int")
+        model = toxicity.train(docs, labels)
+        assert len(model.slots) < 40
+        scores = [r.score for r in toxicity.score(docs, model, ["doc_id"]).collect()]
+        assert all((s >= 0.5) == bool(toxic) for s in scores)
+
+
+def test_terms_inside_unspaced_runs(spark):
+    assert toxicity.words_of("Die 天気は x") == ["die", "天気", "気は", "天気は", "x"]
+    rng = random.Random(6)
+    letters = [chr(0x4E00 + k) for k in range(300)]
+    rows = [(i, "".join(rng.choice(letters) for _ in range(20)) + "愚者" * (i % 2) + "".join(rng.choice(letters) for _ in range(20)), i % 2)
+            for i in range(400)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    model = toxicity.train(docs, spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int"))
+    got = {r.doc_id: r.score >= 0.5 for r in toxicity.score(docs, model, ["doc_id"]).collect()}
+    assert all(got[r[0]] == bool(r[2]) for r in rows)
+
+
 def test_scan_beside_columns_of_any_name(spark):
     docs = spark.createDataFrame([(1, "token=abcdefghijklmnop", 2, 3, "x"), (1, "token=abcdefghijklmnop", 2, 3, "x"), (2, None, 0, 0, "")],
                                  "doc_id long, text string, address int, _address int, spans string")
