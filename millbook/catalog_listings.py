@@ -225,7 +225,7 @@ def _q2i(t):
 @register("list_products_indexed_search", nullable_ints=("supplier_id",))
 def _q4i(t):
     """Q4's search through postings, with live wildcards between two literal runs."""
-    return L.list_products(t, search_text="gear%_1", index=_index(t, "products", "sku", "description"))
+    return L.list_products(t, search_text="hot g%r", index=_index(t, "products", "sku", "description"))
 
 
 # ---- deep pages -------------------------------------------------------------------------

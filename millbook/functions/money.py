@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -63,40 +65,54 @@ def from_cents(c: str | Column, dtype: T.DataType = WIDE_MONEY) -> Column:
     return (_col(c).cast(T.DecimalType(20, 0)) / F.lit(100)).cast(dtype)
 
 
-def _exact_product(a: Column, b: float) -> tuple[Column, Column]:
-    """``(p, e)``: the rounded double ``a * b`` and its exact error, ``p + e`` being the true product (Dekker)."""
-    half = float(2 ** 27 + 1)
+def _let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then(value)`` with ``value`` computed once, however often ``then`` names it."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
 
-    def split(x: Column) -> tuple[Column, Column]:
-        high = F.lit(half) * x - (F.lit(half) * x - x)
-        return high, x - high
 
-    (ah, al), (bh, bl) = split(a), split(F.lit(b))
-    p = a * F.lit(b)
-    return p, ((ah * bh - p) + ah * bl + al * bh) + al * bl
+def _exact_error(a: Column, b: float, p: Column) -> Column:
+    """The exact error of the rounded product ``p`` of the doubles ``a`` and ``b`` (Dekker)."""
+    half = float(2 ** 27 + 1)
+    bh = half * b - (half * b - b)
+    bl = b - bh
+    ah = F.lit(half) * a - (F.lit(half) * a - a)
+    return _let(ah, lambda h: ((h * F.lit(bh) - p) + h * F.lit(bl) + (a - h) * F.lit(bh)) + (a - h) * F.lit(bl))
 
 
 def to_fixed(c: str | Column, places: int = 2) -> Column:
     """JavaScript ``x.toFixed(places)`` of a double: text, rounded half away from zero on the *binary* value.
 
     1.005 is a little less than its decimal spelling and gives "1.00"; 0.125 is
-    exact and gives "0.13". The fraction times ``10^places`` is taken without
-    rounding error, so every double rounds as its exact expansion does. NaN,
-    infinities and values from 1e21 on are spelt as JavaScript spells them; NULL stays.
+    exact and gives "0.13". A value splits exactly into millions of units, units and
+    a fraction; the fraction times ``10^places`` is rounded by the product and, where
+    that is a half, by the product's exact error. NaN, infinities and values from
+    1e21 on are spelt as JavaScript spells them; NULL stays.
     """
-    x = _col(c).cast(T.DoubleType())
-    size = F.abs(x)
-    whole = F.floor(F.when(size < 1e21, size).otherwise(0.0) / 1048576.0)  # exact: a power of two, below 2^53
-    low = F.when(size < 1e21, size).otherwise(0.0) - whole.cast(T.DoubleType()) * 1048576.0
-    units = F.floor(low)
-    scaled, error = _exact_product(low - units.cast(T.DoubleType()), float(10 ** places))
-    below = F.floor(scaled)
-    rest = scaled - below.cast(T.DoubleType())
-    steps = below + F.when((rest > 0.5) | ((rest == 0.5) & (error >= 0)), 1).otherwise(0)
-    carried = F.when(steps >= 10 ** places, 1).otherwise(0)
-    number = whole.cast(T.DecimalType(20, 0)) * F.lit(1048576) + units + carried
-    digits = F.lpad((steps - carried * 10 ** places).cast("string"), places, "0") if places else F.lit("")
-    text = F.concat(F.when(x < 0, F.lit("-")).otherwise(F.lit("")), number.cast(T.DecimalType(38, 0)).cast("string"),
-                    F.lit("." if places else ""), digits)
-    large = F.regexp_replace(F.regexp_replace(x.cast("string"), r"\.0E", "e+"), "E", "e+")
-    return F.when(x.isNull() | F.isnan(x) | (size == float("inf")), x.cast("string")).when(size >= 1e21, large).otherwise(text)
+    million, steps_of_one = 1048576.0, 10 ** places  # a power of two, so dividing by it is exact
+
+    def written(number: Column, steps: Column) -> Column:
+        carried = F.when(steps >= steps_of_one, 1).otherwise(0)
+        digits = F.lpad((steps - carried * steps_of_one).cast("string"), places, "0") if places else F.lit("")
+        return F.concat((number + carried).cast(T.DecimalType(38, 0)).cast("string"), F.lit("." if places else ""), digits)
+
+    def rounded(fraction: Column, number: Column) -> Column:
+        def of_product(p: Column) -> Column:
+            rest = p - F.floor(p).cast("double")
+            up = (rest > 0.5) | ((rest == 0.5) & (_exact_error(fraction, float(steps_of_one), p) >= 0))
+            return _let(F.floor(p) + F.when(up, 1).otherwise(0), lambda steps: written(number, steps))
+        return _let(fraction * F.lit(float(steps_of_one)), of_product)
+
+    def of_size(size: Column) -> Column:
+        def of_whole(whole: Column) -> Column:
+            low = size - whole.cast("double") * million
+            number = whole.cast(T.DecimalType(20, 0)) * F.lit(1048576) + F.floor(low)
+            return _let(low, lambda v: _let(v - F.floor(v).cast("double"), lambda f: rounded(f, number)))
+        return _let(F.floor(size / million), of_whole)
+
+    def of_value(x: Column) -> Column:
+        sign = F.when(x < 0, F.lit("-")).otherwise(F.lit(""))
+        large = F.regexp_replace(F.regexp_replace(x.cast("string"), r"\.0E", "e+"), "E", "e+")
+        odd = x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))
+        return F.when(odd, x.cast("string")).when(F.abs(x) >= 1e21, large).otherwise(F.concat(sign, of_size(F.abs(x))))
+
+    return _let(_col(c).cast(T.DoubleType()), of_value)

@@ -23,6 +23,8 @@ may have any share of the batch.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -113,24 +115,28 @@ def resolve_keys(requests: DataFrame, existing: DataFrame, keys: dict[str, str],
     if contested.isEmpty():
         return numbered.withColumn("reason", F.lit(None).cast("string")).drop("_pos"), 0
     mine = staged(claims.join(contested, _VALUE, "left_semi"), "contested-claims")
-    owners = staged(mine.select(*_OWNER).distinct(), "holders")
-    asked = mine.filter("pos > 0")
-    open_requests = asked.select(F.col("pos").alias("_open")).distinct()
+    owners = mine.select(*_OWNER).distinct()
+    open_requests = mine.filter("pos > 0").select(F.col("pos").alias("_open")).distinct()
     concerned = events.unionByName(stored).join(owners, _OWNER, "left_semi")
     disputed = contested.select(F.col("kind").alias("_k"), F.col("value").alias("_v"))
     live = concerned.join(disputed, (F.col("kind") == F.col("_k")) & (F.col("value") == F.col("_v")), "left").join(
         open_requests, F.col("pos") == F.col("_open"), "left").select(
         "pos", "holder", *_VALUE, F.col("_k").isNotNull().alias("claim"), F.when(F.col("_open").isNull(), True).alias("state"))
     live = range_parts(live, [*_OWNER, "pos"], "_range")
-    left, rounds = asked, 0
-    while not left.isEmpty():
+    rounds, outcomes = 0, []
+    while True:
+        left = live.filter(F.col("state").isNull() & F.col("claim")).select("pos", "holder", *_VALUE)
+        if left.isEmpty():
+            break
         rounds += 1
-        told = staged(_taken(live, left).groupBy("pos").agg(F.bool_or("sure").alias("no"), F.bool_or("maybe").alias("maybe"))
-                      .filter(F.col("no") | ~F.col("maybe")).select(F.col("pos").alias("_told"), (~F.col("no")).alias("_yes")), "told")
+        first = [F.min(F.when(F.col(c), F.col("kind"))).alias(c) for c in ("sure", "maybe")]
+        told = staged(_taken(live, left).groupBy(F.col("pos").alias("_told")).agg(*first)
+                      .filter(F.col("maybe").isNull() | (F.col("sure") == F.col("maybe")))
+                      .select("_told", F.col("sure").alias("_kind"), F.col("sure").isNull().alias("_yes")), "told")
+        outcomes.append(told)
         live = staged(live.join(told, F.col("pos") == F.col("_told"), "left").withColumn("state", F.coalesce("state", "_yes"))
-                      .filter(F.col("state").isNull() | F.col("state")).drop("_told", "_yes"), "claims")
-        left = staged(left.join(told, F.col("pos") == F.col("_told"), "left_anti"), "undecided")
-    first = staged(_taken(live, asked).filter("maybe").groupBy(F.col("pos").alias("_at")).agg(F.min("kind").alias("_kind")), "taken")
+                      .filter(F.col("state").isNull() | F.col("state")).drop("_told", "_kind", "_yes"), "claims")
+    first = reduce(DataFrame.unionByName, outcomes).select(F.col("_told").alias("_at"), "_kind").filter("_kind is not null")
     reason = F.element_at(F.array(*map(F.lit, reasons)), F.col("_kind") + 1)
     return numbered.join(first, F.col("_pos") == F.col("_at"), "left").select(
         *requests.columns, F.when(F.col("_kind").isNotNull(), reason).alias("reason")), rounds

@@ -128,7 +128,7 @@ AND (c.code ILIKE '%r#00000001%' OR c.name ILIKE '%r#00000001%')""",
     "list_sales_orders_indexed_search":
         f"{ORDERS_BASE} WHERE so.order_number ILIKE '%000077%' OR c.name ILIKE '%000077%'",
     "list_products_indexed_search":
-        f"{PRODUCTS_BASE} AND (p.sku ILIKE '%gear%_1%' OR p.description ILIKE '%gear%_1%')",
+        f"{PRODUCTS_BASE} AND (p.sku ILIKE '%hot g%r%' OR p.description ILIKE '%hot g%r%')",
     "list_sales_orders_deep_page": _page(ORDERS_BASE, "order_date DESC, id DESC", 120, 10),
     "list_audits_deep_page": _page(AUDITS_BASE, "timestamp DESC, id DESC", 3, 900),
     "list_clients_page": _page("SELECT " + CLIENT + " FROM clients c WHERE c.is_active = TRUE",
