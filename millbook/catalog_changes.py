@@ -5,11 +5,13 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from millbook.catalog import register
 from millbook.operators import ledger as K
-from millbook.operators.jobs import run_movements
+from millbook.operators.jobs import run_keyed_changes, run_movements
 from millbook.plans.lineage import shared_dir
+from millbook.sinks.writers import read_buckets, write_buckets
 from millbook.sources.fixtures import derive_tables
 from millbook.sources.schemas import MONEY
 from millbook.sources.tables import load_tables
@@ -399,3 +401,46 @@ def _job_stock(spark, sf_dir):
     before = t.products.select(F.col("id").alias("product_id"), F.coalesce("current_stock", F.lit(0)).alias("stock_before"))
     return before.join(after, "product_id").select(
         "product_id", *[F.col(c).cast(MONEY).alias(c) for c in ("stock_before", "stock_after")])
+
+
+def _bucketed(t, table, changes, apply):
+    """A table written in buckets, changed by two jobs of half the batch's arrivals each, and read again."""
+    rows = t[table]
+    spark, root = rows.sparkSession, f"{shared_dir(rows.sparkSession)}/buckets/{table}-{uuid.uuid4().hex}"
+    schema = T.StructType([f for f in rows.schema.fields if f.name != "updated_at"] + [T.StructField("updated_at", T.TimestampNTZType())])
+    whole = rows if "updated_at" in rows.columns else rows.withColumn("updated_at", F.lit(None).cast("timestamp_ntz"))
+    write_buckets(whole.select(*schema.names), root, "id")
+    middle = changes.select(F.percentile_approx(F.unix_micros(F.col("requested_at").cast("timestamp")), 0.5)).scalar()
+    early = F.unix_micros(F.col("requested_at").cast("timestamp")) <= middle
+    for name, part in (("early", changes.filter(early)), ("late", changes.filter(~early))):
+        run_keyed_changes(spark, t, table, part, root, schema, apply, name)
+        run_keyed_changes(spark, t, table, part, root, schema, apply, name)  # published: nothing happens
+    return read_buckets(spark, root, schema)
+
+
+@register("stored_status_changes")
+def _job_status(t):
+    """W7 as jobs on a bucketed table: what was written equals one application of the whole batch."""
+    return _bucketed(t, "sales_orders", t.sales_status_changes,
+                     lambda own, ch: W.apply_status_changes(own, "sales_orders", ch, AS_OF_DEFAULT))
+
+
+@register("stored_client_updates")
+def _job_clients(t):
+    """W2 as jobs on a bucketed table, unique codes checked against all clients."""
+    return _bucketed(t, "clients", t.client_updates,
+                     lambda own, ch: W.apply_partial_updates(own, "clients", ch, AS_OF_DEFAULT, stored=t.clients))
+
+
+@register("kardex_period")
+def _k1p(t):
+    """K1 of a quarter from a stored ledger: marks of the months before it and its own months' movements."""
+    from millbook.operators import periods as P
+
+    rows = t.inventory_movements
+    spark, root = rows.sparkSession, f"{shared_dir(rows.sparkSession)}/ledgers/{uuid.uuid4().hex}"
+    late = F.coalesce(F.col("line_no") % 3 == 0, F.lit(True))  # a second batch with movements of every month
+    P.append_ledger(rows.filter(~late), root, "first")
+    P.append_ledger(rows.filter(late), root, "second")
+    P.append_ledger(rows.filter(late), root, "second")  # repeated: nothing is added twice
+    return P.kardex_between(spark, root, "1997-02-10", "1997-05-20")

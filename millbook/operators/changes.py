@@ -248,7 +248,7 @@ def _set_list(changes: DataFrame) -> Column:
     return F.split(F.coalesce(F.col("set_columns"), F.lit("")), ",")
 
 
-def apply_partial_updates(t: Tables, table: str, changes: DataFrame, as_of) -> ChangeResult:
+def apply_partial_updates(t: Tables, table: str, changes: DataFrame, as_of, stored: DataFrame | None = None) -> ChangeResult:
     """Set only the supplied columns (``set_columns``), latest request per column wins.
 
     An explicitly supplied NULL is a value; an absent column keeps the stored
@@ -258,7 +258,8 @@ def apply_partial_updates(t: Tables, table: str, changes: DataFrame, as_of) -> C
     key another row holds at its turn is rejected (:func:`reject_taken_keys`). Clients, products and
     employees get ``updated_at = now`` on rows where some column changed
     (the column is added when the stored table has none); shifts have no
-    ``updated_at``.
+    ``updated_at``. ``stored``: all rows that hold unique keys, where ``t`` has
+    only those the batch may change.
     """
     base = t[table]
     settable = [c for c in base.columns if c not in NOT_SETTABLE[table] and c in changes.columns]
@@ -271,7 +272,7 @@ def apply_partial_updates(t: Tables, table: str, changes: DataFrame, as_of) -> C
     unique = {k: reason for k, reason in UNIQUE_KEYS.get(table, {}).items() if k in settable}
     if unique:
         sets = {k: F.coalesce(F.array_contains(F.col("_set"), F.lit(k)), F.lit(False)) for k in unique}
-        valid, r = reject_taken_keys(valid, unique, base, sets=sets)
+        valid, r = reject_taken_keys(valid, unique, base if stored is None else stored, sets=sets)
         rejects = rejects.unionByName(r)
     aggs = []
     for c in settable:
@@ -299,19 +300,19 @@ def apply_partial_updates(t: Tables, table: str, changes: DataFrame, as_of) -> C
 USER_FIELDS = ("username", "email", "role", "employee_id", "is_active")
 
 
-def update_users(t: Tables, changes: DataFrame, as_of) -> ChangeResult:
+def update_users(t: Tables, changes: DataFrame, as_of, stored: DataFrame | None = None) -> ChangeResult:
     """Replace username, email, role, employee_id, is_active as a whole
     (absent = NULL), for users in any state; the latest request per id wins.
 
     A username, email or employee link that another user holds at the request's
     turn rejects it (:func:`reject_taken_keys`): names may be swapped or passed on
-    inside a batch.
+    inside a batch. ``stored`` as in :func:`apply_partial_updates`.
     """
     ids = _known_ids(t.users, changes)
     j = changes.join(ids, changes["id"] == ids["_tid"], "left")
     valid, rejects = _reject(j, F.col("_tid").isNull(), "NOT_FOUND")
     valid = valid.drop("_tid")
-    valid, r = reject_taken_keys(valid, UNIQUE_KEYS["users"], t.users)
+    valid, r = reject_taken_keys(valid, UNIQUE_KEYS["users"], t.users if stored is None else stored)
     rejects = rejects.unionByName(r)
     latest = valid.groupBy("id").agg(
         F.max_by(F.struct(*[F.col(c) for c in USER_FIELDS]), _arrival()).alias("_n"))

@@ -9,12 +9,22 @@ the same stock (load its tables with ``skip_batch``).
 from __future__ import annotations
 
 import os
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
+from millbook.operators.changes import ChangeResult
 from millbook.operators.intake import intake_sales_orders
 from millbook.operators.ledger import apply_movements, numbered_movements
-from millbook.sinks.writers import append_rows, published, write_report, write_snapshot
+from millbook.sinks.writers import (
+    append_rows,
+    published,
+    read_buckets,
+    touched_buckets,
+    write_buckets,
+    write_report,
+    write_snapshot,
+)
 from millbook.sources.tables import Tables
 
 
@@ -56,3 +66,22 @@ def run_movements(t: Tables, requests: DataFrame, out_root: str, batch_id: str)
     write_report(r.rejects, paths["rejects"])
     paths["products"] = write_snapshot(r.stock, paths["products"], batch_id=batch_id)
     return paths
+
+
+def run_keyed_changes(spark: SparkSession, t: Tables, table: str, changes: DataFrame, root: str, schema,
+                      apply: Callable[[Tables, DataFrame], ChangeResult], batch_id: str, key: str = "id") -> list[int]:
+    """W2-W5 or W7 as a job on a bucketed table: only the buckets of the batch's keys are read and written.
+
+    ``apply(t, changes)`` is the operator; ``t[table]`` is what those buckets hold,
+    so it must change rows by ``key`` alone (unique keys of partial updates are
+    checked against ``stored``, the whole table). Rejects go to a report. A batch
+    that was published before changes nothing. Returns the buckets written.
+    """
+    if published(spark, root, batch_id) is not None:
+        return []
+    only = touched_buckets(changes, key, root)
+    result = apply(t.replace(**{table: read_buckets(spark, root, schema, only)}), changes)
+    columns = [f.name for f in schema.fields if f.name in result.rows.columns]
+    rows = result.rows.select(*columns)
+    write_report(result.rejects, f"{root}-rejects/load_id={batch_id}")
+    return write_buckets(rows, root, key, batch_id=batch_id, only=only)

@@ -51,7 +51,8 @@ def kardex(t: Tables, opening: DataFrame | None = None, order: tuple[str, ...] =
     out = running_sum(t.inventory_movements.select(*keep), list(order), "quantity", "_sum", group=["product_id"])
     start = F.lit(0)
     if opening is not None:
-        out = out.join(opening.select("product_id", F.col("opening_stock").alias("_open")), "product_id", "left")
+        known = opening.select(F.col("product_id").alias("_opened"), F.col("opening_stock").alias("_open"))
+        out = out.join(known, F.col("product_id").eqNullSafe(F.col("_opened")), "left")
         start = F.coalesce(F.col("_open"), F.lit(0))
     closing = (start + F.col("_sum")).cast(T.DecimalType(18, 2))
     return out.select(

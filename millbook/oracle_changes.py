@@ -671,3 +671,11 @@ SELECT (SELECT coalesce(max(id), 0) FROM audits)
                                        details NULLS FIRST, user_id NULLS FIRST) AS id,
        user_id, action, details, requested_at AS timestamp
 FROM ev"""
+
+# the same batch through jobs on bucketed tables
+BODIES["stored_status_changes"] = BODIES["sales_status_changes"]
+BODIES["stored_client_updates"] = BODIES["apply_client_updates"]
+
+BODIES["kardex_period"] = f"""
+SELECT * FROM ({BODIES['kardex']}) k
+WHERE moved_at >= TIMESTAMP '1997-02-10 00:00:00' AND moved_at < TIMESTAMP '1997-05-20 00:00:00'"""

@@ -4,6 +4,10 @@ Plain parquet has no MERGE, so a changed table is written whole to a new
 version folder. A pointer per version, written once after the folder is
 complete, names it; the current version is the latest pointer. Nothing that
 a pointer names is ever written again, and no moment is without a pointer.
+
+A table kept in buckets of a key's hash is rewritten in part: a version's
+pointer lists one folder per bucket, and a batch writes folders for the buckets
+its keys fall into only; the others are carried over from the version before.
 """
 
 from __future__ import annotations
@@ -11,7 +15,8 @@ from __future__ import annotations
 import os
 import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _POINTERS = "_pointers"
 
@@ -84,6 +89,11 @@ def published(spark: SparkSession, root: str, batch_id: str) -> str | None:
     return os.path.join(root, f"v={hit[0]}") if hit else None
 
 
+def _next_version(spark: SparkSession, root: str) -> int:
+    """A number above every version folder there is."""
+    return max([int(v) for v in _children(spark, root, r"v=(\d+)")] + [0]) + 1
+
+
 def write_snapshot(df: DataFrame, root: str, fmt: str = "parquet", batch_id: str | None = None) -> str:
     """Write ``df`` as the next version under ``root`` and publish it.
 
@@ -94,8 +104,7 @@ def write_snapshot(df: DataFrame, root: str, fmt: str = "parquet", batch_id: str
     number fail instead of overwriting.
     """
     spark = df.sparkSession
-    used = [int(v) for v in _children(spark, root, r"v=(\d+)")] + [0]
-    version = max(used) + 1
+    version = _next_version(spark, root)
     target = os.path.join(root, f"v={version}")
     df.write.mode("errorifexists").format(fmt).save(target)
     (spark.createDataFrame([(batch_id,)], "batch_id string").coalesce(1).write.mode("errorifexists")
@@ -111,3 +120,66 @@ def read_snapshot(spark: SparkSession, root: str, schema=None, fmt: str = "parqu
     if schema is not None:
         reader = reader.schema(schema)
     return reader.load(path)
+
+
+# --- buckets: versions that rewrite only what changed --------------------------------------
+BUCKETS = 64
+_MANIFEST = "batch_id string, bucket int, buckets int, folder string"
+
+
+def bucket_of(key: str, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(F.col(key)), F.lit(buckets)).cast("int")
+
+
+def _manifest(spark: SparkSession, root: str) -> list:
+    """The current version's rows: one per bucket that holds rows, at least one row; empty without a version."""
+    versions = _pointed(spark, root)
+    if not versions:
+        return []
+    path = os.path.join(root, _POINTERS, f"p={versions[-1]}")
+    return spark.read.schema(_MANIFEST).json(path).collect()  # at most one row per bucket
+
+
+def write_buckets(df: DataFrame, root: str, key: str, buckets: int = BUCKETS, batch_id: str | None = None,
+                  only: list[int] | None = None, files: int = 1) -> list[int]:
+    """Write ``df`` as the next version of a bucketed table and publish it; returns the buckets written.
+
+    Without ``only`` ``df`` is the whole table. With it ``df`` holds all rows of
+    those buckets (see :func:`touched_buckets`) and the others are carried over,
+    so a batch costs what its buckets hold. A reader of an older version keeps
+    its folders, and an attempt that failed left folders nothing points at.
+    ``files``: into how many files, and so tasks, a bucket is written.
+    """
+    spark, before = df.sparkSession, _manifest(df.sparkSession, root)
+    if only is not None:
+        buckets = before[0]["buckets"]
+    version = _next_version(spark, root)
+    target = os.path.join(root, f"v={version}")
+    name = "_bucket"
+    salt = F.pmod(F.xxhash64(F.col(key), F.lit(files)), F.lit(files))
+    (df.withColumn(name, bucket_of(key, buckets)).repartition(name, salt).write.mode("errorifexists").partitionBy(name).parquet(target))
+    written = sorted(int(b) for b in _children(spark, target, rf"{name}=(\d+)"))
+    if only is not None and not set(written) <= set(only):
+        raise ValueError(f"rows of buckets {sorted(set(written) - set(only))}, which were not to be replaced")
+    rows = [(batch_id, b, buckets, os.path.join(f"v={version}", f"{name}={b}")) for b in written]
+    if only is not None:
+        rows += [(batch_id, r["bucket"], buckets, r["folder"]) for r in before if r["folder"] and r["bucket"] not in set(only)]
+    (spark.createDataFrame(rows or [(batch_id, None, buckets, None)], _MANIFEST).coalesce(1).write.mode("errorifexists")
+     .json(os.path.join(root, _POINTERS, f"p={version}")))
+    return written
+
+
+def touched_buckets(changes: DataFrame, key: str, root: str) -> list[int]:
+    """The buckets of the table at ``root`` that the keys of ``changes`` fall into."""
+    buckets = _manifest(changes.sparkSession, root)[0]["buckets"]
+    found = changes.select(bucket_of(key, buckets).alias("b")).distinct().collect()  # at most one row per bucket
+    return sorted(r["b"] for r in found)
+
+
+def read_buckets(spark: SparkSession, root: str, schema, only: list[int] | None = None) -> DataFrame:
+    """The current version of a bucketed table, or of some of its buckets."""
+    rows = _manifest(spark, root)
+    if not rows:
+        raise FileNotFoundError(f"no version under {root}")
+    folders = [os.path.join(root, r["folder"]) for r in rows if r["folder"] and (only is None or r["bucket"] in set(only))]
+    return spark.read.schema(schema).parquet(*folders) if folders else spark.createDataFrame([], schema)
