@@ -7,8 +7,9 @@ import uuid
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millbook.catalog import register
+from millbook.catalog import FULL_END, FULL_START, RANGE_END, RANGE_START, register
 from millbook.operators import ledger as K
+from millbook.operators import reports as R
 from millbook.operators.jobs import run_keyed_changes, run_movements
 from millbook.plans.lineage import shared_dir
 from millbook.sinks.writers import read_buckets, write_buckets
@@ -444,3 +445,43 @@ def _k1p(t):
     P.append_ledger(rows.filter(late), root, "second")
     P.append_ledger(rows.filter(late), root, "second")  # repeated: nothing is added twice
     return P.kardex_between(spark, root, "1997-02-10", "1997-05-20")
+
+
+# ---- reports from maintained sums ---------------------------------------------------------
+def _with_sums(t):
+    """Tables whose orders are sums kept over three batches: two of orders, one of status changes."""
+    from millbook.operators import order_sums as M
+
+    orders = t.sales_orders
+    spark, root = orders.sparkSession, f"{shared_dir(orders.sparkSession)}/order-sums/{uuid.uuid4().hex}"
+    old = F.col("order_date") < F.lit(RANGE_START).cast("date")
+    M.add_orders(orders.filter(old), root, "old")
+    M.add_orders(orders.filter(~old | old.isNull()), root, "new")
+    for _ in range(2):  # repeated: nothing is counted twice
+        after = W.apply_status_changes(t, "sales_orders", t.sales_status_changes, AS_OF_DEFAULT).rows
+        M.move_orders(orders, after, root, "moved")
+    return t.replace(sales_orders=M.order_sums(spark, root))
+
+
+@register("maintained_sales_by_client")
+def _a1m(t):
+    """A1 after W7, from maintained sums."""
+    return R.sales_by_client(_with_sums(t), start=RANGE_START, end=RANGE_END)
+
+
+@register("maintained_sales_kpis")
+def _a3m(t):
+    """A3 after W7, from maintained sums."""
+    return R.sales_kpis(_with_sums(t), AS_OF_DEFAULT, start=FULL_START, end=FULL_END)
+
+
+@register("maintained_top_clients")
+def _a4m(t):
+    """A4 after W7, from maintained sums."""
+    return R.top_clients(_with_sums(t), AS_OF_DEFAULT, start=FULL_START, end=FULL_END)
+
+
+@register("maintained_dashboard_kpis")
+def _a11m(t):
+    """A11 after W7, its sales from maintained sums."""
+    return R.dashboard_kpis(_with_sums(t), AS_OF_DEFAULT)

@@ -239,3 +239,9 @@ def _q20d(t):
 def _q20da(t):
     """Q20: a deep page of the audits that runs over its range part's end."""
     return L.list_audits(t, page=3, limit=900)
+
+
+@register("list_products_collated_page", nullable_ints=("supplier_id",))
+def _q4c(t):
+    """Q4 by Spanish collation: page 3 of 40."""
+    return L.list_products(t, page=3, limit=40, collation="es")

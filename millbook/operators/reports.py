@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from decimal import Decimal
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -35,6 +35,11 @@ def _completed(t: Tables) -> DataFrame:
     return t.sales_orders.filter(F.col("status") == F.lit(COMPLETED))
 
 
+def _order_count(so: DataFrame) -> Column:
+    """Orders of a group; rows of maintained sums (``order_sums``) stand for several."""
+    return F.sum("orders") if "orders" in so.columns else F.count("id")
+
+
 # --- A1 ---------------------------------------------------------------------------
 def sales_by_client(t: Tables, start=None, end=None) -> DataFrame:
     """A1: COMPLETED orders per client (count, total) in an optional inclusive date range.
@@ -43,7 +48,7 @@ def sales_by_client(t: Tables, start=None, end=None) -> DataFrame:
     """
     so = apply_filters(_completed(t), bound("order_date", start, end))
     per_client = so.groupBy("client_id").agg(
-        F.count("id").alias("total_orders"), sum_money("total").alias("total_sales"))
+        _order_count(so).alias("total_orders"), sum_money("total").alias("total_sales"))
     clients = t.clients.select(F.col("id").alias("client_id"), F.col("name").alias("client_name"))
     return (per_client.join(clients, "client_id")
             .select("client_id", "client_name", "total_orders", "total_sales")
@@ -70,7 +75,7 @@ def sales_over_time(t: Tables, as_of, period=None, client_id=None, start=None, e
 def sales_kpis(t: Tables, as_of, period=None, client_id=None, start=None, end=None) -> DataFrame:
     """A3: revenue, order count and average ticket (decimal, 6 places) over the dashboard filter (one row)."""
     so, _ = _dashboard_orders(t, as_of, period, client_id, start, end)
-    agg = so.agg(F.sum("total").alias("_sum"), F.count("id").alias("total_orders"))
+    agg = so.agg(F.sum("total").alias("_sum"), F.coalesce(_order_count(so), F.lit(0)).alias("total_orders"))
     return agg.select(
         wide("_sum").alias("total_revenue"),
         "total_orders",
@@ -279,9 +284,12 @@ def dashboard_kpis(t: Tables, as_of) -> DataFrame:
     """
     today = D.as_date(as_of)
     ms = D.month_start(today)
-    sales = t.sales_orders.filter(F.col("order_date") >= F.lit(ms)).agg(
+    this_month = t.sales_orders.filter(F.col("order_date") >= F.lit(ms))
+    is_new = F.col("order_date") == F.lit(today)
+    new = F.coalesce(F.sum(F.when(is_new, F.col("orders"))), F.lit(0)) if "orders" in this_month.columns else F.count_if(is_new)
+    sales = this_month.agg(
         wide(F.coalesce(F.sum(F.when(F.col("status") == COMPLETED, F.col("total"))), F.lit(0))).alias("total_sales_month"),
-        F.count_if(F.col("order_date") == F.lit(today)).alias("new_orders_today"))
+        new.alias("new_orders_today"))
     in_progress = t.production_orders.filter(F.col("status") == "IN_PROGRESS").select(F.count("id")).scalar()
     low = _low_stock(t).select(F.count("id")).scalar()
     incomes = t.incomes.filter(F.col("date") >= F.lit(ms)).select(

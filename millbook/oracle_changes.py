@@ -679,3 +679,14 @@ BODIES["stored_client_updates"] = BODIES["apply_client_updates"]
 BODIES["kardex_period"] = f"""
 SELECT * FROM ({BODIES['kardex']}) k
 WHERE moved_at >= TIMESTAMP '1997-02-10 00:00:00' AND moved_at < TIMESTAMP '1997-05-20 00:00:00'"""
+
+# reports over the orders as the status changes leave them
+_MOVED = """
+WITH ok AS (SELECT * FROM sales_status_changes
+            WHERE status IN ('CONFIRMED', 'IN_PROGRESS', 'COMPLETED', 'CANCELLED') AND id IN (SELECT id FROM sales_orders)),
+     l AS (SELECT id, arg_max(status, {'a': requested_at, 'b': request_id, 'c': status}) AS st FROM ok GROUP BY id),
+     moved AS (SELECT so.* REPLACE (coalesce(l.st, so.status) AS status) FROM sales_orders so LEFT JOIN l ON l.id = so.id)
+"""
+for _name, _report in (("sales_by_client", "sales_by_client_range"), ("sales_kpis", "sales_kpis"), ("top_clients", "top_clients"),
+                       ("dashboard_kpis", "dashboard_kpis")):
+    BODIES[f"maintained_{_name}"] = _MOVED + BODIES[_report].replace("sales_orders", "moved")

@@ -131,6 +131,7 @@ AND (c.code ILIKE '%r#00000001%' OR c.name ILIKE '%r#00000001%')""",
         f"{PRODUCTS_BASE} AND (p.sku ILIKE '%hot g%r%' OR p.description ILIKE '%hot g%r%')",
     "list_sales_orders_deep_page": _page(ORDERS_BASE, "order_date DESC, id DESC", 120, 10),
     "list_audits_deep_page": _page(AUDITS_BASE, "timestamp DESC, id DESC", 3, 900),
+    "list_products_collated_page": _page(PRODUCTS_BASE, "sku COLLATE es, id", 3, 40),
     "list_clients_page": _page("SELECT " + CLIENT + " FROM clients c WHERE c.is_active = TRUE",
                                "name, id", 10 ** 6, 10),
 })

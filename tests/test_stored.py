@@ -9,11 +9,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millbook.operators import changes as W
+from millbook.operators import order_sums as M
 from millbook.operators import periods as P
+from millbook.operators import reports as R
 from millbook.operators.jobs import run_keyed_changes
 from millbook.operators.ledger import kardex
 from millbook.sinks import writers
-from tests.helpers import D, make_tables, ts
+from tests.helpers import D, day, make_tables, ts
 from tests.test_plans import plan_of
 
 AT = ts("2024-01-01 08:00:00")
@@ -119,3 +121,31 @@ def test_months_outside_the_period_are_not_read(spark, tmp_path):
     os.rename(f"{root}/marks/load_id=b", f"{root}/hidden")
     P.append_ledger(spark.createDataFrame(ledger_rows(20, 2), MOVE), root, "c")
     assert P.stored_ledger(spark, root, (0, 999999)).count() == 20
+
+
+# --- reports from maintained sums ---------------------------------------------------------------
+def test_reports_from_sums_equal_the_full_reports(spark, tmp_path):
+    rng = random.Random(8)
+    statuses = ["QUOTE", "COMPLETED", "CANCELLED", "CONFIRMED", None]
+    orders = [{"id": i, "client_id": rng.randrange(1, 6), "order_date": day(f"2024-0{rng.randrange(1, 4)}-{rng.randrange(1, 29):02d}") if i % 9 else None,
+               "status": rng.choice(statuses), "total": D(rng.randrange(1, 500)) if i % 11 else None} for i in range(120)]
+    clients = [{"id": i, "name": f"client {i}"} for i in range(1, 6)]
+    whole, root = make_tables(spark, sales_orders=orders, clients=clients), str(tmp_path / "sums")
+    now = []
+    for k in range(4):
+        batch = orders[k * 30:(k + 1) * 30]
+        M.add_orders(make_tables(spark, sales_orders=batch).sales_orders, root, f"add{k}")
+        before = now + batch
+        changed = rng.sample(before, 12)
+        now = [{**o, "status": rng.choice(statuses[1:4])} if o in changed else o for o in before]
+        M.move_orders(make_tables(spark, sales_orders=[o for o in before if o in changed]).sales_orders,
+                      make_tables(spark, sales_orders=now).sales_orders, root, f"move{k}")
+    whole = make_tables(spark, sales_orders=now, clients=clients)
+    sums = whole.replace(sales_orders=M.order_sums(spark, root))
+    assert sums.sales_orders.agg(F.sum("orders")).head()[0] == 120
+    args = dict(start="2024-01-05", end="2024-03-20")
+    for report in (lambda t: R.sales_by_client(t), lambda t: R.sales_by_client(t, **args), lambda t: R.sales_kpis(t, "2024-03-15", **args),
+                   lambda t: R.sales_kpis(t, "2024-03-15", client_id=77, **args), lambda t: R.sales_over_time(t, "2024-03-15", "monthly"),
+                   lambda t: R.top_clients(t, "2024-03-15", "yearly"), lambda t: R.dashboard_kpis(t, "2024-03-15"),
+                   lambda t: R.top_clients_month(t, "2024-03-15")):
+        assert report(sums).collect() == report(whole).collect()
