@@ -20,9 +20,10 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -34,6 +35,7 @@ from millbook.sources.schemas import ERP_SCHEMAS, MONEY
 from millbook.sources.tables import Tables
 
 ENTRY, EXIT = "ENTRY", "EXIT"
+HOT_ROWS = 1 << 20  # requests for one product that one task sums; more are spread
 LEDGER_ORDER = ("moved_at", "reference_id", "line_no", "quantity")
 
 
@@ -128,43 +130,77 @@ def _fold_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def fold_stock(requests: DataFrame, opening_cents: str, order: list[str],
-               partitions: int | None = None) -> DataFrame:
+               partitions: int | None = None, dealt: bool = False) -> DataFrame:
     """Run the per-product accept/reject fold.
 
     ``requests`` needs product_id, ``_q_c`` (positive cents), ``_is_exit`` and
     the opening balance in cents; ``order`` must make arrival order total
     within a product (ties between identical requests do not change results).
+    ``dealt``: the rows are hash-partitioned by product already.
     """
     spark = requests.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    prepared = (requests.withColumn("_open_c", F.col(opening_cents))
-                .repartition(n, "product_id")
-                .sortWithinPartitions("product_id", *order))
+    opened = requests.withColumn("_open_c", F.col(opening_cents))
+    prepared = (opened if dealt else opened.repartition(n, "product_id")).sortWithinPartitions("product_id", *order)
     schema = T.StructType(prepared.schema.fields + _FOLD_OUT.fields)
     return prepared.mapInPandas(_fold_batches, schema)
 
 
-def decide_stock(requests: DataFrame, opening_cents: str, order: list[str]) -> DataFrame:
+def _signed() -> Column:
+    return F.when(F.col("_is_exit"), -F.col("_q_c")).otherwise(F.col("_q_c"))
+
+
+def _falls_short() -> Column:
+    return F.col("_is_exit") & (F.col("_before_c") < F.col("_q_c"))
+
+
+def _balances_by_product(requests: DataFrame, opening_cents: str, order: list[str]) -> DataFrame:
+    """Running balances with everything accepted, and each product's first shortfall: one shuffle by product."""
+    n = int(requests.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    arrival = Window.partitionBy("product_id").orderBy(*order)
+    moved = F.sum(_signed()).over(arrival.rowsBetween(Window.unboundedPreceding, 0))
+    summed = (requests.repartition(n, "product_id").withColumn("_before_c", F.col(opening_cents) + moved - _signed())
+              .withColumn("_nth", F.row_number().over(arrival)))
+    short = F.min(F.when(_falls_short(), F.struct("_nth", "_before_c"))).over(Window.partitionBy("product_id"))
+    return summed.withColumn("_short", short)
+
+
+def _balances_by_range(requests: DataFrame, opening_cents: str, order: list[str]) -> DataFrame:
+    """The same over range parts of (product, arrival): one product spreads over as many tasks as it needs."""
+    parts = range_parts(requests, ["product_id", *order], "_range")
+    summed = sums_over_parts(parts, "_range", ["product_id"], order, {"_moved": _signed(), "_nth": F.lit(1)})
+    summed = staged(summed.withColumn("_before_c", F.col(opening_cents) + F.col("_moved") - _signed()), "balances")
+    short = staged(summed.filter(_falls_short()).groupBy(F.col("product_id").alias("_short_id")).agg(
+        F.min(F.struct("_nth", "_before_c")).alias("_short")), "shortfalls")
+    return summed.join(short, F.col("product_id") == F.col("_short_id"), "left")
+
+
+def decide_stock(requests: DataFrame, opening_cents: str, order: list[str], hot_rows: int = HOT_ROWS) -> DataFrame:
     """Accept or reject every request against its product's running stock.
 
-    Same columns in and out as :func:`fold_stock`. The running balance with
-    everything accepted is a segmented prefix sum; where an EXIT takes it below
-    zero first, the product falls short, and its rows from there on go through
-    the fold, which starts with the balance before that row. Range partitions of
-    (product, order) carry the sums, so a product may hold any share of the rows.
+    Same columns in and out as :func:`fold_stock`. A running sum gives the balance
+    with everything accepted; where an EXIT takes it below zero first, the
+    product falls short, and its rows from there on go through the fold, which
+    starts with the balance before that row. Products of up to ``hot_rows``
+    requests are summed in one shuffle by product; larger ones in range parts of
+    (product, arrival), so a product may hold any share of the rows.
     """
-    parts = range_parts(requests, ["product_id", *order], "_range")
-    signed = F.when(F.col("_is_exit"), -F.col("_q_c")).otherwise(F.col("_q_c"))
-    summed = staged(sums_over_parts(parts, "_range", ["product_id"], order, {"_moved": signed, "_nth": F.lit(1)})
-                    .withColumn("_before_c", F.col(opening_cents) + F.col("_moved") - signed), "balances")
-    short = staged(summed.filter(F.col("_is_exit") & (F.col("_before_c") < F.col("_q_c"))).groupBy("product_id").agg(
-        F.min("_nth").alias("_first"), F.min_by("_before_c", "_nth").alias("_left_c")), "shortfalls")
-    marked = summed.join(short.withColumnRenamed("product_id", "_short_id"), F.col("product_id") == F.col("_short_id"), "left")
-    late = F.col("_first").isNotNull() & (F.col("_nth") >= F.col("_first"))
-    whole = marked.filter(~late).select(*requests.columns, F.lit(True).alias("_accepted"), "_before_c",
-                                        (F.col("_before_c") + signed).alias("_after_c"))
-    folded = fold_stock(marked.filter(late).select(*requests.columns, "_left_c"), "_left_c", order)
-    return whole.unionByName(folded.select(*requests.columns, "_accepted", "_before_c", "_after_c"))
+    hot = requests.groupBy(F.col("product_id").alias("_hot_id")).count().filter(F.col("count") > hot_rows).select("_hot_id")
+    is_hot = F.col("product_id") == F.col("_hot_id")
+    if hot.isEmpty():
+        found = [_balances_by_product(requests, opening_cents, order)]
+    else:
+        hot = staged(hot, "hot-products")
+        found = [_balances_by_product(requests.join(hot, is_hot, "left_anti"), opening_cents, order),
+                 _balances_by_range(requests.join(hot, is_hot, "left_semi"), opening_cents, order)]
+    late = F.col("_short").isNotNull() & (F.col("_nth") >= F.col("_short._nth"))
+    decided = []
+    for summed in found:
+        decided.append(summed.filter(~late).select(*requests.columns, F.lit(True).alias("_accepted"), "_before_c",
+                                                   (F.col("_before_c") + _signed()).alias("_after_c")))
+        rest = summed.filter(late).select(*requests.columns, F.col("_short._before_c").alias("_left_c"))
+        decided.append(fold_stock(rest, "_left_c", order, dealt=summed is found[0]).select(*decided[0].columns))
+    return reduce(DataFrame.unionByName, decided)
 
 
 def validate_movements(t: Tables, requests: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -78,4 +78,4 @@ def test_stock_fold_is_one_python_stage_over_a_product_partitioning(spark):
     p = plan_of(QUERIES["apply_movements"](spark, SF_SMALL), "simple")
     assert p.count("MapInPandas") == 1 and "Union" in p
     assert "hashpartitioning(product_id" in p and "_nth" in p[p.index("MapInPandas"):]
-    assert "rangepartitioning" not in p and "SinglePartition" not in p  # the range parts are staged before
+    assert "rangepartitioning" not in p and "SinglePartition" not in p  # no product is hot there

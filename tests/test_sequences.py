@@ -108,7 +108,11 @@ def movements(spark, rows):
     return spark.createDataFrame([(i, AT if i % 3 else ts("2024-01-01 09:00:00"), p, k, D(q)) for i, (p, k, q) in enumerate(rows)], MOVE)
 
 
-def test_only_short_products_reach_python(spark, monkeypatch):
+@pytest.mark.parametrize("hot_rows", [K.HOT_ROWS, 50])
+def test_only_short_products_reach_python(spark, monkeypatch, hot_rows):
+    """With a low ``hot_rows`` the products are summed over range parts."""
+    decide = K.decide_stock
+    monkeypatch.setattr(K, "decide_stock", lambda *a: decide(*a, hot_rows=hot_rows))
     rng = random.Random(9)
     rows = [(p, "ENTRY" if rng.random() < 0.4 else "EXIT", rng.choice([1, 2, 7])) for _ in range(400) for p in (rng.randrange(1, 6),)]
     t = make_tables(spark, products=[{"id": p, "current_stock": D(s)} for p, s in ((1, 10_000), (2, 10_000), (3, 5), (4, 0), (5, 60))])
@@ -126,7 +130,7 @@ def test_only_short_products_reach_python(spark, monkeypatch):
         balance[p] += (q if kind == "ENTRY" else -q) * ok
         want[i] = (ok, D(before), D(balance[p]))
     assert {r.request_id: (r.accepted, r.stock_before, r.stock_after) for r in out.decisions.collect()} == want
-    python = [(r.product_id, (r.request_id % 3 == 0, r.request_id)) for r in folded[0].collect()]
+    python = [(r.product_id, (r.request_id % 3 == 0, r.request_id)) for part in folded for r in part.collect()]
     assert first.keys() == {p for p, _ in python} and first.keys() <= {3, 4, 5}
     assert sorted(python) == sorted((rows[i][0], (i % 3 == 0, i)) for i in want
                                     if rows[i][0] in first and (i % 3 == 0, i) >= first[rows[i][0]])
