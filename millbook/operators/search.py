@@ -27,6 +27,7 @@ from millbook.functions.filters import any_contains
 SLOTS = 64          # folders of the posting table
 PROBED = 4          # trigrams looked up per column, the rarest of the pattern's
 SCAN_SHARE = 0.1    # of the rows: beyond it reading the table is cheaper
+FILE_ROWS = 1 << 20  # rows whose postings share one file of a folder
 PUSHED_KEYS = 2_000  # candidates passed to the scan as literals; more go through a semi-join
 
 
@@ -34,7 +35,9 @@ def trigrams(text: Column) -> Column:
     """Distinct three-letter runs of the lower-cased text (code points), in no order; null has none."""
     letters = F.split(F.lower(text.cast("string")), "")
     count = F.greatest(F.size(letters) - 2, F.lit(0))
-    runs = F.transform(F.slice(letters, 1, count), lambda a, i: F.concat(a, letters[i + 1], letters[i + 2]))
+    # three slices side by side: a lambda that names ``letters`` would split the text again for every run
+    first, second, third = (F.slice(letters, at, count) for at in (1, 2, 3))
+    runs = F.zip_with(F.zip_with(first, second, lambda a, b: F.concat(a, b)), third, lambda ab, c: F.concat(ab, c))
     return F.when(text.isNull(), F.array().cast("array<string>")).otherwise(F.array_distinct(runs))
 
 
@@ -62,18 +65,26 @@ class TrigramIndex:
     def add(self, rows: DataFrame) -> None:
         """Postings of ``rows``: the whole table at first, later new and changed rows.
 
-        Range-partitioned by (folder, trigram, key), so a trigram of every row is
-        spread over as many files as it needs and files hold few trigrams each.
+        The rows are dealt by hash before they are taken apart, so a small file of
+        many rows is work for every task. A folder's postings are dealt by key over
+        a file per ``FILE_ROWS`` rows, each sorted by trigram, so a trigram of every
+        row is spread over as many files as it needs.
         """
-        each = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), trigrams(F.col(c)).alias("grams")) for c in self.columns]))
-        grams = rows.select(F.col(self.key).cast("long").alias("key"), each.alias("x")).select(
-            "key", "x.column", F.explode("x.grams").alias("gram"))
+        count = rows.count()
+        files = max(1, -(-count // FILE_ROWS))
+        tasks = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        dealt = rows.select(F.col(self.key).cast("long").alias("key"), *[F.col(c).alias(f"_c{i}") for i, c in enumerate(self.columns)])
+        dealt = dealt.repartition(max(tasks, 4 * files), *dealt.columns)
+        each = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), trigrams(F.col(f"_c{i}")).alias("grams"))
+                                   for i, c in enumerate(self.columns)]))
+        grams = dealt.select("key", each.alias("x")).select("key", "x.column", F.explode("x.grams").alias("gram"))
         batch = uuid.uuid4().hex
-        (grams.withColumn("slot", _slot(F.col("gram"))).repartitionByRange("slot", "gram", "key")
+        file = F.pmod(F.xxhash64("key"), F.lit(files))
+        (grams.withColumn("slot", _slot(F.col("gram"))).repartition(max(tasks, 16 * files), "slot", file)
          .sortWithinPartitions("slot", "gram", "key").write.partitionBy("slot").parquet(f"{self.path}/postings/batch={batch}"))
         (self._read(f"{self.path}/postings", f"{self.path}/postings/batch={batch}").groupBy("slot", "column", "gram").count()
          .write.parquet(f"{self.path}/counts/batch={batch}"))
-        rows.select(F.count(F.lit(1)).alias("rows")).write.parquet(f"{self.path}/rows/batch={batch}")
+        self.spark.createDataFrame([(count,)], "rows long").coalesce(1).write.parquet(f"{self.path}/rows/batch={batch}")
 
     def _read(self, base: str, *paths: str) -> DataFrame:
         return self.spark.read.schema("key long, column string, gram string, batch string, slot int").option(

@@ -2,6 +2,7 @@
 
 import random
 import struct
+from collections import Counter
 from decimal import ROUND_HALF_UP, Decimal, localcontext
 
 import pytest
@@ -34,6 +35,26 @@ def test_trigrams_are_runs_of_code_points(spark):
         assert set(r.g) == want and len(r.g) == len(want)
 
 
+def test_trigrams_split_a_text_outside_the_lambdas(spark):
+    """A lambda that names the split letters splits the text again for each of its runs."""
+    plan = spark.range(3).select(X.trigrams(F.col("id").cast("string")).alias("g"))._jdf.queryExecution().analyzed().toString()
+    assert "lambdafunction(" in plan
+    for body in plan.split("lambdafunction(")[1:]:
+        assert "split(" not in body.split("lambda ")[0], body
+
+
+def test_postings_over_several_files_find_every_row(spark, tmp_path, monkeypatch):
+    """Rows of one input partition, some keys repeated or null, dealt over several files of a folder."""
+    monkeypatch.setattr(X, "FILE_ROWS", 100)
+    rows = [(None if i % 97 == 0 else i // 2 * 2, f"item {i:04d}") for i in range(700)]
+    df = spark.createDataFrame(rows, "id long, name string").coalesce(1)
+    index = index_of(spark, tmp_path, df, "name")
+    got = index._read(f"{tmp_path}/postings").groupBy("gram").agg(F.count("*").alias("n")).collect()
+    assert {r.gram: r.n for r in got} == Counter(g for _, n in rows for g in {n[a:a + 3] for a in range(len(n) - 2)})
+    assert {r.key for r in index.candidates("m 0123").collect()} == {122}
+    assert index._read(f"{tmp_path}/postings").filter("gram = 'ite'").select(F.input_file_name()).distinct().count() > 1
+
+
 def test_literal_runs():
     assert X.literal_runs("abc%def_g") == ["abc", "def", "g"]
     assert X.literal_runs(r"10\% of_a\\b\_c") == ["10% of", "a\\b_c"]
@@ -48,7 +69,7 @@ def test_indexed_search_equals_ilike(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(X, "SCAN_SHARE", 2.0)  # no pattern is scanned for being frequent
     looked_up = 0
     words = [n for n in NAMES if n] + [r[2] for r in rows]
-    for k in range(10):
+    for k in range(16):  # of the first ten patterns none has a run of three letters
         word = rng.choice(words)
         a = rng.randrange(max(len(word) - 3, 1))
         text = word[a:a + rng.randrange(1, 12)].replace("\\", "\\\\")
