@@ -1,5 +1,5 @@
 """Structured Streaming jobs: T1 running stock, T2 deduplicated audit log,
-T3 stock movements with stock checks (stateful fold per product) and their rejects.
+T3 stock movements with stock checks (stateful fold per slot of products) and their rejects.
 
 State and sink folders live under the shared checkpoint folder of the
 session (``spark.checkpoint.dir``); a local session without one gets a
@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 
 from millbook.plans.lineage import shared_dir
 from millbook.sources.fixtures import FIXTURE_SQL, fixture_dependencies
-from millbook.sources.schemas import DRIVER_SCHEMAS
+from millbook.sources.schemas import DRIVER_SCHEMAS, MONEY
 
 
 def stream_root(spark: SparkSession, name: str) -> str:
@@ -130,22 +130,40 @@ def stream_audit_log(spark: SparkSession, sf_dir: str, redeliver_errors: bool =
 
 
 # --- T3: stock movements with stock checks, as a stream --------------------------------
+FOLD_SLOTS = 1 << 11  # slots whose products' balances are one state row; fixed for a running stream's state
 _DECISION_SCHEMA = (
-    "request_id long, requested_at timestamp_ntz, product_id long, movement_type string, "
-    "quantity decimal(12,2), user_id long, reference_document string, accepted boolean, "
-    "before_c long, after_c long")
+    "request_id long, requested_at timestamp_ntz, product_id long, user_id long, reference_document string, "
+    "is_exit boolean, q_c long, accepted boolean, before_c long, after_c long")
 _REQUEST_COLUMNS = ["request_id", "requested_at", "product_id", "movement_type", "quantity", "user_id",
                     "reference_document"]
 
 
-def _fold_group(key, batches, state):
-    """One product's requests of one micro-batch, folded in arrival order.
+def _arrival_order(pdf, is_exit):
+    """Positions by product and arrival: requested_at, request_id, movement_type, quantity, user_id, reference_document.
 
-    The state holds the product's balance in cents; the first time a product
-    is seen it starts from the opening stock each request carries. The rows
-    of one product in one micro-batch are ordered together (bounded by the
-    trigger size), never the product's whole history. Results are written at
-    each row's own position; balances leave as integer cents.
+    Texts are compared only if requests are equal in all before them.
+    """
+    import numpy as np
+    import pandas as pd
+
+    keys = [pdf["user_id"].fillna(-1).to_numpy(), pdf["q_c"].to_numpy(), is_exit, pdf["request_id"].to_numpy(),
+            pdf["requested_at"].to_numpy(), pdf["product_id"].to_numpy()]
+    order = np.lexsort(keys)
+    same = np.ones(max(len(pdf) - 1, 0), dtype=bool)
+    for key in keys:
+        told = pd.Series(key[order])
+        same &= ((told == told.shift()) | (told.isna() & told.shift().isna())).to_numpy()[1:]
+    return np.lexsort([pdf["reference_document"].astype(str).to_numpy(), *keys]) if same.any() else order
+
+
+def _fold_slot(key, batches, state):
+    """The requests of one slot's products in one micro-batch, folded per product in arrival order.
+
+    The state holds the balances in cents of the slot's products seen so far (two
+    arrays of 64-bit integers, by product); a product not in it starts from the
+    opening stock each request carries. A slot's rows of one micro-batch are
+    ordered together (bounded by the trigger size), never its whole history.
+    Results are written at each row's own position; balances leave as integer cents.
     """
     import numpy as np
     import pandas as pd
@@ -153,20 +171,24 @@ def _fold_group(key, batches, state):
     parts = [b for b in batches if len(b)]
     pdf = parts[0] if len(parts) == 1 else pd.concat(parts, ignore_index=True)
     n = len(pdf)
-    is_exit = (pdf["movement_type"] == "EXIT").to_numpy()
-    qty = pdf["_q_c"].to_numpy()
-    if n > 1:  # arrival order: requested_at, request_id, movement_type, quantity, user_id, reference_document
-        order = np.lexsort((pdf["reference_document"].astype(str).to_numpy(),
-                            pdf["user_id"].fillna(-1).to_numpy(), qty, is_exit,
-                            pdf["request_id"].to_numpy(), pdf["requested_at"].to_numpy()))
-    else:
-        order = range(n)
-    balance = state.get[0] if state.exists else int(pdf["_open_c"].iat[0])
+    known = {}
+    if state.exists:
+        ids, cents_left = (np.frombuffer(bytes(b), "<i8").tolist() for b in state.get)
+        known = dict(zip(ids, cents_left, strict=True))
+    is_exit = pdf["is_exit"].to_numpy()
+    order = _arrival_order(pdf, is_exit)
     accepted = np.zeros(n, dtype=bool)
     before = np.zeros(n, dtype=np.int64)
     after = np.zeros(n, dtype=np.int64)
-    exits, qs = is_exit.tolist(), qty.tolist()
-    for i in order:
+    pids, opened = pdf["product_id"].tolist(), pdf["open_c"].tolist()
+    exits, qs = is_exit.tolist(), pdf["q_c"].tolist()
+    current, balance = None, 0
+    for i in order.tolist():
+        if pids[i] != current:
+            if current is not None:
+                known[current] = balance
+            current = pids[i]
+            balance = known.get(current, opened[i])
         before[i] = balance
         if not exits[i]:
             balance += qs[i]
@@ -175,17 +197,17 @@ def _fold_group(key, batches, state):
             balance -= qs[i]
             accepted[i] = True
         after[i] = balance
-    state.update((int(balance),))
-    out = {c: pdf[c] for c in _REQUEST_COLUMNS}
-    out.update(accepted=accepted, before_c=before, after_c=after)
-    yield pd.DataFrame(out)
+    known[current] = balance
+    state.update(tuple(np.array(list(column), "<i8").tobytes() for column in (known.keys(), known.values())))
+    yield pdf.drop(columns=["_slot", "open_c"], errors="ignore").assign(accepted=accepted, before_c=before, after_c=after)
 
 
 def movement_decisions_query(requests: DataFrame, products: DataFrame, root: str, trigger: dict | None = None):
     """Start T3: W9 on a stream of movement requests.
 
-    The valid requests are folded per product with ``applyInPandasWithState``
-    and appended to ``{root}/out``; the others (unknown products, other types,
+    The valid requests are folded per product with ``applyInPandasWithState``, the
+    products dealt over ``FOLD_SLOTS`` slots by hash (calling Python for every
+    product costs more than folding its rows), and appended to ``{root}/out``; the others (unknown products, other types,
     quantities <= 0) go to the rejects of :func:`invalid_movements_query`, so
     the two outputs hold every request.
     """
@@ -194,13 +216,16 @@ def movement_decisions_query(requests: DataFrame, products: DataFrame, root: str
     opening = products.select(F.col("id").alias("product_id"), F.col("current_stock").alias("_stock"))
     valid = (requests.join(opening, "product_id")
              .filter(F.col("movement_type").isin("ENTRY", "EXIT") & (F.col("quantity") > 0))
-             .select("request_id", "requested_at", "product_id", "movement_type", "quantity",
-                     "user_id", "reference_document", cents("quantity").alias("_q_c"), cents(F.coalesce(F.col("_stock"), F.lit(0))).alias("_open_c")))
-    decided = valid.groupBy("product_id").applyInPandasWithState(
-        _fold_group, outputStructType=_DECISION_SCHEMA, stateStructType="balance_c long",
+             .select("request_id", "requested_at", "product_id", "user_id", "reference_document",
+                     (F.col("movement_type") == "EXIT").alias("is_exit"), cents("quantity").alias("q_c"),
+                     cents(F.coalesce(F.col("_stock"), F.lit(0))).alias("open_c")))
+    slot = F.pmod(F.xxhash64("product_id"), F.lit(FOLD_SLOTS))
+    decided = valid.withColumn("_slot", slot).groupBy("_slot").applyInPandasWithState(
+        _fold_slot, outputStructType=_DECISION_SCHEMA, stateStructType="products binary, balances_c binary",
         outputMode="append", timeoutConf="NoTimeout")
-    decided = decided.select(*_REQUEST_COLUMNS, "accepted",
-                             from_cents("before_c").alias("stock_before"), from_cents("after_c").alias("stock_after"))
+    decided = decided.withColumns({"movement_type": F.when(F.col("is_exit"), "EXIT").otherwise("ENTRY"),
+                                   "quantity": from_cents("q_c").cast(MONEY)}).select(
+        *_REQUEST_COLUMNS, "accepted", from_cents("before_c").alias("stock_before"), from_cents("after_c").alias("stock_after"))
     return (decided.writeStream.outputMode("append").format("parquet")
             .option("path", os.path.join(root, "out"))
             .option("checkpointLocation", os.path.join(root, "state"))

@@ -180,6 +180,40 @@ def test_movement_stream_accounts_for_every_request(spark, tmp_path):
     assert refused == {4: "PRODUCT_NOT_FOUND", 5: "INVALID_MOVEMENT_TYPE", 6: "NON_POSITIVE_QUANTITY", 8: "PRODUCT_NOT_FOUND"}
 
 
+def test_movement_stream_folds_many_products_per_call(spark, tmp_path, monkeypatch):
+    """Products share a slot and its state over micro-batches; ties are told apart by the text, nulls come through."""
+    monkeypatch.setattr(S, "FOLD_SLOTS", 3)
+    schema = ("request_id long, requested_at timestamp_ntz, product_id long, movement_type string, quantity decimal(12,2), "
+              "user_id long, reference_document string")
+    first = [(p, AT, p, "EXIT", D(p % 4 + 1), None, "x") for p in range(40)]
+    second = [(100 + p, None if p % 5 == 0 else AT, p, "ENTRY", D("1.25"), 2, None) for p in range(40)]
+    third = [(200, AT, 7, "EXIT", D(1), None, t) for t in ("c", "a", "b")] + [(201, AT, 8, "EXIT", D(1), 3, None)]
+    products = make_tables(spark, products=[{"id": p, "current_stock": D(2)} for p in range(40)]).products
+    root = str(tmp_path / "job")
+    q = S.movement_decisions_query(files_stream(spark, tmp_path, "in", [first, second, third], schema), products, root)
+    q.awaitTermination()
+    got = {(r.request_id, r.reference_document if r.request_id == 200 else r.product_id): r
+           for r in spark.read.parquet(root + "/out").collect()}
+    assert len(got) == 84
+    stock = {}
+    for rid, at, p, kind, amount, user, text in first + second + sorted(third, key=lambda r: (r[0], r[6] or "")):
+        before = stock.get(p, D(2))
+        ok = kind == "ENTRY" or before >= D(amount)
+        stock[p] = before + (D(amount) if kind == "ENTRY" else -D(amount)) * ok
+        assert tuple(got[rid, text if rid == 200 else p]) == (rid, at, p, kind, D(amount), user, text, ok, before, stock[p])
+
+
+def test_movement_stream_calls_python_per_slot(spark, tmp_path):
+    schema = ("request_id long, requested_at timestamp_ntz, product_id long, movement_type string, quantity decimal(12,2), "
+              "user_id long, reference_document string")
+    products = make_tables(spark, products=[{"id": 1, "current_stock": D(5)}]).products
+    q = S.movement_decisions_query(files_stream(spark, tmp_path, "in", [[(1, AT, 1, "EXIT", D(4), 1, "a")]], schema),
+                                   products, str(tmp_path / "job"))
+    q.awaitTermination()
+    plan = q._jsq.streamingQuery().lastExecution().executedPlan().toString()
+    assert "[_slot#" in plan[plan.index("FlatMapGroupsInPandasWithState"):].split("\n")[0]
+
+
 def test_jdbc_slices_are_passed_on():
     from millbook.sources import tables
     seen = {}
