@@ -1,6 +1,6 @@
-"""Lineage control: reliable checkpoints and staged tables in the shared folder.
+"""Lineage control: staged tables in the shared folder.
 
-Both write into the folder the cluster names in ``spark.checkpoint.dir``, which
+They are written into the folder the cluster names in ``spark.checkpoint.dir``, which
 every executor can read, so losing an executor later never loses the data.
 """
 
@@ -9,7 +9,6 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 from millbook.session import checkpoint_dir_of, ensure_checkpoint_dir
@@ -35,17 +34,12 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Write ``df`` once as a reliable checkpoint and read it back.
+    """Compute ``df`` once and read it back: staged as a compact table.
 
-    The frame is persisted while the checkpoint is written, so it is computed
-    once (a reliable checkpoint otherwise recomputes it to write its files).
+    A checkpoint of rows keeps a second, serialised copy in the executors' stores
+    while it is written, both several times as large, and every reader reads all columns.
     """
-    shared_dir(df.sparkSession)
-    df.persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        return df.checkpoint(eager=True)
-    finally:
-        df.unpersist()
+    return staged(df, "decided")
 
 
 def staged(df: DataFrame, label: str, by: str | None = None) -> DataFrame:
