@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import os
 import re
+import struct
 import zlib
 from collections.abc import Iterator
 from functools import cache
@@ -33,37 +34,17 @@ _PLAIN = re.compile(r"[\t\n\x0b\x0c\r\x20-\x7e\xa1-\xac\xae-ȳ‐-‧‰-⁞]*")
 #: The byte-level vocabulary's word pattern (fixed value), its letter and number classes spelt out for those characters.
 _LETTERS, _NUMBERS = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-ȳ", "0-9\xb2\xb3\xb9\xbc-\xbe"
 _WORDS = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTERS}]+| ?[{_NUMBERS}]+| ?[^\s{_LETTERS}{_NUMBERS}]+|\s+(?!\S)|\s+")
-#: Whitespace beside a space; in a text without it every space belongs to the run of characters that follows.
-_WIDE_SPACES = ("  ", *(f for w in "\t\n\x0b\x0c\r" for f in (" " + w, w + " ")))
-_RUN_CHARS = 128  # longer runs are not remembered whole
-_NO_SPACE = "\0"
 _CACHE_WORDS = 1 << 19
 _CHUNK_CHARS = 1 << 20
 
 
-def runs_of(text: str) -> list[str]:
-    """The text cut where words begin: each part without its first space, or marked as having none.
-
-    A word ends before any space, so a text of single spaces is cut at these, other
-    texts and those with long runs at every word.
-    """
-    if not any(w in text for w in _WIDE_SPACES):
-        runs = text.split(" ")
-        if max(map(len, runs)) <= _RUN_CHARS:
-            if runs[0]:
-                runs[0] = _NO_SPACE + runs[0]
-                return runs
-            return runs[1:]
-    return [w[1:] if w[0] == " " else _NO_SPACE + w for w in _WORDS.findall(text)]
-
-
 class Tokens:
     """Ids of texts as little-endian unsigned 32-bit bytes.
 
-    Byte-level BPE merges within words only, so texts are cut into runs of words and
-    each distinct run is encoded by the tokenizer once, in batches. Runs are
-    remembered in two generations: a full young one becomes the old one, so
-    frequent words stay and memory is bounded.
+    Byte-level BPE merges within words only, so texts are cut into words and
+    each distinct word is encoded by the tokenizer once, in batches and without
+    offsets. Words are remembered in two generations: a full young one becomes the
+    old one, so frequent words stay and memory is bounded.
     """
 
     def __init__(self, path: str):
@@ -77,7 +58,9 @@ class Tokens:
         self.old: dict[str, bytes] = {}
 
     def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        return [struct.pack(f"<{len(ids)}I", *ids) if len(ids) < 64 else np.array(ids, "<u4").tobytes()
+                for ids in (e.ids for e in found)]
 
     def _learn(self, words: set[str]) -> None:
         new = words - self.young.keys()
@@ -85,8 +68,7 @@ class Tokens:
             self.old, self.young, new = self.young, {}, words
         unknown = [w for w in new if w not in self.old]
         self.young.update((w, self.old[w]) for w in new if w in self.old)
-        texts = [w[1:] if w.startswith(_NO_SPACE) else " " + w for w in unknown]
-        self.young.update(zip(unknown, self._encode(texts), strict=True))
+        self.young.update(zip(unknown, self._encode(unknown), strict=True))
 
     def ids(self, texts: list[str]) -> Iterator[bytes]:
         """The ids of each text, worked through in runs of bounded length."""
@@ -101,10 +83,10 @@ class Tokens:
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         plain = [bool(_PLAIN.fullmatch(t)) and not any(a in t for a in self.added) for t in texts]
-        words = [runs_of(t) if p else [] for t, p in zip(texts, plain, strict=True)]
+        words = [_WORDS.findall(t) if p else [] for t, p in zip(texts, plain, strict=True)]
         self._learn(set().union(*words))
-        known = self.young
-        return [b"".join([known[w] for w in own]) if p else self._encode([t])[0]
+        known = self.young.__getitem__
+        return [b"".join(map(known, own)) if p else self._encode([t])[0]
                 for t, p, own in zip(texts, plain, words, strict=True)]
 
 

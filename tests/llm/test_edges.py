@@ -527,6 +527,18 @@ def test_embedding_cells_lose_no_link(spark):
     assert [got[i]["component_id"] for i in range(len(x))] == low.tolist()
 
 
+def test_a_word_is_encoded_once_whatever_follows_it():
+    """Marks beside a word make no new strings to encode."""
+    tokens = packing.Tokens(Q.tokenizer_path())
+    words, marks = ["alpha", "beta", "gamma", "délta"], [",", ".", ";", ":", "!", "?", "\n", ""]
+    texts = [f"{a}{m} {b}{n}" for a in words for b in words for m in marks for n in marks]
+    asked, encode = [], tokens._encode
+    tokens._encode = lambda strings: asked.extend(strings) or encode(strings)
+    got = list(tokens.ids(texts))
+    assert len(asked) == len(set(asked)) <= 2 * len(words) + len(marks) + 2
+    assert got == [np.array(e.ids, "<u4").tobytes() for e in tokens.tokenizer.encode_batch(texts, add_special_tokens=False)]
+
+
 def test_packing_edges(spark, edge_dir):
     check_packing(rows_of(spark, edge_dir, "documents"), Q.op10_pack_sequences(spark, edge_dir).collect())
 
