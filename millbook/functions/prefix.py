@@ -29,19 +29,44 @@ def running_sum(df: DataFrame, order: list[str], value: str, name: str, group: l
     spark = df.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     group = list(group)
-    rows = staged(df.repartitionByRange(n, *[F.col(c) for c in group + list(order)])
-                  .withColumn("_part", F.spark_partition_id()), "range")
-    totals = rows.groupBy("_part", *group).agg(F.sum(value).alias("_total"))
-    keys = [F.col(c) for c in group] or [F.lit(1)]
-    before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(F.col("_part").alias("_at"), *[F.col(c).alias(f"_g{i}") for i, c in enumerate(group)],
+    rows, keys = _group_keys(staged(df.repartitionByRange(n, *[F.col(c) for c in group + list(order)])
+                                    .withColumn("_part", F.spark_partition_id()), "range"), group)
+    totals = rows.groupBy("_part", *keys).agg(F.sum(value).alias("_total"))
+    before = Window.partitionBy(*keys or [F.lit(1)]).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select(F.col("_part").alias("_at"), *[F.col(c).alias(f"_g{i}") for i, c in enumerate(keys)],
                             F.coalesce(F.sum("_total").over(before), F.lit(0)).alias("_before"))
-    inside = Window.partitionBy("_part", *group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    inside = Window.partitionBy("_part", *keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     local = rows.withColumn("_local", F.sum(value).over(inside))
-    cond = F.col("_part") == F.col("_at")
+    return local.join(offsets, _same_group(keys, "_part"), "left").select(
+        *df.columns, (F.col("_before") + F.col("_local")).alias(name))
+
+
+def _group_keys(rows: DataFrame, group: list[str]) -> tuple[DataFrame, list[str]]:
+    """``rows`` with columns that are equal where the group is, a NULL equal to a NULL, and never NULL; and their names.
+
+    A plain join on them takes the rows as their window left them, partitioned and
+    sorted; a null-safe one would shuffle and sort all of them a second time.
+    """
+    kinds, added, keys = dict(rows.dtypes), {}, []
     for i, c in enumerate(group):
-        cond = cond & F.col(c).eqNullSafe(F.col(f"_g{i}"))
-    return local.join(offsets, cond, "left").select(*df.columns, (F.col("_before") + F.col("_local")).alias(name))
+        zero = F.lit("") if kinds[c] == "string" else F.lit(0).cast(kinds[c]) if kinds[c] in _NUMBERS else None
+        if zero is None:  # no value of its type to stand for NULL: its text does
+            added[f"_k{i}"] = F.coalesce(F.col(c).cast("string"), F.lit(""))
+        else:
+            added[f"_k{i}"] = F.coalesce(F.col(c), zero)
+        added[f"_n{i}"] = F.col(c).isNull()
+        keys += [f"_k{i}", f"_n{i}"]
+    return rows.withColumns(added) if added else rows, keys
+
+
+_NUMBERS = {"tinyint", "smallint", "int", "bigint"}
+
+
+def _same_group(keys: list[str], part: str) -> Column:
+    cond = F.col(part) == F.col("_at")
+    for i, c in enumerate(keys):
+        cond = cond & (F.col(c) == F.col(f"_g{i}"))
+    return cond
 
 
 def range_parts(df: DataFrame, order: list[str], part: str, partitions: int | None = None) -> DataFrame:
@@ -62,16 +87,12 @@ def sums_over_parts(rows: DataFrame, part: str, group: list[str], order: list[st
     frames are grouped: the rows of a group in one part, and one row per (part, group).
     """
     names = list(values)
-    valued = rows.withColumns({f"_v_{n}": c for n, c in values.items()})
-    totals = valued.groupBy(part, *group).agg(*[F.sum(f"_v_{n}").alias(f"_t_{n}") for n in names])
-    keys = [F.col(c) for c in group] or [F.lit(1)]
-    before = Window.partitionBy(*keys).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(F.col(part).alias("_at"), *[F.col(c).alias(f"_g{i}") for i, c in enumerate(group)],
+    valued, keys = _group_keys(rows.withColumns({f"_v_{n}": c for n, c in values.items()}), group)
+    totals = valued.groupBy(part, *keys).agg(*[F.sum(f"_v_{n}").alias(f"_t_{n}") for n in names])
+    before = Window.partitionBy(*keys or [F.lit(1)]).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select(F.col(part).alias("_at"), *[F.col(c).alias(f"_g{i}") for i, c in enumerate(keys)],
                             *[F.coalesce(F.sum(f"_t_{n}").over(before), F.lit(0)).alias(f"_b_{n}") for n in names])
-    inside = Window.partitionBy(part, *group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
+    inside = Window.partitionBy(part, *keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
     local = valued.withColumns({f"_l_{n}": F.coalesce(F.sum(f"_v_{n}").over(inside), F.lit(0)) for n in names})
-    cond = F.col(part) == F.col("_at")
-    for i, c in enumerate(group):
-        cond = cond & F.col(c).eqNullSafe(F.col(f"_g{i}"))
-    return local.join(offsets, cond, "left").select(
+    return local.join(offsets, _same_group(keys, part), "left").select(
         *rows.columns, *[(F.col(f"_b_{n}") + F.col(f"_l_{n}")).alias(n) for n in names])

@@ -233,6 +233,7 @@ def intake_sales_orders(t: Tables, headers: DataFrame, lines: DataFrame, as_of,
         checked = _allocate(t, materialize(checked), lines)  # decided once for the claims and the result
     elif mode == "exact":
         checked, rounds = _exact(t, materialize(checked), lines)
+        checkpoint = True  # the numbering and every output would each go back to the reservations
     elif mode != "snapshot":
         raise ValueError(f"unknown mode {mode!r}")
     if checkpoint:

@@ -1,15 +1,18 @@
 """Set-oriented jobs against one-at-a-time application: order intake, stock decisions, unique keys, the audit stream."""
 
+import datetime as dt
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as E
 from millbook.operators import changes as W
 from millbook.operators import intake as I
 from millbook.operators import ledger as K
 from millbook.operators.ownership import resolve_keys
 from millbook.streaming import jobs as S
+from tests.conftest import SF_SMALL
 from tests.helpers import D, make_tables, ts
 from tests.test_plans import plan_of
 
@@ -242,3 +245,32 @@ def test_copies_over_many_batches_and_days_are_dropped(spark, tmp_path):
         q.awaitTermination()
     got = S.read_audit_log(spark, root).collect()
     assert sorted(r["id"] for r in got) == list(range(40))
+
+
+def test_the_fold_gets_amounts_and_dates_as_numbers(spark, monkeypatch):
+    """No Python object per decimal or date on the way to the fold, and the same values and types on the way back."""
+    day = dt.date(2024, 2, 29)
+    rows = [(1, D(5), True, 500, D(3), None, "a"), (2, D(-2), False, 100, None, day, None), (3, D("0.01"), True, 1, D(9), dt.date(1960, 1, 1), "c")]
+    frame = spark.createDataFrame([(1, *r, 700) for r in rows],
+                                  "product_id long, n long, amount decimal(12,2), _is_exit boolean, _q_c long, other decimal(17,5), day date, text string, open long")
+    whole = K._fold_batches
+
+    def checked(batches):
+        for pdf in batches:
+            held = {type(v).__name__ for c in pdf.columns if c != "text" for v in pdf[c].dropna().astype(object)}
+            assert not held & {"Decimal", "date"}, held
+            yield from whole(iter([pdf]))
+
+    monkeypatch.setattr(K, "_fold_batches", checked)
+    got = K.fold_stock(frame, "open", ["n"])
+    assert got.select(frame.columns).schema.simpleString() == frame.schema.simpleString()
+    kept = sorted(got.collect(), key=lambda r: r.n)
+    assert [tuple(r[c] for c in frame.columns) for r in kept] == [tuple(r) for r in sorted(frame.collect(), key=lambda r: r.n)]
+    assert [(r._accepted, r._before_c, r._after_c) for r in kept] == [(True, 700, 200), (True, 200, 300), (True, 300, 299)]
+
+
+def test_exact_outputs_read_the_decisions(spark):
+    """No output of W12's exact mode goes back to the reservations."""
+    out = E.queries()["intake_sales_orders_exact_rejects"](spark, SF_SMALL)
+    plan = plan_of(out, "simple")
+    assert "Join" not in plan and "Window" not in plan and plan.count("FileScan") == 1, plan
