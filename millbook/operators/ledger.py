@@ -18,8 +18,10 @@ Amounts are exact integer cents.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from decimal import Decimal as D
 from functools import reduce
 
 import pandas as pd
@@ -142,8 +144,27 @@ def fold_stock(requests: DataFrame, opening_cents: str, order: list[str],
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     opened = requests.withColumn("_open_c", F.col(opening_cents))
     prepared = (opened if dealt else opened.repartition(n, "product_id")).sortWithinPartitions("product_id", *order)
-    schema = T.StructType(prepared.schema.fields + _FOLD_OUT.fields)
-    return prepared.mapInPandas(_fold_batches, schema)
+    coded = {c: codes for c, kind in prepared.dtypes if (codes := _coded(c, kind)) is not None}
+    plain = prepared.withColumns({c: there for c, (there, _) in coded.items()})
+    folded = plain.mapInPandas(_fold_batches, T.StructType(plain.schema.fields + _FOLD_OUT.fields))
+    return folded.withColumns({c: back for c, (_, back) in coded.items()})
+
+
+def _coded(name: str, kind: str) -> tuple[Column, Column] | None:
+    """An exact decimal or a date as a whole number, and that number as the column again; None for other types.
+
+    Pandas holds decimals and dates as one Python object per value, which costs far more than the fold.
+    """
+    column = F.col(f"`{name}`")
+    if kind == "date":
+        return F.unix_date(column), F.date_from_unix_date(column)
+    precision, scale = map(int, m.groups()) if (m := re.fullmatch(r"decimal\((\d+),(\d+)\)", kind)) else (38, 0)
+    if precision > 17:
+        return None
+    tens, unit = D(10 ** scale), D(1).scaleb(-scale)
+    whole = T.DecimalType(precision, 0)
+    return ((column * F.lit(tens).cast(T.DecimalType(scale + 1, 0))).cast(T.LongType()),
+            (column.cast(whole) * F.lit(unit).cast(T.DecimalType(scale + 1, scale))).cast(kind))
 
 
 def _signed() -> Column:
@@ -231,18 +252,18 @@ def apply_movements(t: Tables, requests: DataFrame,
     """
     valid, pre_rejects = validate_movements(t, requests)
     prepared = valid.select(
-        "*",
+        *requests.columns,
         cents(F.col("quantity")).alias("_q_c"),
         (F.col("movement_type") == F.lit(EXIT)).alias("_is_exit"),
         cents(F.coalesce(F.col("_stock"), F.lit(0))).alias("_stock_c"))
     tie_break = [c for c in requests.columns if c not in order and c != "product_id"]
     decided = decide_stock(prepared, "_stock_c", [*order, *tie_break])
-    if checkpoint:
-        decided = materialize(decided)
     base_cols = [c for c in requests.columns]
     decisions = decided.select(
         *base_cols, F.col("_accepted").alias("accepted"),
         from_cents("_before_c").alias("stock_before"), from_cents("_after_c").alias("stock_after"))
+    if checkpoint:
+        decisions = materialize(decisions)
     accepted = decisions.filter("accepted")
     signed = F.when(F.col("movement_type") == EXIT, -F.col("quantity")).otherwise(F.col("quantity"))
     movements = ledger_rows(
