@@ -22,6 +22,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,39 +34,57 @@ PIECES_PER_PARTITION = 200_000
 _PLAIN = re.compile(r"[\t\n\x0b\x0c\r\x20-\x7e\xa1-\xac\xae-ȳ‐-‧‰-⁞]*")
 #: The byte-level vocabulary's word pattern (fixed value), its letter and number classes spelt out for those characters.
 _LETTERS, _NUMBERS = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-ȳ", "0-9\xb2\xb3\xb9\xbc-\xbe"
-_WORDS = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTERS}]+| ?[{_NUMBERS}]+| ?[^\s{_LETTERS}{_NUMBERS}]+|\s+(?!\S)|\s+")
+_WORDS = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTERS}]+| ?[{_NUMBERS}]+| ?[^\s\x00{_LETTERS}{_NUMBERS}]+|\x00|"
+                    r"\s+(?![^\s\x00])|\s+")
+#: A space that does not begin a word: white space or the end of the text follows it.
+_LOOSE_SPACE = re.compile(r" (?=\s|$)")
+_END, _FIRST, _LOOSE = "\0", "\1", "\2"  # not among the plain characters
 _CACHE_WORDS = 1 << 19
-_CHUNK_CHARS = 1 << 20
+_CHUNK_CHARS = 1 << 21
+#: The byte-level alphabet: printable Latin-1 bytes stand for themselves, the others for U+0100 and on.
+_ALPHABET = {b: 0x100 + k for k, b in enumerate([*range(0x21), *range(0x7F, 0xA1), 0xAD])}
+del _ALPHABET[0]  # _END, which no word holds
 
 
 class Tokens:
     """Ids of texts as little-endian unsigned 32-bit bytes.
 
-    Byte-level BPE merges within words only, so texts are cut into words and
-    each distinct word is encoded by the tokenizer once, in batches and without
-    offsets. Words are remembered in two generations: a full young one becomes the
-    old one, so frequent words stay and memory is bounded.
+    Byte-level BPE merges within words only, and a word begins at every space
+    with other characters after it. So texts are split at these spaces, the
+    distinct parts of a chunk are cut into words, and each distinct word is
+    encoded by the tokenizer's model once. Words are remembered in two
+    generations: a full young one becomes the old one, so frequent words stay
+    and memory is bounded.
     """
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # one thread per task
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
         self.tokenizer = Tokenizer.from_file(path)
         # strings the tokenizer cuts out of a text before it looks at words
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.young: dict[str, bytes] = {}
+        self.model, cut = self.tokenizer.model, self.tokenizer.pre_tokenizer
+        # whether words are cut as here; otherwise texts go to the tokenizer whole
+        self.by_words = (isinstance(cut, ByteLevel) and cut.use_regex and not cut.add_prefix_space
+                         and self.tokenizer.normalizer is None)
+        self.young: dict[str, bytes] = {_END: b""}
         self.old: dict[str, bytes] = {}
 
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [struct.pack(f"<{len(ids)}I", *ids) if len(ids) < 64 else np.array(ids, "<u4").tobytes()
-                for ids in (e.ids for e in found)]
+    def _encode_text(self, text: str) -> bytes:
+        found = self.tokenizer.encode_batch_fast([text], add_special_tokens=False)
+        return np.array(found[0].ids, "<u4").tobytes()
 
-    def _learn(self, words: set[str]) -> None:
-        new = words - self.young.keys()
+    def _encode(self, words: list[str]) -> Iterator[bytes]:
+        """The ids of words: the vocabulary's merges of their bytes, spelt in its alphabet."""
+        spelt = _END.join(words).encode().decode("latin-1").translate(_ALPHABET).split(_END) if words else []
+        for ids in map(self.model.tokenize, spelt):
+            yield struct.pack(f"<{len(ids)}I", *[t.id for t in ids])
+
+    def _learn(self, new: set[str]) -> None:
         if len(self.young) + len(new) > _CACHE_WORDS:
-            self.old, self.young, new = self.young, {}, words
+            self.old, self.young = self.young, {_END: b""}
         unknown = [w for w in new if w not in self.old]
         self.young.update((w, self.old[w]) for w in new if w in self.old)
         self.young.update(zip(unknown, self._encode(unknown), strict=True))
@@ -81,13 +100,37 @@ class Tokens:
                 run, size = [], 0
         yield from self._ids(run)
 
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        plain = [bool(_PLAIN.fullmatch(t)) and not any(a in t for a in self.added) for t in texts]
-        words = [_WORDS.findall(t) if p else [] for t, p in zip(texts, plain, strict=True)]
-        self._learn(set().union(*words))
-        known = self.young.__getitem__
-        return [b"".join(map(known, own)) if p else self._encode([t])[0]
-                for t, p, own in zip(texts, plain, words, strict=True)]
+    def _ids(self, texts: list[str]) -> Iterator[bytes]:
+        plain = [self.by_words and bool(_PLAIN.fullmatch(t)) and not any(a in t for a in self.added) for t in texts]
+        found = iter(self._plain_ids([t for t, p in zip(texts, plain, strict=True) if p]) if any(plain) else [])
+        for t, p in zip(texts, plain, strict=True):
+            yield next(found) if p else self._encode_text(t)
+
+    def _plain_ids(self, texts: list[str]) -> list[bytes]:
+        """The ids of texts of plain characters."""
+        marked = pa.array([_FIRST + _LOOSE_SPACE.sub(_LOOSE, t) for t in texts], pa.large_string())
+        lists = pc.split_pattern(marked, " ")
+        parts = lists.flatten().dictionary_encode()
+        joined = self._part_ids(parts.dictionary).take(parts.indices)
+        _, offsets, data = joined.buffers()
+        ends = np.frombuffer(offsets, np.int64)[lists.offsets.to_numpy()].tolist()
+        data = memoryview(data or b"")
+        return [bytes(data[a:b]) for a, b in zip(ends, ends[1:], strict=False)]
+
+    def _part_ids(self, parts: pa.LargeStringArray) -> pa.LargeBinaryArray:
+        """The ids of distinct parts, each a space (but for a text's first) and what follows up to the next part."""
+        whole = pa.LargeListArray.from_arrays(pa.array([0, len(parts)], pa.int64()), parts)
+        text = " " + pc.binary_join(whole, pa.scalar(_END + " ", pa.large_string()))[0].as_py() + _END
+        words = _WORDS.findall(text.replace(" " + _FIRST, "").replace(_LOOSE, " "))
+        found = list(map(self.young.get, words))
+        missing = [k for k, ids in enumerate(found) if ids is None]
+        self._learn({words[k] for k in missing})
+        for k in missing:
+            found[k] = self.young[words[k]]
+        _, offsets, data = pa.array(found, pa.large_binary()).buffers()
+        ends = np.array([0, *(k for k, w in enumerate(words) if w == _END)], np.int64)
+        offsets = pa.py_buffer(np.frombuffer(offsets, np.int64)[ends])
+        return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(parts), [None, offsets, data])
 
 
 @cache

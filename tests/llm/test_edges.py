@@ -539,6 +539,37 @@ def test_a_word_is_encoded_once_whatever_follows_it():
     assert got == [np.array(e.ids, "<u4").tobytes() for e in tokens.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
 
+def test_words_reach_the_model_alone(monkeypatch):
+    """Texts of plain characters cost no run of the whole tokenizer, and equal parts of a chunk are cut into words once."""
+    tokens = packing.Tokens(Q.tokenizer_path())
+    texts = [" a  b\n c's,  ", "", " ", "x\t \ny 12é", " a  b\n c's,  ", "\n", "don't  stop \r\n", "a" * 300] * 50
+    want = [np.array(e.ids, "<u4").tobytes() for e in tokens.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    cut = []
+
+    class Words:
+        def findall(self, text):
+            cut.append(text)
+            return words_of(text)
+
+    words_of = packing._WORDS.findall
+    monkeypatch.setattr(packing, "_WORDS", Words())
+    tokens.tokenizer = None
+    assert list(tokens.ids(texts)) == want
+    assert sum(map(len, cut)) < 2 * sum(map(len, texts[:8]))
+
+
+def test_other_vocabularies_take_texts_whole(tmp_path):
+    """A tokenizer that changes texts or cuts them otherwise is asked for whole texts."""
+    from tokenizers import Tokenizer, normalizers
+
+    changed = Tokenizer.from_file(Q.tokenizer_path())
+    changed.normalizer = normalizers.Lowercase()
+    changed.save(str(tmp_path / "lower.json"))
+    texts = ["Alpha BETA", "alpha beta"]
+    a, b = packing.Tokens(str(tmp_path / "lower.json")).ids(texts)
+    assert a == b == next(packing.Tokens(Q.tokenizer_path()).ids(texts[1:]))
+
+
 def test_packing_edges(spark, edge_dir):
     check_packing(rows_of(spark, edge_dir, "documents"), Q.op10_pack_sequences(spark, edge_dir).collect())
 
